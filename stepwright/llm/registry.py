@@ -13,7 +13,7 @@ QUERIES = {
     "op5_line_dedup": ("line_dedup", "op5_line_dedup", "ORACLE"),
     "op6_lm_scoring": ("ngram_lm", "op6_lm_scoring", None),
     "op7_decontaminate": ("decontaminate", "op7_decontaminate", None),
-    "op8_shard_documents": ("sharding", "op8_shard_documents", "ORACLE"),
+    "op8_shard_documents": ("sharding", "op8_shard_documents", None),
     "op9_quality_rules": ("rules", "op9_quality_rules", "ORACLE"),
     "op10_token_files": ("token_files", "op10_token_files", None),
 }
@@ -24,14 +24,8 @@ def _part(module: str, name: str):
 
 
 def queries() -> dict:
-    return {q: _part(module, name) for q, (module, name, _) in QUERIES.items() if _there(module)}
+    return {q: _part(module, name) for q, (module, name, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {q: _part(module, sql) for q, (module, _, sql) in QUERIES.items() if sql and _there(module) and hasattr(import_module(f"{__package__}.{module}"), sql)}
-
-
-def _there(module: str) -> bool:
-    from importlib.util import find_spec
-
-    return find_spec(f"{__package__}.{module}") is not None
+    return {q: _part(module, sql) for q, (module, _, sql) in QUERIES.items() if sql}
