@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import sequence  # noqa: F401
+from . import numeric, sequence  # noqa: F401
 from .base import ORACLES, QUERIES, Query
 
 
