@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import numeric, sequence, verifier  # noqa: F401
+from . import mixture, numeric, sequence, verifier  # noqa: F401
 from .base import ORACLES, QUERIES, Query
 
 
