@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from .common import small_batches, table, texts_of
 
-SAMPLE = 40_000  # labelled rows that are fitted at most: the bound of what reaches the driver, a few MB
+SAMPLE = 20_000  # labelled rows that are fitted at most: the bound of what reaches the driver, a few MB
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 5, 0
 #: Bytes whose shares are features of their own; the rest fall in classes.
@@ -81,7 +81,7 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT
 
 
-def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 1500, rate: float = 0.02, decay: float = 1e-4) -> Model:
+def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 1000, rate: float = 0.02, decay: float = 1e-4) -> Model:
     """Minimise prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)) over a linear model.
 
     Logistic loss, full-batch Adam; where the second part would turn negative, the step goes up that
