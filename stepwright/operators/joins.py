@@ -46,8 +46,8 @@ def missing_files(references: DataFrame, files: DataFrame, path: str) -> DataFra
 
 
 def video_frames(frames: DataFrame, episodes: DataFrame, fps: float) -> DataFrame:
-    """Index of each frame in its video: round(from_timestamp * fps) + frame_index."""
-    return frames.join(episodes.select("episode_id", "from_timestamp"), "episode_id").withColumn("video_frame", (F.round(F.col("from_timestamp") * fps) + F.col("frame_index")).cast("long"))
+    """Index of each frame in its video: round(from_timestamp * fps) + frame_index, halves to even."""
+    return frames.join(episodes.select("episode_id", "from_timestamp"), "episode_id").withColumn("video_frame", (F.bround(F.col("from_timestamp") * fps) + F.col("frame_index")).cast("long"))
 
 
 # ---------------------------------------------------------------- answers to questions
