@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -17,7 +18,7 @@ def connection():
 
 
 def plain(v):
-    if v is None or isinstance(v, float) and math.isnan(v):
+    if v is None or v is pd.NA or v is pd.NaT or isinstance(v, float) and math.isnan(v):
         return "null"
     if isinstance(v, bool):
         return str(v)
