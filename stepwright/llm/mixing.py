@@ -122,10 +122,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = DEFAULT_WEIGHTS, max_copies:
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = DEFAULT_WEIGHTS, max_copies: int = MAX_COPIES, seed: int = SEED) -> DataFrame:
     """The documents that the mix takes, each as often as it takes them, with docs' own columns."""
-    taken = mix(docs, weights, max_copies, seed).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__s"), "size", "copies").distinct()
+    taken = mix(docs, weights, max_copies, seed).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__s"), F.col("size").alias("__size"), F.col("copies").alias("__copies")).distinct()
     sized = docs.withColumn("__n", n_words(F.col("text")))
-    on = sized["doc_id"].eqNullSafe(taken["__id"]) & sized["source"].eqNullSafe(taken["__s"]) & (sized["__n"] == taken["size"])
-    return sized.join(taken, on).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")).select(*docs.columns)
+    on = sized["doc_id"].eqNullSafe(taken["__id"]) & sized["source"].eqNullSafe(taken["__s"]) & (sized["__n"] == taken["__size"])
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return sized.join(taken, on).select(*own, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).select(*own)
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +145,7 @@ filled AS (
     coalesce(sum(3 * source_size) OVER (ORDER BY CAST(3 * source_size AS DOUBLE) / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fixed,
     sum(weight) OVER (ORDER BY CAST(3 * source_size AS DOUBLE) / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight
   FROM weighted),
-level AS (SELECT min((budget - fixed) / open_weight) AS v FROM filled WHERE full_at > (budget - fixed) / open_weight),
+level AS (SELECT min_by((budget - fixed) / open_weight, full_at) AS v FROM filled WHERE full_at > (budget - fixed) / open_weight),
 sources AS (
   SELECT source, source_size, weight, round(least(CAST(weight AS DOUBLE) * v, CAST(3 * source_size AS DOUBLE)), 6) AS target FROM weighted, level),
 timed AS (
