@@ -62,12 +62,14 @@ def longest_earlier(levels: list[DataFrame]) -> DataFrame:
         tried = tried.withColumn("longer", F.when(F.col("rank").isNotNull(), F.xxhash64("name", "n", "rank")))
         parts = tried.where("longer IS NOT NULL").groupBy("longer").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("members"))
         parts = parts.where("members > 1").select(F.col("longer").alias("__longer"), "first")
-        joined = tried.join(parts, F.col("longer") == F.col("__longer"), "left")
+        joined = tried.where("longer IS NOT NULL").join(parts, F.col("longer") == F.col("__longer"), "left")
         stays = F.struct("n", "name", "own")
         longer = F.struct((F.col("n") + (1 << k)).alias("n"), F.col("longer").alias("name"), F.col("own").alias("own"))
         fork = F.struct(longer["n"].alias("n"), longer["name"].alias("name"), F.lit(False).alias("own"))
         after = F.when(F.col("first").isNull(), F.array(stays)).when(F.col("first") == F.col("place"), F.array(stays, fork)).otherwise(F.array(longer))
-        state = stash(joined.select("row", "doc_id", "line", "place", F.explode(after).alias("s")).select("row", "doc_id", "line", "s.*", "place"))
+        moved = joined.select("row", "doc_id", "line", "place", F.explode(after).alias("s")).select("row", "doc_id", "line", "s.*", "place")
+        # rows that nothing follows keep their state; they have no part to be joined to
+        state = stash(moved.unionByName(tried.where("longer IS NULL").select(moved.columns)))
     return state.where("own AND n > 0").select("row", "line", "n")
 
 
@@ -97,14 +99,14 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     first copy stays. Lines are equal if their bytes are. Null text counts as empty and stays null; of rows
     with equal doc_id and text none is earlier. Null ids come first. An empty table gives an empty one.
     """
-    dropped = dropped_lines(docs, least_words).withColumnRenamed("row", "__row")
+    dropped = dropped_lines(docs, least_words).select(F.col("row").alias("__row"), F.col("dropped").alias("__dropped"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     split = docs.withColumn("__key", F.xxhash64("doc_id", text)).join(dropped, F.col("__key") == F.col("__row"), "left")
     lines = F.size(F.split(text, "\n"))
-    kept = F.array_except(F.sequence(F.lit(0), lines - 1), F.col("dropped"))
+    kept = F.array_except(F.sequence(F.lit(0), lines - 1), F.col("__dropped"))
     cleaned = F.transform(F.array(F.split(text, "\n")), lambda x: F.array_join(F.transform(kept, lambda i: F.get(x, i)), "\n"))[0]
-    columns = [F.when(F.col("dropped").isNull(), F.col("text")).otherwise(cleaned).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return split.select(*columns, lines.cast("long").alias("n_lines"), F.when(F.col("dropped").isNull(), 0).otherwise(F.size("dropped")).cast("long").alias("n_dropped"))
+    columns = [F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(cleaned).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return split.select(*columns, lines.cast("long").alias("n_lines"), F.when(F.col("__dropped").isNull(), 0).otherwise(F.size("__dropped")).cast("long").alias("n_dropped"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
