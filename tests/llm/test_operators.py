@@ -1,0 +1,451 @@
+"""Each corpus operator on awkward rows, on an empty table, and against a plain version of its rule."""
+
+import collections
+import math
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from stepwright.llm import common, decontaminate, line_dedup, mixing, ngram_lm, pieces, quality, rules, sharding, simhash, token_counts, token_files
+
+SF = "/root/testdata/sf0.001"
+WORDS = "the of and in to a is that it was for on are with as his they at be this from have or by one had not but what all were when we there can an your which".split()
+
+
+def text(seed, n, end=" "):
+    r = np.random.default_rng(seed)
+    return end.join(WORDS[i] + str(r.integers(0, 60)) for i in r.integers(0, len(WORDS), n))
+
+
+ROWS = [
+    (0, text(1, 80), "en", "b", 5),
+    (1, text(1, 80), "en", "b", 5),
+    (2, None, "en", None, None),
+    (3, "", None, "a", 0),
+    (4, " \n\t ", "en", "a", 4),
+    (5, text(2, 60) + "\n" + text(3, 60), "de", "a", 1),
+    (5, text(2, 60) + "\n" + text(3, 60), "de", "a", 1),
+    (None, text(4, 30), "fr", None, 1),
+    (7, text(5, 20_000), "fr", "c", 1),
+    (8, "\n".join([text(6, 25), text(3, 60), text(7, 5)]), "es", "c", 1),
+    (9, "one", "es", "é", 1),
+    (10, "A-Z ÀÉ ß \x0b x\x1cy <|endoftext|> don't 漢字", "es", "é", 1),
+]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+#: Names that operators use inside, as extra columns.
+CLASHES = ["size", "row", "line", "rank", "key", "keys", "shard", "slot", "weight", "target", "node", "component", "features", "score", "n", "dropped", "digest", "words", "copy", "h", "seg"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, SCHEMA).withColumns({c: F.lit("x") for c in CLASHES}).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(i, int(i != 9), 0) for i in (0, 1, 3, 5, 7, 8, 9)] + [(5, 1, 0), (None, 1, 0), (4, None, 0)], "doc_id long, quality int, toxic int")
+
+
+@pytest.fixture(scope="module")
+def benchmark(spark):
+    changed = ROWS[5][1].split("\n")[1].split()
+    changed[7] = "zzz"
+    rows = [(0, " ".join(changed[:30])), (1, None), (2, ""), (3, "of the"), (4, text(99, 30)), (4, text(99, 30)), (5, " ".join(ROWS[0][1].split()[10:16]))]
+    return spark.createDataFrame(rows, "item_id long, text string")
+
+
+def words(t):
+    return (t or "").encode().split()
+
+
+# ---------------------------------------------------------------- 1
+def test_mix_near_targets_and_bounded(spark, docs):
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == len(ROWS)
+    assert all(r["size"] == len(words(t)) for r, t in zip(sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0)), [x[1] for x in sorted(ROWS, key=lambda x: (x[0] is None, x[0] or 0))]))
+    assert all(0 <= r["taken"] <= 3 * r["size"] for r in rows)
+    assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(docs.repartition(5)).collect()))
+
+
+def test_mix_targets_of_sources(spark):
+    rows = [(i, "w " * n, "en", s, 1) for i, (s, n) in enumerate([("a", 10), ("a", 10), ("b", 30), ("c", 400), (None, 50)] * 20)]
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA))
+    t = {r[0]: (r[1], r[2], r[3]) for r in got.groupBy("source").agg(F.first("target"), F.first("source_size"), F.sum("taken")).collect()}
+    # weights 5, 2, 1, 5; a, b and the null source stop at three times their size, c takes the rest
+    assert t["a"][0] == 1200 and t["b"][0] == 1800 and t[None][0] == 3000 and t["c"][0] == 10_000 - 6000
+    assert all(abs(v[2] - v[0]) <= 400 for v in t.values())
+    assert sum(v[0] for v in t.values()) == sum(v[1] for v in t.values())
+
+
+def test_mixed_documents_repeat_whole_rows(spark, docs):
+    copies = {(r["doc_id"], r["size"]): r["copies"] for r in mixing.mix(docs).collect()}
+    got = collections.Counter(r["doc_id"] for r in mixing.mixed_documents(docs).collect())
+    rows = collections.Counter((r[0], len(words(r[1]))) for r in ROWS)
+    assert got == collections.Counter({k[0]: copies[k] * rows[k] for k in rows if copies[k]})
+    assert mixing.mixed_documents(docs).columns == docs.columns
+
+
+def test_mix_of_nothing(empty):
+    assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
+
+
+# ---------------------------------------------------------------- 2
+def plain_fingerprint(t, n=3):
+    w = (t or "").encode().lower().split()
+    s = [b" ".join(w[i : i + n]) for i in range(len(w) - n + 1)] or ([b" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(x, 42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def reachable(prints, radius):
+    root = list(range(len(prints)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(prints):
+        for j in range(i):
+            if (a ^ prints[j]).bit_count() <= radius:
+                p, q = find(i), find(j)
+                root[max(p, q)] = min(p, q)
+    return [find(i) for i in range(len(prints))]
+
+
+def test_simhash_components_equal_brute_force(spark, docs):
+    got = simhash.simhash_components(docs).collect()
+    rows = sorted((r for r in ROWS if r[0] is not None), key=lambda r: r[0])
+    prints = [plain_fingerprint(r[1]) for r in rows]
+    root = reachable(prints, 3)
+    want = {r[0]: (f"{p:016x}", rows[k][0]) for r, p, k in zip(rows, prints, root)}
+    assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in got if r["doc_id"] is not None} == want
+    assert len(got) == len(ROWS)
+
+
+@pytest.mark.parametrize("large", [4096, 8])
+def test_linked_fingerprints_equal_brute_force(spark, large, monkeypatch):
+    monkeypatch.setattr(simhash.split_large, "__defaults__", (large,))
+    r = np.random.default_rng(5)
+    centres = [int(x) for x in r.integers(0, 1 << 63, 6)]
+    prints = sorted({centres[r.integers(6)] ^ sum(1 << int(b) for b in r.choice(64, r.integers(0, 5), replace=False)) for _ in range(400)})
+    rows = [(i, p.to_bytes(8, "little"), p - (1 << 64) if p >> 63 else p) for i, p in enumerate(prints)]
+    nodes = spark.createDataFrame(rows, "node long, fp binary, fp_long long")
+    got = dict(simhash.component_of_fingerprints(nodes, 3).collect())
+    assert [got.get(i, i) for i in range(len(prints))] == reachable(prints, 3)
+
+
+def test_carry_save_distances():
+    r = np.random.default_rng(1)
+    a, b = (r.bytes(8 * 200) for _ in range(2))
+    near = [bytes(x ^ (1 << r.integers(8) if r.random() < 0.3 else 0) for x in a[8 * i : 8 * i + 8]) for i in range(200)]
+    far = [b[8 * i : 8 * i + 8] for i in range(200)]
+    for other in (near, far):
+        p, q = simhash.planes_of([a[8 * i : 8 * i + 8] for i in range(200)]), simhash.planes_of(other)
+        live = np.packbits(np.r_[np.ones(200, np.uint8), np.zeros(56, np.uint8)], bitorder="little").view(np.uint64)
+        for radius in (0, 1, 3, 6):
+            want = [i for i in range(200) if (int.from_bytes(a[8 * i : 8 * i + 8], "big") ^ int.from_bytes(other[i], "big")).bit_count() <= radius]
+            assert simhash.positions(simhash.within(p[:, :4], q[:, :4], live, radius)).tolist() == want
+
+
+def test_near_copies_of_five_word_shingles(spark):
+    one = text(11, 400).split()
+    near = [*one[:200], "changed", *one[201:]]
+    rows = [(3, " ".join(one)), (4, " ".join(near)), (5, " ".join(one).upper()), (6, text(12, 400)), (7, None), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    group = dict(simhash.near_groups(df).collect())
+    assert group == {3: 3, 4: 3, 5: 3, 6: 6, 7: 7, 8: 7}
+    assert sorted(r["doc_id"] for r in simhash.drop_near_copies(df).collect()) == [3, 6, 7]
+
+
+def test_simhash_of_nothing(empty):
+    assert simhash.simhash_components(empty).count() == 0 and simhash.drop_near_copies(empty).count() == 0
+
+
+def test_components_of_paths_and_stars(spark):
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
+    got = dict(common.components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert {got.get(i, i) for i in range(41)} == {0} and {got.get(i, i) for i in range(100, 160)} == {100}
+
+
+# ---------------------------------------------------------------- 3 and 10
+def library(name):
+    import public_tokenizers
+
+    return common.tokenizer(public_tokenizers.path(name)), public_tokenizers.path(name)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_equal_the_library(spark, name):
+    lib, path = library(name)
+    own = pieces.PieceEncoder(path)
+    assert own.chunk is not None
+    odd = [r[1] or "" for r in ROWS] + ["  ", "a  b\n\n c\t\td ", "don't we'll I'm x's  ", "<|startoftext|>a", "1a2b ½ ²", "a.b, c. d.. e,", "\n\n\nfoo\r\n bar  ", "éè. ÀB, ñ", "x y", "é", "İ ΣΣ"]
+    documents = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    for t in odd + documents:
+        assert np.frombuffer(own.ids(t), np.uint32).tolist() == lib.encode(t, add_special_tokens=False).ids, t[:80]
+
+
+def test_piece_memory_is_bounded(monkeypatch):
+    _, path = library("word_bpe_49k.json")
+    monkeypatch.setattr(pieces, "MOST_CHUNKS", 50)
+    own = pieces.PieceEncoder(path)
+    lib, _ = library("word_bpe_49k.json")
+    t = text(20, 3000)
+    assert np.frombuffer(own.ids(t), np.uint32).tolist() == lib.encode(t, add_special_tokens=False).ids
+    assert len(own.chunks) <= 51 and len(own.older) <= 51
+
+
+def test_counts_and_cache(spark, docs, empty, tmp_path, monkeypatch):
+    lib, path = library("byte_bpe_50k.json")
+    cache = f"file://{tmp_path}/cache"
+    got = token_counts.token_counts(docs, cache, path).collect()
+    want = sorted((r[0] if r[0] is not None else -1, len((r[1] or "").encode()), len(lib.encode(r[1] or "", add_special_tokens=False).ids)) for r in ROWS)
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_bytes"], r["n_tokens"]) for r in got) == want
+    assert all(r["over_limit"] == (r["n_tokens"] > 512) for r in got)
+    stored = spark.read.parquet(cache)
+    assert stored.count() == len({r[1] or "" for r in ROWS})
+    token_counts.append_misses(docs, cache, path)  # nothing is missing now
+    assert spark.read.parquet(cache).count() == stored.count()
+    more = spark.createDataFrame([(1, "new text"), (2, ROWS[0][1])], "doc_id long, text string")
+    assert token_counts.token_counts(more, cache, path).count() == 2
+    assert spark.read.parquet(cache).count() == len({r[1] or "" for r in ROWS}) + 1
+    assert token_counts.token_counts(empty, f"file://{tmp_path}/none", path).count() == 0
+
+
+def test_wavelet_matrix():
+    r = np.random.default_rng(2)
+    for values in (r.integers(0, 3000, 5000), r.integers(0, 2, 65), np.array([7]), np.array([], np.int64), np.array([70_000, 3, 70_000])):
+        v = values.astype(np.uint32)
+        ids, lengths, m = token_files.from_bytes(token_files.to_bytes([1, None], np.array([len(v), 0]), token_files.WaveletMatrix.of(v)))
+        assert ids == [1, None] and lengths.tolist() == [len(v), 0]
+        assert m.values().tolist() == v.tolist()
+        assert m.access(np.arange(len(v))).tolist() == v.tolist()
+        for x in v[:40].tolist():
+            at = np.flatnonzero(v == x)
+            assert m.count(x) == len(at) and [m.find(x, k) for k in range(min(3, len(at)))] == at[:3].tolist()
+            assert m.find(x, len(at)) is None
+        assert m.count(1 << 30) == 0
+
+
+def test_token_files_round_trip(spark, docs, empty, tmp_path):
+    lib, path = library("word_bpe_49k.json")
+    folder = f"file://{tmp_path}/wm"
+    manifest = token_files.write_token_files(docs, path, folder, shard_tokens=200)
+    got = token_files.read_token_files(manifest, folder).orderBy("start").collect()
+    want = collections.Counter()
+    for r in ROWS:
+        ids = np.array([*lib.encode(r[1] or "", add_special_tokens=False).ids, 2], "<u4")
+        want[r[0], len(ids), zlib.crc32(ids.tobytes())] += 1
+    assert collections.Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
+    at = 0
+    for r in got:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    assert [r["doc_id"] for r in got] == sorted((r[0] for r in ROWS), key=lambda x: -1 if x is None else x)
+    assert token_files.read_token_files(token_files.write_token_files(empty, path, f"{folder}-0"), f"{folder}-0").count() == 0
+
+
+# ---------------------------------------------------------------- 4
+def test_classifier_rows_and_folds(docs, empty, labels):
+    got = quality.classify(docs, labels).collect()
+    assert len(got) == len(ROWS)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got if r["doc_id"] is not None)
+    assert quality.classify(empty, labels).count() == 0
+    assert quality.classify(docs, labels.limit(0)).count() == len(ROWS)
+    assert quality.drop_rejected(docs, labels).columns == docs.columns
+
+
+def test_classifier_on_held_out_rows(spark):
+    d, l = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.classify(d, l).join(l, "doc_id").where("held_out").toPandas()
+    good, bad = rows[rows.quality == 1].score, rows[rows.quality == 0].score
+    assert (rows.predicted == rows.quality).mean() >= 0.95
+    assert np.mean([g > b for g in good for b in bad]) >= 0.97
+
+
+def test_labels_do_not_reach_the_score(spark, docs, labels):
+    model = quality.fit(docs, labels)
+    swapped = docs.withColumns({"lang": F.lit("zz"), "source": F.lit("q"), "doc_id": F.col("doc_id") + 1000})
+    a, b = (sorted(r["score"] for r in quality.scores(x, model, ["doc_id"]).collect()) for x in (docs, swapped))
+    assert a == b
+
+
+def test_risk_estimator_finds_the_negatives():
+    r = np.random.default_rng(3)
+    p = r.normal(1, 1, (500, 2))
+    u = np.concatenate([r.normal(1, 1, (700, 2)), r.normal(-3, 1, (300, 2))])
+    m = quality.fit_pu(p, u, 0.7)
+    s = m.score(u) >= 0.5
+    assert s[:700].mean() > 0.95 and s[700:].mean() < 0.1
+
+
+# ---------------------------------------------------------------- 5
+def plain_line_dedup(rows, least):
+    lines = [(d, i, x) for d, t in rows for i, x in enumerate(t.split("\n"))]
+    by = {d: t.split("\n") for d, t in rows}
+    order = {(d, i): k for k, (d, i, _) in enumerate(lines)}
+    gone = set()
+    for d, i, _ in lines:
+        for e, j, _ in lines:
+            if order[e, j] < order[d, i]:
+                n = 0
+                while i + n < len(by[d]) and j + n < len(by[e]) and by[d][i + n] == by[e][j + n]:
+                    n += 1
+                if sum(len(words(x)) for x in by[d][i : i + n]) >= least:
+                    gone |= {(d, i + k) for k in range(n)}
+    return {d: "\n".join(x for i, x in enumerate(by[d]) if (d, i) not in gone) for d in by}
+
+
+def test_line_dedup_equals_brute_force(spark):
+    r = np.random.default_rng(7)
+    for least in (1, 3, 8):
+        rows = [(d, "\n".join("w" * 1 + " x" * int(k) + f" {k}" for k in r.integers(0, 3, r.integers(1, 9)))) for d in range(25)]
+        got = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), least).collect()}
+        assert got == plain_line_dedup(rows, least)
+
+
+def test_line_dedup_of_awkward_rows(docs, empty):
+    out = line_dedup.dedup_lines(docs)
+    got = out.collect()
+    assert len(got) == len(ROWS)
+    assert out.columns == [*docs.columns, "n_lines", "n_dropped"]
+    text_of = {r["doc_id"]: r["text"] for r in got}
+    assert text_of[1] == "" and text_of[0] == ROWS[0][1] and text_of[2] is None and text_of[8].count("\n") == 1
+    assert line_dedup.dedup_lines(empty).count() == 0
+
+
+# ---------------------------------------------------------------- 6
+def test_elias_fano():
+    r = np.random.default_rng(0)
+    for top in (40, 10**6, 2**62):
+        v = np.unique(r.integers(0, top, 3000)).astype(np.uint64)
+        e = ngram_lm.EliasFano(*ngram_lm.EliasFano.parts(v))
+        zero = np.zeros(len(v), int)
+        assert (e.get(np.arange(len(v))) == v).all()
+        assert (e.find(v, zero, zero + len(v)) == np.arange(len(v))).all()
+        other = np.setdiff1d(r.integers(0, top + 9, 300).astype(np.uint64), v)
+        zero = np.zeros(len(other), int)
+        assert (e.find(other, zero, zero + len(v)) == -1).all()
+
+
+def test_language_model_equals_brute_force(spark, docs, empty):
+    got = {r["doc_id"]: r for r in ngram_lm.score_documents(docs).collect()}
+    tok = lambda t: [*(t or "").encode().lower().split(), b"\n"]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    uni, bi = collections.Counter(), collections.Counter()
+    for i, t, *_ in ROWS:
+        if not held(i):
+            w = tok(t)
+            uni.update([b"\r", *w])
+            bi.update(zip([b"\r", *w], w))
+    n, v = sum(uni.values()) - uni[b"\r"], len(uni) - 1
+    stored = {k: float(ngram_lm.count_of(ngram_lm.code_of(np.array([c])))[0]) for k, c in bi.items() if c >= ngram_lm.LEAST_COUNT}
+    mass = collections.Counter()
+    for (a, _), c in stored.items():
+        mass[a] += c
+    for i, t, *_ in ROWS:
+        w, r = tok(t), got[i]
+        base = {x: (uni[x] + 1) / (n + v + 1) for x in w}
+        score = sum(math.log10(stored.get((a, b), 0) / uni[a] + (1 - mass[a] / uni[a]) * base[b] if uni[a] else base[b]) for a, b in zip([b"\r", *w], w))
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held(i), len(w), sum(uni[x] > 0 for x in w), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10(base[x]) for x in w)) and r["score"] == pytest.approx(score)
+    assert ngram_lm.score_documents(empty).count() == 0
+
+
+def test_quantised_counts_never_grow():
+    c = np.arange(2, 5000)
+    q = ngram_lm.count_of(ngram_lm.code_of(c))
+    assert (q <= c - ngram_lm.DISCOUNT + 1e-6).all() and (q > (c - ngram_lm.DISCOUNT) * 0.9).all()
+
+
+# ---------------------------------------------------------------- 7
+def test_contaminated_documents(docs, empty, benchmark):
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, benchmark).collect()}
+    assert got == {(5, 0), (8, 0), (0, 5), (1, 5)}
+    assert sorted({r[0] for r in ROWS} - {r["doc_id"] for r in decontaminate.drop_contaminated(docs, benchmark).collect()}) == [0, 1, 5, 8]
+    assert decontaminate.contaminated(empty, benchmark).count() == 0
+    assert decontaminate.contaminated(docs, benchmark.limit(0)).count() == 0
+    assert decontaminate.drop_contaminated(docs, benchmark.limit(0)).count() == len(ROWS)
+
+
+def test_substitutions_are_tolerated(spark):
+    base = text(40, 40).split()
+    r = np.random.default_rng(9)
+    rows, want = [], 0
+    for i in range(60):
+        w = list(base)
+        for k in r.choice(40, 4, replace=False):
+            w[k] = f"sub{k}"
+        rows.append((i, " ".join([text(1000 + i, 50), *w, text(2000 + i, 50)])))
+        want += 1
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(base))], "item_id long, text string"))
+    assert got.count() >= 0.9 * want
+
+
+# ---------------------------------------------------------------- 8
+def test_shards(docs, empty):
+    got = sharding.shard(docs, sharding.tree(16)).collect()
+    assert len(got) == len(ROWS)
+    for r in got:
+        assert r["grown_shard"] in (r["shard"], 16)
+    slots = collections.defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    size = {i: len((t or "").encode()) + 1 for i, t, *_ in ROWS}
+    assert all(r["size"] == size[r["doc_id"]] for r in got)
+    assert sharding.shard(empty, sharding.tree(16)).count() == 0
+
+
+def test_growth_moves_only_into_the_new_shard_and_weights_hold(spark):
+    ids = spark.range(20_000).select(F.col("id").cast("string").alias("k"))
+    leaves = sharding.tree(16)
+    heavier = [sharding.Shard(x.region, x.rack, x.number, 3.0 if x.number == 5 else 1.0) for x in leaves]
+    rows = sharding.with_shard(sharding.with_shard(sharding.with_shard(ids, F.col("k"), leaves, "a"), F.col("k"), sharding.grown(leaves), "b"), F.col("k"), heavier, "c").collect()
+    moved = [r for r in rows if r["a"] != r["b"]]
+    assert {r["b"] for r in moved} == {16} and 0.04 < len(moved) / len(rows) < 0.08
+    counts = collections.Counter(r["a"] for r in rows)
+    assert len(counts) == 16 and max(counts.values()) < 1.15 * 1250
+    share = collections.Counter(r["c"] for r in rows)[5] / len(rows)
+    assert 0.14 < share < 0.19
+    assert all(r["c"] // 4 == 1 for r in rows if r["a"] // 4 != r["c"] // 4)  # regions that did not change receive nothing
+
+
+# ---------------------------------------------------------------- 9
+def plain_measures(t):
+    w = (t or "").encode().split()
+    lines = [x for x in (t or "").encode().split(b"\n") if x.split()]
+    seen = collections.defaultdict(list)
+    for i in range(len(w) - 2):
+        seen[tuple(w[i : i + 3])].append(i)
+    covered = {i + k for v in seen.values() if len(v) > 1 for i in v for k in range(3)}
+    chars = sum(len(x.decode()) for x in w)
+    return (len(w), chars, sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(covered))
+
+
+def test_ledger_measures(spark, docs, empty):
+    more = [(20, "a b c a b c a b", "", "", 0), (21, "x\nx\n x\n\n\nx y", "", "", 0), (22, "a a a a", "", "", 0), (23, "##| <b> é", "", "", 0)]
+    rows = rules.ledger(docs.select("doc_id", "text").union(spark.createDataFrame(more, SCHEMA).select("doc_id", "text"))).collect()
+    want = {r[0]: plain_measures(r[1]) for r in [*ROWS, *more]}
+    for r in rows:
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want[r["doc_id"]]
+    assert len(rows) == len(ROWS) + len(more)
+    assert rules.ledger(empty).count() == 0
+
+
+def test_policies_and_ablations_come_from_the_bits(spark):
+    t = spark.createDataFrame([(0b000011,), (0b000001,), (0,), (0b010000,), (0b010000,)], "failed int").select(F.col("failed").cast("long").alias("failed"))
+    assert [r["kept"] for r in rules.decide(t, "base").collect()] == [False, False, True, True, True]
+    assert sum(r["kept"] for r in rules.decide(t, "v1").collect()) == 1
+    got = {r["rule"]: (r["failed_rows"], r["only_this_rule"]) for r in rules.ablations(t, "v1").collect()}
+    assert got["few_words"] == (2, 1) and got["repeated_words"] == (1, 0) and got["symbols"] == (2, 2) and got["long_words"] == (0, 0)
