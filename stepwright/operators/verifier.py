@@ -10,9 +10,8 @@ from ..functions.text import key_a
 
 
 def window_id(column: str) -> Column:
-    """Stable id of a window: MD5 of its content. -0.0 counts as 0.0."""
-    plain = F.transform(column, lambda a: F.transform(a, lambda x: x + F.lit(0.0)))
-    return F.md5(F.to_json(F.struct(plain.alias("w"))).cast("binary"))
+    """Stable 128-bit id of a window's content: two XXH64 hashes in hex. They take -0.0 for 0.0."""
+    return F.concat(F.hex(F.xxhash64(column)), F.lit("-"), F.hex(F.xxhash64(F.lit(7), F.col(column))))
 
 
 def normal_form(steps: DataFrame, window: str = "action_window", pad: float = -5.0) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -29,13 +28,18 @@ def normal_form(steps: DataFrame, window: str = "action_window", pad: float = -5
     return samples, histories, instructions
 
 
-def normal_form_metadata(samples: DataFrame, histories: DataFrame, instructions: DataFrame) -> DataFrame:
-    """One row of counts: samples, distinct windows and instructions, how often a window is used, samples per instruction."""
-    per = samples.groupBy("instruction_id").agg(F.count(F.lit(1)).alias("n"))
-    spread = per.agg(F.sum("n").alias("total_samples"), F.min("n").alias("min_per_instruction"), F.avg("n").alias("mean_per_instruction"), F.max("n").alias("max_per_instruction"))
-    h = histories.agg(F.count(F.lit(1)).alias("unique_action_histories"))
-    i = instructions.agg(F.count(F.lit(1)).alias("unique_instructions"))
-    return spread.join(F.broadcast(h)).join(F.broadcast(i)).withColumn("reuse_ratio", F.col("total_samples") / F.col("unique_action_histories"))  # one row each
+def normal_form_metadata(samples: DataFrame) -> DataFrame:
+    """One row of counts: samples, distinct windows and instructions, how often a window is used, samples per instruction.
+
+    Samples are first counted by (instruction, window); both kinds of totals come from those counts.
+    """
+    pairs = samples.groupBy("instruction_id", "action_history_id").agg(F.count(F.lit(1)).alias("n"))
+    per = pairs.groupBy("instruction_id").agg(F.sum("n").alias("n"))
+    spread = per.agg(
+        F.sum("n").alias("total_samples"), F.min("n").alias("min_per_instruction"), F.avg("n").alias("mean_per_instruction"), F.max("n").alias("max_per_instruction"), F.count(F.lit(1)).alias("unique_instructions")
+    )
+    windows = pairs.select("action_history_id").distinct().agg(F.count(F.lit(1)).alias("unique_action_histories"))
+    return spread.join(F.broadcast(windows)).withColumn("reuse_ratio", F.col("total_samples") / F.col("unique_action_histories"))  # one row each
 
 
 def write_normal_form(samples: DataFrame, histories: DataFrame, instructions: DataFrame, path: str) -> None:
@@ -43,8 +47,7 @@ def write_normal_form(samples: DataFrame, histories: DataFrame, instructions: Da
     spark = samples.sparkSession
     for name, df in (("samples", samples), ("action_histories", histories), ("instructions", instructions)):
         df.write.mode("overwrite").parquet(f"{path}/{name}")
-    tables = [spark.read.parquet(f"{path}/{n}") for n in ("samples", "action_histories", "instructions")]
-    normal_form_metadata(*tables).coalesce(1).write.mode("overwrite").json(f"{path}/_metadata_json")
+    normal_form_metadata(spark.read.parquet(f"{path}/samples")).coalesce(1).write.mode("overwrite").json(f"{path}/_metadata_json")
 
 
 def numbered_by_first(df: DataFrame, value: str, order: list[str], out: str) -> DataFrame:

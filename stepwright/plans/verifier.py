@@ -45,7 +45,7 @@ SELECT CAST(sum(n) AS BIGINT) AS total_samples, min(n) AS min_per_instruction, r
   round(sum(n) / (SELECT count(*) FROM (SELECT DISTINCT p0, p1, c0, c1, f0, f1 FROM windows)), 6) AS reuse_ratio FROM per
 """)
 def normal_form_meta(spark, sf_dir):
-    out = V.normal_form_metadata(*V.normal_form(coarse(spark, sf_dir)))
+    out = V.normal_form_metadata(V.normal_form(coarse(spark, sf_dir))[0])
     return out.withColumns({c: F.round(c, 6) for c in ("mean_per_instruction", "reuse_ratio")})
 
 
