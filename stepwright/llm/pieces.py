@@ -15,7 +15,7 @@ from array import array
 
 import regex
 
-MOST_CHUNKS = 400_000  # remembered per worker; then the memory starts anew
+MOST_CHUNKS = 500_000  # remembered per worker and generation; two generations are kept
 
 #: Texts with any of these go to the library whole: control spaces, and characters from U+0250 on.
 _RARE = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\x85\xa0\xadİıŉſɐ-\U0010ffff]")
@@ -57,25 +57,34 @@ class PieceEncoder:
                 split = pre["pretokenizers"][0]
                 if split["behavior"] == "Removed" and split["invert"] and not pre["pretokenizers"][1]["use_regex"]:
                     self.chunk, self.pattern, self.lower = re.compile(r"[^ \t\n\r]+"), regex.compile(split["pattern"]["Regex"]), True
-        self.chunks: dict[str, array] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            mapped = piece if piece.isascii() and piece.isalnum() else "".join(_LETTERS[b] for b in piece.encode())
-            ids = self.pieces[piece] = tuple(t.id for t in self.model.tokenize(mapped))
-        return ids
+    def _piece(self, piece: str) -> bytes:
+        mapped = piece if piece.isascii() and piece.isalnum() else "".join([_LETTERS[b] for b in piece.encode()])
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def _mark(self, mark: str) -> bytes:
+        if mark not in self.marks:
+            self.marks[mark] = self._piece(mark)
+        return self.marks[mark]
 
     def _new(self, chunk: str) -> bytes:
-        ids = array("I")
-        for piece in self.pattern.findall(chunk):
-            ids.extend(self._piece(piece))
-        if len(self.chunks) >= MOST_CHUNKS:
-            self.chunks.clear()
-            self.pieces.clear()
-        made = self.chunks[chunk] = ids.tobytes()
-        return made
+        """Ids of a chunk that is not in the younger memory; letters alone, or with one stop behind, need no pattern."""
+        ids = self.older.get(chunk)
+        if ids is None:
+            word = chunk[1:] if chunk[0] == " " else chunk
+            if word.isalpha():
+                ids = self._piece(chunk)
+            elif word[:-1].isalpha() and word[-1] in ".,":
+                ids = (self.chunks.get(chunk[:-1]) or self._new(chunk[:-1])) + self._mark(word[-1])
+            else:
+                ids = b"".join([self._piece(p) for p in self.pattern.findall(chunk)])
+        if len(self.chunks) >= MOST_CHUNKS:  # the younger memory becomes the older one, whose frequent chunks come back as they are met
+            self.older, self.chunks = self.chunks, {}
+        self.chunks[chunk] = ids
+        return ids
 
     def ids(self, text: str) -> bytes:
         """Ids of a whole text as native unsigned 32-bit integers; no special tokens added."""

@@ -35,14 +35,19 @@ class WaveletMatrix:
     @classmethod
     def of(cls, values: np.ndarray) -> WaveletMatrix:
         bits = max(1, int(values.max()).bit_length()) if len(values) else 1
-        now, rows = values, []
+        n, rows = len(values), []
+        now = values.astype(np.uint16 if bits <= 16 else np.uint32)
         for b in range(bits - 1, -1, -1):
-            plane = (now >> b & 1).astype(bool)
-            padded = np.zeros((len(values) + 63) // 64 * 64, np.uint8)
-            padded[: len(values)] = plane
+            plane = (now & now.dtype.type(1 << b)) != 0
+            padded = np.zeros((n + 63) // 64 * 64, bool)
+            padded[:n] = plane
             rows.append(np.packbits(padded, bitorder="little").view(np.uint64))
-            now = np.concatenate([now[~plane], now[plane]])
-        return cls(len(values), np.array(rows, np.uint64).reshape(bits, -1))
+            zeros = n - np.count_nonzero(plane)
+            parted = np.empty_like(now)
+            np.compress(~plane, now, out=parted[:zeros])
+            np.compress(plane, now, out=parted[zeros:])
+            now = parted
+        return cls(n, np.array(rows, np.uint64).reshape(bits, -1))
 
     def rank1(self, plane: int, at: np.ndarray) -> np.ndarray:
         """Ones of a plane before each position, from 0 to n."""
@@ -66,15 +71,16 @@ class WaveletMatrix:
 
     def values(self) -> np.ndarray:
         """The whole sequence, by undoing the partings plane by plane from the last."""
-        bits = [np.unpackbits(row.view(np.uint8), count=self.n, bitorder="little").astype(bool) for row in self.planes]
-        out = np.zeros(self.n, np.uint32)
-        for level, plane in enumerate(reversed(bits)):
-            back = np.empty(self.n, np.uint32)
-            zeros = self.n - int(plane.sum())
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        out = np.zeros(self.n, kind)
+        for level, row in enumerate(self.planes[::-1]):
+            plane = np.unpackbits(row.view(np.uint8), count=self.n, bitorder="little").view(bool)
+            zeros = int(self.zeros[len(self.planes) - 1 - level])
+            back = np.empty(self.n, kind)
             back[~plane] = out[:zeros]
-            back[plane] = out[zeros:]
-            out = back | (plane.astype(np.uint32) << np.uint32(level))
-        return out
+            back[plane] = out[zeros:] | kind(1 << level)
+            out = back
+        return out.astype(np.uint32)
 
     def _range(self, value: int, begin: int, end: int) -> tuple[int, int]:
         a, b = np.array([begin]), np.array([end])
@@ -210,7 +216,8 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                 crc = [zlib.crc32(values[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts + row["first_token"]), pa.array(lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    spread = manifest.repartition(F.col("part"), F.col("seq"))
+    # a file is a task's work: as many parts as files, which Spark doesn't join to fewer
+    spread = manifest.repartition(max(1, manifest.count()), F.xxhash64("part", "seq"))
     return spread.mapInArrow(of, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
