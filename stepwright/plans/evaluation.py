@@ -143,7 +143,7 @@ def policies(spark, sf_dir):
     return n.join(c, "n_nationkey").join(s, "n_nationkey").select(F.col("r_name").alias("task"), F.col("n_name").alias("policy"), "sim", "real", "n")
 
 
-@query("pearson", f"WITH {_policies}, m AS (SELECT *, sim - avg(sim) OVER (PARTITION BY task) AS a, real - avg(real) OVER (PARTITION BY task) AS b FROM p) SELECT task, round(sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b)) + 1e-8), 6) AS pearson FROM m GROUP BY 1")
+@query("pearson", f"WITH {_policies}, m AS (SELECT *, sim - avg(sim) OVER (PARTITION BY task) AS a, real - avg(real) OVER (PARTITION BY task) AS b FROM p) SELECT task, CASE WHEN max(abs(a - b)) < 1e-12 THEN 1.0 ELSE round(sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b)) + 1e-8), 6) END AS pearson FROM m GROUP BY 1")
 def pearson(spark, sf_dir):
     return rounded(M.pearson(policies(spark, sf_dir), "sim", "real", ["task"]))
 
