@@ -15,14 +15,44 @@ def dims(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> Dat
     return df.select(*keys, fields).select(*keys, "f.field", F.posexplode("f.v").alias("dim", "x"))
 
 
+def exact_percentiles(long: DataFrame, spans: DataFrame, keys: Sequence[str], shares: Sequence[float], bins: int = 4096) -> DataFrame:
+    """(keys, share, value): exact percentiles with linear interpolation, without gathering a group's values in one task.
+
+    long: keys, x; spans: keys, lo, hi, n (one row per group). Values are counted in equal bins first; only those of the bins
+    in which the asked ranks fall are counted by value and ordered, one bin at a time. What is sent to all tasks is a row per
+    group, and two per group and share: groups are the fields and dims of a mixture's datasets, a list that doesn't grow with the rows.
+    """
+    k = list(keys)
+    width = (F.col("hi") - F.col("lo")) / bins
+    place = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(bins - 1))).cast("int")
+    binned = long.select(*k, "x").join(F.broadcast(spans.select(*k, "lo", "hi")), k).select(*k, "x", place.alias("bin"))
+    counts = binned.groupBy(*k, "bin").agg(F.count(F.lit(1)).alias("c"))
+    through = counts.withColumn("end", F.sum("c").over(Window.partitionBy(*k).orderBy("bin"))).withColumn("begin", F.col("end") - F.col("c"))
+    rank = F.col("share") * (F.col("n") - 1)
+    asked = spans.select(*k, "n", F.explode(F.array(*[F.lit(float(q)) for q in shares])).alias("share"))
+    ranks = asked.select(*k, "share", (rank - F.floor(rank)).alias("part"), F.explode(F.array(F.floor(rank), F.ceil(rank))).alias("i")).distinct()
+    at = through.join(F.broadcast(ranks), k).where((F.col("i") >= F.col("begin")) & (F.col("i") < F.col("end"))).select(*k, "share", "part", "i", "bin", "begin")
+    inside = binned.join(F.broadcast(at.select(*k, "bin").distinct()), [*k, "bin"], "left_semi").groupBy(*k, "bin", "x").agg(F.count(F.lit(1)).alias("c"))
+    ordered = inside.withColumn("upto", F.sum("c").over(Window.partitionBy(*k, "bin").orderBy("x")))
+    hit = ordered.join(F.broadcast(at), [*k, "bin"]).where((F.col("i") >= F.col("begin") + F.col("upto") - F.col("c")) & (F.col("i") < F.col("begin") + F.col("upto")))
+    pairs = hit.groupBy(*k, "share", "part").agg(F.min("x").alias("a"), F.max("x").alias("b"))
+    return pairs.select(*k, "share", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("value"))
+
+
 def dataset_statistics(steps: DataFrame, columns: Sequence[str] = ("action", "proprio")) -> DataFrame:
-    """mean, population std, min, max, exact linear q01 and q99 per dataset, field and dim, with step and episode counts."""
+    """mean, population std, min, max, exact linear q01 and q99 per dataset, field and dim, with step and episode counts.
+
+    Everything is pre-aggregated before it is shuffled; quantiles come from counts per bin, so that a giant dataset's values
+    never meet in one task.
+    """
+    keys = ["dataset_name", "field", "dim"]
     long = dims(steps, columns, ["dataset_name"])
-    per_dim = long.groupBy("dataset_name", "field", "dim").agg(
-        F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), F.percentile("x", F.lit(0.01)).alias("q01"), F.percentile("x", F.lit(0.99)).alias("q99")
-    )
-    sizes = steps.groupBy("dataset_name").agg(F.count(F.lit(1)).alias("num_transitions"), F.countDistinct("episode_id").alias("num_trajectories"))
-    return per_dim.join(sizes, "dataset_name")
+    per_dim = long.groupBy(*keys).agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), F.count("x").alias("n"))
+    spans = per_dim.select(*keys, F.col("min").alias("lo"), F.col("max").alias("hi"), "n")
+    q = exact_percentiles(long, spans, keys, (0.01, 0.99)).groupBy(*keys).agg(F.max(F.when(F.col("share") < 0.5, F.col("value"))).alias("q01"), F.max(F.when(F.col("share") > 0.5, F.col("value"))).alias("q99"))
+    episodes = steps.groupBy("dataset_name", "episode_id").agg(F.count(F.lit(1)).alias("__n"))
+    sizes = episodes.groupBy("dataset_name").agg(F.sum("__n").alias("num_transitions"), F.count(F.lit(1)).alias("num_trajectories"))
+    return per_dim.drop("n").join(F.broadcast(q), keys).join(F.broadcast(sizes), "dataset_name")  # a row per dim and per dataset
 
 
 def statistics_arrays(stats: DataFrame, field: str, names: Sequence[str] = ("mean", "std", "min", "max", "q01", "q99")) -> DataFrame:
