@@ -10,9 +10,16 @@ from pyspark.sql import functions as F
 
 from .common import Numbering, small_batches, stash, table, texts_of
 
-#: 1: the token counts, 0: it is ignored. Eight or nine tokens count in each.
-SEEDS = ("1111011111", "110110110111", "1101011001111", "1011011100111")
-SHORT = "11111"  # for items of fewer tokens than the longest seed
+#: Fewest tokens of an item and its seeds; 1: the token counts, 0: it is ignored. The seeds leave out no pattern of 20 %
+#: substitutions in a whole item of 5 to 19 tokens or in 20 tokens of a longer one (enumerated in the tests).
+SEEDS = {
+    5: ("1111", "11011", "11101", "10111"),
+    10: ("1111011", "110010111", "101100111", "111111", "110101011", "1101111"),
+    15: ("11101111", "111010010011", "11011000111", "111000100010011", "11000101111", "110111101", "111000010100011"),
+}
+LEAST_TOKENS = min(SEEDS)
+LONGEST = max(len(m) for masks in SEEDS.values() for m in masks)
+RUN = 1 << 16  # tokens of neighbouring documents that are hashed at once
 FILTER_BITS = 26  # the filter of benchmark hashes is 2**26 bits (8 MB), whatever the benchmark's size
 MARGIN = 24  # tokens kept on either side of a hit
 WINDOW = 20  # tokens of an overlap
@@ -45,14 +52,18 @@ def slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h >> np.uint64(64 - FILTER_BITS), h & np.uint64((1 << FILTER_BITS) - 1)
 
 
-def _masks() -> list[str]:
-    return [*SEEDS, SHORT]
+def seeds_of(least: int) -> list[tuple[int, str]]:
+    """(number, mask) of the seeds for items of `least` tokens or more."""
+    return [(least * 16 + k, m) for k, m in enumerate(SEEDS[least])]
+
+
+def least_of(n: int) -> int:
+    """The key in SEEDS of an item of n tokens."""
+    return max(x for x in SEEDS if x <= n)
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
     """item_key, item_id, toks array<long>, seeds array<struct<h, pos>> of each benchmark row with five tokens or more."""
-    longest = max(map(len, SEEDS))
-
     def of(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import xxhash
@@ -61,13 +72,12 @@ def items_of(benchmark: DataFrame) -> DataFrame:
             rows = []
             for item, data in zip(batch.column("item_id").to_pylist(), texts_of(batch)):
                 words = tokens(data)
-                if len(words) < len(SHORT):
+                if len(words) < LEAST_TOKENS:
                     continue
                 th = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
                 seeds = []
-                for k, mask in enumerate(_masks()):
-                    if (mask == SHORT) == (len(words) < longest):
-                        seeds += [{"h": int(x), "pos": i} for i, x in enumerate(seed_hashes(th, mask, k).view(np.int64))]
+                for k, mask in seeds_of(least_of(len(words))):
+                    seeds += [{"h": int(x), "pos": i} for i, x in enumerate(seed_hashes(th, mask, k).view(np.int64))]
                 key = xxhash.xxh64_intdigest(data, seed=(item or 0) & 0xFFFFFFFFFFFFFFFF)
                 rows.append({"item_key": int(np.uint64(key).view(np.int64)), "item_id": item, "toks": th.view(np.int64).tolist(), "seeds": seeds})
             kind = pa.struct([("h", pa.int64()), ("pos", pa.int32())])
@@ -88,8 +98,8 @@ def filter_of(seeds: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def passages_near_hits(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """seg, doc_id, start, toks, hits array<struct<h, pos>>: the tokens around positions that pass the filter; whole texts are searched."""
+def passages_near_hits(docs: DataFrame, bits: np.ndarray, used: list[tuple[int, str]]) -> DataFrame:
+    """seg, doc_id, start, toks, hits array<struct<h, pos>>: the tokens around positions that pass the filter; whole texts are searched for the seeds in `used`."""
     spark = docs.sparkSession
     small_batches(spark)
     sent = spark.sparkContext.broadcast(bits)  # 2**FILTER_BITS bits
@@ -101,25 +111,40 @@ def passages_near_hits(docs: DataFrame, bits: np.ndarray) -> DataFrame:
         table_ = sent.value
         kind = pa.schema([("seg", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("toks", pa.list_(pa.int64())), ("hits", pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int32())])))])
         one = np.uint64(7)
+
+        def passing(th: np.ndarray, bounds: np.ndarray) -> list[list]:
+            """Per document, which begin at `bounds` in th, the (position, hash) pairs that pass."""
+            out = [[] for _ in bounds[1:]]
+            for k, mask in used:
+                h = seed_hashes(th, mask, k)
+                a, b = slots(h)
+                at = np.flatnonzero((table_[(a >> np.uint64(3)).astype(np.int64)] >> (a & one).astype(np.uint8)) & 1)
+                b = b[at]
+                at = at[((table_[(b >> np.uint64(3)).astype(np.int64)] >> (b & one).astype(np.uint8)) & 1).astype(bool)]
+                own = np.searchsorted(bounds, at, "right") - 1
+                inside = at + len(mask) <= bounds[own + 1]
+                for p, d, x in zip((at - bounds[own])[inside].tolist(), own[inside].tolist(), h[at[inside]].view(np.int64).tolist()):
+                    out[d].append((p, x))
+            return out
+
         for batch in batches:
             number = Numbering()
             data_of = texts_of(batch)
             texts = [np.fromiter(map(number.__getitem__, ws), np.int64, len(ws)) for ws in map(tokens, data_of)]
             hashes = number.hashes()
-            rows = []
-            for doc, ids, data in zip(batch.column("doc_id").to_pylist(), texts, data_of):
-                th = hashes[ids] if len(ids) else np.empty(0, np.uint64)
-                found = []
-                for k, mask in enumerate(_masks()):
-                    h = seed_hashes(th, mask, k)
-                    a, b = slots(h)
-                    at = np.flatnonzero((table_[(a >> np.uint64(3)).astype(np.int64)] >> (a & one).astype(np.uint8)) & 1)
-                    if len(at):
-                        b = b[at]
-                        at = at[((table_[(b >> np.uint64(3)).astype(np.int64)] >> (b & one).astype(np.uint8)) & 1).astype(bool)]
-                        found += [(int(p), int(h[p].view(np.int64))) for p in at]
+            rows, hits_of = [], []
+            while len(hits_of) < len(texts):
+                part, size = texts[len(hits_of) : len(hits_of) + 1], len(texts[len(hits_of)])
+                for ids in texts[len(hits_of) + 1 :]:
+                    if (size := size + len(ids)) > RUN:
+                        break
+                    part.append(ids)
+                ids = np.concatenate(part)
+                hits_of += passing(hashes[ids] if len(ids) else np.empty(0, np.uint64), np.cumsum([0, *map(len, part)]))
+            for doc, ids, data, found in zip(batch.column("doc_id").to_pylist(), texts, data_of, hits_of):
                 if not found:
                     continue
+                th = hashes[ids]
                 found.sort()
                 own = xxhash.xxh64_intdigest(data, seed=(doc or 0) & 0xFFFFFFFFFFFFFFFF)
                 begin, end, hits = max(0, found[0][0] - MARGIN), 0, []
@@ -133,7 +158,7 @@ def passages_near_hits(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                         rows.append(row())
                         begin, hits = p - MARGIN, []
                     hits.append((p, h))
-                    end = min(len(th), p + max(map(len, SEEDS)) + MARGIN)
+                    end = min(len(th), p + LONGEST + MARGIN)
                 rows.append(row())
             yield pa.RecordBatch.from_pylist(rows, kind)
 
@@ -179,13 +204,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
 
     A document overlaps an item if some `window` aligned tokens (the whole item if it is shorter) agree in
     `share` of the places: substitutions are tolerated. Candidates are positions at which one of the
-    spaced seeds hashes alike in both. Tokens are words without ASCII punctuation, A-Z lower-cased. Null and
-    empty texts overlap nothing, items of fewer than five tokens are not searched for. Equal rows give one row. Documents pass a
-    filter of fixed size first, so only passages around likely hits are shuffled.
+    spaced seeds for the item's length hashes alike in both; at the default window and share they miss none.
+    Tokens are words without ASCII punctuation, A-Z lower-cased. Null and empty texts overlap nothing, items
+    of fewer than five tokens are not searched for. Equal rows give one row. Documents pass a filter of fixed
+    size first, so only passages around likely hits are shuffled.
     """
     items = stash(items_of(benchmark))
     seeds = items.select("item_key", F.explode("seeds").alias("s")).select("item_key", F.col("s.h").alias("h"), F.col("s.pos").alias("at"))
-    segments = stash(passages_near_hits(docs, filter_of(seeds)))
+    least = F.greatest(*[F.when(F.size("toks") >= x, x) for x in SEEDS])
+    used = [s for row in items.select(least.alias("least")).distinct().sort("least").collect() for s in seeds_of(row["least"])]
+    segments = stash(passages_near_hits(docs, filter_of(seeds), used))
     hits = segments.select("seg", F.explode("hits").alias("s")).select("seg", F.col("s.h").alias("h"), F.col("s.pos").alias("pos"))
     lined_up = hits.join(seeds, "h").select("seg", "item_key", (F.col("pos") - F.col("at")).alias("shift")).distinct()
     texts = items.select("item_key", "item_id", F.col("toks").alias("item_toks"))

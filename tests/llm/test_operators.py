@@ -1,6 +1,7 @@
 """Each corpus operator on awkward rows, on an empty table, and against a plain version of its rule."""
 
 import collections
+import itertools
 import math
 import zlib
 
@@ -392,6 +393,27 @@ def test_substitutions_are_tolerated(spark):
     assert got.count() >= 0.9 * want
 
 
+def test_seeds_leave_out_no_pattern_of_substitutions():
+    for n in range(5, 21):
+        masks = [[i for i, c in enumerate(m) if c == "1"] for _, m in decontaminate.seeds_of(decontaminate.least_of(n))]
+        for gone in itertools.combinations(range(n), n // 5):
+            assert any(not {i + o for i in m} & set(gone) for m in masks for o in range(n - m[-1])), (n, gone)
+
+
+def test_short_items_with_every_fifth_word_changed(spark):
+    items, rows, want = [], [], set()
+    for n in (5, 9, 10, 13, 14, 15, 16, 19, 20):
+        words = text(500 + n, n).split()
+        items.append((n, " ".join(words)))
+        for k, gone in enumerate(itertools.combinations(range(n), n // 5)):
+            if k % 37 == 0 or n < 13:
+                changed = " ".join("zz" if i in gone else w for i, w in enumerate(words))
+                rows.append((n * 1000 + k, f"{text(900 + k, 30)} {changed} {text(1900 + k, 30)}"))
+                want.add((n * 1000 + k, n))
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+
+
 # ---------------------------------------------------------------- 8
 def test_shards(docs, empty):
     got = sharding.shard(docs, sharding.tree(16)).collect()
