@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -163,9 +164,22 @@ class Links:
                 self.root = nxt
 
 
-def joined_members(fps: list[bytes], groups: np.ndarray, radius: int) -> np.ndarray:
+def similar_pairs(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
+    """Of the pairs (a, b) of sorted sets, those with a common share of `share` of their union or more."""
+    out = np.zeros(len(a), bool)
+    for k, (i, j) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = sets[i], sets[j]
+        if min(len(x), len(y)) >= share * max(len(x), len(y)):
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out[k] = both >= share * (len(x) + len(y) - both)
+    return out
+
+
+def joined_members(fps: list[bytes], groups: np.ndarray, radius: int, sets: list[np.ndarray] | None = None, share: float = 0.0) -> np.ndarray:
     """The root of each member, linking members of one group within the radius. Rows of a group are neighbours.
 
+    With `sets`, pairs within the radius are linked only if their sets are similar; pairs linked already are not looked at.
+
     All members are compared with those `lag` places further at once, for each lag up to the largest
     group; blocks whose groups are shorter, or are one component already, are passed over.
     """
@@ -186,6 +200,9 @@ def joined_members(fps: list[bytes], groups: np.ndarray, radius: int) -> np.ndar
                 reach = (lag + 63) // 64 + 1
                 near = planes[:, w : w + len(part) + reach]
                 hits = positions(within(near[:, : len(part)], moved(near, lag)[:, : len(part)], part, radius)) + w * 64
+                if len(hits) and sets is not None:
+                    hits = hits[links.root[hits] != links.root[hits + lag]]
+                    hits = hits[similar_pairs(sets, hits, hits + lag, share)]
                 if len(hits):
                     links.join(hits, hits + lag)
         lag += 1
@@ -196,59 +213,88 @@ def joined_members(fps: list[bytes], groups: np.ndarray, radius: int) -> np.ndar
     return links.root
 
 
-def links_in_groups(rows: DataFrame, radius: int) -> DataFrame:
+def links_in_groups(rows: DataFrame, radius: int, sets: DataFrame | None = None, share: float = 0.0) -> DataFrame:
     """Edges (a, b) between nodes that share a key and differ in `radius` bits or fewer; per key a forest.
 
     rows: key long, node long, fp binary. Rows of a key meet in one task, sorted; complete groups are
-    compared about 8192 rows at a time.
+    compared about 8192 rows (or 32 MB of sets) at a time. With sets (fp, members binary: a sorted array of
+    uint32; fp ends in 16 bytes of digest), edges are also at least `share` similar in their members.
     """
+    names = ("key", "node", "fp") if sets is None else ("key", "node", "fp", "members")
 
     def of(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        held: list[list] = [[], [], []]
+        held: list[list] = [[] for _ in names]
+        size = 0
 
         def compared(cut: int):
-            keys, nodes, fps = (x[:cut] for x in held)
+            keys, nodes, fps, *members = (x[:cut] for x in held)
             for x in held:
                 del x[:cut]
-            root = joined_members(fps, np.array(keys, np.int64), radius)
+            arrays = [np.frombuffer(x, "<u4") for x in members[0]] if members else None
+            root = joined_members([x[:-16] for x in fps] if members else fps, np.array(keys, np.int64), radius, arrays, share)
             nodes = np.array(nodes, np.int64)
             own = root != np.arange(len(root))
             return pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[root[own]])], ["a", "b"])
 
         for batch in batches:
-            for x, name in zip(held, ("key", "node", "fp")):
+            for x, name in zip(held, names):
                 x.extend(batch.column(name).to_pylist())
-            if len(held[0]) >= 8192:
+            size += batch.nbytes
+            if len(held[0]) >= 8192 or size >= 32 << 20:
                 last = held[0][-1]
                 cut = len(held[0])
                 while cut and held[0][cut - 1] == last:
                     cut -= 1
                 if cut:
                     yield compared(cut)
+                    size = sum(map(len, held[-1]))
         if held[0]:
             yield compared(len(held[0]))
 
     # a group of one has nothing to be compared with
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col("key").alias("__key"))
-    kept = rows.join(sizes, F.col("key") == F.col("__key"), "left_semi")
-    return kept.select("key", "node", "fp").repartition("key").sortWithinPartitions("key", "node").mapInArrow(of, "a long, b long")
+    kept = rows.join(sizes, F.col("key") == F.col("__key"), "left_semi").select("key", "node", "fp")
+    if sets is not None:
+        kept = stash(kept)
+        needed = kept.select("fp").distinct()
+        kept = kept.join(sets.join(needed, "fp", "left_semi").select("fp", "members"), "fp")
+    return kept.select(*names).repartition("key").sortWithinPartitions("key", "node").mapInArrow(of, "a long, b long")
+
+
+def large_groups(rows: DataFrame, large: int) -> DataFrame:
+    """__key, __n of the groups of more than `large` rows."""
+    return stash(rows.groupBy("key").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > large).select(F.col("key").alias("__key"), "__n"))
 
 
 def split_large(rows: DataFrame, large: int = LARGE) -> DataFrame:
     """rows (key, others array<long>, node, fp) with the rows of large groups dealt anew to (key, other) groups.
 
-    Any two rows of a group that have to meet share one of `others`, so no link is lost; rows of small
-    groups pass unchanged. A group that stays large after this shares nearly all its bits or shingles,
-    becomes one component within a few lags, and is compared in full.
+    `others` has to be such that any two rows of a group that have to meet share one of them, so no link
+    is lost; rows of small groups pass unchanged. What stays large after this is compared block by block.
     """
-    hot = rows.groupBy("key").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > large).select(F.col("key").alias("__key"), F.lit(True).alias("__hot"))
-    hot = stash(hot)
+    hot = large_groups(rows, large)
     if hot.isEmpty():
         return rows.select("key", "node", "fp")
     marked = rows.join(hot, F.col("key") == F.col("__key"), "left")
-    keys = F.when(F.col("__hot"), F.transform("others", lambda x, i: F.xxhash64(F.col("key"), i, x))).otherwise(F.array("key"))
+    keys = F.when(F.col("__n").isNotNull(), F.transform("others", lambda x, i: F.xxhash64(F.col("key"), i, x))).otherwise(F.array("key"))
+    return in_blocks(marked.select(F.explode(keys).alias("key"), "node", "fp"), large)
+
+
+def in_blocks(rows: DataFrame, large: int = LARGE) -> DataFrame:
+    """rows (key, node, fp) with each large group dealt in blocks by a hash of fp: every two blocks meet under a key of their own.
+
+    No two rows of a group stay apart, and a task holds about `large` rows of it.
+    """
+    hot = large_groups(rows, large)
+    if hot.isEmpty():
+        return rows
+    marked = rows.join(hot, F.col("key") == F.col("__key"), "left")
+    count = F.ceil(F.col("__n") / (large / 2))
+    own = F.pmod(F.xxhash64("fp"), count)
+    pair = lambda j: F.xxhash64(F.col("key"), F.least(own, j), F.greatest(own, j))
+    keys = F.when(F.col("__n").isNotNull(), F.transform(F.sequence(F.lit(0).cast("long"), count - 1), pair)).otherwise(F.array("key"))
     return marked.select(F.explode(keys).alias("key"), "node", "fp")
 
 
@@ -312,25 +358,62 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, seed:
 
 
 # ---------------------------------------------------------------- longer fingerprints, for a similarity of word shingles
-#: 256 bits; shingle sets of Jaccard 0.8 differ in 39 bits on average (standard deviation 6), unrelated texts in 128.
-NEAR_BITS, NEAR_RADIUS, NEAR_SHINGLE, NEAR_KEYS = 256, 52, 5, 5
+#: 256 bits; shingle sets of Jaccard 0.8 differ in 39 bits on average (standard deviation 6; 48 for sets of 4 and 5), unrelated
+#: texts in 128. The radius only finds candidates: NEAR_SHARE of the shingles has to be common.
+NEAR_BITS, NEAR_RADIUS, NEAR_SHINGLE, NEAR_KEYS, NEAR_SHARE = 256, 72, 5, 5, 0.8
+
 
+def shingle_sets(docs: DataFrame, shingle: int, seed: int, bits: int, keys: int) -> DataFrame:
+    """doc_id, fp binary, keys array<long>, n int, members binary of the distinct shingles of every whole text; null is empty.
 
-def near_groups(docs: DataFrame, bits: int = NEAR_BITS, radius: int = NEAR_RADIUS, shingle: int = NEAR_SHINGLE, keys: int = NEAR_KEYS, seed: int = 42) -> DataFrame:
-    """doc_id, group_id: near copies by the distance of long SimHash fingerprints.
+    fp: the SimHash, then 16 bytes of digest of the set, so that equal fps are equal sets. members: the upper
+    halves of the hashes, sorted, as uint32; n: their number.
+    """
+    small_batches(docs.sparkSession)
 
-    The radius takes in 99 % of pairs whose five-word shingles have a similarity of 0.8 and nearly all
-    above. Only texts that share one of `keys` least shingle hashes are compared (all but 0.2**keys of such pairs);
-    groups that grow large, such as around a passage many texts share, are parted by the other keys.
+    def of(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            fps, least, sizes, members = [], [], [], []
+            for data in texts_of(batch):
+                h = np.unique(shingle_hashes(data, shingle, seed))
+                fps.append(fingerprint(h, bits) + xxhash.xxh128_digest(h.tobytes()))
+                least.append(least_hashes(h, keys))
+                half = np.unique((h >> np.uint64(32)).astype("<u4"))
+                sizes.append(len(half))
+                members.append(half.tobytes())
+            columns = [batch.column("doc_id"), pa.array(fps, pa.binary()), pa.array(least, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(members, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "keys", "n", "members"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(of, "doc_id long, fp binary, keys array<long>, n int, members binary")
+
+
+def near_groups(docs: DataFrame, bits: int = NEAR_BITS, radius: int = NEAR_RADIUS, shingle: int = NEAR_SHINGLE, keys: int = NEAR_KEYS, seed: int = 42, share: float = NEAR_SHARE, large: int = LARGE) -> DataFrame:
+    """doc_id, group_id: texts whose sets of five-word shingles have a similarity of `share` or more are linked, no others.
+
+    Repeated shingles count once. Candidates share one of `keys` least shingle hashes (all but 0.2**keys of the
+    pairs of similarity 0.8) and differ in `radius` bits or fewer (all but about 1 in 10 000). Groups that grow
+    large, such as around a passage many texts share, are parted by size, as similar sets have similar
+    sizes, and what stays large is compared block by block: neither loses a pair.
     """
-    made = stash(fingerprints(docs, shingle, seed, bits, keys))
-    nodes = stash(made.groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")).where("node IS NOT NULL"))
-    dealt = nodes.select("node", "fp", "keys", F.posexplode("keys").alias("i", "k"))
-    others = F.transform(F.filter(F.transform("keys", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda e: e["i"] != F.col("i")), lambda e: F.xxhash64(e["i"], e["x"]))
-    rows = dealt.select(F.xxhash64("i", "k").alias("key"), others.alias("others"), "node", "fp")
-    found = components(links_in_groups(split_large(rows), radius))
+    made = stash(shingle_sets(docs, shingle, seed, bits, keys))
+    nodes = stash(made.groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("n").alias("n")).where("node IS NOT NULL"))
+    dealt = nodes.select("node", "fp", "n", F.posexplode("keys").alias("i", "k"))
+    # sets of sizes a <= b meet if a >= share * b: their buckets are equal or neighbours
+    bucket = F.floor(F.log(F.greatest("n", F.lit(1))) / -math.log(share) * (1 - 1e-9)) if share < 1 else F.col("n")
+    rows = stash(dealt.select(F.xxhash64("i", "k").alias("key"), bucket.cast("long").alias("bucket"), "node", "fp"))
+    hot = large_groups(rows, large)
+    if hot.isEmpty():
+        rows = rows.select("key", "node", "fp")
+    else:
+        sized = F.transform(F.array(F.col("bucket"), F.col("bucket") + 1), lambda x: F.xxhash64(F.col("key"), x))
+        marked = rows.join(hot, F.col("key") == F.col("__key"), "left")
+        rows = in_blocks(marked.select(F.explode(F.when(F.col("__n").isNotNull(), sized).otherwise(F.array("key"))).alias("key"), "node", "fp"), large)
+    sets = made.join(nodes.select("node", F.col("fp").alias("__fp")), (F.col("fp") == F.col("__fp")) & (F.col("doc_id") == F.col("node"))).select("fp", "members")
+    found = components(links_in_groups(rows, radius, sets.dropDuplicates(["fp"]), share))
     labelled = nodes.join(found.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select(F.col("fp").alias("__fp"), F.coalesce("component", "node").alias("group_id"))
-    return made.join(labelled, F.col("fp") == F.col("__fp"), "left").select("doc_id", "group_id")
+    return made.select("doc_id", "fp").join(labelled, F.col("fp") == F.col("__fp"), "left").select("doc_id", "group_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

@@ -167,6 +167,43 @@ def test_near_copies_of_five_word_shingles(spark):
     assert sorted(r["doc_id"] for r in simhash.drop_near_copies(df).collect()) == [3, 6, 7]
 
 
+def five_word_sets(rows):
+    sets = {}
+    for i, t in rows:
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    return sets
+
+
+def linked_by_brute_force(rows):
+    sets = five_word_sets(rows)
+    group = {i: i for i in sets}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and group[a] != group[b]:
+            low, high = sorted((group[a], group[b]))
+            group = {i: low if g == high else g for i, g in group.items()}
+    return group
+
+
+def test_near_copies_count_repeated_lines_once(spark):
+    rows = []
+    for k in range(12):
+        lines = [text(3000 + k * 20 + i, 20) for i in range(10)]
+        rows += [(2 * k, "\n".join(lines)), (2 * k + 1, "\n".join([*lines, *[lines[3]] * (5 + 5 * k)]))]
+    got = dict(simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == linked_by_brute_force(rows) and got[1] == 0 and got[23] == 22
+
+
+def test_near_copies_above_and_below_the_share(spark):
+    rows = []
+    for k in range(60):
+        words = text(4000 + k, 100).split()
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[: 100 - k // 2], *text(5000 + k, k // 2).split()]))]
+    got = dict(simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == linked_by_brute_force(rows)
+    assert 10 < sum(i != g for i, g in got.items()) < 50
+
+
 def test_simhash_of_nothing(empty):
     assert simhash.simhash_components(empty).count() == 0 and simhash.drop_near_copies(empty).count() == 0
 
