@@ -204,6 +204,19 @@ def test_near_copies_above_and_below_the_share(spark):
     assert 10 < sum(i != g for i, g in got.items()) < 50
 
 
+def test_large_groups_lose_no_pair(spark):
+    passage = text(6000, 40)
+    rows = [(i, f"{passage} {text(6100 + i // 2, 110 + i // 2)}" + (f" {text(6900 + i, 10)}" if i % 2 else "")) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = linked_by_brute_force(rows)
+    assert sum(i != g for i, g in want.items()) == 40
+    assert dict(simhash.near_groups(df, large=8).collect()) == want == dict(simhash.near_groups(df).collect())
+    pairs = spark.createDataFrame([(1, i, bytes([i])) for i in range(50)], "key long, node long, fp binary")
+    dealt = simhash.in_blocks(pairs, 8).groupBy("key").agg(F.collect_list("node").alias("x")).collect()
+    assert {(a, b) for r in dealt for a in r["x"] for b in r["x"] if a < b} == set(itertools.combinations(range(50), 2))
+    assert max(len(r["x"]) for r in dealt) < 25
+
+
 def test_simhash_of_nothing(empty):
     assert simhash.simhash_components(empty).count() == 0 and simhash.drop_near_copies(empty).count() == 0
 
