@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, table, texts_of
+from .common import small_batches, stash, table, texts_of
 
-SAMPLE = 20_000  # labelled rows that are fitted at most: the bound of what reaches the driver, a few MB
+SAMPLE = 20_000  # positive and unlabelled rows that are fitted at most, of each: the bound of what reaches the driver, a few MB
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 5, 0
 #: Bytes whose shares are features of their own; the rest fall in classes.
@@ -109,23 +109,42 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: i
     return Model(mean, scale, w, prior)
 
 
+def share_of_positives(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1) -> float:
+    """The class prior: what share of the unlabelled text scores like the positives.
+
+    A model is fitted to tell positives from unlabelled text. Above any score there are at least prior times
+    as many of the unlabelled as of the positives, so the prior is their ratio at the score where its upper
+    confidence bound is least (best bin estimation, Garg et al. 2021). No negative label is read.
+    """
+    told = fit_pu(positive, np.concatenate([positive, unlabelled]), len(positive) / (len(positive) + len(unlabelled)), rounds=500)
+    p, u = np.sort(told.score(positive)), np.sort(told.score(unlabelled))
+    above_p = 1 - np.arange(len(p)) / len(p)
+    above_u = 1 - np.searchsorted(u, p, "left") / len(u)
+    slack = np.sqrt(np.log(4 / delta) / 2 / len(u)) + np.sqrt(np.log(4 / delta) / 2 / len(p))
+    at = int(((above_u + slack) / above_p).argmin())
+    return min(max(float(above_u[at] / above_p[at]), 0.02), 0.98)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on labelled rows outside the held-out fold, `sample` of them at most, in hash order.
+    """Fit on rows outside the held-out fold: trusted positives and unlabelled text, `sample` of each at most, in hash order.
 
-    Trusted positives are rows of quality 1. The unlabelled text is all sampled rows with their labels
-    hidden; the class prior is estimated as the share of positives among them. Rows without a label,
-    null ids and labels other than 0 and 1 are not fitted. Without positives every score is 1.
+    Trusted positives are rows of quality 1. The unlabelled text is a hash sample of all rows, whatever
+    their label; the class prior is estimated from scores on it. Negative labels are not read, null ids are
+    not fitted. Without positives every score is 1.
     """
-    known = labels.where("quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("__quality")).select(F.col("doc_id").alias("__id"), "__quality")
-    narrow = featured(docs.where(~held_out(F.col("doc_id"))), ["doc_id"])
-    rows = narrow.join(known, F.col("doc_id") == F.col("__id"))
-    got = rows.select("features", "__quality", F.xxhash64("doc_id").alias("__order")).orderBy("__order").limit(sample).toPandas()
-    if not len(got) or not got["__quality"].any():
+    positives = labels.where("quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("__quality")).where("__quality = 1").select(F.col("doc_id").alias("__good_id"))
+    order = F.xxhash64(F.col("doc_id").cast("long"))
+    ids = docs.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("__id"), order.alias("__order")).distinct()
+    unlabelled = ids.orderBy("__order").limit(sample).select("*", F.lit(False).alias("__good"))
+    good = ids.join(positives, F.col("__id") == F.col("__good_id"), "left_semi").orderBy("__order").limit(sample).select("*", F.lit(True).alias("__good"))
+    chosen = stash(unlabelled.union(good))
+    narrow = featured(docs.join(chosen.select("__id").distinct(), F.col("doc_id") == F.col("__id"), "left_semi"), ["doc_id"])
+    rows = narrow.join(chosen, F.col("doc_id") == F.col("__id"))
+    got = rows.select("features", "__good", "__order").orderBy("__order", "features", "__good").limit(2 * sample).toPandas()
+    if not len(got) or not got["__good"].any():
         return Model(np.zeros(len(NAMES)), np.ones(len(NAMES)), np.r_[np.zeros(len(NAMES)), 40.0], 1.0)
-    x = np.stack(got["features"].to_numpy()).astype(np.float64)
-    good = got["__quality"].to_numpy() == 1
-    prior = min(max(float(good.mean()), 0.02), 0.98)
-    return fit_pu(x[good], x, prior)
+    x, known = np.stack(got["features"].to_numpy()).astype(np.float64), got["__good"].to_numpy(bool)
+    return fit_pu(x[known], x[~known], share_of_positives(x[known], x[~known]))
 
 
 def scores(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:

@@ -340,6 +340,19 @@ def test_risk_estimator_finds_the_negatives():
     assert s[:700].mean() > 0.95 and s[700:].mean() < 0.1
 
 
+def test_prior_is_estimated_from_unlabelled_rows():
+    r = np.random.default_rng(4)
+    for share in (0.3, 0.7):
+        u = np.concatenate([r.normal(1, 1, (round(4000 * share), 2)), r.normal(-3, 1, (4000 - round(4000 * share), 2))])
+        assert abs(quality.share_of_positives(r.normal(1, 1, (1000, 2)), u) - share) < 0.06
+
+
+def test_negative_labels_are_not_read(spark):
+    d, l = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    a, b = quality.fit(d, l), quality.fit(d, l.where("quality = 1"))
+    assert a.prior == b.prior and np.array_equal(a.weights, b.weights)
+
+
 # ---------------------------------------------------------------- 5
 def plain_line_dedup(rows, least):
     lines = [(d, i, x) for d, t in rows for i, x in enumerate(t.split("\n"))]
