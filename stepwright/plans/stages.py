@@ -202,12 +202,15 @@ def batched_encode(spark, sf_dir):
 
 # ---------------------------------------------------------------- streams over step files
 def streamed(spark, sf_dir, value, kind):
-    """Steps written in four files of growing t and read as a stream of one file a time."""
+    """Steps written in parts of 25 growing t and read as a stream of one file a time; an episode's steps of a part are in one file."""
     path = scratch(spark)
+    staged = f"{path}-steps"
     steps = event_steps(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("t") * 60))
     rows = steps.select("episode_id", "t", "ts", value.alias("value"), F.floor(F.col("t") / 25).alias("part"))
-    for i in range(4):
-        rows.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(path)
+    rows.write.parquet(staged)
+    rows = spark.read.parquet(staged)
+    for i in range((rows.agg(F.max("part")).first()[0] or 0) + 1):
+        rows.where(F.col("part") == i).drop("part").repartition("episode_id").write.mode("append").parquet(path)
     return live.step_stream(spark, path, f"episode_id long, t int, ts timestamp, value {kind}"), f"{path}-checkpoint", f"{path}-out"
 
 
