@@ -1,5 +1,8 @@
 """Queries that have to take all rows: long episodes in streams, whole texts, every alphabet, all steps."""
 
+import re
+from difflib import SequenceMatcher
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,3 +22,19 @@ def test_streams_keep_steps_of_long_episodes(spark, tmp_path, name):
     got = QUERIES[name](spark, str(tmp_path)).toPandas()
     assert len(got) == 700 and got["t"].max() >= 100
     same_rows(got, con.execute(ORACLES[name]).df())
+
+
+@pytest.fixture
+def documents(spark, tmp_path):
+    rows = [(1, "a", "Ärger im Büro\n" + "x y " * 120 + "end\nÄrger im Büro!\närger, im büro\n2 cups-of tea"), (2, "b", "one " * 90 + "\n" + "one " * 89 + "two\ncafé 3\nCafé 3."), (3, "b", "2 Cups-of tea\nplain words\nPlain words!")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path), [(d, i, t.split("\n")[0], x) for d, _, t in rows for i, x in enumerate(t.split("\n")) if i]
+
+
+def test_text_similarity_of_whole_texts(spark, documents):
+    folder, lines = documents
+    want = {}
+    for d, i, a, b in lines:
+        x, y = sorted((a.strip(" ").lower(), b.strip(" ").lower()))
+        want[d, i] = round(SequenceMatcher(None, x, y).ratio(), 6)
+    assert {(r["doc_id"], r["pos"]): r["similarity"] for r in QUERIES["text_similarity"](spark, folder).collect()} == want
