@@ -166,6 +166,13 @@ def alternate_sets(spark, sf_dir):
     return V.alternate_sets(plain, X.key_b(F.col("rephrase")), "rephrase").select("key", F.size("alternates").cast("long").alias("n"), F.col("alternates")[0].alias("first"))
 
 
+@query("alternate_sets_all")
+def alternate_sets_all(spark, sf_dir):
+    """alternate_sets over all rephrases, whatever their letters and marks; the SQL of alternate_sets takes plain ones only."""
+    sets = V.alternate_sets(rephrases(spark, sf_dir), X.key_b(F.col("rephrase")), "rephrase")
+    return sets.select("key", F.size("alternates").cast("long").alias("n"), F.col("alternates")[0].alias("first"))
+
+
 @query("valid_samples", f"WITH {LINE_STEPS} SELECT episode_id, t FROM steps WHERE text <> 'N' AND NOT (n % 3 = 0) AND l_partkey % 2 = 0")
 def valid_samples(spark, sf_dir):
     """Instructions of N are missing, histories of odd parts too, and windows of episodes of length 3, 6, .. are short."""

@@ -38,3 +38,12 @@ def test_text_similarity_of_whole_texts(spark, documents):
         x, y = sorted((a.strip(" ").lower(), b.strip(" ").lower()))
         want[d, i] = round(SequenceMatcher(None, x, y).ratio(), 6)
     assert {(r["doc_id"], r["pos"]): r["similarity"] for r in QUERIES["text_similarity"](spark, folder).collect()} == want
+
+
+def test_alternates_of_every_alphabet(spark, documents):
+    folder, lines = documents
+    sets = {}
+    for *_, x in lines:
+        sets.setdefault(re.sub(r"\s+", " ", re.sub(r"[^\w\s]", "", x.lower())).strip(), set()).add(x)
+    got = {r["key"]: (r["n"], r["first"]) for r in QUERIES["alternate_sets_all"](spark, folder).collect()}
+    assert got == {k: (len(v), min(v)) for k, v in sets.items() if k} and len(got) == 6
