@@ -65,6 +65,13 @@ def norm_stats_job(spark, sf_dir):
     return stats.running_statistics(steps, "v").withColumns({c: F.round(c, 6) for c in ("mean", "std")})
 
 
+@query("norm_stats_all", f"WITH {LINE_STEPS} SELECT CAST(0 AS INT) AS dim, count(*) AS n, round(avg(a0), 6) AS mean, round(sqrt(greatest(0, avg(a0 * a0) - avg(a0) * avg(a0))), 6) AS std FROM steps")
+def norm_stats_all(spark, sf_dir):
+    """norm_stats_job over all steps."""
+    steps = line_steps(spark, sf_dir).select(F.array(F.col("action")[0]).alias("v"))
+    return stats.running_statistics(steps, "v").withColumns({c: F.round(c, 6) for c in ("mean", "std")})
+
+
 def normalized(spark, sf_dir, f, field="action"):
     steps = event_steps(spark, sf_dir, by_type=True)
     arrays = stats.statistics_arrays(stats.dataset_statistics(steps), field)

@@ -47,3 +47,7 @@ def test_alternates_of_every_alphabet(spark, documents):
         sets.setdefault(re.sub(r"\s+", " ", re.sub(r"[^\w\s]", "", x.lower())).strip(), set()).add(x)
     got = {r["key"]: (r["n"], r["first"]) for r in QUERIES["alternate_sets_all"](spark, folder).collect()}
     assert got == {k: (len(v), min(v)) for k, v in sets.items() if k} and len(got) == 6
+
+
+def test_statistics_of_all_steps(spark):
+    assert QUERIES["norm_stats_all"](spark, SF).first()["n"] == spark.read.parquet(f"{SF}/lineitem.parquet").count()
