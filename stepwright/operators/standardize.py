@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrays import pad_to
+from ..functions.rotations import quaternion_to_euler, wrist_frame
 from . import windows as W
 
 Transform = Callable[[DataFrame], DataFrame]
@@ -23,7 +24,8 @@ class Part:
     """Elements begin to end (Python slice rules) of a raw column, or zeros, changed by `how`.
 
     how: "" as it is, "clip" to [0, 1], "invert" 1 - x, "invert_clip" 1 - clip(x), "binarize" and "absolute" the
-    gripper rules that look along the episode, "zeros" and "ones" constants of width `end`.
+    gripper rules that look along the episode, "euler" a quaternion (x, y, z, w) to roll, pitch and yaw, "zeros"
+    and "ones" constants of width `end`.
     """
 
     column: str = "action"
@@ -45,6 +47,8 @@ def part(p: Part) -> Column:
     v = cut(F.col(p.column), p.begin, p.end)
     if "clip" in p.how:
         v = F.transform(v, lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
+    if p.how == "euler":
+        v = quaternion_to_euler(v)
     if p.how.startswith("invert"):
         v = F.transform(v, lambda x: F.lit(1.0) - x)
     return v
@@ -59,7 +63,19 @@ class Recipe:
     text: str = "language_instruction"
     drop_first: bool = False
     relabel: int = 0  # leading state dims whose reached change replaces the action's
-    extra: tuple[Transform, ...] = field(default=())
+    before: tuple[Transform, ...] = field(default=())  # on the raw steps
+    extra: tuple[Transform, ...] = field(default=())  # on the standard ones
+
+
+def _inflated(*columns: str) -> Transform:
+    """ZLIB blobs of 32-bit floats as arrays of doubles."""
+    from .stages import unpacked_floats
+
+    return lambda df: reduce(lambda d, c: unpacked_floats(d, c, c).withColumn(c, F.col(c).cast("array<double>")), columns, df)
+
+
+def _in_wrist_frame(velocity: str, pose: str) -> Transform:
+    return lambda df: df.withColumn("wrist_velocity", wrist_frame(F.col(velocity), F.col(pose)))
 
 
 def _wv(g: Part) -> tuple[Part, ...]:
@@ -74,11 +90,11 @@ _clip_inv = (Part(end=6), Part(begin=-1, how="invert_clip"))
 RECIPES: dict[str, Recipe] = {
     "bridge_oxe": Recipe(_wv(Part("open_gripper")), (Part(_S, 0, 6), Part(_S, -1)), _NL, True, 6),
     "bridge_orig": Recipe((Part(end=6), Part(begin=-1, how="binarize")), (Part(_S, 0, 6), Part(_S, -1)), drop_first=True, relabel=6),
-    "ppgm": Recipe((Part(end=6), Part(begin=-1, how="binarize")), (Part("cartesian_position"), Part("gripper_position"))),
+    "ppgm": Recipe((Part(end=6), Part(begin=-1, how="binarize")), (Part("cartesian_position", 0, 6), Part("gripper_position", -1))),
     "rt1": Recipe(_wv(Part("gripper_closedness_action", how="absolute")), (), _NL),
-    "kuka": Recipe(_wv(Part("gripper_closedness_action", how="absolute")), (), _NL),
+    "kuka": Recipe(_wv(Part("gripper_closedness_action", how="absolute")), (Part("base_pose_tool_reached"), Part("gripper_closed")), _NL, before=(_inflated("base_pose_tool_reached", "gripper_closed"),)),
     "taco_play": Recipe((Part("rel_actions_world", 0, 6), Part("rel_actions_world", -1, how="clip")), (Part("robot_obs", 0, 6), Part("robot_obs", 7, 8)), _NL),
-    "jaco_play": Recipe((Part("world_vector"), Part(end=3, how="zeros"), Part("gripper_closedness_action", how="absolute")), (), _NL),
+    "jaco_play": Recipe((Part("world_vector"), Part(end=3, how="zeros"), Part("gripper_closedness_action", how="absolute")), (Part("end_effector_cartesian_pos", 0, 6), Part("end_effector_cartesian_pos", -1)), _NL),
     "berkeley_cable_routing": Recipe(_wv(Part(end=1, how="zeros")), (), _NL),
     "roboturk": Recipe(_wv(Part("gripper_closedness_action", how="invert_clip")), (), _NL),
     "nyu_door_opening": Recipe(_wv(Part("gripper_closedness_action", how="absolute")), (), _NL),
@@ -93,13 +109,13 @@ RECIPES: dict[str, Recipe] = {
     "austin_buds": Recipe(_clip_inv, (Part(_S, 0, 8),)),
     "nyu_franka_play": Recipe((Part(begin=-8, end=-2), Part(begin=-2, end=-1, how="clip")), (Part(_S, -6),)),
     "maniskill": Recipe(proprio=(Part(_S, 7, 8),)),
-    "furniture_bench": Recipe((Part(end=3), Part("action_euler"), Part(begin=-1, how="invert_clip")), (Part(_S, 0, 7), Part(_S, -1))),
+    "furniture_bench": Recipe((Part(end=3), Part(begin=3, end=7, how="euler"), Part(begin=-1, how="invert_clip")), (Part(_S, 0, 7), Part(_S, -1))),
     "cmu_franka_exploration": Recipe((Part(end=-1),)),
     "ucsd_kitchen": Recipe((Part(end=-1),), (Part(_S, 0, 7),)),
     "ucsd_pick_place": Recipe((Part(end=3), Part(end=3, how="zeros"), Part(begin=-1)), (Part(_S, 0, 6), Part(_S, -1))),
     "austin_sailor": Recipe(_clip_inv),
     "austin_sirius": Recipe(_clip_inv),
-    "bc_z": Recipe((Part("future_xyz", 0, 3), Part("future_axis_angle", 0, 3), Part("target_close", how="invert")), (), _NL),
+    "bc_z": Recipe((Part("future_xyz", 0, 3), Part("future_axis_angle", 0, 3), Part("target_close", 0, 1, "invert")), (), _NL),
     "tokyo_pr2_opening_fridge": Recipe((Part(end=-1),), (Part(_S, 0, 6), Part(_S, -1))),
     "tokyo_pr2_tabletop": Recipe((Part(end=-1),), (Part(_S, 0, 6), Part(_S, -1))),
     "utokyo_xarm_pick_place": Recipe(),
@@ -107,7 +123,7 @@ RECIPES: dict[str, Recipe] = {
     "robo_net": Recipe((Part(end=4), Part(end=2, how="zeros"), Part(begin=-1)), (Part(_S, 0, 4), Part(end=2, how="zeros"), Part(_S, -1))),
     "berkeley_mvp": Recipe(),
     "berkeley_rpt": Recipe(),
-    "kaist_nonprehensible": Recipe((Part(), Part(end=1, how="zeros")), (Part(_S, -7),)),
+    "kaist_nonprehensible": Recipe((Part(end=6), Part(end=1, how="zeros")), (Part(_S, -7),)),
     "stanford_mask_vit": Recipe((Part(end=4), Part(end=2, how="zeros"), Part(begin=-1)), (Part("end_effector_pose", 0, 4), Part(end=2, how="zeros"), Part("end_effector_pose", -1))),
     "tokyo_lsmo": Recipe(proprio=(Part(_S, 0, 6), Part(_S, -1))),
     "dlr_sara_pour": Recipe(),
@@ -116,38 +132,102 @@ RECIPES: dict[str, Recipe] = {
     "asu_table_top": Recipe(proprio=(Part("ground_truth_states"), Part(_S, -1))),
     "robocook": Recipe(proprio=(Part(_S, 0, 6), Part(_S, -1))),
     "imperial_wristcam": Recipe((Part(end=-1),)),
-    "iamlab_pick_insert": Recipe((Part(end=3), Part("action_euler"), Part(begin=7, end=8)), (Part(_S, 0, 7), Part(_S, 7, 8))),
+    "iamlab_pick_insert": Recipe((Part(end=3), Part(begin=3, end=7, how="euler"), Part(begin=7, end=8)), (Part(_S, 0, 7), Part(_S, 7, 8))),
     "uiuc_d3field": Recipe((Part(), Part(end=3, how="zeros"), Part(end=1, how="zeros"))),
     "utaustin_mutex": Recipe(_clip_inv, (Part(_S, 0, 8),)),
     "berkeley_fanuc": Recipe((Part(), Part(_S, 6, 7, how="invert")), (Part(_S, 0, 6), Part(_S, 6, 7))),
-    "cmu_playing_with_food": Recipe((Part(end=3), Part("action_euler"), Part(begin=-1))),
+    "cmu_playing_with_food": Recipe((Part(end=3), Part(begin=3, end=7, how="euler"), Part(begin=-1))),
     "playfusion": Recipe((Part(end=3), Part(begin=-4))),
     "cmu_stretch": Recipe((Part(end=-1),), (Part(_S, 0, 3), Part(end=3, how="zeros"), Part(_S, -1))),
     "gnm": Recipe((Part(), Part(end=4, how="zeros"), Part(end=1, how="zeros")), (Part("position"), Part(end=3, how="zeros"), Part("yaw"))),
     "fmb": Recipe(proprio=(Part("eef_pose"), Part("state_gripper_pose"))),
     "dobbe": Recipe(proprio=(Part(_S),)),
-    "roboset": Recipe((Part(end=7), Part(begin=-1, how="invert_clip"))),
-    "rh20t": Recipe((Part("tcp_base"), Part("gripper"))),
-    "tdroid": Recipe((Part(end=6), Part(begin=-1, how="binarize")), (Part("cartesian_position"), Part("gripper_position"))),
+    "roboset": Recipe((Part(end=7), Part(begin=-1, how="invert_clip")), (Part(_S),)),
+    "rh20t": Recipe((Part("tcp_base"), Part("gripper")), (Part("state_tcp_base"), Part("gripper_width"))),
+    "tdroid": Recipe((Part(end=6), Part(begin=-1, how="binarize")), (Part("cartesian_position", 0, 6), Part("gripper_position", -1))),
     "libero": Recipe(_clip_inv, (Part(_S, 0, 6), Part(_S, -2))),
     "droid_baseact": Recipe((Part("cartesian_velocity"), Part("gripper_position", how="invert")), (Part("state_cartesian"), Part("state_gripper"))),
+    "droid_wristact": Recipe((Part("wrist_velocity"), Part("gripper_position")), (Part("state_cartesian"), Part("state_gripper")), before=(_in_wrist_frame("cartesian_velocity", "state_cartesian"),)),
     "droid_finetuning": Recipe((Part("cartesian_velocity"), Part("gripper_position", how="invert")), (Part("state_cartesian"), Part("state_gripper"))),
     "aloha": Recipe(),
 }
 
+_CONVERTED = "_converted_externally_to_rlds"
+#: Names under which datasets are published, where they are not their recipe's.
+ALIASES: dict[str, str] = {
+    "bridge_dataset": "bridge_orig",
+    "ppgm_static": "ppgm",
+    "ppgm_wrist": "ppgm",
+    "fractal20220817_data": "rt1",
+    "nyu_door_opening_surprising_effectiveness": "nyu_door_opening",
+    "columbia_cairlab_pusht_real": "pusht",
+    f"stanford_kuka_multimodal_dataset{_CONVERTED}": "stanford_kuka_multimodal",
+    f"nyu_rot_dataset{_CONVERTED}": "nyu_rot",
+    f"stanford_hydra_dataset{_CONVERTED}": "stanford_hydra",
+    f"austin_buds_dataset{_CONVERTED}": "austin_buds",
+    f"nyu_franka_play_dataset{_CONVERTED}": "nyu_franka_play",
+    f"maniskill_dataset{_CONVERTED}": "maniskill",
+    f"furniture_bench_dataset{_CONVERTED}": "furniture_bench",
+    f"cmu_franka_exploration_dataset{_CONVERTED}": "cmu_franka_exploration",
+    f"ucsd_kitchen_dataset{_CONVERTED}": "ucsd_kitchen",
+    f"ucsd_pick_and_place_dataset{_CONVERTED}": "ucsd_pick_place",
+    f"austin_sailor_dataset{_CONVERTED}": "austin_sailor",
+    f"austin_sirius_dataset{_CONVERTED}": "austin_sirius",
+    f"utokyo_pr2_opening_fridge{_CONVERTED}": "tokyo_pr2_opening_fridge",
+    f"utokyo_pr2_tabletop_manipulation{_CONVERTED}": "tokyo_pr2_tabletop",
+    f"utokyo_xarm_pick_and_place{_CONVERTED}": "utokyo_xarm_pick_place",
+    f"utokyo_xarm_bimanual{_CONVERTED}": "utokyo_xarm_bimanual",
+    f"berkeley_mvp{_CONVERTED}": "berkeley_mvp",
+    f"berkeley_rpt{_CONVERTED}": "berkeley_rpt",
+    f"kaist_nonprehensile{_CONVERTED}": "kaist_nonprehensible",
+    f"stanford_mask_vit{_CONVERTED}": "stanford_mask_vit",
+    f"tokyo_u_lsmo{_CONVERTED}": "tokyo_lsmo",
+    f"dlr_sara_pour{_CONVERTED}": "dlr_sara_pour",
+    f"dlr_sara_grid_clamp{_CONVERTED}": "dlr_sara_grid_clamp",
+    f"dlr_edan_shared_control{_CONVERTED}": "dlr_edan_shared_control",
+    f"asu_table_top{_CONVERTED}": "asu_table_top",
+    f"stanford_robocook{_CONVERTED}": "robocook",
+    "imperialcollege_sawyer_wrist_cam": "imperial_wristcam",
+    f"iamlab_cmu_pickup_insert{_CONVERTED}": "iamlab_pick_insert",
+    "berkeley_fanuc_manipulation": "berkeley_fanuc",
+    "cmu_play_fusion": "playfusion",
+    "berkeley_gnm_recon": "gnm",
+    "berkeley_gnm_cory_hall": "gnm",
+    "berkeley_gnm_sac_son": "gnm",
+    "droid": "droid_baseact",
+    "fmb_dataset": "fmb",
+    "droid_wipe": "droid_finetuning",
+    "libero_spatial_no_noops": "libero",
+    "libero_object_no_noops": "libero",
+    "libero_goal_no_noops": "libero",
+    "libero_10_no_noops": "libero",
+    "libero_4_task_suites_no_noops": "libero",
+}
+
+
+def recipe_of(name: str) -> Recipe:
+    """The recipe of a dataset by its own or a published name; tdroid_ and aloha1_ datasets share one each."""
+    key = ALIASES.get(name, name)
+    for family in ("tdroid", "aloha"):
+        if key not in RECIPES and key.startswith((f"{family}_", f"{family}1_")):
+            key = family
+    if key not in RECIPES:
+        raise KeyError(f"no recipe for dataset {name}")
+    return RECIPES[key]
+
 
 def standardize(steps: DataFrame, name: str) -> DataFrame:
     """Standard steps of a dataset's raw ones (dataset_name, episode_id, t, n and the recipe's columns).
 
     Everything is a projection; only gripper rules and relabelling look along the episode, all over one window.
     """
-    r = RECIPES[name]
-    out = W.drop_first(steps) if r.drop_first else steps
+    r = recipe_of(name)
+    out = reduce(lambda d, f: d.transform(f), r.before, W.drop_first(steps) if r.drop_first else steps)
     for i, p in enumerate(r.action):
         if p.how in ("binarize", "absolute"):
             rule = W.binarize_gripper if p.how == "binarize" else W.relative_to_absolute_gripper
             out = rule(out, cut(F.col(p.column), p.begin, p.end)[0], f"__grip{i}")
-    made = [F.array(F.col(f"__grip{i}")) if p.how in ("binarize", "absolute") else part(p) for i, p in enumerate(r.action)]
+    made = [F.array(F.col(f"__grip{i}").cast("double")) if p.how in ("binarize", "absolute") else part(p) for i, p in enumerate(r.action)]
     state = F.concat(*[part(p) for p in r.proprio]) if r.proprio else F.array(F.lit(0.0))
     keep = [c for c in out.columns if c not in ("action", "proprio", "language_instruction") and not c.startswith("__grip")]
     text = F.col(r.text) if r.text in out.columns else F.lit("")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evaluation, language, mixture, numeric, sequence, stages, verifier  # noqa: F401
+from . import evaluation, language, mixture, numeric, recipes, sequence, stages, verifier  # noqa: F401
 from .base import ORACLES, QUERIES, Query
 
 
