@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import rotations
 from ..operators import standardize as S
 from ..operators import stages as G
 
@@ -13,6 +17,7 @@ from ..sources.steps import EVENT_STEPS, LINE_STEPS, embedding_steps, event_step
 from ..sources.storage import scratch, swap, written
 from ..streaming import live
 from .base import query
+from .recipes import wrist_sql
 
 ID = ["episode_id", "t"]
 
@@ -63,17 +68,6 @@ def std_language_table(spark, sf_dir):
     return s.select(*ID, F.col("language_instruction").alias("text"), F.size("action").alias("n_action"), F.round(F.col("action")[0], 6).alias("a0"), F.col("action")[2].alias("a2"), F.col("action")[6].alias("a6"))
 
 
-@query("std_furniture_bench", f"""
-WITH {RAW}, q AS (SELECT *, sin(a1) AS z, cos(a1) AS w FROM steps)
-SELECT episode_id, t, CAST(7 AS INT) AS n_action, CAST(8 AS INT) AS n_proprio, round(a0, 6) AS a0, round(atan2(2 * w * z, 1 - 2 * z * z), 6) AS a5, round(1 - greatest(0, least(1, a1)), 6) AS a6, round(a0 * 2, 6) AS p0, round(a1 / 2, 6) AS p7 FROM q
-""")
-def std_furniture_bench(spark, sf_dir):
-    from ..functions.rotations import quaternion_to_euler
-
-    q = F.array(F.lit(0.0), F.lit(0.0), F.sin(F.col("action")[6]), F.cos(F.col("action")[6]))
-    return out(S.standardize(raw(spark, sf_dir).withColumn("action_euler", quaternion_to_euler(q)), "furniture_bench"), [0, 5, 6], [0, 7])
-
-
 @query("std_libero", f"WITH {RAW} SELECT episode_id, t, CAST(7 AS INT) AS n_action, CAST(8 AS INT) AS n_proprio, round(a0, 6) AS a0, round(1 - greatest(0, least(1, a1)), 6) AS a6, round(a0 * 2, 6) AS p0, round(a0 * 2 + 5, 6) AS p6, round(a1 / 2, 6) AS p7 FROM steps")
 def std_libero(spark, sf_dir):
     return out(S.standardize(raw(spark, sf_dir), "libero"), [0, 6], [0, 6, 7])
@@ -85,16 +79,14 @@ def std_droid_baseact(spark, sf_dir):
     return out(S.standardize(r, "droid_baseact"), [0, 6], [0, 6])
 
 
-@query("std_recipes", f"WITH {RAW}, r AS (SELECT unnest(['cmu_franka_exploration', 'ucsd_kitchen', 'nyu_rot', 'austin_buds', 'robo_net', 'kaist_nonprehensible', 'utokyo_xarm_bimanual', 'playfusion', 'dobbe', 'dlr_edan_shared_control', 'stanford_hydra', 'maniskill', 'aloha']) AS name, unnest([6, 6, 7, 7, 7, 8, 7, 7, 7, 7, 7, 7, 7]) AS width) SELECT name, count(*) AS n, CAST(any_value(width) * count(*) AS BIGINT) AS widths FROM steps, r GROUP BY name")
-def std_recipes(spark, sf_dir):
-    """Widths of the actions that recipes without extra columns give."""
-    r = raw(spark, sf_dir)
-    names = ["cmu_franka_exploration", "ucsd_kitchen", "nyu_rot", "austin_buds", "robo_net", "kaist_nonprehensible", "utokyo_xarm_bimanual", "playfusion", "dobbe", "dlr_edan_shared_control", "stanford_hydra", "maniskill", "aloha"]
-    rows = None
-    for n in names:
-        one = S.standardize(r, n).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("action")).alias("widths")).select(F.lit(n).alias("name"), "n", "widths")
-        rows = one if rows is None else rows.union(one)
-    return rows
+@query("recipe_names", "SELECT name, n_action FROM (VALUES ('bridge_dataset', 7), ('fractal20220817_data', 7), ('tdroid_carrot_in_bowl', 7), ('aloha1_fold_shirt_30_demos', 7), ('libero_10_no_noops', 7), ('kaist_nonprehensile_converted_externally_to_rlds', 7)) r(name, n_action) WHERE (SELECT count(*) FROM events) > 0")
+def recipe_names(spark, sf_dir):
+    """Published dataset names lead to their recipes."""
+    parts = {"world_vector": F.slice("action", 1, 3), "rotation_delta": F.slice("action", 4, 3), "gripper_closedness_action": F.slice("action", 7, 1), "cartesian_position": F.col("state"), "gripper_position": F.slice("state", 7, 1)}
+    r = raw(spark, sf_dir).withColumns(parts)
+    names = ["bridge_dataset", "fractal20220817_data", "tdroid_carrot_in_bowl", "aloha1_fold_shirt_30_demos", "libero_10_no_noops", "kaist_nonprehensile_converted_externally_to_rlds"]
+    made = [S.standardize(r, n).select(F.lit(n).alias("name"), F.size("action").alias("n_action")).distinct() for n in names]
+    return reduce(DataFrame.unionByName, made)
 
 
 # ---------------------------------------------------------------- scans and sinks
@@ -144,17 +136,28 @@ def table_swap(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- Python stages
-@query("sticky_gripper")
+@query("sticky_gripper", f"""
+WITH RECURSIVE {EVENT_STEPS}, c AS (SELECT episode_id, t, coalesce(lag(a1) OVER (PARTITION BY episode_id ORDER BY t) - a1, 0) AS change FROM steps),
+r AS (
+  SELECT episode_id, t, change AS sent, (abs(change) > 0.5)::INT AS running FROM c WHERE t = 0
+  UNION ALL
+  SELECT c.episode_id, c.t, CASE WHEN r.running BETWEEN 1 AND 4 THEN r.sent ELSE c.change END, CASE WHEN r.running BETWEEN 1 AND 4 THEN r.running + 1 ELSE (abs(c.change) > 0.5)::INT END
+  FROM r JOIN c ON c.episode_id = r.episode_id AND c.t = r.t + 1)
+SELECT episode_id, t, CAST(CASE WHEN running > 0 THEN greatest(-1, least(1, sent)) ELSE 0 END AS DOUBLE) AS gripper FROM r
+""")
 def sticky_gripper(spark, sf_dir):
     return G.sticky_gripper(event_steps(spark, sf_dir), F.col("action")[1], 5).select(*ID, "gripper")
 
 
-@query("wrist_frame")
+@query("wrist_frame", f"""
+WITH {EVENT_STEPS}, v AS (SELECT episode_id, t, list_transform(range(1, 7), lambda i: a0 / (i * 50.0)) AS v, list_transform(range(1, 7), lambda i: a1 / i) AS p FROM steps),
+turned AS (SELECT *, {wrist_sql("v", "p")[0]} FROM v), made AS (SELECT episode_id, t, {wrist_sql("v", "p")[1]} AS m FROM turned)
+SELECT episode_id, t, {", ".join(f"round(m[{i + 1}], 6) AS a{i}" for i in range(9))} FROM made
+""")
 def wrist_frame(spark, sf_dir):
     six = lambda x: F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: x / (i * 50.0))
     steps = event_steps(spark, sf_dir).withColumns({"velocity": six(F.col("action")[0]), "pose": six(F.col("action")[1] * 50)})
-    rows = G.to_wrist_frame(steps, "velocity", "pose", ID)
-    return rows.select(*ID, *[F.round(F.col("action")[i], 6).alias(f"a{i}") for i in range(9)])
+    return steps.select(*ID, rotations.wrist_frame(F.col("velocity"), F.col("pose")).alias("m")).select(*ID, *[F.round(F.col("m")[i], 6).alias(f"a{i}") for i in range(9)])
 
 
 @query("zlib_vectors", "SELECT vec_id, round(embedding[1], 6) AS first, CAST(64 AS INT) AS n FROM embeddings")
@@ -173,12 +176,18 @@ def zlib_vectors(spark, sf_dir):
 
 @query("image_resize")
 def image_resize(spark, sf_dir):
-    """Bytes of page texts as small images of three channels; blank ones are padding."""
-    pages = table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 10 != 0, F.substring("html", 1, 240)).alias("s"))
-    rows = pages.select("page_id", F.lit(8).alias("height"), F.lit(10).alias("width"), F.when((F.length("s") == 240) & (F.octet_length("s") == 240), F.col("s").cast("binary")).alias("data"))
+    """The bytes of whole pages as images, 10 pixels of three channels a row, made small; every tenth is blank and so padding.
+
+    The last row of pixels is filled up with zeros. The second column holds varied and turned images, the third both side by side.
+    """
+    html = F.col("html").cast("binary")
+    height = F.ceil(F.octet_length(html) / 30)
+    full = F.concat(html, F.unhex(F.repeat(F.lit("00"), (height * 30 - F.octet_length(html)).cast("int"))))
+    rows = table(spark, sf_dir, "pages").select("page_id", height.alias("height"), F.lit(10).alias("width"), F.when(F.col("page_id") % 10 != 0, full).alias("data"))
     small = G.prepared_images(rows, ["page_id"], 6, 6)
     varied = G.prepared_images(rows, ["page_id"], 6, 6, augment_seed="page_id", rotate=True).withColumnRenamed("pixels", "varied")
-    return small.join(varied, "page_id").select("page_id", F.crc32("pixels").alias("crc"), F.crc32("varied").alias("varied_crc"))
+    both = G.side_by_side(small.join(varied, "page_id"), ["pixels", "varied"], 6, "both")
+    return both.select("page_id", F.crc32("pixels").alias("crc"), F.crc32("varied").alias("varied_crc"), F.crc32("both").alias("both_crc"))
 
 
 @query("text_similarity")
@@ -241,6 +250,6 @@ def stream_success(spark, sf_dir):
     path = scratch(spark)
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("task"), F.lit(True).alias("done"), (F.col("user_id") % 3 == 0).alias("success"), (F.col("event_id") % 3).alias("part"))
     for i in range(3):
-        rows.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(path)
+        rows.where(F.col("part") == i).drop("part").write.mode("append").parquet(path)
     stream = live.step_stream(spark, path, "task string, done boolean, success boolean")
     return live.drained(live.success_counters(stream), f"counters_{uuid.uuid4().hex}", "complete", f"{path}-checkpoint")
