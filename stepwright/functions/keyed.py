@@ -5,17 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_STEP, _SEED = 2654435761, 40503
-
 
 def draw(key: Column, seed: int = 0) -> Column:
-    """[0, 1) from an integer key, by multiplication modulo 2**32: the same in any SQL engine."""
-    mixed = F.pmod(key.cast("long"), F.lit(1 << 31)) * F.lit(_STEP) + F.lit(seed * _SEED)
-    return F.pmod(mixed, F.lit(1 << 32)).cast("double") / float(1 << 32)
+    """[0, 1) from an integer key: the first 52 bits of an MD5 of seed and key, the same in any SQL engine. Seeds are independent."""
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("long").cast("string")).cast("binary")), 1, 13)
+    return F.conv(digits, 16, 10).cast("double") / float(1 << 52)
 
 
 def draw_sql(key: str, seed: int = 0) -> str:
-    return f"(CAST((({key}) % 2147483648 * {_STEP} + {seed * _SEED}) % 4294967296 AS DOUBLE) / 4294967296.0)"
+    return f"(CAST(CAST('0x' || substr(md5('{seed}:' || CAST(CAST({key} AS BIGINT) AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) / {1 << 52}.0)"
 
 
 def hash_draw(*keys: Column, seed: int = 0) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keyed import hash_draw
+from ..functions.keyed import draw
 
 
 def enriched(left: DataFrame, right: DataFrame, key: str, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -63,7 +63,7 @@ def option_index(text: Column, options: str, key: Column, seed: int = 0) -> Colu
     named = F.regexp_extract_all(text, F.lit(r"The answer is ([A-Z])\."), F.lit(1))
     letter = F.coalesce(alone, F.when(F.size(named) == 1, named[0]))
     at = F.instr(F.lit(options), letter) - 1
-    return F.when(letter.isNotNull() & (at >= 0), at).otherwise(F.floor(hash_draw(key, seed=seed) * len(options)).cast("int"))
+    return F.when(letter.isNotNull() & (at >= 0), at).otherwise(F.floor(draw(key, seed) * len(options)).cast("int"))
 
 
 def joined_answers(questions: DataFrame, systems: dict[str, DataFrame], key: str, value: str, required: bool = True) -> DataFrame:
@@ -126,21 +126,12 @@ def choice_by_mean(choices: DataFrame, group: str, index: str, logprobs: str, ba
 def choice_greedy(choices: DataFrame, group: str, index: str, logprobs: str) -> DataFrame:
     """Token by token the choices of greatest log probability stay; a choice that has ended counts with its mean.
 
-    Requests are small groups of choices: one request at a time in Python.
+    The choices of one request, a small group, are folded place by place; the first of equals is chosen.
     """
-    import pandas as pd
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(index)
-        paths = [list(p) for p in rows[logprobs]]
-        left, place = list(range(len(paths))), 0
-        longest = max(map(len, paths))
-        while len(left) > 1 and place < longest:
-            value = {i: paths[i][place] if place < len(paths[i]) else sum(paths[i]) / len(paths[i]) for i in left}
-            best = max(value.values())
-            left = [i for i in left if value[i] == best]
-            place += 1
-        return pd.DataFrame({group: [rows[group].iloc[0]], "chosen": [int(rows[index].iloc[left[0]])]})
-
-    kind = dict(choices.dtypes)[group]
-    return choices.select(group, index, logprobs).groupBy(group).applyInPandas(one, f"{group} {kind}, chosen int")
+    mean = lambda p: F.aggregate(p, F.lit(0.0), lambda s, x: s + x) / F.size(p)
+    value = lambda c, place: F.coalesce(F.get(c["path"], place), mean(c["path"]))
+    paths = choices.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(index).cast("int").alias("i"), F.col(logprobs).alias("path")))).alias("paths"))
+    places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.array_max(F.transform("paths", lambda c: F.size(c["path"]))) - 1))
+    best = lambda left, place: F.array_max(F.transform(left, lambda c: value(c, place)))
+    left = F.aggregate(places, F.col("paths"), lambda s, place: F.filter(s, lambda c: value(c, place) == best(s, place)))
+    return paths.select(group, left[0]["i"].alias("chosen"))

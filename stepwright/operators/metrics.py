@@ -197,6 +197,6 @@ def pass_at_k(samples: DataFrame, task: str, passed: str, ks: Sequence[int]) ->
 
 
 def majority_vote(answers: DataFrame, question: str, answer: str, order: str) -> DataFrame:
-    """The most frequent answer of each question, the one seen first on ties."""
+    """The most frequent answer of each question, the one seen first on ties; of answers seen at once the least."""
     counts = answers.where(F.col(answer).isNotNull()).groupBy(question, answer).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("seen"))
-    return counts.groupBy(question).agg(F.min_by(answer, F.struct(-F.col("n"), F.col("seen"))).alias("voted"))
+    return counts.groupBy(question).agg(F.min_by(answer, F.struct(-F.col("n"), F.col("seen"), F.col(answer))).alias("voted"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import dot, minus, norm
+from ..functions.keyed import draw, ranked
 
 
 def triangle_area(a: Column, b: Column, c: Column) -> Column:
@@ -79,19 +80,21 @@ def top_k_both_ways(scores: DataFrame, batch: str, ks: Sequence[int]) -> DataFra
     return placed.groupBy(batch).agg(*out)
 
 
-def negative_pool(queries: DataFrame, candidates: DataFrame, key: str, content: str, n: int, buckets: int) -> DataFrame:
-    """n keyed negatives of each query, none with its content: candidates are dealt in buckets by content hash, a query looks
-    into the bucket after its own and takes the n nearest by hash; no cross join.
+def negative_pool(queries: DataFrame, candidates: DataFrame, key: str, content: str, n: int, seed: int = 0, spare: int = 8) -> DataFrame:
+    """n keyed negatives of each query, none with its content.
 
-    Buckets hold far more candidates than n; a query whose bucket has fewer gets those there are.
+    Candidates are numbered in shuffled order. A query draws 2 * n + spare numbers, looks them up by a join, and keeps the first
+    n that are new and of other content; work grows with the queries alone. Only a query nearly all of whose draws have its own
+    content gets fewer.
     """
-    bucket = lambda shift: F.pmod(F.pmod(F.col(key).cast("long"), F.lit(buckets)) + shift, F.lit(buckets))
-    q = queries.withColumn("__b", bucket(1))
-    c = candidates.select(bucket(0).alias("__cb"), F.col(key).alias("negative"), F.col(content).alias("__content"))
-    pairs = q.join(c, (F.col("__b") == F.col("__cb")) & ~F.col(content).eqNullSafe(F.col("__content")))
-    near = F.pmod(F.col("negative") * 2654435761 + F.col(key) * 40503, F.lit(1 << 31))
-    best = F.row_number().over(Window.partitionBy(key).orderBy(near, "negative"))
-    return pairs.withColumn("__r", best).where(F.col("__r") <= n).select(key, "negative")
+    numbered = ranked(candidates.select(F.col(key).alias("negative"), F.col(content).alias("__content")), draw(F.col("negative"), seed), ["negative"], "__number")
+    total = candidates.agg(F.count(F.lit(1)).alias("__total"))
+    tries = 2 * n + spare
+    drawn = queries.select(key, content, F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("__try")).join(F.broadcast(total))  # one row
+    placed = drawn.withColumn("__at", F.floor(draw(F.col(key) * tries + F.col("__try"), seed + 1) * F.col("__total")) + 1)
+    pairs = placed.join(numbered, (F.col("__at") == F.col("__number")) & ~F.col(content).eqNullSafe(F.col("__content")))
+    first = pairs.groupBy(key, "negative").agg(F.min("__try").alias("__try"))
+    return first.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy("__try"))).where(F.col("__r") <= n).select(key, "negative")
 
 
 def cosine(a: Column, b: Column) -> Column:

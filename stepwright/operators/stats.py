@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import scratch, written
+
 
 def dims(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """(keys, field, dim, x) rows of vector columns."""
@@ -15,26 +17,38 @@ def dims(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> Dat
     return df.select(*keys, fields).select(*keys, "f.field", F.posexplode("f.v").alias("dim", "x"))
 
 
-def exact_percentiles(long: DataFrame, spans: DataFrame, keys: Sequence[str], shares: Sequence[float], bins: int = 4096) -> DataFrame:
+def exact_percentiles(long: DataFrame, spans: DataFrame, keys: Sequence[str], shares: Sequence[float], bins: int = 4096, crowded: int = 1_000_000) -> DataFrame:
     """(keys, share, value): exact percentiles with linear interpolation, without gathering a group's values in one task.
 
-    long: keys, x; spans: keys, lo, hi, n (one row per group). Values are counted in equal bins first; only those of the bins
-    in which the asked ranks fall are counted by value and ordered, one bin at a time. What is sent to all tasks is a row per
-    group, and two per group and share: groups are the fields and dims of a mixture's datasets, a list that doesn't grow with the rows.
+    long: keys, x; spans: keys, lo, hi, n (one row per group). Values are counted in equal bins of the span in which an asked
+    rank lies; the bin that holds it becomes the next span, until it has one value or at most `crowded` rows, which are then
+    counted by value and ordered. An outlier that crowds a group into one bin costs one more pass, no large task. What is joined to
+    all rows is a row per group, share and neighbour rank: dims of a mixture's datasets, sent along only if Spark finds it small.
     """
     k = list(keys)
-    width = (F.col("hi") - F.col("lo")) / bins
-    place = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(bins - 1))).cast("int")
-    binned = long.select(*k, "x").join(F.broadcast(spans.select(*k, "lo", "hi")), k).select(*k, "x", place.alias("bin"))
-    counts = binned.groupBy(*k, "bin").agg(F.count(F.lit(1)).alias("c"))
-    through = counts.withColumn("end", F.sum("c").over(Window.partitionBy(*k).orderBy("bin"))).withColumn("begin", F.col("end") - F.col("c"))
+    spark = long.sparkSession
     rank = F.col("share") * (F.col("n") - 1)
-    asked = spans.select(*k, "n", F.explode(F.array(*[F.lit(float(q)) for q in shares])).alias("share"))
-    ranks = asked.select(*k, "share", (rank - F.floor(rank)).alias("part"), F.explode(F.array(F.floor(rank), F.ceil(rank))).alias("i")).distinct()
-    at = through.join(F.broadcast(ranks), k).where((F.col("i") >= F.col("begin")) & (F.col("i") < F.col("end"))).select(*k, "share", "part", "i", "bin", "begin")
-    inside = binned.join(F.broadcast(at.select(*k, "bin").distinct()), [*k, "bin"], "left_semi").groupBy(*k, "bin", "x").agg(F.count(F.lit(1)).alias("c"))
-    ordered = inside.withColumn("upto", F.sum("c").over(Window.partitionBy(*k, "bin").orderBy("x")))
-    hit = ordered.join(F.broadcast(at), [*k, "bin"]).where((F.col("i") >= F.col("begin") + F.col("upto") - F.col("c")) & (F.col("i") < F.col("begin") + F.col("upto")))
+    asked = spans.select(*k, "lo", "hi", "n", F.explode(F.array(*[F.lit(float(q)) for q in shares])).alias("share"))
+    places = F.explode(F.array_distinct(F.array(F.floor(rank), F.ceil(rank)))).alias("i")
+    wanted = asked.select(*k, "share", (rank - F.floor(rank)).alias("part"), places, F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"), F.lit(0).cast("long").alias("below"))
+
+    def inside(rows: DataFrame) -> DataFrame:
+        return long.select(*k, "x").join(rows.select(*k, "lo", "hi").distinct(), k).where(F.col("x").between(F.col("lo"), F.col("hi")))
+
+    while True:
+        width = (F.col("hi") - F.col("lo")) / bins
+        place = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(bins - 1))).cast("int")
+        counts = inside(wanted).groupBy(*k, "lo", "hi", place.alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("least"), F.max("x").alias("most"))
+        before = F.sum("c").over(Window.partitionBy(*k, "lo", "hi").orderBy("bin")) - F.col("c")
+        found = counts.withColumn("before", before).join(wanted, [*k, "lo", "hi"])
+        found = found.where((F.col("i") >= F.col("below") + F.col("before")) & (F.col("i") < F.col("below") + F.col("before") + F.col("c")))
+        spanned = written(found.select(*k, "share", "part", "i", F.col("least").alias("lo"), F.col("most").alias("hi"), (F.col("below") + F.col("before")).alias("below"), "c"), scratch(spark))
+        wanted = spanned.drop("c")
+        if spanned.where((F.col("lo") < F.col("hi")) & (F.col("c") > crowded)).isEmpty():
+            break
+    values = inside(wanted).groupBy(*k, "lo", "hi", "x").agg(F.count(F.lit(1)).alias("m"))
+    ordered = values.withColumn("upto", F.sum("m").over(Window.partitionBy(*k, "lo", "hi").orderBy("x")))
+    hit = ordered.join(wanted, [*k, "lo", "hi"]).where((F.col("i") >= F.col("below") + F.col("upto") - F.col("m")) & (F.col("i") < F.col("below") + F.col("upto")))
     pairs = hit.groupBy(*k, "share", "part").agg(F.min("x").alias("a"), F.max("x").alias("b"))
     return pairs.select(*k, "share", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("value"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keyed import draw
 from ..functions.text import key_a
+from ..sources.storage import scratch, written
 
 
 def window_id(column: str) -> Column:
@@ -51,9 +52,16 @@ def write_normal_form(samples: DataFrame, histories: DataFrame, instructions: Da
 
 
 def numbered_by_first(df: DataFrame, value: str, order: list[str], out: str) -> DataFrame:
-    """value -> its place in order of first sight, for readers that expect small numbers; one row per distinct value."""
-    first = df.groupBy(value).agg(F.min(F.struct(*order)).alias("__first"))
-    return first.select(value, (F.row_number().over(Window.orderBy("__first")) - 1).alias(out))
+    """value -> its place in order of first sight, for readers that expect small numbers; one row per distinct value.
+
+    Distinct values are range-sorted; each part is numbered by itself and raised by the sizes of the parts before it.
+    """
+    first = df.groupBy(value).agg(F.min(F.struct(*order, value)).alias("__first"))
+    parted = written(first.repartitionByRange("__first").withColumn("__part", F.spark_partition_id()), scratch(df.sparkSession))
+    sizes = parted.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))  # one row per part
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = parted.withColumn("__inside", F.row_number().over(Window.partitionBy("__part").orderBy("__first")))
+    return inside.join(sizes.select("__part", before.alias("__before")), "__part").select(value, (F.col("__before") + F.col("__inside") - 1).alias(out))
 
 
 def rephrase_fanout(samples: DataFrame, rephrases: DataFrame) -> DataFrame:

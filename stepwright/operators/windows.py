@@ -42,21 +42,28 @@ def chunk_neutral(steps: DataFrame, window: int, future: int, relative: Sequence
     """Observation times t - window + 1 .. t floored at 0 with pad_mask, and actions up to t + future.
 
     Actions after the goal (the last step by default) are neutral: relative dims 0, absolute dims those of the goal step.
+    A row holds the actions of its own window only; that of a goal before the window comes by a join.
     """
-    goal_t = F.col(goal) if goal else F.col("n") - 1
-    full = whole_episode().orderBy("t").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    all_actions = steps.withColumn("__all", F.collect_list("action").over(full)).withColumn("__goal", goal_t)
+    frame = episode_window().rowsBetween(1 - window, future)
+    all_actions = steps.withColumns({"__near": F.collect_list("action").over(frame), "__goal": F.col(goal) if goal else F.col("n") - 1, "__from": F.greatest(F.lit(0), F.col("t") - (window - 1))})
+    if goal:
+        at_goal = steps.select(*EPISODE, F.col("t").alias("__goal"), F.col("action").alias("__goal_action"))
+        all_actions = all_actions.join(at_goal, [*EPISODE, "__goal"], "left")
+    else:
+        all_actions = all_actions.withColumn("__goal_action", F.lit(None).cast(steps.schema["action"].dataType))
     obs = F.sequence(F.col("t") - (window - 1), F.col("t"))
     acts = F.sequence(F.col("t") - (window - 1), F.col("t") + future)
     neutral = lambda a: F.zip_with(a, A.literal_mask(relative), lambda x, r: F.when(r, F.lit(0.0)).otherwise(x))
-    at = lambda i: F.get(F.col("__all"), F.greatest(F.lit(0), F.least(i, F.col("__goal"))))
-    return all_actions.withColumns(
+    place = lambda i: F.greatest(F.lit(0), F.least(i, F.col("__goal"))) - F.col("__from")
+    at = lambda i: F.when(place(i) < 0, F.col("__goal_action")).otherwise(F.get(F.col("__near"), place(i)))
+    made = all_actions.withColumns(
         {
             "obs_t": F.transform(obs, lambda i: F.greatest(F.lit(0), i)),
             "pad_mask": F.transform(obs, lambda i: i >= 0),
             "action_window": F.transform(acts, lambda i: F.when(i > F.col("__goal"), neutral(at(i))).otherwise(at(i))),
         }
-    ).drop("__all", "__goal")
+    )
+    return made.select(*steps.columns, "obs_t", "pad_mask", "action_window")
 
 
 def chunk_truncate(steps: DataFrame, window: int, future: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..functions.keyed import draw_sql
 from ..operators import metrics as M
 from ..operators import retrieval as R
 from ..sources.steps import EMBEDDING_STEPS, EVENT_STEPS, LINE_STEPS, ROLLOUTS, embedding_steps, event_steps, line_steps, rollouts, table
@@ -245,7 +246,7 @@ def pass_at_k(spark, sf_dir):
     return rounded(M.pass_at_k(rows, "task", "passed", [1, 2, 5]))
 
 
-@query("majority_vote", "WITH a AS (SELECT l_orderkey AS q, CAST(l_quantity AS INT) % 5 AS x, min(l_linenumber * 100000 + l_partkey) AS seen, count(*) AS n FROM lineitem GROUP BY ALL) SELECT q, min_by(x, (-n, seen)) AS voted FROM a GROUP BY 1")
+@query("majority_vote", "WITH a AS (SELECT l_orderkey AS q, CAST(l_quantity AS INT) % 5 AS x, min(l_linenumber * 100000 + l_partkey) AS seen, count(*) AS n FROM lineitem GROUP BY ALL) SELECT q, min_by(x, (-n, seen, x)) AS voted FROM a GROUP BY 1")
 def majority_vote(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("q"), (F.col("l_quantity").cast("int") % 5).alias("x"), (F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("seen"))
     return M.majority_vote(rows, "q", "x", "seen")
@@ -340,13 +341,14 @@ def cosine_by_set(spark, sf_dir):
 
 
 @query("negative_pool", f"""
-WITH {EMBEDDING_STEPS}, c AS (SELECT vec_id, traj_id FROM emb),
-p AS (SELECT q.vec_id, c.vec_id AS negative, row_number() OVER (PARTITION BY q.vec_id ORDER BY (c.vec_id * 2654435761 + q.vec_id * 40503) % 2147483648, c.vec_id) AS r FROM c q JOIN c ON c.vec_id % 8 = (q.vec_id % 8 + 1) % 8 AND c.traj_id <> q.traj_id)
-SELECT vec_id, negative FROM p WHERE r <= 5
+WITH {EMBEDDING_STEPS}, c AS (SELECT vec_id, traj_id, row_number() OVER (ORDER BY {draw_sql('vec_id', 0)}, vec_id) AS number FROM emb),
+d AS (SELECT vec_id, traj_id, try, floor({draw_sql('vec_id * 18 + try', 1)} * (SELECT count(*) FROM emb)) + 1 AS number FROM c, range(18) r(try)),
+p AS (SELECT d.vec_id, c.vec_id AS negative, min(try) AS try FROM d JOIN c ON c.number = d.number AND c.traj_id <> d.traj_id GROUP BY ALL)
+SELECT vec_id, negative FROM p QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY try) <= 5
 """)
 def negative_pool(spark, sf_dir):
     e = embedding_steps(spark, sf_dir).select("vec_id", "traj_id")
-    return R.negative_pool(e, e, "vec_id", "traj_id", 5, 8)
+    return R.negative_pool(e, e, "vec_id", "traj_id", 5)
 
 
 @query("success_vs_distance", f"WITH {ROLLOUTS}, s AS (SELECT episode_id % 10 AS task, avg(success) AS rate FROM rollouts GROUP BY 1), {EMBEDDING_STEPS.strip()}, d AS (SELECT traj_id AS task, avg(1 - list_cosine_similarity(ext1::DOUBLE[], ext2::DOUBLE[])) AS a, avg(1 - list_cosine_similarity(ext1::DOUBLE[], wrist::DOUBLE[])) AS b FROM views GROUP BY 1), j AS (SELECT task, rate, (a + b) / 2 AS mean_d, least(a, b) AS min_d FROM s JOIN d USING (task)) SELECT task, round(rate, 6) AS rate, round(mean_d, 6) AS mean_distance, round(min_d, 6) AS min_distance, round(corr(rate, mean_d) OVER (), 6) AS r_mean, round(corr(rate, min_d) OVER (), 6) AS r_min FROM j")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.keyed import draw_sql
 from ..operators import chat as C
 from ..operators import joins as J
 from ..operators import standardize as S
@@ -74,9 +75,9 @@ def clean_prompt(spark, sf_dir):
     return variants(spark, sf_dir).select("doc_id", "pos", X.clean_prompt(F.concat("s", F.lit("_x\ny "))).alias("prompt"))
 
 
-@query("image_tag", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE '<image>' || chr(10) || trim(text) END AS text FROM documents WHERE text = trim(text)")
+@query("image_tag", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE '<image>' || chr(10) || regexp_replace(text, '^\\s+|\\s+$', '', 'g') END AS text FROM documents")
 def image_tag(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("text = trim(text)")
+    d = table(spark, sf_dir, "documents")
     tagged = F.when(F.col("doc_id") % 3 == 0, F.col("text")).when(F.col("doc_id") % 3 == 1, F.concat("text", F.lit(" <image>"))).otherwise(F.concat(F.lit("<image>\n"), "text"))
     return d.select("doc_id", X.image_tag_first(tagged).alias("text"))
 
@@ -245,16 +246,19 @@ def answers(spark, sf_dir):
     return table(spark, sf_dir, "labels").select("doc_id", text.alias("text"), (F.col("doc_id") % 3).alias("truth"))
 
 
-@query("mc_accuracy", f"WITH {_answers} SELECT count(*) AS n, round(avg((CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE 2 END = truth)::INT), 6) AS accuracy FROM an WHERE doc_id % 4 < 3")
+_GUESS = f"CAST(CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 2 ELSE floor({draw_sql('doc_id')} * 5) END AS INT)"
+
+
+@query("mc_accuracy", f"WITH {_answers} SELECT count(*) AS n, round(avg(({_GUESS} = truth)::INT), 6) AS accuracy FROM an")
 def mc_accuracy(spark, sf_dir):
-    rows = answers(spark, sf_dir).where("doc_id % 4 < 3").withColumn("guess", J.option_index(F.col("text"), "ABCDE", F.col("doc_id")))
+    rows = answers(spark, sf_dir).withColumn("guess", J.option_index(F.col("text"), "ABCDE", F.col("doc_id")))
     return rounded(rows.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("guess") == F.col("truth")).cast("double")).alias("accuracy")))
 
 
-@query("mc_unclear")
+@query("mc_unclear", f"SELECT doc_id, {_GUESS} AS guess FROM labels")
 def mc_unclear(spark, sf_dir):
-    """Unclear answers get a keyed choice."""
-    return answers(spark, sf_dir).where("doc_id % 4 = 3").select("doc_id", J.option_index(F.col("text"), "ABCDE", F.col("doc_id")).alias("guess"))
+    """The letter's place; unclear answers get a keyed choice."""
+    return answers(spark, sf_dir).select("doc_id", J.option_index(F.col("text"), "ABCDE", F.col("doc_id")).alias("guess"))
 
 
 @query("ensemble_accuracy", "WITH r AS (SELECT doc_id % 3 AS truth, doc_id % 4 AS ours, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id % 7 END AS other FROM labels) SELECT count(*) AS n, round(avg((ours = truth)::INT), 6) AS ours, round(avg(coalesce(other = truth, FALSE)::INT), 6) AS other, round(avg((coalesce(other, ours) = truth)::INT), 6) AS fallback, round(avg(greatest((ours = truth)::INT, coalesce(other = truth, FALSE)::INT)), 6) AS upper_bound FROM r")
@@ -326,7 +330,10 @@ def choice_scoring(spark, sf_dir):
     return a.join(J.choice_by_mean(c, "req", "choice", "lp", "base").withColumnRenamed("chosen", "normalized_choice"), "req")
 
 
-@query("choice_greedy")
+@query("choice_greedy", f"""
+WITH {EMBEDDING_STEPS}, c AS (SELECT traj_id * 100 + t // 4 AS req, t % 4 AS choice, ext1[1:4]::DOUBLE[] AS lp FROM emb)
+SELECT req, CAST(choice AS INT) AS chosen FROM c QUALIFY row_number() OVER (PARTITION BY req ORDER BY lp DESC, choice) = 1
+""")
 def choice_greedy(spark, sf_dir):
     e = embedding_steps(spark, sf_dir)
     c = e.select((F.col("traj_id") * 100 + F.floor(F.col("t") / 4)).alias("req"), (F.col("t") % 4).cast("int").alias("choice"), F.transform(F.slice("ext1", 1, 4), lambda x: x.cast("double")).alias("lp"))

@@ -99,7 +99,7 @@ def shard_assign(spark, sf_dir):
     return rows.groupBy(F.col("shard").cast("long").alias("s")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("episode_id").alias("episodes"))
 
 
-@query("shard_resume")
+@query("shard_resume", f"WITH {EVENT_STEPS} SELECT episode_id, t, episode_id % 16 AS shard FROM steps")
 def shard_resume(spark, sf_dir):
     """All shards are written, then those from 12 on once more; the others stay as they were."""
     from ..sources.storage import scratch

@@ -58,16 +58,9 @@ def hist_quantiles(spark, sf_dir):
     return stats.histogram_quantiles(steps, "v", [0.01, 0.5, 0.99]).withColumn("value", F.round("value", 4))
 
 
-@query("norm_stats_job", f"WITH {LINE_STEPS} SELECT CAST(0 AS INT) AS dim, count(*) AS n, round(avg(a0), 6) AS mean, round(sqrt(greatest(0, avg(a0 * a0) - avg(a0) * avg(a0))), 6) AS std FROM steps WHERE episode_id % 32 = 0")
+@query("norm_stats_job", f"WITH {LINE_STEPS} SELECT CAST(0 AS INT) AS dim, count(*) AS n, round(avg(a0), 6) AS mean, round(sqrt(greatest(0, avg(a0 * a0) - avg(a0) * avg(a0))), 6) AS std FROM steps")
 def norm_stats_job(spark, sf_dir):
-    """Statistics of the first sample of each batch of 32 only, as the original job takes them (all rows are the default of the operator)."""
-    steps = line_steps(spark, sf_dir).where("episode_id % 32 = 0").select(F.array(F.col("action")[0]).alias("v"))
-    return stats.running_statistics(steps, "v").withColumns({c: F.round(c, 6) for c in ("mean", "std")})
-
-
-@query("norm_stats_all", f"WITH {LINE_STEPS} SELECT CAST(0 AS INT) AS dim, count(*) AS n, round(avg(a0), 6) AS mean, round(sqrt(greatest(0, avg(a0 * a0) - avg(a0) * avg(a0))), 6) AS std FROM steps")
-def norm_stats_all(spark, sf_dir):
-    """norm_stats_job over all steps."""
+    """Statistics of all steps; a job that takes one row in n filters its steps before."""
     steps = line_steps(spark, sf_dir).select(F.array(F.col("action")[0]).alias("v"))
     return stats.running_statistics(steps, "v").withColumns({c: F.round(c, 6) for c in ("mean", "std")})
 
@@ -271,7 +264,7 @@ def stride_actions(spark, sf_dir):
     return chunks.select(*ID, F.posexplode("s").alias("k", "a")).select(*ID, "k", F.col("a")[0].alias("x0"))
 
 
-@query("stats_cache")
+@query("stats_cache", f"WITH {TYPED_STATS}, sizes AS (SELECT dataset_name, count(*) AS num_transitions FROM steps GROUP BY 1) SELECT dataset_name, field, dim, round(mean, 6) AS mean, num_transitions FROM stats JOIN sizes USING (dataset_name)")
 def stats_cache(spark, sf_dir):
     """Statistics written under their key on the first read and read back on the second; a new folder for each run."""
     from ..sources.storage import scratch

@@ -158,17 +158,11 @@ def pick_variant(spark, sf_dir):
 
 
 @query("alternate_sets", f"""
-WITH {REPHRASES}, k AS (SELECT rephrase, trim(regexp_replace(lower(regexp_replace(rephrase, '[.,!?]', '', 'g')), ' +', ' ', 'g')) AS key FROM rephrases WHERE regexp_full_match(rephrase, '[A-Za-z .,!?]+'))
+WITH {REPHRASES}, k AS (SELECT rephrase, trim(regexp_replace(regexp_replace(lower(rephrase), '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]', '', 'g'), '\\s+', ' ', 'g')) AS key FROM rephrases)
 SELECT key, count(DISTINCT rephrase) AS n, min(rephrase) AS first FROM k WHERE key <> '' GROUP BY key
 """)
 def alternate_sets(spark, sf_dir):
-    plain = rephrases(spark, sf_dir).where(F.col("rephrase").rlike(r"^[A-Za-z .,!?]+$"))
-    return V.alternate_sets(plain, X.key_b(F.col("rephrase")), "rephrase").select("key", F.size("alternates").cast("long").alias("n"), F.col("alternates")[0].alias("first"))
-
-
-@query("alternate_sets_all")
-def alternate_sets_all(spark, sf_dir):
-    """alternate_sets over all rephrases, whatever their letters and marks; the SQL of alternate_sets takes plain ones only."""
+    """Over all rephrases, whatever their letters and marks."""
     sets = V.alternate_sets(rephrases(spark, sf_dir), X.key_b(F.col("rephrase")), "rephrase")
     return sets.select("key", F.size("alternates").cast("long").alias("n"), F.col("alternates")[0].alias("first"))
 

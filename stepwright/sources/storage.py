@@ -23,12 +23,20 @@ def written(df: DataFrame, path: str, partition_by: list[str] | None = None) ->
 def swap(spark: SparkSession, df: DataFrame, path: str) -> None:
     """Replace a table by one made from it: written beside it first, then moved into its place.
 
-    A crash before the moves leaves the table as it was; between them the old one is at `path`.old.
+    A crash before the moves leaves the table as it was; between them the old one is at `path`.old. A move that fails is
+    undone and raised, and the old table goes only after the new one is in its place.
     """
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     new, old, now = fs_path(f"{path}.new"), fs_path(f"{path}.old"), fs_path(path)
     df.write.mode("overwrite").parquet(f"{path}.new")
     fs = now.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.rename(now, old)
-    fs.rename(new, now)
-    fs.delete(old, True)
+    if fs.exists(old):
+        raise FileExistsError(f"{path}.old is left from a swap that broke off")
+    if fs.exists(now) and not fs.rename(now, old):
+        raise OSError(f"could not move {path} aside")
+    if not fs.rename(new, now):
+        if fs.exists(old) and not fs.rename(old, now):
+            raise OSError(f"could not put {path}.new in place; the old table is at {path}.old")
+        raise OSError(f"could not put {path}.new in place")
+    if fs.exists(old):
+        fs.delete(old, True)

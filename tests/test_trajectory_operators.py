@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stepwright.functions import arrays as A
+from stepwright.functions import rotations
 from stepwright.functions import keyed, tokens
 from stepwright.functions import normalize as N
 from stepwright.functions import text as X
@@ -267,11 +268,11 @@ def test_resize_with_pad(size, inner):
     assert int((out[:, :, 0] == 200).sum()) == inner[0] * inner[1]
 
 
-def test_wrist_frame_without_rotation_changes_nothing():
-    v = np.array([[1.0, 2, 3, 0, 0, 0]])
-    assert stages.wrist_frame_actions(v, np.zeros((1, 6)))[0].tolist() == pytest.approx([1, 2, 3, 1, 0, 0, 0, 1, 0])
+def test_wrist_frame_without_rotation_changes_nothing(spark):
+    row = spark.range(1).select(rotations.wrist_frame(A.vector([1, 2, 3, 0, 0, 0]), A.vector([0] * 6)).alias("m")).first()
+    assert row["m"] == pytest.approx([1, 2, 3, 1, 0, 0, 0, 1, 0])
 
 
 def test_all_recipes_have_a_known_shape():
-    assert len(standardize.RECIPES) == 61
-    assert all(p.how in ("", "clip", "invert", "invert_clip", "binarize", "absolute", "zeros", "ones") for r in standardize.RECIPES.values() for p in (*r.action, *r.proprio))
+    assert len(standardize.RECIPES) == 62 and all(r in standardize.RECIPES for r in standardize.ALIASES.values())
+    assert all(p.how in ("", "clip", "invert", "invert_clip", "binarize", "absolute", "euler", "zeros", "ones") for r in standardize.RECIPES.values() for p in (*r.action, *r.proprio))
