@@ -56,23 +56,57 @@ def hex_unit(text: Column) -> Column:
     return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") + 1) / float(1 << 52)
 
 
-def running(df: DataFrame, group: list[str], order: list[str], value: str, out: str, bucket: str) -> DataFrame:
-    """Add `out`: the running sum of `value` within `group`, up to and with the row, in the order (bucket, *order).
+def free_name(columns: list[str], name: str) -> str:
+    """name, with underscores in front until no column has it (Spark's names know no case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
-    No window ever holds a whole group: totals per (group, bucket) are summed first, each bucket gets
-    the total of the buckets before it, and only the rows of one bucket meet in a task.
+
+def in_order(df: DataFrame, order: list[str], part: str = "__part") -> DataFrame:
+    """df range-sorted into parts by `order`, written, with the number of its part; parts are in ascending order.
+
+    If `order` tells all rows apart, no part can be much larger than the others.
+    """
+    return stash(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+
+
+def running(df: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """Add `out`: the running sum of `value` within `group`, up to and with the row, in the given order.
+
+    Rows are range-sorted into parts; each part's rows are summed by themselves and raised by the totals of the
+    group's parts before, of which there is a row per part. No task holds a group.
     """
-    totals = df.groupBy(*group, bucket).agg(F.sum(value).alias("__part"))
-    before = F.sum("__part").over(Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1))
-    starts = totals.select(*group, bucket, F.coalesce(before, F.lit(0)).alias("__before"))
-    on = None
-    right = starts.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate([*group, bucket])], "__before")
-    for i, c in enumerate([*group, bucket]):
-        same = F.col(c).eqNullSafe(F.col(f"__{i}"))
-        on = same if on is None else on & same
-    inside = F.sum(value).over(Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     kept = df.columns
-    return df.withColumn("__inside", inside).join(right, on).select(*kept, (F.col("__inside") + F.col("__before")).alias(out))
+    parted = in_order(df, [*group, *order])
+    totals = parted.groupBy(*group, "__part").agg(F.sum(value).alias("__sum"))
+    before = F.sum("__sum").over(Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    right = totals.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(group)], F.col("__part").alias("__p"), F.coalesce(before, F.lit(0)).alias("__before"))
+    on = F.col("__part") == F.col("__p")
+    for i, c in enumerate(group):
+        on = on & F.col(c).eqNullSafe(F.col(f"__{i}"))
+    inside = F.sum(value).over(Window.partitionBy(*group, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return parted.withColumn("__inside", inside).join(right, on).select(*kept, (F.col("__inside") + F.col("__before")).alias(out))
+
+
+def join_hot(rows: DataFrame, key: str, right: DataFrame, right_key: str, how: str = "inner") -> DataFrame:
+    """rows joined to right, which has one row per key; keys with very many rows do not meet in one task.
+
+    Hot keys have more than half a shuffle partition's rows (1000 at least), so there are at most two per partition: a
+    bounded list, which is sent along with their rows of `right`. All others are shuffled. rows should be a written table.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = max(1000, rows.count() // (2 * parts))
+    hot = stash(rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > least).select(F.col(key).alias("__hot")))
+    if hot.isEmpty():
+        return rows.join(right, F.col(key) == F.col(right_key), how)
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
+    their = F.broadcast(right.join(F.broadcast(hot), F.col(right_key) == F.col("__hot"), "left_semi"))
+    few = marked.where("__hot IS NULL").drop("__hot").join(right, F.col(key) == F.col(right_key), how)
+    many = marked.where("__hot IS NOT NULL").drop("__hot").join(their, F.col(key) == F.col(right_key), how)
+    return few.unionByName(many)
 
 
 #: The bytes that separate words.
@@ -113,17 +147,17 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected edge table (a, b): component is the least node reachable.
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014). Minima come from
-    pre-aggregated groups, so a node with very many neighbours costs no single task; every round is a
-    written table and only a row count and checksum reach the driver.
+    pre-aggregated groups and reach the edges of a node with very many neighbours as a bounded list, so such a node costs
+    no single task; every round is a written table and only a row count and checksum reach the driver.
     """
     edges = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = checksum(edges)
     while seen[0]:
-        both = edges.select("a", "b").union(edges.select("b", "a"))
+        both = stash(edges.select("a", "b").union(edges.select("b", "a")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-        large = both.join(least, F.col("a") == F.col("n")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = stash(join_hot(both, "a", least, "n").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
-        joined = large.join(least, F.col("a") == F.col("n"))
+        joined = join_hot(large, "a", least, "n")
         small = joined.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         edges = stash(small)
         now = checksum(edges)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, running, stash, table
+from .common import free_name, in_order, n_words, running, stash, table
 
 DEFAULT_WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -20,9 +20,9 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], max_copies: int)
     round of resharing sends two sums over the sources to the driver.
     """
     totals = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    # code-point order is Spark's order of strings; the rank of a source is a count of lesser sources, summed in blocks
-    ordered = totals.withColumn("__last", F.col("source").isNull().cast("int")).withColumn("__one", F.lit(1)).withColumn("__block", F.coalesce(F.substring("source", 1, 1), F.lit("")))
-    ranked = running(ordered.withColumn("__all", F.lit(0)).withColumn("__block", F.struct("__last", "__block")), ["__all"], ["source"], "__one", "__rank", "__block")
+    # code-point order is Spark's order of strings
+    ordered = totals.select(F.col("source").isNull().cast("int").alias("__last"), "source", "source_size", F.lit(1).alias("__one"))
+    ranked = running(ordered, [], ["__last", "source"], "__one", "__rank")
     weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (F.pmod(F.col("__rank") - 1, F.lit(len(weights))) + 1).cast("int"))
     sources = stash(ranked.select("source", "source_size", weight.alias("weight")))
     budget, all_weight = sources.agg(F.sum("source_size"), F.sum("weight")).first()
@@ -47,86 +47,100 @@ def shuffle_key(doc_id, seed: int):
 
 
 def finish_times(sized: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
-    """Add `source_size`, `weight`, `target` and `__through`: tokens of the source up to and with the row, in shuffled order."""
-    keyed = sized.withColumn("__key", shuffle_key(F.col("doc_id"), seed)).withColumn("__bucket", F.substring("__key", 1, 3))
-    through = running(keyed, ["source"], ["__key", "doc_id", "size"], "size", "__through", "__bucket")
-    s = sources.select(F.col("source").alias("__source"), "source_size", "weight", "target")
-    return through.join(s, F.col("source").eqNullSafe(F.col("__source"))).drop("__source", "__bucket")
+    """Add `source_size`, `weight`, `target` and `__through`: tokens of the source up to and with the row, in shuffled order.
 
-
-def cut_of(copies: DataFrame, budget: int):
-    """The last (finish, rank keys) that fits the budget in the global order of finish times, as a one-row table.
-
-    A radix descent: virtual time is parted into 1024 ranges whose sizes are summed; the range in which
-    the budget ends is parted again, and only the rows of the last, narrow range are sorted.
+    Rows are range-sorted by source and shuffled key; a source's parts get the tokens of its parts before them,
+    and its size, weight and target along with these, so a large source is no task's work.
+    """
+    order = ["__key", "doc_id", "size", "__row"]
+    keyed = sized.withColumn("__last", F.col("source").isNull()).withColumn("__key", shuffle_key(F.col("doc_id"), seed))
+    parted = in_order(keyed, ["__last", "source", *order])
+    totals = parted.groupBy("source", "__part").agg(F.sum("size").alias("__sum"))
+    before = F.sum("__sum").over(Window.partitionBy("source").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = totals.select(F.col("source").alias("__source"), F.col("__part").alias("__p"), F.coalesce(before, F.lit(0)).alias("__before"))
+    told = starts.join(sources, F.col("__source").eqNullSafe(F.col("source"))).drop("source")
+    inside = F.sum("size").over(Window.partitionBy("source", "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = parted.withColumn("__inside", inside).join(told, (F.col("__part") == F.col("__p")) & F.col("source").eqNullSafe(F.col("__source")))
+    return rows.withColumn("__through", F.col("__inside") + F.col("__before")).drop("__source", "__part", "__p", "__inside", "__before", "__last")
+
+
+def cut_of(copies: DataFrame, budget: int, few: int = 1_000_000) -> DataFrame | None:
+    """The last place (finish, source, key, ..., copy) that fits the budget in the global order of finish times, as a one-row table.
+
+    All copies are range-sorted by that order and each part is summed; the part in which the budget ends is
+    range-sorted again while it has more than `few` rows. None if all copies fit. The driver gets a row per part.
     """
-    top = copies.agg(F.max("finish")).first()[0] or 0.0
-    low, width, used = 0.0, max(top, 1e-300), 0
-    inside = copies
-    for _ in range(2):
-        step = width / 1024
-        part = F.least(F.floor((F.col("finish") - F.lit(low)) / F.lit(step)), F.lit(1023)).cast("int")
-        sums = sorted((r[0], r[1]) for r in inside.groupBy(part.alias("p")).agg(F.sum("size")).collect())  # 1024 rows at most
+    order = ["finish", "source_rank", "__key", "doc_id", "size", "__row", "copy"]
+    inside, rows, used = copies, None, 0
+    while True:
+        parted = in_order(inside, order)
+        sums = sorted((r[0], r[1], r[2]) for r in parted.groupBy("__part").agg(F.sum("size"), F.count(F.lit(1))).collect())
         hit = None
-        for p, n in sums:
-            if used + n > budget:
-                hit = p
+        for part, size, n in sums:
+            if used + size > budget:
+                hit, held = part, n
                 break
-            used += n
+            used += size
         if hit is None:
             return None
-        inside = inside.where(part == hit)
-        low, width = low + hit * step, step
-    order = ["finish", "source_rank", "__key", "doc_id", "size", "copy"]
-    slices = inside.withColumn("__all", F.lit(0)).withColumn("__slice", F.least(F.floor((F.col("finish") - F.lit(low)) / F.lit(width / 1024)), F.lit(1023)))
-    summed = running(slices, ["__all"], order, "size", "__sum", "__slice")
-    return summed.where(F.col("__sum") <= budget - used).agg(F.max(F.struct(*order)).alias("cut")), low
+        inside = parted.where(F.col("__part") == hit).drop("__part")
+        if held <= few or held == rows:  # as few as one task sorts at ease, or rows that no order tells apart
+            break
+        rows = held
+    place = F.struct(*order)
+    summed = inside.withColumn("__sum", F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    first = inside.agg(F.min(place).alias("first"))  # where nothing of this part fits, all before it does
+    return summed.where(F.col("__sum") <= budget - used).agg(F.max(place).alias("cut")).join(first).select("cut", F.col("first"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = DEFAULT_WEIGHTS, max_copies: int = MAX_COPIES, seed: int = SEED) -> DataFrame:
-    """Rows of docs (doc_id, source, text) with how often the mix takes each.
+def mix(docs: DataFrame, weights: tuple[int, ...] = DEFAULT_WEIGHTS, max_copies: int = MAX_COPIES, seed: int = SEED, row: str | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken for each row of docs (doc_id, source, text): how often the mix takes it.
 
     Every document is shuffled within its source by a keyed hash and gets, for each of max_copies
-    rounds through the source, a virtual finish time: tokens of the source so far divided by its weight.
-    Copies are taken in global order of finish time until the budget (all tokens) is used.
-
-    Returns doc_id, source, size, source_size, target, copies, taken; one row per input row.
-    Null text has size 0, a null source is a source of its own, ranked last. Rows without words are never
-    taken. Equal rows share one place in the order. An empty table gives an empty one.
+    rounds through the source, a virtual finish time: tokens of the source so far divided by its weight. All copies
+    are range-sorted by finish time and the order is cut where the budget, the size of all rows, is spent. So
+    sources share as their weights say, and one whose rounds are used up leaves its share to the others.
+
+    Null text has size 0 and is never taken; null sources are one source, null ids come first in shuffled
+    order. Each row has its own place: repeated rows stand next to each other, and at the cut some of them may be taken once
+    more than others. Equal finish times go by source, key and id. Extra columns are ignored. An empty table gives an empty
+    one. `row` names a column that numbers the rows and is then returned as well.
     """
-    sized = stash(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    sized = stash(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), number.alias("__row")))
     sources, budget = source_targets(sized, weights, max_copies)
     timed = stash(finish_times(sized, sources, seed))
     rank = F.struct(F.col("source").isNull().cast("int").alias("n"), F.coalesce("source", F.lit("")).alias("s"))
     rows = timed.withColumn("source_rank", rank)
-    rounds = F.explode(F.sequence(F.lit(0), F.lit(max_copies - 1)))
-    finish = (F.col("copy") * F.col("source_size") + F.col("__through")) / F.col("weight")
-    copies = rows.where("size > 0").select("source_rank", "__key", "doc_id", "size", "source_size", "weight", "__through", rounds.alias("copy"))
-    copies = copies.withColumn("finish", finish).select("finish", "source_rank", "__key", "doc_id", "size", "copy")
-    found = cut_of(copies, budget)
-    order = [F.col("source_rank"), F.col("__key"), F.col("doc_id"), F.col("size")]
+
+    def placed(copy) -> list:
+        finish = (copy * F.col("source_size") + F.col("__through")) / F.col("weight")
+        return [finish.alias("finish"), F.col("source_rank"), F.col("__key"), F.col("doc_id"), F.col("size"), F.col("__row"), copy.alias("copy")]
+
+    each = rows.where("size > 0").withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(max_copies - 1))))
+    found = cut_of(each.select(*placed(F.col("__copy"))), budget)
     if found is None:
-        copies_taken = F.lit(max_copies)
-        cut = None
+        taken = F.lit(max_copies)
     else:
-        cut, low = found
-        copies_taken = F.lit(0)
-        for c in range(max_copies):
-            f = (F.lit(c) * F.col("source_size") + F.col("__through")) / F.col("weight")
-            place = F.struct(f.alias("finish"), order[0].alias("source_rank"), order[1].alias("__key"), order[2].alias("doc_id"), order[3].alias("size"), F.lit(c).alias("copy"))
-            inside = (f < F.lit(low)) | F.coalesce(place <= F.col("cut"), F.lit(False))
-            copies_taken = copies_taken + inside.cast("int")
-    out = rows if cut is None else rows.join(F.broadcast(cut))  # one row
-    return out.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, copies_taken).otherwise(0).cast("long").alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+        rows = rows.join(F.broadcast(found))  # one row
+        inside = [F.when(F.col("cut").isNull(), F.struct(*placed(F.lit(c))) < F.col("first")).otherwise(F.struct(*placed(F.lit(c))) <= F.col("cut")) for c in range(max_copies)]
+        taken = sum((x.cast("int") for x in inside), F.lit(0))
+    out = rows.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, taken).otherwise(0).cast("long").alias("copies"), *([F.col("__row").alias(row)] if row else []))
+    return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = DEFAULT_WEIGHTS, max_copies: int = MAX_COPIES, seed: int = SEED) -> DataFrame:
-    """The documents that the mix takes, each as often as it takes them, with docs' own columns."""
-    taken = mix(docs, weights, max_copies, seed).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__s"), F.col("size").alias("__size"), F.col("copies").alias("__copies")).distinct()
-    sized = docs.withColumn("__n", n_words(F.col("text")))
-    on = sized["doc_id"].eqNullSafe(taken["__id"]) & sized["source"].eqNullSafe(taken["__s"]) & (sized["__n"] == taken["__size"])
+    """The rows of docs that the mix takes, each as often as it takes it, with docs' own columns.
+
+    Rows are numbered in a written table first, and a row meets its own count only: repeated rows are as
+    many as the mix took. No name of a column is reserved. Nulls, ties and empty tables as in mix.
+    """
+    row, times = (free_name(docs.columns, x) for x in ("row_number", "copy_number"))
+    numbered = stash(docs.withColumn(row, F.monotonically_increasing_id()))
+    taken = mix(numbered, weights, max_copies, seed, row).where("copies > 0").select(F.col(row).alias(f"_{row}"), F.col("copies").alias(f"_{times}"))
     own = [F.col(f"`{c}`") for c in docs.columns]
-    return sized.join(taken, on).select(*own, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).select(*own)
+    joined = numbered.join(taken, F.col(row) == F.col(f"_{row}"))
+    return joined.select(*own, F.explode(F.sequence(F.lit(1), F.col(f"_{times}"))).alias(times)).select(*own)
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

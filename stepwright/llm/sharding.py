@@ -25,9 +25,15 @@ def tree(shards: int, per_rack: int = 2, racks: int = 2) -> list[Shard]:
     return [Shard(i // (per_rack * racks), i // per_rack % racks, i) for i in range(shards)]
 
 
-def grown(leaves: list[Shard], weight: float = 1.0) -> list[Shard]:
-    """One more shard, in a region of its own: no weight below any other region changes, so rows move only into it."""
-    return [*leaves, Shard(max((x.region for x in leaves), default=-1) + 1, 0, max((x.number for x in leaves), default=-1) + 1, weight)]
+def grown(leaves: list[Shard], weight: float = 1.0, region: int | None = None, rack: int = 0) -> list[Shard]:
+    """One more shard: in a region of its own by default, else in the given rack.
+
+    In a region of its own no weight below any other region changes, so rows move only into the new shard. In a rack that is
+    there, the rack's and the region's weights rise: rows come into the region from all others, and within it into the
+    rack and the shard; no row moves between two other regions, or between two other racks of the region.
+    """
+    home = max((x.region for x in leaves), default=-1) + 1 if region is None else region
+    return [*leaves, Shard(home, rack, max((x.number for x in leaves), default=-1) + 1, weight)]
 
 
 def least_draw(key: Column, level: str, children: dict[int, float]) -> Column:
@@ -67,15 +73,16 @@ def shard(docs: DataFrame, leaves: list[Shard]) -> DataFrame:
 
     doc_id and the tree alone decide (law `key`); grown_shard is the shard once the tree has one more.
     size is the UTF-8 bytes of the text plus 1. Null text has size 1 and the crc32 of the empty text; null
-    doc_ids share one shard. slot numbers a shard's rows from 0 without gaps, in hash order; equal rows
-    get neighbouring slots. An empty table gives an empty one. Only narrow columns are shuffled.
+    doc_ids share one shard. slot numbers a shard's rows from 0 without gaps, in hash order; rows of one id stand next to each
+    other, equal rows in no order of their own. Very long texts are read where they are: only narrow columns are
+    shuffled. An empty table gives an empty one; extra columns are ignored, whatever their names.
     """
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     narrow = docs.select("doc_id", (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
     keyed = narrow.withColumn("__key", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     placed = with_shard(with_shard(keyed, F.col("__key"), leaves, "shard"), F.col("__key"), grown(leaves), "grown_shard")
-    hashed = placed.withColumn("__hash", F.md5(F.col("__key").cast("binary"))).withColumn("__bucket", F.substring("__hash", 1, 3)).withColumn("__one", F.lit(1))
-    numbered = running(hashed, ["shard"], ["__hash", "doc_id", "text_crc32", "size"], "__one", "__n", "__bucket")
+    hashed = placed.withColumn("__hash", F.md5(F.col("__key").cast("binary"))).withColumn("__one", F.lit(1)).withColumn("__row", F.monotonically_increasing_id())
+    numbered = running(hashed, ["shard"], ["__hash", "doc_id", "text_crc32", "size", "__row"], "__one", "__n")
     return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("__n") - 1).cast("long").alias("slot"), "grown_shard")
 
 
