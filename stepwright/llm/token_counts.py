@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, table
+from .common import join_hot, shared_dir, small_batches, stash, table
 from .pieces import encoder
 
 LIMIT = 512
-CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
+CACHE_SCHEMA = "digest binary, n_tokens long"
 
 
 def tokenizer_version(path: str) -> str:
@@ -32,18 +33,23 @@ def digest(text: Column) -> Column:
 
 
 def read_cache(spark: SparkSession, cache: str, version: str) -> DataFrame:
-    """Counts that are stored for a tokenizer; empty where no cache has been written yet."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache)
-    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    rows = spark.read.schema(CACHE_SCHEMA).parquet(cache) if there else spark.createDataFrame([], CACHE_SCHEMA)
-    return rows.where(F.col("tokenizer") == version).dropDuplicates(["digest"]).select("digest", "n_tokens")
-
-
-def append_misses(docs: DataFrame, cache: str, tokenizer_path: str) -> None:
-    """Encode each distinct content that the cache lacks, once, and append its count.
-
-    A lost executor repeats only its tasks; the append is committed by Spark's writer. Two jobs that
-    append at once may both store a digest, with the same count.
+    """Counts that are stored for a tokenizer; empty where no cache has been written yet. Only the tokenizer's own folder is read."""
+    stored = spark.read.schema(CACHE_SCHEMA).option("basePath", cache)
+    try:
+        rows = stored.parquet(f"{cache}/tokenizer={version}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], CACHE_SCHEMA)
+    return rows.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+
+
+def looked_up(docs: DataFrame, cache: str, tokenizer_path: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, counts): doc_id, n_bytes, digest of each row; digest, n_tokens, cached of each distinct content.
+
+    Digests are narrow and counted per task before they are shuffled. They meet the cache once; of the distinct contents
+    that it lacks, the row of the least doc_id is fetched and encoded, and the counts are appended. A lost executor repeats only
+    its tasks; the append is committed by Spark's writer. Two jobs that append at once may both store a digest, with the same count.
     """
     spark = docs.sparkSession
     version = tokenizer_version(tokenizer_path)
@@ -55,28 +61,39 @@ def append_misses(docs: DataFrame, cache: str, tokenizer_path: str) -> None:
         own = encoder(tokenizer_path)
         for batch in batches:
             n = [own.count(x) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], ["digest", "tokenizer", "n_tokens"])
-
-    texts = docs.select(digest(F.col("text")).alias("digest"), content(F.col("text")).alias("text"))
-    misses = texts.join(read_cache(spark, cache, version).select("digest"), "digest", "left_anti").dropDuplicates(["digest"])
-    misses.mapInArrow(counted, CACHE_SCHEMA).write.mode("append").parquet(cache)
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(n, pa.int64())], ["digest", "n_tokens"])
+
+    whole = docs.select("doc_id", content(F.col("text")).alias("text"))
+    rows = stash(whole.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest(F.col("text")).alias("digest")))
+    distinct = rows.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    stored = read_cache(spark, cache, version).withColumnRenamed("digest", "__digest")
+    found = stash(distinct.join(stored, F.col("digest") == F.col("__digest"), "left").select("digest", "first", "n_tokens"))
+    misses = found.where("n_tokens IS NULL").select(F.col("digest").alias("__digest"), F.col("first").alias("__first"))
+    texts = whole.withColumn("digest", digest(F.col("text"))).join(misses, (F.col("digest") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("__first")), "left_semi")
+    # repeated rows of the least id are encoded each, and counted once
+    made = stash(texts.select("digest", "text").mapInArrow(counted, "digest binary, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")))
+    made.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache)
+    hits = found.where("n_tokens IS NOT NULL").select("digest", "n_tokens", F.lit(True).alias("cached"))
+    return rows, hits.unionByName(made.withColumn("cached", F.lit(False)))
 
 
 def token_counts(docs: DataFrame, cache: str, tokenizer_path: str, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit of every row of docs (doc_id, text), of whole texts.
+    """doc_id, n_bytes, n_tokens, over_limit, cached of every row of docs (doc_id, text), of whole texts.
 
     Counts are looked up by the digests of content and tokenizer in the cache, a folder of Parquet
-    files that every executor reaches; missing ones are encoded and appended first. Null is the empty
-    text: 0 bytes, 0 tokens. Copies and repeated rows are encoded once. Extra columns are ignored.
+    files that every executor reaches; missing ones are encoded and appended. cached: the count was there before. Null is the
+    empty text: 0 bytes, 0 tokens. Copies are encoded once; a content with very many copies is no task's work. A very long text
+    is encoded whole, by one task. An empty table gives an empty one; extra columns are ignored.
     """
-    append_misses(docs, cache, tokenizer_path)
-    counts = read_cache(docs.sparkSession, cache, tokenizer_version(tokenizer_path)).withColumnRenamed("digest", "__digest")
-    narrow = docs.select("doc_id", F.octet_length(content(F.col("text"))).cast("long").alias("n_bytes"), digest(F.col("text")).alias("digest"))
-    return narrow.join(counts, F.col("digest") == F.col("__digest")).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    rows, counts = looked_up(docs, cache, tokenizer_path)
+    counts = counts.withColumnRenamed("digest", "__digest")
+    return join_hot(rows, "digest", counts, "__digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "cached")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Starts from an empty cache of its own, so every count is made in this run."""
+    """Fills an empty cache of its own with the contents of documents, then counts documents through it: all counts come from the cache."""
     import public_tokenizers
 
-    return token_counts(table(spark, sf_dir, "documents"), shared_dir(spark), public_tokenizers.path("byte_bpe_50k.json"))
+    docs, cache, path = table(spark, sf_dir, "documents"), shared_dir(spark), public_tokenizers.path("byte_bpe_50k.json")
+    looked_up(docs, cache, path)
+    return token_counts(docs, cache, path)
