@@ -56,13 +56,15 @@ class Model:
     weights: np.ndarray  # the last is the bias
     prior: float
 
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights[:-1] + self.weights[-1]
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights[:-1] + self.weights[-1]
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(self.raw(x), -40, 40)))
 
 
-def featured(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The given columns of docs and `features`, of whole texts."""
+def mapped(docs: DataFrame, columns: list[str], name: str, kind: T.DataType, of_features) -> DataFrame:
+    """The given columns of docs and `name`: what of_features makes of the (n, features) array of a batch of whole texts."""
     small_batches(docs.sparkSession)
     kept = docs.select(*columns, F.col("text").cast("string").alias("text"))
 
@@ -70,22 +72,57 @@ def featured(docs: DataFrame, columns: list[str]) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            made = [features(x).astype(np.float32).tolist() for x in texts_of(batch)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(made, pa.list_(pa.float32()))], [*columns, "features"])
+            x = np.array([features(d) for d in texts_of(batch)], np.float32).reshape(-1, len(NAMES))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), of_features(x)], [*columns, name])
+
+    return kept.mapInArrow(of, kept.drop("text").schema.add(name, kind))
+
+
+def featured(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The given columns of docs and `features`, of whole texts."""
+
+    def lists(x: np.ndarray):
+        import pyarrow as pa
+
+        return pa.array(list(x), pa.list_(pa.float32()))
+
+    return mapped(docs, columns, "features", T.ArrayType(T.FloatType()), lists)
 
-    schema = kept.drop("text").schema.add("features", T.ArrayType(T.FloatType()))
-    return kept.mapInArrow(of, schema)
+
+def fold(doc_id: Column, salt: str = "") -> Column:
+    return F.pmod(F.crc32(F.concat(F.lit(salt), doc_id.cast("string")).cast("binary")), F.lit(FOLDS))
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT
+    """Null ids have no remainder: they are not held out, and are never fitted."""
+    return F.coalesce(fold(doc_id) == HELD_OUT, F.lit(False))
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
 
+def risks(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
+    """(prior * R+(positives), R-(unlabelled) - prior * R-(positives)) of raw scores, logistic loss."""
+    return float(prior * np.logaddexp(0, -zp).mean()), float(np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean())
 
-def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 1500, rate: float = 0.02, decay: float = 1e-4) -> Model:
+
+def gradient(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
+    """The step's direction at w and the negative part of the risk.
+
+    It descends the whole risk; where the negative part is below zero, it ascends that part alone (Kiryo et al. 2017).
+    """
+    zp, zu = p @ w, u @ w
+    _, negative = risks(zp, zu, prior)
+    up = (p * (sigmoid(zp) - 1)[:, None]).mean(0) * prior
+    down = (u * sigmoid(zu)[:, None]).mean(0) - prior * (p * sigmoid(zp)[:, None]).mean(0)
+    return (up + down if negative >= 0 else -down), negative
+
+
+def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 1500, rate: float = 0.02, decay: float = 1e-4, watch: tuple[int, ...] = ()) -> Model | dict[int, Model]:
     """Minimise prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)) over a linear model.
 
-    Logistic loss, full-batch Adam; where the second part would turn negative, the step goes up that
-    part instead (Kiryo et al. 2017). Deterministic.
+    Logistic loss, full-batch Adam over `gradient`. Deterministic. With `watch`, the models after those many rounds.
     """
     everything = np.concatenate([positive, unlabelled])
     mean, scale = everything.mean(0), everything.std(0) + 1e-3
@@ -93,20 +130,29 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: i
     u = np.c_[np.clip((unlabelled - mean) / scale, -8, 8), np.ones(len(unlabelled))]
     w = np.zeros(p.shape[1])
     m, v = np.zeros_like(w), np.zeros_like(w)
-
-    def sigmoid(z: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-
-    for t in range(1, rounds + 1):
-        zp, zu = p @ w, u @ w
-        sp, su = sigmoid(zp), sigmoid(zu)
-        negative_risk = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        up = (p * (sp - 1)[:, None]).mean(0) * prior  # gradient of prior * R+
-        down = (u * su[:, None]).mean(0) - prior * (p * sp[:, None]).mean(0)
-        g = (up + down if negative_risk >= 0 else -down) + decay * np.r_[w[:-1], 0]
+    seen = {}
+    for t in range(1, max((rounds, *watch)) + 1):
+        g = gradient(w, p, u, prior)[0] + decay * np.r_[w[:-1], 0]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return Model(mean, scale, w, prior)
+        if t in watch:
+            seen[t] = Model(mean, scale, w.copy(), prior)
+    return seen if watch else Model(mean, scale, w, prior)
+
+
+#: Numbers of rounds among which a part of the training rows, set aside, decides.
+ROUNDS = (250, 500, 1000, 1500)
+
+
+def rounds_by_risk(positive: np.ndarray, unlabelled: np.ndarray, aside_p: np.ndarray, aside_u: np.ndarray, prior: float) -> int:
+    """The number of rounds whose model has the least non-negative risk on the rows set aside; no label but the positives' is read."""
+    models = fit_pu(positive, unlabelled, prior, rounds=max(ROUNDS), watch=ROUNDS)
+
+    def risk(model: Model) -> float:
+        up, down = risks(model.raw(aside_p), model.raw(aside_u), prior)
+        return up + max(0.0, down)
+
+    return min(ROUNDS, key=lambda t: (round(risk(models[t]), 9), t))
 
 
 def share_of_positives(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1) -> float:
@@ -133,45 +179,47 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     not fitted. Without positives every score is 1.
     """
     positives = labels.where("quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("__quality")).where("__quality = 1").select(F.col("doc_id").alias("__good_id"))
-    order = F.xxhash64(F.col("doc_id").cast("long"))
-    ids = docs.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("__id"), order.alias("__order")).distinct()
+    order = F.xxhash64(F.col("doc_id").cast("string"))
+    ids = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("__id"), order.alias("__order")).distinct()
     unlabelled = ids.orderBy("__order").limit(sample).select("*", F.lit(False).alias("__good"))
     good = ids.join(positives, F.col("__id") == F.col("__good_id"), "left_semi").orderBy("__order").limit(sample).select("*", F.lit(True).alias("__good"))
-    chosen = stash(unlabelled.union(good))
+    chosen = stash(unlabelled.union(good).withColumn("__aside", fold(F.col("__id"), "aside:") == 0))
     narrow = featured(docs.join(chosen.select("__id").distinct(), F.col("doc_id") == F.col("__id"), "left_semi"), ["doc_id"])
     rows = narrow.join(chosen, F.col("doc_id") == F.col("__id"))
-    got = rows.select("features", "__good", "__order").orderBy("__order", "features", "__good").limit(2 * sample).toPandas()
+    got = rows.select("features", "__good", "__aside", "__order").orderBy("__order", "features", "__good").limit(2 * sample).toPandas()
     if not len(got) or not got["__good"].any():
         return Model(np.zeros(len(NAMES)), np.ones(len(NAMES)), np.r_[np.zeros(len(NAMES)), 40.0], 1.0)
-    x, known = np.stack(got["features"].to_numpy()).astype(np.float64), got["__good"].to_numpy(bool)
-    return fit_pu(x[known], x[~known], share_of_positives(x[known], x[~known]))
+    x, good, aside = np.stack(got["features"].to_numpy()).astype(np.float64), got["__good"].to_numpy(bool), got["__aside"].to_numpy(bool)
+    prior = share_of_positives(x[good], x[~good])
+    parts = [x[g & a] for a in (~aside, aside) for g in (good, ~good)]
+    rounds = rounds_by_risk(*parts, prior) if all(map(len, parts)) else max(ROUNDS)
+    return fit_pu(x[good], x[~good], prior, rounds)
 
 
-def scores(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """The given columns of docs and `score`, 0 to 1, of every whole text."""
-    rows = featured(docs, columns)
+def scores(docs: DataFrame, model: Model, columns: list[str], name: str = "score") -> DataFrame:
+    """The given columns of docs and the score, 0 to 1, of every whole text."""
 
-    @F.pandas_udf("double")
-    def score(x):
-        import pandas as pd
+    def scored(x: np.ndarray):
+        import pyarrow as pa
 
-        return pd.Series(model.score(np.stack(x.to_numpy()).astype(np.float64)) if len(x) else [], dtype="float64")
+        return pa.array(model.score(x.astype(np.float64)), pa.float64())
 
-    return rows.select(*columns, score("features").alias("score"))
+    return mapped(docs, columns, name, T.DoubleType(), scored)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs (doc_id, text); labels: doc_id, quality.
 
     Only the text is scored: no label, language, source or id. Null and empty texts get the score of a
-    text without any feature. Repeated rows are scored alike; a null doc_id gives held_out null.
+    text without any feature; a very long text is scored whole. Repeated rows are scored alike. A null doc_id is scored, not
+    fitted and not held out. An empty table gives an empty one; extra columns are ignored.
     """
-    out = scores(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(docs, labels, sample), ["doc_id"])
+    out = scores(docs.select("doc_id", "text"), fit(docs, labels, sample), ["doc_id"])
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
-    """docs without those whose score is below the threshold; docs' own columns."""
+    """docs without those whose score is below the threshold; docs' own columns. Rows as in classify."""
     model = fit(docs, labels, sample)
     small_batches(docs.sparkSession)
 
@@ -179,9 +227,10 @@ def drop_rejected(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     def score(texts):
         import pandas as pd
 
-        return pd.Series([float(model.score(features((x or "").encode()))) for x in texts], dtype="float64")
+        x = np.array([features((t or "").encode()) for t in texts], np.float32).reshape(-1, len(NAMES))
+        return pd.Series(model.score(x.astype(np.float64)), dtype="float64")
 
-    return docs.where(score(F.col("text")) >= threshold)
+    return docs.where(score(F.col("text").cast("string")) >= threshold)
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
