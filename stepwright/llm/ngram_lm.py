@@ -6,6 +6,7 @@ import os
 import struct
 import uuid
 import zlib
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,28 +16,29 @@ from pyspark.sql import functions as F
 from .common import Numbering, lower_words, shared_dir, small_batches, stash, table, texts_of
 
 FOLDS, HELD_OUT = 7, 2
-DISCOUNT = 0.6  # taken from each stored bigram count and given to the unigrams
-LEAST_COUNT = 2  # bigrams seen less often are left to the unigrams, with their whole mass
-SEGMENTS_LOG2 = 6  # tries of the model, each of the contexts whose hash begins alike
-BLOCK_TOKENS = 2_000_000  # tokens that a counting task gathers before it sends counts
+DISCOUNT = 0.6  # taken from the count of each stored bigram and trigram and given to the shorter context
+LEAST_COUNTS = (1, 1)  # bigrams and trigrams seen less often are left to the shorter context, with their whole mass; 1 keeps all
+CELL_BYTES = 16 << 20  # training text of one trie, on average
+WORD_FILE = 1 << 20  # words of one file of the first level, on average
+BLOCK_TOKENS = 2_000_000  # tokens that a counting task gathers before it sends counts; their numbers fit in 21 bits
 SCORED_BYTES = 6_000_000  # texts that are scored at once
-SUCCESSOR_BITS = 40  # of a successor's hash; a context's successors are told apart by them
+SUCCESSOR_BITS = 40  # of a successor's hash: n successors of a context hide a foreign word with chance n / 2**40
 END, BEGIN = b"\n", b"\r"  # no word holds white space
 
 
 # ---------------------------------------------------------------- Elias-Fano code
 class EliasFano:
-    """A monotone sequence: low bits packed, high bits in unary; next(x) and get(i) without decoding the rest."""
+    """A monotone sequence: low bits packed, high bits in unary with the number of ones and zeros before each word.
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray) -> None:
-        """low: packed uint64 words; high: unary high parts, uint64 words. Both may be memory-mapped."""
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        ones = np.bitwise_count(high).astype(np.int64)
-        self.ones = np.concatenate([[0], np.cumsum(ones)])
-        self.nulls = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
+    get(i) and find(x) read a few words each; nothing is built when a file is opened, all five arrays may be memory-mapped.
+    """
+
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray, nulls: np.ndarray) -> None:
+        """low: packed uint64 words; high: unary high parts, uint64 words; ones, nulls: uint32, one more than high has words."""
+        self.n, self.low_bits, self.low, self.high, self.ones, self.nulls = n, low_bits, low, high, ones, nulls
 
     @staticmethod
-    def parts(values: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray]:
+    def parts(values: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         n = len(values)
         top = int(values[-1]) if n else 0
         low_bits = max(0, (top // max(n, 1)).bit_length() - 1)
@@ -54,8 +56,13 @@ class EliasFano:
             np.bitwise_or.at(low, word, rest << shift)
             over = (at & 63) + low_bits > 64
             np.bitwise_or.at(low, word[over] + 1, rest[over] >> (np.uint64(64) - shift[over]))
-        return n, low_bits, low, high
+        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high).astype(np.int64))])
+        nulls = np.arange(len(ones), dtype=np.int64) * 64 - ones
+        return n, low_bits, low, high, ones.astype(np.uint32), nulls.astype(np.uint32)
 
+    @classmethod
+    def of(cls, values: np.ndarray) -> EliasFano:
+        return cls(*cls.parts(np.asarray(values)))
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
             return np.zeros(len(i), np.uint64)
@@ -81,12 +88,12 @@ class EliasFano:
         return at
 
     def _select1(self, i: np.ndarray) -> np.ndarray:
-        word = np.searchsorted(self.ones, i, "right") - 1
-        return word * 64 + self._bit(np.asarray(self.high[word]), i - self.ones[word])
+        word = np.searchsorted(self.ones, i.astype(np.uint32), "right") - 1
+        return word * 64 + self._bit(np.asarray(self.high[word]), i - self.ones[word].astype(np.int64))
 
     def _select0(self, i: np.ndarray) -> np.ndarray:
-        word = np.searchsorted(self.nulls, i, "right") - 1
-        return word * 64 + self._bit(~np.asarray(self.high[word]), i - self.nulls[word])
+        word = np.searchsorted(self.nulls, i.astype(np.uint32), "right") - 1
+        return word * 64 + self._bit(~np.asarray(self.high[word]), i - self.nulls[word].astype(np.int64))
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """Values at positions."""
@@ -101,7 +108,7 @@ class EliasFano:
         x = np.asarray(x, np.uint64)
         part = (x >> np.uint64(self.low_bits)).astype(np.int64)
         out = np.full(len(x), -1, np.int64)
-        live = np.flatnonzero(part < self.nulls[-1])
+        live = np.flatnonzero(part < int(self.nulls[-1]))
         p = part[live]
         bit = np.zeros(len(live), np.int64)  # where the ones of this high part begin
         later = p > 0
@@ -132,175 +139,253 @@ class EliasFano:
         return out
 
 
-# ---------------------------------------------------------------- one trie
-class Trie:
-    """Level 1: hashes of words with exact counts and the mass of their stored successors. Level 2: successors.
+# ---------------------------------------------------------------- files of arrays
+def packed(arrays: list[np.ndarray], sequences: list[np.ndarray]) -> bytes:
+    """A file of arrays and of increasing sequences in Elias-Fano code, each at a multiple of eight bytes."""
+    flat, numbers = [], []
+    for seq in sequences:
+        n, low_bits, *words = EliasFano.parts(seq)
+        numbers += [n, low_bits]
+        flat += words
+    flat += arrays
+    head = struct.pack(f"<{2 + len(numbers) + len(flat)}q", len(sequences), len(arrays), *numbers, *(x.nbytes for x in flat))
+    out = [b"EFT2\0\0\0\0", head]
+    for x in flat:
+        out += [x.tobytes(), bytes(-x.nbytes % 8)]
+    return b"".join(out)
+
+
+def unpacked(data: np.ndarray, kinds: list[type]) -> tuple[list[EliasFano], list[np.ndarray]]:
+    """Sequences and arrays of the given kinds as views of a file's bytes, which may be a memory map."""
+    data = np.asarray(data)
+    m, k = struct.unpack_from("<qq", data, 8)
+    numbers = struct.unpack_from(f"<{2 * m + 4 * m + k}q", data, 24)
+    at, views = 24 + 8 * len(numbers), []
+    for size in numbers[2 * m :]:
+        views.append(data[at : at + size])
+        at += size + (-size % 8)
+    sequences = []
+    for i in range(m):
+        low, high, ones, nulls = views[4 * i : 4 * i + 4]
+        sequences.append(EliasFano(numbers[2 * i], numbers[2 * i + 1], low.view(np.uint64), high.view(np.uint64), ones.view(np.uint32), nulls.view(np.uint32)))
+    return sequences, [v.view(t) for v, t in zip(views[4 * m :], kinds)]
 
-    A word's successors are hashes made relative to the end of the word before, so that the whole level
-    is one increasing sequence; pointers give each word's part of it. Counts of level 2 are one byte, on a
-    logarithmic scale.
-    """
 
-    def __init__(self, words: EliasFano, counts: np.ndarray, mass: np.ndarray, pointers: EliasFano, successors: EliasFano, codes: np.ndarray) -> None:
-        self.words, self.counts, self.mass, self.pointers, self.successors, self.codes = words, counts, mass, pointers, successors, codes
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Number of each word hash, -1 if unknown."""
-        if not self.words.n:
-            return np.full(len(hashes), -1, np.int64)
-        zero = np.zeros(len(hashes), np.int64)
-        return self.words.find(hashes, zero, zero + self.words.n)
-
-    def discounted(self, number: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """Stored discounted count of (word number, successor hash); 0 if not stored."""
-        out = np.zeros(len(number))
-        if not self.successors.n:
-            return out
-        begin, end = self.pointers.get(number).astype(np.int64), self.pointers.get(number + 1).astype(np.int64)
-        some = np.flatnonzero(begin < end)
-        if len(some):
-            b, e = begin[some], end[some]
-            base = np.where(b > 0, self.successors.get(np.maximum(b - 1, 0)), 0).astype(np.uint64)
-            at = self.successors.find(base + relative(successor[some]), b, e)
-            hit = at >= 0
-            out[some[hit]] = count_of(self.codes[at[hit]])
-        return out
+# ---------------------------------------------------------------- probabilities of one byte, rests of two
+_STEPS = np.r_[np.exp2(-np.arange(255) / 8), 0.0]
 
 
-def relative(hashes: np.ndarray) -> np.ndarray:
-    """A successor's number within a context, from 1 on."""
-    return (hashes >> np.uint64(64 - SUCCESSOR_BITS)) + np.uint64(1)
+def code_of(p: np.ndarray) -> np.ndarray:
+    """The code of the greatest step, an eighth of an octave apart, that is not above p; 255 stands for 0."""
+    with np.errstate(divide="ignore"):
+        return np.minimum(np.ceil(-np.log2(p) * 8 - 1e-9), 255).astype(np.uint8)
 
 
-_STEPS = np.exp(np.arange(256) * (np.log(2.0) / 8)) * (LEAST_COUNT - DISCOUNT)
+def probability(codes: np.ndarray) -> np.ndarray:
+    return _STEPS[codes]
 
 
-def code_of(counts: np.ndarray) -> np.ndarray:
-    """Code of the greatest step that is not above the discounted count."""
-    return np.minimum(np.searchsorted(_STEPS, counts - DISCOUNT + 1e-9, "right") - 1, 255).astype(np.uint8)
+def rest_code(rest: np.ndarray) -> np.ndarray:
+    """What a context leaves to the shorter one, in 65 535ths."""
+    return np.rint(np.clip(rest, 0, 1) * 65535).astype(np.uint16)
 
 
-def count_of(codes: np.ndarray) -> np.ndarray:
-    return _STEPS[codes]
+# ---------------------------------------------------------------- one trie
+def relative(hashes: np.ndarray) -> np.ndarray:
+    """A successor's number within a context, from 1 on."""
+    return (hashes >> np.uint64(64 - SUCCESSOR_BITS)) + np.uint64(1)
 
 
-def trie_bytes(words: np.ndarray, counts: np.ndarray, context: np.ndarray, successor: np.ndarray, pair_counts: np.ndarray) -> bytes:
-    """A trie's file. words: sorted hashes; context, successor: hashes of stored bigrams, sorted by both; contexts are words."""
-    number = np.searchsorted(words, context)
-    codes = code_of(pair_counts)
-    mass = np.bincount(number, weights=count_of(codes), minlength=len(words))
-    pointers = np.concatenate([[0], np.cumsum(np.bincount(number, minlength=len(words)))]).astype(np.int64)
-    rel = relative(successor)
-    first = np.flatnonzero(np.r_[True, number[1:] != number[:-1]]) if len(number) else np.empty(0, np.int64)
-    ends = rel[np.r_[first[1:], len(number)] - 1] if len(number) else rel
-    base = np.concatenate([[0], np.cumsum(ends, dtype=np.uint64)[:-1]]).astype(np.uint64) if len(number) else rel
-    increasing = rel + np.repeat(base, np.diff(np.r_[first, len(number)]))
-    out = [b"EFT1"]
-    for seq in (words, pointers, increasing):
-        n, low_bits, low, high = EliasFano.parts(seq)
-        out += [struct.pack("<qqqq", n, low_bits, len(low), len(high)), low.tobytes(), high.tobytes()]
-    out += [struct.pack("<q", len(words)), counts.astype("<i8").tobytes(), mass.astype("<f8").tobytes(), codes.tobytes()]
-    return b"    ".join(out[:1]) + b"    " + b"".join(out[1:])
-
-
-def trie_of(data: np.ndarray) -> Trie:
-    """A trie over the bytes of its file, which may be a memory map: arrays are views of it."""
-    data = np.asarray(data)
-    at = 8
-    sequences = []
-    for _ in range(3):
-        n, low_bits, a, b = struct.unpack_from("<qqqq", data, at)
-        at += 32
-        low = data[at : at + 8 * a].view(np.uint64)
-        high = data[at + 8 * a : at + 8 * (a + b)].view(np.uint64)
-        sequences.append(EliasFano(n, low_bits, low, high))
-        at += 8 * (a + b)
-    (n,) = struct.unpack_from("<q", data, at)
-    at += 8
-    counts, mass = data[at : at + 8 * n].view(np.int64), data[at + 8 * n : at + 16 * n].view(np.float64)
-    return Trie(sequences[0], counts, mass, sequences[1], sequences[2], data[at + 16 * n :])
+def increasing(rel: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Numbers within contexts made relative to the end of the context before, so that the level is one increasing sequence."""
+    if not len(rel):
+        return rel
+    last = rel[np.cumsum(sizes)[sizes > 0] - 1]
+    total = np.cumsum(last, dtype=np.uint64)
+    if (total[1:] < total[:-1]).any():
+        raise OverflowError("a trie holds too many contexts; make CELL_BYTES smaller")
+    return rel + np.repeat(np.r_[np.zeros(1, np.uint64), total[:-1]], sizes[sizes > 0])
 
 
-def segment_of(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - SEGMENTS_LOG2)).astype(np.int64)
+class Trie:
+    """Words u; their successors v; the successors w of (u, v).
 
+    Each level is one increasing sequence, monotone pointers give a context's part of it. A bigram has the byte code of its
+    discounted share of u's tokens in this trie, of which the first level has the exact number; a trigram that of its
+    discounted share of (u, v); a context (u, v) has the share that it leaves to v.
+    """
 
-# ---------------------------------------------------------------- counting
-def held_out(doc_id: Column) -> Column:
-    """Null ids have no remainder and are trained on."""
-    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
+    KINDS = [np.uint8, np.uint16, np.uint8]
 
+    def __init__(self, data: np.ndarray) -> None:
+        (self.words, self.totals, self.pointers, self.seconds, self.pointers3, self.thirds), (self.codes, self.rests, self.codes3) = unpacked(data, self.KINDS)
 
-def numbered(data: bytes, number: Numbering) -> np.ndarray:
-    """Numbers of BEGIN, the words and END of a text."""
-    words = lower_words(data)
-    return np.fromiter(map(number.__getitem__, (BEGIN, *words, END)), np.int64, len(words) + 2)
+    @staticmethod
+    def _within(pointers: EliasFano, level: EliasFano, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
+        """Place in the level of each (context, successor hash); -1 if not there."""
+        out = np.full(len(context), -1, np.int64)
+        begin, end = pointers.get(context).astype(np.int64), pointers.get(context + 1).astype(np.int64)
+        some = np.flatnonzero(begin < end)
+        if len(some):
+            b, e = begin[some], end[some]
+            base = np.where(b > 0, level.get(np.maximum(b - 1, 0)), np.uint64(0)).astype(np.uint64)
+            with np.errstate(over="ignore"):
+                out[some] = level.find(base + relative(successor[some]), b, e)
+        return out
 
+    def bigrams(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of (u, v) in the second level or -1, its discounted count) of hashes."""
+        at, count = np.full(len(u), -1, np.int64), np.zeros(len(u))
+        if self.words.n:
+            zero = np.zeros(len(u), np.int64)
+            word = self.words.find(u, zero, zero + self.words.n)
+            known = np.flatnonzero(word >= 0)
+            place = self._within(self.pointers, self.seconds, word[known], v[known])
+            at[known] = place
+            hit = known[place >= 0]
+            total = (self.totals.get(word[hit] + 1) - self.totals.get(word[hit])).astype(np.float64)
+            count[hit] = probability(self.codes[at[hit]]) * total
+        return at, count
+
+    def trigrams(self, context: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Discounted probability of w after each context, a place in the second level; 0 if not stored."""
+        out = np.zeros(len(context))
+        if self.thirds.n:
+            at = self._within(self.pointers3, self.thirds, context, w)
+            out[at >= 0] = probability(self.codes3[at[at >= 0]])
+        return out
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """word (hash), n of all training tokens; BEGIN is counted too, as the context of first words."""
 
-    def of(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+def groups(*keys: np.ndarray) -> np.ndarray:
+    """Where a new group of equal keys begins."""
+    if not len(keys[0]):
+        return np.empty(0, np.int64)
+    new = np.zeros(len(keys[0]), bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def trie_bytes(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray, least: tuple[int, int] = LEAST_COUNTS) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """(file, words, their tokens, their stored mass in 2**-20 tokens) of counted trigrams, distinct and sorted; w = 0 stands for none."""
+    first2 = groups(u, v)
+    u2, v2, n2 = u[first2], v[first2], np.add.reduceat(n, first2) if len(n) else n
+    number2 = np.cumsum(np.isin(np.arange(len(u)), first2, assume_unique=True)) - 1 if len(u) else np.empty(0, np.int64)
+    first1 = groups(u2)
+    words, totals = u2[first1], np.add.reduceat(n2, first1) if len(n2) else n2
+    number1 = np.repeat(np.arange(len(words)), np.diff(np.r_[first1, len(u2)])) if len(u2) else np.empty(0, np.int64)
+    kept2 = n2 >= least[0]
+    kept3 = (w != 0) & (n >= least[1]) & kept2[number2] if len(u) else np.empty(0, bool)
+    codes3 = code_of((n[kept3] - DISCOUNT) / n2[number2[kept3]])
+    rests = rest_code(1 - np.bincount(number2[kept3], weights=probability(codes3), minlength=len(u2)))[kept2]
+    codes = code_of((n2[kept2] - DISCOUNT) / totals[number1[kept2]])
+    mass = np.bincount(number1[kept2], weights=probability(codes), minlength=len(words)) * totals
+    sizes2 = np.bincount(number1[kept2], minlength=len(words))
+    place = np.cumsum(kept2) - 1
+    sizes3 = np.bincount(place[number2[kept3]], minlength=int(kept2.sum()))
+    edges = lambda sizes: np.r_[0, np.cumsum(sizes)].astype(np.int64)
+    sequences = [words, edges(totals), edges(sizes2), increasing(relative(v2[kept2]), sizes2), edges(sizes3), increasing(relative(w[kept3]), sizes3)]
+    return packed([codes, rests, codes3], sequences), words, totals, np.rint(mass * (1 << 20)).astype(np.int64)
 
-        number, counts = Numbering(), np.zeros(0, np.int64)
 
-        def flushed():
-            nonlocal number, counts
-            out = pa.RecordBatch.from_arrays([pa.array(number.hashes().view(np.int64)), pa.array(counts)], ["word", "n"])
-            number, counts = Numbering(), np.zeros(0, np.int64)
-            return out
+# ---------------------------------------------------------------- counting
+_CUT = np.uint64((1 << 64) - (1 << (64 - SUCCESSOR_BITS)))
+_TAIL = SUCCESSOR_BITS // 8
 
-        for batch in batches:
-            ids = [numbered(x, number) for x in texts_of(batch)]
-            if ids:
-                add = np.bincount(np.concatenate(ids), minlength=len(number))
-                add[: len(counts)] += counts
-                counts = add
-            if len(number) > 400_000:
-                yield flushed()
-        if len(number):
-            yield flushed()
 
-    return texts.mapInArrow(of, "word long, n long").groupBy("word").agg(F.sum("n").cast("long").alias("n"))
+class Grid:
+    """Tries by the leading bits of the first word's hash (rows) and of the second's (columns): a word's contexts are spread over a row."""
 
+    def __init__(self, bits: int) -> None:
+        self.columns = max(1, bits // 2)
+        self.rows = max(1, bits - self.columns)
 
-def pairs_packed(context: np.ndarray, successor: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted bigrams of hashes: distinct contexts and how many successors each has, successors' leading bytes, counts."""
-    first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
-    sizes = np.diff(np.r_[first, len(context)])
-    tail = successor.astype(">u8").view(np.uint8).reshape(-1, 8)[:, : SUCCESSOR_BITS // 8]
-    rest = zlib.compress(sizes.astype(np.uint32).tobytes() + np.minimum(counts, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)
-    return struct.pack("<qq", len(first), len(context)) + context[first].tobytes() + tail.tobytes() + rest
+    @property
+    def size(self) -> int:
+        return 1 << (self.rows + self.columns)
 
+    def cell(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            column = ((v & _CUT) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.columns)
+        return ((u >> np.uint64(64 - self.rows)) << np.uint64(self.columns) | column).astype(np.int64)
 
-def pairs_unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    contexts, n = struct.unpack_from("<qq", data, 0)
-    at = 16
-    context = np.frombuffer(data, np.uint64, contexts, at)
-    at += 8 * contexts
-    width = SUCCESSOR_BITS // 8
-    wide = np.zeros((n, 8), np.uint8)
-    wide[:, :width] = np.frombuffer(data, np.uint8, n * width, at).reshape(n, width)
-    rest = np.frombuffer(zlib.decompress(data[at + n * width :]), np.uint32)
-    return np.repeat(context, rest[:contexts]), wide.view(">u8").ravel().astype(np.uint64), rest[contexts:].astype(np.int64)
 
+def held_out(doc_id: Column) -> Column:
+    """Null ids have no remainder and are trained on."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
 
-def merged(context: np.ndarray, successor: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Equal bigrams summed, sorted by context and successor."""
-    order = np.lexsort((successor, context))
-    context, successor, counts = context[order], successor[order], counts[order]
-    first = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (successor[1:] != successor[:-1])]) if len(context) else np.empty(0, np.int64)
-    return context[first], successor[first], np.add.reduceat(counts, first) if len(first) else counts
 
+def numbered(data: bytes, number: Numbering) -> np.ndarray:
+    """Numbers of BEGIN, the words and END of a text."""
+    words = lower_words(data)
+    return np.fromiter(map(number.__getitem__, (BEGIN, *words, END)), np.int64, len(words) + 2)
 
-def pair_counts(texts: DataFrame, parts: int) -> DataFrame:
-    """context, successor, n of training bigrams seen LEAST_COUNT times or more; exact sums over all texts.
 
-    Bigrams are summed per task, then sent packed, about 8 bytes each, to one of `parts` parts by
-    the hashes of both words: a frequent context is spread over all parts.
-    """
-    cut = np.uint64((1 << 64) - (1 << (64 - SUCCESSOR_BITS)))
+def tails(hashes: np.ndarray) -> np.ndarray:
+    """Hashes cut to SUCCESSOR_BITS, 0 kept for `none`."""
+    cut = hashes & _CUT
+    return np.where(cut == 0, np.uint64(1 << (64 - SUCCESSOR_BITS)), cut)
+
+
+def trigrams_packed(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted trigrams: distinct first words, distinct seconds of each, thirds of each pair, and counts."""
+    two, one = groups(u, v), groups(u)
+    lead = lambda x: x.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :_TAIL].tobytes()
+    seconds = np.diff(np.r_[np.searchsorted(two, one), len(two)])
+    thirds = np.diff(np.r_[two, len(u)])
+    rest = zlib.compress(np.concatenate([seconds, thirds, np.minimum(n, 0xFFFFFFFF)]).astype(np.uint32).tobytes(), 1)
+    return struct.pack("<qqq", len(one), len(two), len(u)) + u[one].tobytes() + lead(v[two]) + lead(w) + rest
+
+
+def trigrams_unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    ones, twos, n = struct.unpack_from("<qqq", data, 0)
+    at = 24
+    u = np.frombuffer(data, np.uint64, ones, at)
+    at += 8 * ones
+
+    def whole(count: int) -> np.ndarray:
+        nonlocal at
+        wide = np.zeros((count, 8), np.uint8)
+        wide[:, :_TAIL] = np.frombuffer(data, np.uint8, count * _TAIL, at).reshape(count, _TAIL)
+        at += count * _TAIL
+        return wide.view(">u8").ravel().astype(np.uint64)
+
+    v, w = whole(twos), whole(n)
+    rest = np.frombuffer(zlib.decompress(data[at:]), np.uint32)
+    thirds = rest[ones : ones + twos]
+    return np.repeat(np.repeat(u, rest[:ones]), thirds), np.repeat(v, thirds), w, rest[ones + twos :].astype(np.int64)
+
+
+def merged(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Equal trigrams summed, sorted."""
+    order = np.lexsort((w, v, u))
+    u, v, w, n = u[order], v[order], w[order], n[order]
+    first = groups(u, v, w)
+    return u[first], v[first], w[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def counted(ids: np.ndarray, number: Numbering) -> tuple[np.ndarray, ...]:
+    """Distinct trigrams (hashes u, v, w) of consecutive texts and their counts; after an END stands none, so that every bigram counts."""
+    begin, end = number[BEGIN], number[END]
+    last = len(number)  # stands for none
+    third = np.r_[ids[2:], last]
+    u, v, w = ids[:-1], ids[1:], np.where(ids[1:] == end, last, third)
+    real = v != begin
+    u, v, w = u[real], v[real], w[real]
+    if last < 1 << 21:
+        keys, n = np.unique((u.astype(np.uint64) << np.uint64(42)) | (v.astype(np.uint64) << np.uint64(21)) | w.astype(np.uint64), return_counts=True)
+        low = np.uint64((1 << 21) - 1)
+        u, v, w = (x.astype(np.int64) for x in (keys >> np.uint64(42), keys >> np.uint64(21) & low, keys & low))
+    else:
+        u, v, w, n = merged(u, v, w, np.ones(len(u), np.int64))
+    hashes = number.hashes()
+    cut = np.r_[tails(hashes), np.uint64(0)]
+    return hashes[u], cut[v], cut[w], n
+
+
+def trigram_blocks(texts: DataFrame, grid: Grid) -> DataFrame:
+    """cell, trigrams: counts of the training texts, summed per task and sent packed, about 8 bytes a token, to the trie of their first two words."""
 
     def sent(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -309,20 +394,14 @@ def pair_counts(texts: DataFrame, parts: int) -> DataFrame:
 
         def flushed():
             nonlocal number, held, n
-            ids = np.concatenate(held)
-            start = ids == number[BEGIN]
-            keys = (ids[:-1].astype(np.uint64) << np.uint64(32) | ids[1:].astype(np.uint64))[~start[1:]]
-            keys, counts = np.unique(keys, return_counts=True)
-            hashes = number.hashes()
-            context, successor = hashes[(keys >> np.uint64(32)).astype(np.int64)], hashes[(keys & np.uint64(0xFFFFFFFF)).astype(np.int64)] & cut
-            with np.errstate(over="ignore"):
-                part = (((context ^ successor >> np.uint64(17)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts
-            order = np.lexsort((successor, context, part))
-            context, successor, counts, part = context[order], successor[order], counts[order], part[order]
-            edges = np.searchsorted(part, np.arange(parts + 1))
-            rows = [(p, pairs_packed(context[a:b], successor[a:b], counts[a:b])) for p, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+            u, v, w, c = counted(np.concatenate(held), number)
+            cell = grid.cell(u, v)
+            order = np.lexsort((w, v, u, cell))
+            u, v, w, c, cell = u[order], v[order], w[order], c[order], cell[order]
+            edges = np.r_[groups(cell), len(cell)]
+            rows = [(int(cell[a]), trigrams_packed(u[a:b], v[a:b], w[a:b], c[a:b])) for a, b in zip(edges, edges[1:])]
             number, held, n = Numbering(), [], 0
-            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["part", "pairs"])
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["cell", "trigrams"])
 
         for batch in batches:
             for data in texts_of(batch):
@@ -333,189 +412,237 @@ def pair_counts(texts: DataFrame, parts: int) -> DataFrame:
         if held:
             yield flushed()
 
-    def summed(batches: Iterator) -> Iterator:
+    return texts.mapInArrow(sent, "cell int, trigrams binary")
+
+
+def write_tries(blocks: DataFrame, grid: Grid, folder: str, least: tuple[int, int]) -> DataFrame:
+    """word, n, mass of the tries' first levels, and a row (cell) for each trie written.
+
+    A task merges the blocks of one trie at a time. An attempt writes under a name of its own and then moves the file into
+    place; all attempts make the same bytes.
+    """
+
+    def of(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def out(rows: list[bytes]):
-            context, successor, n = merged(*map(np.concatenate, zip(*map(pairs_unpacked, rows))))
-            keep = n >= LEAST_COUNT
-            return pa.RecordBatch.from_arrays([pa.array(x[keep].view(np.int64)) for x in (context, successor, n)], ["context", "successor", "n"])
+        now, held = None, []
+
+        def written():
+            data, words, totals, mass = trie_bytes(*merged(*map(np.concatenate, zip(*map(trigrams_unpacked, held)))), least)
+            put(folder, f"cell-{now:08d}", data)
+            cells = pa.array([now] + [None] * len(words), pa.int32())
+            columns = [pa.array(np.r_[np.zeros(1, x.dtype), x].view(np.int64)) for x in (words, totals, mass)]
+            return pa.RecordBatch.from_arrays([cells, *columns], ["cell", "word", "n", "mass"])
 
-        now, rows = None, []
         for batch in batches:
-            for part, data in zip(batch.column("part").to_pylist(), batch.column("pairs").to_pylist()):
-                if part != now and rows:
-                    yield out(rows)
-                    rows = []
-                now = part
-                rows.append(data)
-        if rows:
-            yield out(rows)
-
-    packed = texts.mapInArrow(sent, "part int, pairs binary")
-    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(summed, "context long, successor long, n long")
-
-
-# ---------------------------------------------------------------- building and asking
-def write_tries(words: DataFrame, pairs: DataFrame, folder: str) -> DataFrame:
-    """segment, path: a trie per range of context hashes. A task's attempts write under names of their own."""
-    top = lambda c: F.shiftrightunsigned(F.col(c), 64 - SEGMENTS_LOG2).cast("int").alias("segment")
-    flag = F.lit(0).cast("long")
-    rows = words.select(top("word"), F.col("word").alias("context"), flag.alias("successor"), "n", F.lit(True).alias("word"))
-    rows = rows.unionByName(pairs.select(top("context"), "context", "successor", "n", F.lit(False).alias("word")))
+            for cell, block in zip(batch.column("cell").to_pylist(), batch.column("trigrams").to_pylist()):
+                if cell != now and held:
+                    yield written()
+                    held = []
+                now = cell
+                held.append(block)
+        if held:
+            yield written()
+
+    return blocks.repartition(min(grid.size, 10_000), "cell").sortWithinPartitions("cell").mapInArrow(of, "cell int, word long, n long, mass long")
+
+
+def write_words(words: DataFrame, bits: int, folder: str) -> list[int]:
+    """Files of the words whose hashes begin alike: hashes and running counts in Elias-Fano code, the share each leaves to the unigrams."""
 
     def of(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        from pyarrow import fs
 
-        store, base = fs.FileSystem.from_uri(folder)
-        store.create_dir(base, recursive=True)
-        segments, names = [], []
-        now, held = None, []
+        now, held, names = None, [], []
 
         def written():
-            context, successor, n, word = (np.concatenate(x) for x in zip(*held))
-            context, successor = context.view(np.uint64), successor.view(np.uint64)
-            order = np.argsort(context[word], kind="stable")
-            w, c = context[word][order], n[word][order]
-            pc, ps, pn = merged(context[~word], successor[~word], n[~word])
-            name = f"{base}/trie-{now:04d}-{uuid.uuid4().hex}"
-            with store.open_output_stream(name) as f:
-                f.write(trie_bytes(w, c, pc, ps, pn))
-            segments.append(now)
-            names.append(name)
+            word, n, mass = (np.concatenate(x) for x in zip(*held))
+            word = word.view(np.uint64)
+            order = np.argsort(word)
+            word, n, mass = word[order], n[order], mass[order]
+            put(folder, f"words-{now:08d}", packed([rest_code(1 - mass / (1 << 20) / n)], [word, np.r_[0, np.cumsum(n)]]))
+            names.append(now)
 
         for batch in batches:
-            seg = batch.column("segment").to_numpy()
-            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("context", "successor", "n", "word")]
-            edges = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1], True]) if len(seg) else []
-            for a, b in zip(edges[:-1], edges[1:]):
-                if seg[a] != now and held:
+            part = batch.column("part").to_numpy()
+            columns = [batch.column(c).to_numpy() for c in ("word", "n", "mass")]
+            edges = np.r_[groups(part), len(part)]
+            for a, b in zip(edges, edges[1:]):
+                if part[a] != now and held:
                     written()
                     held = []
-                now = int(seg[a])
+                now = int(part[a])
                 held.append([x[a:b] for x in columns])
         if held:
             written()
-        yield pa.RecordBatch.from_arrays([pa.array(segments, pa.int32()), pa.array(names, pa.string())], ["segment", "path"])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32())], ["part"])
+
+    part = F.shiftrightunsigned("word", 64 - bits).cast("int") if bits else F.lit(0)
+    rows = words.select(part.alias("part"), "word", "n", "mass").repartition(1 << bits, "part").sortWithinPartitions("part").mapInArrow(of, "part int")
+    return [r[0] for r in rows.collect()]  # 2**bits numbers at most
+
 
-    return rows.repartition("segment").sortWithinPartitions("segment").mapInArrow(of, "segment int, path string")
+# ---------------------------------------------------------------- files of the shared folder
+def put(folder: str, name: str, data: bytes) -> None:
+    from pyarrow import fs
 
+    store, base = fs.FileSystem.from_uri(folder)
+    store.create_dir(base, recursive=True)
+    own = f"{base}/.{name}-{uuid.uuid4().hex}"
+    with store.open_output_stream(own) as f:
+        f.write(data)
+    store.move(own, f"{base}/{name}")
 
-_open: dict[str, Trie] = {}
 
+_open: OrderedDict[str, object] = OrderedDict()
+MOST_MAPPED, MOST_READ = 4096, 16  # files that a worker holds open: mapped ones take no memory of its own
 
-def opened(folder: str, path: str) -> Trie:
-    """A trie of the shared folder: memory-mapped where that is a file system, read whole from other stores."""
-    if path not in _open:
-        if folder.startswith("file:") and os.path.exists(path):
-            data = np.memmap(path, np.uint8, "r")
-        else:
-            from pyarrow import fs
 
-            with fs.FileSystem.from_uri(folder)[0].open_input_file(path) as f:
-                data = np.frombuffer(f.read(), np.uint8)
-        _open[path] = trie_of(data)
+def opened(folder: str, name: str, kind):
+    """A file of the shared folder: memory-mapped where that is a file system, read whole from other stores; the longest unused are closed."""
+    path = f"{folder}/{name}"
+    if path in _open:
+        _open.move_to_end(path)
+        return _open[path]
+    local = path.removeprefix("file://").removeprefix("file:")
+    mapped = folder.startswith("file:") and os.path.exists(local)
+    if mapped:
+        data = np.memmap(local, np.uint8, "r")
+    else:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
+        with store.open_input_file(f"{base}/{name}") as f:
+            data = np.frombuffer(f.read(), np.uint8)
+    while len(_open) >= (MOST_MAPPED if mapped else MOST_READ):
+        _open.popitem(last=False)
+    _open[path] = kind(data)
     return _open[path]
 
 
+def word_file(data: np.ndarray) -> tuple[EliasFano, EliasFano, np.ndarray]:
+    (words, counts), (rests,) = unpacked(data, [np.uint16])
+    return words, counts, rests
+
+
 class Model:
-    """Tries by segment, and the totals of the training tokens."""
-
-    def __init__(self, folder: str, paths: dict[int, str], tokens: int, types: int) -> None:
-        self.folder, self.paths, self.tokens, self.types = folder, paths, tokens, types
-
-    def each(self, hashes: np.ndarray):
-        """(positions, trie) of each segment; hashes are sorted."""
-        edges = np.searchsorted(segment_of(hashes), np.arange((1 << SEGMENTS_LOG2) + 1))
-        for s in range(1 << SEGMENTS_LOG2):
-            if edges[s] < edges[s + 1] and s in self.paths:
-                yield np.arange(edges[s], edges[s + 1]), opened(self.folder, self.paths[s])
-
-    def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(count, mass of stored successors, number in its trie) of each word."""
-        count, mass, number = np.zeros(len(hashes), np.int64), np.zeros(len(hashes)), np.full(len(hashes), -1, np.int64)
-        for at, trie in self.each(hashes):
-            n = trie.find(hashes[at])
-            hit = n >= 0
-            number[at] = n
-            count[at[hit]] = trie.counts[n[hit]]
-            mass[at[hit]] = trie.mass[n[hit]]
-        return count, mass, number
-
-    def pairs(self, context: np.ndarray, number: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(context))
-        known = np.flatnonzero(number >= 0)
-        for at, trie in self.each(context[known]):
-            k = known[at]
-            out[k] = trie.discounted(number[k], successor[k])
-        return out
+    """Where the tries and the words are, which of them there are, and the totals of the training tokens."""
+
+    def __init__(self, folder: str, grid: Grid, cells: list[int], word_bits: int, parts: list[int], tokens: int, types: int) -> None:
+        self.folder, self.grid, self.word_bits, self.tokens, self.types = folder, grid, word_bits, tokens, types
+        self.there = self._bitmap(cells, grid.size)
+        self.parts = self._bitmap(parts, 1 << word_bits)
 
-    def scored(self, texts: list[bytes]) -> list[tuple[int, int, float, float]]:
-        """(tokens, known tokens, base score, score) of each text.
+    @staticmethod
+    def _bitmap(numbers: list[int], size: int) -> np.ndarray:
+        """A bit for each possible file; a missing file that should be there is an error."""
+        out = np.zeros(size, bool)
+        out[numbers] = True
+        return np.packbits(out)
 
-        p(w | v) = stored(v, w) / c(v) + (1 - stored mass of v / c(v)) * base(w), base the add-one unigram.
+    @staticmethod
+    def _in(bitmap: np.ndarray, number: int) -> bool:
+        return bool(bitmap[number >> 3] >> (7 - (number & 7)) & 1)
+
+    def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(count, share left to the unigrams) of each word; 0 and 1 if unknown. hashes are sorted."""
+        count, rest = np.zeros(len(hashes), np.int64), np.ones(len(hashes))
+        part = (hashes >> np.uint64(64 - self.word_bits)).astype(np.int64) if self.word_bits else np.zeros(len(hashes), np.int64)
+        edges = np.r_[groups(part), len(part)]
+        for a, b in zip(edges[:-1], edges[1:]):
+            if self._in(self.parts, int(part[a])):
+                words, counts, rests = opened(self.folder, f"words-{part[a]:08d}", word_file)
+                zero = np.zeros(b - a, np.int64)
+                at = words.find(hashes[a:b], zero, zero + words.n)
+                hit, at = np.flatnonzero(at >= 0) + a, at[at >= 0]
+                count[hit] = (counts.get(at + 1) - counts.get(at)).astype(np.int64)
+                rest[hit] = rests[at] / 65535
+        return count, rest
+
+    def scored(self, texts: list[bytes]) -> list[np.ndarray]:
+        """(tokens, known tokens, base score, score) of the texts, an array each.
+
+        p(w | u, v) = stored(u, v, w) + rest(u, v) * p(w | v), where (u, v) is stored, else p(w | v); p(w | v) = stored(v, w) +
+        rest(v) * base(w), where v is known, else base(w), the add-one unigram.
         """
         numbers = Numbering()
         ids = [numbered(x, numbers) for x in texts]
-        if not ids:
-            return []
         hashes = numbers.hashes()
-        order = np.argsort(hashes)  # words are renumbered by hash, so that lookups run through the tries in their order
+        order = np.argsort(hashes)  # words are renumbered by hash, so that lookups run through the files in their order
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        hashes, ids = hashes[order], [rank[x] for x in ids]
-        count, mass, number = self.words(hashes)
+        hashes, flat = hashes[order], rank[np.concatenate(ids)]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        begin, end = rank[numbers[BEGIN]], rank[numbers[END]]
+        count, rest = self.words(hashes)
         seen = count.copy()
-        seen[rank[numbers[BEGIN]]] = 0
+        seen[end], seen[begin] = count[begin], 0  # every text ends once; BEGIN is no token
         base = (seen + 1) / (self.tokens + self.types + 1)
-        log_base = np.log10(base)
-        flat = np.concatenate(ids)
-        keys = flat[:-1].astype(np.uint64) << np.uint64(32) | flat[1:].astype(np.uint64)
-        distinct, back = np.unique(keys, return_inverse=True)
-        v, w = (distinct >> np.uint64(32)).astype(np.int64), (distinct & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        cut = np.uint64((1 << 64) - (1 << (64 - SUCCESSOR_BITS)))
-        stored = self.pairs(hashes[v], number[v], hashes[w] & cut)
-        c = np.maximum(count[v], 1)
-        p = np.where(count[v] > 0, stored / c + (1 - mass[v] / c) * base[w], base[w])
-        log_p = np.concatenate([[0.0], np.log10(p)[back]])  # of each token after the one before it
-        out, at = [], 0
-        for x in ids:
-            own = x[1:]
-            out.append((len(own), int((seen[own] > 0).sum()), float(log_base[own].sum()), float(log_p[at + 1 : at + len(x)].sum())))
-            at += len(x)
-        return out
-
-
-def train(texts: DataFrame) -> Model:
-    """A bigram model of all the texts. Only totals and the paths of the tries reach the driver."""
+        cut = tails(hashes)
+
+        pairs, back = np.unique(flat[:-1].astype(np.uint64) << np.uint64(32) | flat[1:].astype(np.uint64), return_inverse=True)
+        u, v = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        place, stored, left = np.full(len(pairs), -1, np.int64), np.zeros(len(pairs)), np.ones(len(pairs))
+        cell = self.grid.cell(hashes[u], cut[v])
+        by_cell = np.argsort(cell, kind="stable")
+        edges = np.r_[groups(cell[by_cell]), len(cell)]
+        # a token's context is the pair before it; the first token has no such pair, its place in `third` is passed over
+        third = np.zeros(len(flat) - 1)
+        of_context = cell[back[:-1]]
+        by_context = np.argsort(of_context, kind="stable")
+        sorted_context = of_context[by_context]
+        for a, b in zip(edges[:-1], edges[1:]):
+            number = int(cell[by_cell[a]])
+            if not self._in(self.there, number):
+                continue
+            trie = opened(self.folder, f"cell-{number:08d}", Trie)
+            own = by_cell[a:b]
+            place[own], stored[own] = trie.bigrams(hashes[u[own]], cut[v[own]])
+            hit = own[place[own] >= 0]
+            left[hit] = trie.rests[place[hit]] / 65535
+            tokens = by_context[slice(*np.searchsorted(sorted_context, (number, number + 1)))]
+            tokens = tokens[place[back[tokens]] >= 0]
+            third[tokens + 1] = trie.trigrams(place[back[tokens]], cut[flat[tokens + 2]])
+        p2 = np.where(count[u] > 0, stored / np.maximum(count[u], 1) + rest[u] * base[v], base[v])[back]
+        p = p2.copy()
+        p[1:] = third[1:] + np.where(place[back[:-1]] >= 0, left[back[:-1]], 1.0) * p2[1:]
+        starts = np.r_[0, np.cumsum(lengths)[:-1]]  # of the texts in flat; flat[i + 1] is predicted at i
+        first = starts.copy()
+        p[first] = p2[first]
+        log_p, log_base, known = np.log10(np.r_[p, 1.0]), np.log10(base[np.r_[flat[1:], 0]]), np.r_[seen[flat[1:]] > 0, False].astype(np.int64)
+        for x in (log_p, log_base, known):
+            x[starts[1:] - 1] = 0  # BEGIN after the END before it is no token
+        log_base[-1] = 0
+        sums = [np.add.reduceat(x, starts) for x in (known, log_base, log_p)]
+        return [lengths - 1, *sums]
+
+
+def train(texts: DataFrame, least: tuple[int, int] = LEAST_COUNTS, cell_bytes: int = CELL_BYTES) -> Model:
+    """A trigram model of all the texts. Totals and one bit or number for each file reach the driver."""
     spark = texts.sparkSession
-    words = stash(word_counts(texts))
-    begin = int(hash_of(BEGIN))
-    tokens, types = words.where(F.col("word") != begin).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    parts = max(16, tokens // 1_000_000)
+    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    grid = Grid(max(2, (size // cell_bytes).bit_length()))
     folder = shared_dir(spark)
-    paths = {r[0]: r[1] for r in write_tries(words, pair_counts(texts, parts), folder).collect()}  # 2**SEGMENTS_LOG2 rows at most
-    return Model(folder, paths, tokens, types)
-
-
-def hash_of(word: bytes) -> np.int64:
-    import xxhash
-
-    return np.uint64(xxhash.xxh64_intdigest(word)).view(np.int64)
+    rows = stash(write_tries(trigram_blocks(texts, grid), grid, folder, least))
+    words = stash(rows.where("cell IS NULL").groupBy("word").agg(F.sum("n").alias("n"), F.sum("mass").alias("mass")))
+    cells = [r[0] for r in rows.where("cell IS NOT NULL").select("cell").collect()]
+    tokens, types = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()  # BEGIN stands for END, which is as frequent and no context
+    word_bits = (types // WORD_FILE).bit_length()
+    return Model(folder, grid, cells, word_bits, write_words(words, word_bits, folder), tokens, types)
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, least: tuple[int, int] = LEAST_COUNTS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text).
 
-    Learns from the rows that are not held out, all of them. Null and empty texts are the one end token.
-    Words are cut at ASCII white space, A-Z lower-cased. Without any training text all words are
-    unknown and the scores are of the uniform model. Extra columns are ignored.
+    Learns from the rows that are not held out, all of them; repeated rows count as often as they are there. Null and empty texts
+    are the one end token. Words are cut at ASCII white space, A-Z lower-cased. A very long text is counted and scored whole, by
+    one task. Without any training text all words are unknown and the scores are of the uniform model. Rows of equal texts get
+    equal scores. An empty table gives an empty one; extra columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    model = train(rows.where(~held_out(F.col("doc_id"))).select("text"))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    model = train(rows.where(~held_out(F.col("doc_id"))).select("text"), least)
 
     def of(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -523,23 +650,27 @@ def score_documents(docs: DataFrame) -> DataFrame:
         ids, texts, size = [], [], 0
 
         def flushed():
-            made = model.scored(texts)
-            n, known, base, score = zip(*made)
-            arrays = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())]
+            n, known, base, score = model.scored(texts)
+            arrays = [pa.concat_arrays(ids), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())]
             return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
         for batch in batches:
-            for doc, data in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
-                ids.append(doc)
+            begun = 0
+            made = texts_of(batch)
+            for i, data in enumerate(made, 1):
                 texts.append(data)
                 size += len(data)
                 if size >= SCORED_BYTES:  # words and bigrams that repeat within these texts are looked up once
+                    ids.append(batch.column("doc_id").slice(begun, i - begun))
                     yield flushed()
-                    ids, texts, size = [], [], 0
+                    ids, texts, size, begun = [], [], 0, i
+            if begun < len(made):
+                ids.append(batch.column("doc_id").slice(begun))
         if texts:
             yield flushed()
 
-    scored = rows.mapInArrow(of, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    kind = docs.select("doc_id").schema[0].dataType.simpleString()
+    scored = rows.mapInArrow(of, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
