@@ -15,6 +15,7 @@ QUERIES = {
     "op7_decontaminate": ("decontaminate", "op7_decontaminate", None),
     "op8_shard_documents": ("sharding", "op8_shard_documents", None),
     "op9_quality_rules": ("rules", "op9_quality_rules", "ORACLE"),
+    "rule_ablations": ("rules", "rule_ablations", "ABLATIONS"),
     "op10_token_files": ("token_files", "op10_token_files", None),
 }
 

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, table
+from .common import SPACE, stash, table
 
 #: Bit of each rule in a ledger's `failed`; a ledger stays readable while bits are only added.
-RULES = ("few_words", "repeated_words", "long_words", "short_words", "symbols", "repeated_lines")
+RULES = ("few_words", "repeated_words", "long_words", "short_words", "symbols", "repeated_lines", "bullets", "cut_lines")
 #: Named sets of rules that decide; every version remains available.
 POLICIES = {
     "base": ("few_words", "repeated_words"),
     "v1": ("few_words", "repeated_words", "long_words", "short_words", "symbols", "repeated_lines"),
+    "v2": ("few_words", "repeated_words", "long_words", "short_words", "symbols", "repeated_lines", "bullets", "cut_lines"),
 }
+VERSION = 2  # of RULES and their thresholds, told in every ledger row
 SYMBOLS = "#*$%&|<>"
 
 
@@ -45,7 +47,9 @@ def measured(docs: DataFrame) -> DataFrame:
         return let(placed, found)
 
     counted = let(words, lambda w: F.struct(F.size(w).alias("n_words"), in_repeats(w).alias("n_repeat_words")))
-    line_counts = let(lines, lambda x: F.struct(F.size(x).alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines")))
+    bullets = lambda x: F.size(F.filter(x, lambda v: F.substring(v, 1, 2).isin("- ", "* ", "\u2022 ")))
+    cut = lambda x: F.size(F.filter(x, lambda v: F.endswith(v, F.lit("...")) | F.endswith(v, F.lit("\u2026"))))
+    line_counts = let(lines, lambda x: F.struct(F.size(x).alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"), bullets(x).alias("n_bullets"), cut(x).alias("n_cut_lines")))
     length = F.length("__text")
     rows = base.select(
         "doc_id",
@@ -55,7 +59,7 @@ def measured(docs: DataFrame) -> DataFrame:
         (length - F.length(F.translate("__text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
     )
     long = lambda c: F.col(c).cast("long").alias(c.split(".")[-1])
-    return rows.select("doc_id", long("w.n_words"), "word_chars", "n_symbols", long("l.n_lines"), long("l.n_dup_lines"), long("w.n_repeat_words"))
+    return rows.select("doc_id", long("w.n_words"), "word_chars", "n_symbols", long("l.n_lines"), long("l.n_dup_lines"), long("l.n_bullets"), long("l.n_cut_lines"), long("w.n_repeat_words"))
 
 
 def failures() -> dict[str, Column]:
@@ -68,20 +72,22 @@ def failures() -> dict[str, Column]:
         "short_words": chars < n * 2,
         "symbols": F.col("n_symbols") * 100 > n * 30,
         "repeated_lines": F.col("n_dup_lines") * 100 > F.col("n_lines") * 60,
+        "bullets": F.col("n_bullets") * 100 > F.col("n_lines") * 90,
+        "cut_lines": F.col("n_cut_lines") * 100 > F.col("n_lines") * 30,
     }
 
 
 def ledger(docs: DataFrame) -> DataFrame:
-    """The measurements and `failed`: bit i is set if the row fails the rule RULES[i].
+    """The measurements, `failed`, in which bit i is set if the row fails the rule RULES[i], and the rules' `version`.
 
-    Every rule is evaluated once on every whole text. Null and empty texts have no words and fail
-    `few_words`. Repeated rows have a ledger row each; extra columns are ignored.
+    Every rule is evaluated once on every whole text, however long. Null and empty texts have no words and fail
+    `few_words`. Repeated rows have a ledger row each; extra columns are ignored. An empty table gives an empty ledger.
     """
     tests = failures()
     failed = F.lit(0).cast("long")
     for bit, name in enumerate(RULES):
         failed = failed.bitwiseOR(F.when(tests[name], F.lit(1 << bit)).otherwise(F.lit(0)).cast("long"))
-    return measured(docs).withColumn("failed", failed)
+    return measured(docs).withColumn("failed", failed).withColumn("version", F.lit(VERSION))
 
 
 def mask_of(policy: str) -> int:
@@ -111,11 +117,18 @@ def ablations(ledger_rows: DataFrame, policy: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = decide(decide(ledger(table(spark, sf_dir, "documents")), "base", "__base"), "v1")
+    """The ledger is stored; both policies are then read off its bits."""
+    stored = stash(ledger(table(spark, sf_dir, "documents")))
+    rows = decide(decide(stored, "base", "__base"), "v2")
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("__base")).alias("base_failed"), "kept", "failed")
 
 
-ORACLE = r"""
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy rejects, and rejects alone, by bit arithmetic on a stored ledger of all documents."""
+    return ablations(stash(ledger(table(spark, sf_dir, "documents"))), "v2")
+
+
+MEASURED = r"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
@@ -129,11 +142,19 @@ m AS (
     CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+    len(list_filter(ls, lambda x: x[1:2] IN ('- ', '* ', chr(8226) || ' '))) AS n_bullets, len(list_filter(ls, lambda x: ends_with(x, '...') OR ends_with(x, chr(8230)))) AS n_cut,
     CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
   FROM w LEFT JOIN rep USING (doc_id)),
 f AS (
   SELECT *, CAST((n_words < 50)::INT + 2 * (n_repeat_words * 100 > n_words * 50)::INT + 4 * (word_chars > n_words * 15)::INT
-    + 8 * (word_chars < n_words * 2)::INT + 16 * (n_symbols * 100 > n_words * 30)::INT + 32 * (n_dup_lines * 100 > n_lines * 60)::INT AS BIGINT) AS failed
+    + 8 * (word_chars < n_words * 2)::INT + 16 * (n_symbols * 100 > n_words * 30)::INT + 32 * (n_dup_lines * 100 > n_lines * 60)::INT
+    + 64 * (n_bullets * 100 > n_lines * 90)::INT + 128 * (n_cut * 100 > n_lines * 30)::INT AS BIGINT) AS failed
   FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM f
 """
+
+ORACLE = MEASURED + """SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM f
+"""
+
+ABLATIONS = MEASURED + ", ".join(f"({1 << i}, '{r}')" for i, r in enumerate(RULES)).join(
+    (", r(bit, rule) AS (VALUES ", ") SELECT rule, CAST(count(*) FILTER (WHERE failed & bit <> 0) AS BIGINT) AS failed_rows, CAST(count(*) FILTER (WHERE failed = bit) AS BIGINT) AS only_this_rule FROM f, r GROUP BY rule")
+)
