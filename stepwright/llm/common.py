@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import xxhash
@@ -90,22 +90,31 @@ def running(df: DataFrame, group: list[str], order: list[str], value: str, out:
     return parted.withColumn("__inside", inside).join(right, on).select(*kept, (F.col("__inside") + F.col("__before")).alias(out))
 
 
-def join_hot(rows: DataFrame, key: str, right: DataFrame, right_key: str, how: str = "inner") -> DataFrame:
+def join_hot(rows: DataFrame, keys: list[str], right: DataFrame, right_keys: list[str], counts: DataFrame | None = None) -> DataFrame:
     """rows joined to right, which has one row per key; keys with very many rows do not meet in one task.
 
     Hot keys have more than half a shuffle partition's rows (1000 at least), so there are at most two per partition: a
-    bounded list, which is sent along with their rows of `right`. All others are shuffled. rows should be a written table.
+    bounded list, which is sent along with their rows of `right`. All others are shuffled. rows should be a written table,
+    unless `counts` (keys, n_rows) tells how many rows each key has.
     """
-    spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    least = max(1000, rows.count() // (2 * parts))
-    hot = stash(rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > least).select(F.col(key).alias("__hot")))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if counts is None:
+        counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+        total = rows.count()
+    else:
+        total = counts.agg(F.sum("n_rows")).first()[0] or 0
+    names = [f"__hot{i}" for i in range(len(keys))]
+    hot = stash(counts.where(F.col("n_rows") > max(1000, total // (2 * parts))).select(*[F.col(k).alias(c) for k, c in zip(keys, names)]))
+
+    def equal(a: list[str], b: list[str]) -> Column:
+        return reduce(lambda x, y: x & y, [F.col(p) == F.col(q) for p, q in zip(a, b)])
+
     if hot.isEmpty():
-        return rows.join(right, F.col(key) == F.col(right_key), how)
-    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
-    their = F.broadcast(right.join(F.broadcast(hot), F.col(right_key) == F.col("__hot"), "left_semi"))
-    few = marked.where("__hot IS NULL").drop("__hot").join(right, F.col(key) == F.col(right_key), how)
-    many = marked.where("__hot IS NOT NULL").drop("__hot").join(their, F.col(key) == F.col(right_key), how)
+        return rows.join(right, equal(keys, right_keys))
+    marked = rows.join(F.broadcast(hot), equal(keys, names), "left")
+    their = F.broadcast(right.join(F.broadcast(hot), equal(right_keys, names), "left_semi"))
+    few = marked.where(F.col(names[0]).isNull()).drop(*names).join(right, equal(keys, right_keys))
+    many = marked.where(F.col(names[0]).isNotNull()).drop(*names).join(their, equal(keys, right_keys))
     return few.unionByName(many)
 
 
@@ -155,9 +164,9 @@ def components(edges: DataFrame) -> DataFrame:
     while seen[0]:
         both = stash(edges.select("a", "b").union(edges.select("b", "a")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-        large = stash(join_hot(both, "a", least, "n").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        large = stash(join_hot(both, ["a"], least, ["n"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
-        joined = join_hot(large, "a", least, "n")
+        joined = join_hot(large, ["a"], least, ["n"])
         small = joined.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         edges = stash(small)
         now = checksum(edges)

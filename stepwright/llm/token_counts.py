@@ -87,7 +87,7 @@ def token_counts(docs: DataFrame, cache: str, tokenizer_path: str, limit: int =
     """
     rows, counts = looked_up(docs, cache, tokenizer_path)
     counts = counts.withColumnRenamed("digest", "__digest")
-    return join_hot(rows, "digest", counts, "__digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "cached")
+    return join_hot(rows, ["digest"], counts, ["__digest"]).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "cached")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
