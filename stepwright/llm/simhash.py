@@ -10,10 +10,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, lower_words, small_batches, stash, table, texts_of
+from .common import components, free_name, lower_words, small_batches, stash, table, texts_of
 
 BLOCK = 4096  # members of one block of bit planes
-LARGE = 4096  # groups with more members are parted once more before they meet in a task
+LARGE = 1024  # groups with more members are dealt in blocks, so that a task holds about as many at once
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -217,8 +217,9 @@ def links_in_groups(rows: DataFrame, radius: int, sets: DataFrame | None = None,
     """Edges (a, b) between nodes that share a key and differ in `radius` bits or fewer; per key a forest.
 
     rows: key long, node long, fp binary. Rows of a key meet in one task, sorted; complete groups are
-    compared about 8192 rows (or 32 MB of sets) at a time. With sets (fp, members binary: a sorted array of
-    uint32; fp ends in 16 bytes of digest), edges are also at least `share` similar in their members.
+    compared about 8192 rows (or 32 MB of sets) at a time. With sets (doc_id, fp, members binary: a sorted array of
+    uint32; fp ends in 16 bytes of digest; node is a doc_id of the fp), edges are also at least `share` similar in their members.
+    Sets are fetched only for nodes that have company.
     """
     names = ("key", "node", "fp") if sets is None else ("key", "node", "fp", "members")
 
@@ -258,8 +259,10 @@ def links_in_groups(rows: DataFrame, radius: int, sets: DataFrame | None = None,
     kept = rows.join(sizes, F.col("key") == F.col("__key"), "left_semi").select("key", "node", "fp")
     if sets is not None:
         kept = stash(kept)
-        needed = kept.select("fp").distinct()
-        kept = kept.join(sets.join(needed, "fp", "left_semi").select("fp", "members"), "fp")
+        needed = kept.select(F.col("fp").alias("__fp"), F.col("node").alias("__node")).distinct()
+        own = sets.join(needed, (F.col("fp") == F.col("__fp")) & (F.col("doc_id") == F.col("__node")), "left_semi")
+        own = own.groupBy(F.col("fp").alias("__fp"), F.col("doc_id").alias("__node")).agg(F.first("members").alias("members"))
+        kept = kept.join(own, (F.col("fp") == F.col("__fp")) & (F.col("node") == F.col("__node"))).select(*names)
     return kept.select(*names).repartition("key").sortWithinPartitions("key", "node").mapInArrow(of, "a long, b long")
 
 
@@ -341,7 +344,8 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, seed:
     shingle hashes. Fingerprints at most `radius` bits apart are linked; component_id is the least
     doc_id reachable. Equal fingerprints are one node, so copies cost nothing. Null or wordless texts
     have fingerprint zero and are linked like any other. Rows of null doc_id belong to their
-    fingerprint's component (null if no other row has an id). Extra columns are ignored.
+    fingerprint's component (null if no other row has an id). Ids are whole numbers. Repeated rows are rows like any others; very
+    long texts are read whole. An empty table gives an empty one. Extra columns are ignored.
     """
     made = stash(fingerprints(docs, shingle, seed, 64, 0).select("doc_id", "fp"))
     nodes = made.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node IS NOT NULL")
@@ -410,19 +414,25 @@ def near_groups(docs: DataFrame, bits: int = NEAR_BITS, radius: int = NEAR_RADIU
         sized = F.transform(F.array(F.col("bucket"), F.col("bucket") + 1), lambda x: F.xxhash64(F.col("key"), x))
         marked = rows.join(hot, F.col("key") == F.col("__key"), "left")
         rows = in_blocks(marked.select(F.explode(F.when(F.col("__n").isNotNull(), sized).otherwise(F.array("key"))).alias("key"), "node", "fp"), large)
-    sets = made.join(nodes.select("node", F.col("fp").alias("__fp")), (F.col("fp") == F.col("__fp")) & (F.col("doc_id") == F.col("node"))).select("fp", "members")
-    found = components(links_in_groups(rows, radius, sets.dropDuplicates(["fp"]), share))
+    found = components(links_in_groups(rows, radius, made.select("doc_id", "fp", "members"), share))
     labelled = nodes.join(found.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select(F.col("fp").alias("__fp"), F.coalesce("component", "node").alias("group_id"))
     return made.select("doc_id", "fp").join(labelled, F.col("fp") == F.col("__fp"), "left").select("doc_id", "group_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs without near copies: of each group the row of the least doc_id stays.
+    """docs without near copies: of each group the row of the least doc_id stays, null ids last; of equal ids one row.
 
-    Rows of null doc_id stay unless they are copies of a row with an id.
+    Rows are numbered in a written table first and grouped by their number, so null, equal and clashing ids are rows like any
+    others. Null, empty and wordless texts are copies of each other; texts of fewer than five words are near copies only if
+    they are equal. Very long texts are compared whole. An empty table gives an empty one; no name of a column is reserved.
     """
-    kept = near_groups(docs).where("group_id IS NULL OR doc_id = group_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    row = free_name(docs.columns, "row_number")
+    numbered = stash(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = near_groups(numbered.select(F.col(row).alias("doc_id"), "text"))
+    ids = numbered.select(F.col(row).alias("number"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
+    placed = groups.join(ids, F.col("doc_id") == F.col("number"))
+    kept = placed.groupBy("group_id").agg(F.min(F.struct("none", "id", "number")).alias("k")).select(F.col("k.number").alias(f"_{row}"))
+    return numbered.join(kept, F.col(row) == F.col(f"_{row}"), "left_semi").drop(row)
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
