@@ -8,19 +8,25 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Numbering, small_batches, stash, table, texts_of
+from .common import Numbering, free_name, small_batches, stash, table, texts_of
 
 #: Fewest tokens of an item and its seeds; 1: the token counts, 0: it is ignored. The seeds leave out no pattern of 20 %
-#: substitutions in a whole item of 5 to 19 tokens or in 20 tokens of a longer one (enumerated in the tests).
+#: substitutions in a whole item of 5 to 19 tokens or in 20 tokens of a longer one (enumerated in the tests). Of fewer than five
+#: tokens 20 % are less than one, so these are searched for as they are.
 SEEDS = {
+    1: ("1",),
+    2: ("11",),
+    3: ("111",),
+    4: ("1111",),
     5: ("1111", "11011", "11101", "10111"),
     10: ("1111011", "110010111", "101100111", "111111", "110101011", "1101111"),
     15: ("11101111", "111010010011", "11011000111", "111000100010011", "11000101111", "110111101", "111000010100011"),
 }
 LEAST_TOKENS = min(SEEDS)
 LONGEST = max(len(m) for masks in SEEDS.values() for m in masks)
+SALTED, MOST_SALTS = 10_000, 1024  # hits of a seed that meet in a task, about; parts of a seed at most
 RUN = 1 << 16  # tokens of neighbouring documents that are hashed at once
-FILTER_BITS = 26  # the filter of benchmark hashes is 2**26 bits (8 MB), whatever the benchmark's size
+LEAST_BITS, MOST_BITS = 20, 30  # the filter of benchmark hashes has 2**20 to 2**30 bits (128 KB to 128 MB), sixteen or more for a hash
 MARGIN = 24  # tokens kept on either side of a hit
 WINDOW = 20  # tokens of an overlap
 SHARE = 0.8  # of them equal
@@ -47,9 +53,9 @@ def seed_hashes(th: np.ndarray, mask: str, number: int) -> np.ndarray:
     return out
 
 
-def slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two filter bits of a hash."""
-    return h >> np.uint64(64 - FILTER_BITS), h & np.uint64((1 << FILTER_BITS) - 1)
+def slots(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two filter bits of a hash, in a filter of 2**bits."""
+    return h >> np.uint64(64 - bits), h & np.uint64((1 << bits) - 1)
 
 
 def seeds_of(least: int) -> list[tuple[int, str]]:
@@ -63,7 +69,8 @@ def least_of(n: int) -> int:
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """item_key, item_id, toks array<long>, seeds array<struct<h, pos>> of each benchmark row with five tokens or more."""
+    """item_key, item_id, toks array<long>, seeds array<struct<h, pos>> of each benchmark row with a token or more."""
+
     def of(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import xxhash
@@ -88,12 +95,17 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 
 
 def filter_of(seeds: DataFrame) -> np.ndarray:
-    """A bit for each of the two slots of each hash. The driver gets 2**FILTER_BITS / 64 numbers at most."""
-    low = F.col("h").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    high = F.shiftrightunsigned(F.col("h"), 64 - FILTER_BITS)
+    """A bit for each of the two slots of each hash, in a filter sized by the count of hashes.
+
+    The driver gets a number for each 64 bits that are not all unset, 2**MOST_BITS / 64 at most; beyond 2**MOST_BITS / 16 hashes
+    the filter lets more pass, which the exact join then stops.
+    """
+    bits = min(max(LEAST_BITS, (seeds.count() * 16).bit_length()), MOST_BITS)
+    low = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
+    high = F.shiftrightunsigned(F.col("h"), 64 - bits)
     slot = seeds.select(F.explode(F.array(high, low)).alias("s"))
     words = slot.groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b")).toPandas()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out = np.zeros(1 << (bits - 6), np.int64)
     out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
     return out.view(np.uint8)
 
@@ -102,13 +114,14 @@ def passages_near_hits(docs: DataFrame, bits: np.ndarray, used: list[tuple[int,
     """seg, doc_id, start, toks, hits array<struct<h, pos>>: the tokens around positions that pass the filter; whole texts are searched for the seeds in `used`."""
     spark = docs.sparkSession
     small_batches(spark)
-    sent = spark.sparkContext.broadcast(bits)  # 2**FILTER_BITS bits
+    sent = spark.sparkContext.broadcast(bits)  # 2**MOST_BITS bits at most
 
     def of(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import xxhash
 
         table_ = sent.value
+        width = len(table_).bit_length() + 2  # of 2**width bits
         kind = pa.schema([("seg", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("toks", pa.list_(pa.int64())), ("hits", pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int32())])))])
         one = np.uint64(7)
 
@@ -117,7 +130,7 @@ def passages_near_hits(docs: DataFrame, bits: np.ndarray, used: list[tuple[int,
             out = [[] for _ in bounds[1:]]
             for k, mask in used:
                 h = seed_hashes(th, mask, k)
-                a, b = slots(h)
+                a, b = slots(h, width)
                 at = np.flatnonzero((table_[(a >> np.uint64(3)).astype(np.int64)] >> (a & one).astype(np.uint8)) & 1)
                 b = b[at]
                 at = at[((table_[(b >> np.uint64(3)).astype(np.int64)] >> (b & one).astype(np.uint8)) & 1).astype(bool)]
@@ -205,17 +218,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     A document overlaps an item if some `window` aligned tokens (the whole item if it is shorter) agree in
     `share` of the places: substitutions are tolerated. Candidates are positions at which one of the
     spaced seeds for the item's length hashes alike in both; at the default window and share they miss none.
-    Tokens are words without ASCII punctuation, A-Z lower-cased. Null and empty texts overlap nothing, items
-    of fewer than five tokens are not searched for. Equal rows give one row. Documents pass a filter of fixed
-    size first, so only passages around likely hits are shuffled.
+    Tokens are words without ASCII punctuation, A-Z lower-cased. Null and empty texts and items overlap nothing; items
+    of fewer than five tokens have to occur as they are. Equal rows give one row, as do rows of one id; of several best windows the
+    first is told. Ids are whole numbers; rows without an id are one document. Very long texts are searched whole. Documents pass
+    a filter of bounded size first, so only passages around likely hits are shuffled. Empty tables give none; extra columns are ignored.
     """
     items = stash(items_of(benchmark))
-    seeds = items.select("item_key", F.explode("seeds").alias("s")).select("item_key", F.col("s.h").alias("h"), F.col("s.pos").alias("at"))
-    least = F.greatest(*[F.when(F.size("toks") >= x, x) for x in SEEDS])
+    seeds = stash(items.select("item_key", F.explode("seeds").alias("s")).select("item_key", F.col("s.h").alias("h"), F.col("s.pos").alias("at")))
+    least = F.greatest(*[F.when(F.size("toks") >= x, x).otherwise(0) for x in SEEDS])
     used = [s for row in items.select(least.alias("least")).distinct().sort("least").collect() for s in seeds_of(row["least"])]
     segments = stash(passages_near_hits(docs, filter_of(seeds), used))
     hits = segments.select("seg", F.explode("hits").alias("s")).select("seg", F.col("s.h").alias("h"), F.col("s.pos").alias("pos"))
-    lined_up = hits.join(seeds, "h").select("seg", "item_key", (F.col("pos") - F.col("at")).alias("shift")).distinct()
+    # a seed's items are many only where items share a phrase; its hits are many where documents do: both are spread by salt
+    crowd = hits.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SALTED).select(F.col("h").alias("hot"), F.least(F.ceil(F.col("n") / SALTED), F.lit(MOST_SALTS)).cast("int").alias("salts"))
+    crowd = stash(crowd.join(seeds.select(F.col("h").alias("hot")).distinct(), "hot", "left_semi"))
+    salted_hits = hits.join(crowd, F.col("h") == F.col("hot"), "left").select("seg", "h", "pos", F.pmod(F.xxhash64("seg"), F.coalesce("salts", F.lit(1))).alias("salt"))
+    all_salts = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)).cast("long") - 1)).alias("salt")
+    salted_seeds = seeds.join(crowd, F.col("h") == F.col("hot"), "left").select("item_key", "h", "at", all_salts)
+    lined_up = salted_hits.join(salted_seeds, ["h", "salt"]).select("seg", "item_key", (F.col("pos") - F.col("at")).alias("shift")).distinct()
     texts = items.select("item_key", "item_id", F.col("toks").alias("item_toks"))
     pairs = lined_up.join(segments.select("seg", "doc_id", "start", "toks"), "seg").join(texts, "item_key")
     found = verified(pairs.select("doc_id", "start", "toks", "item_id", "item_toks", "shift"), window, share)
@@ -224,9 +244,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that overlap a benchmark item; docs' own columns."""
-    bad = stash(contaminated(docs, benchmark).select(F.col("doc_id").alias("__id")).distinct())
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+    """docs without those that overlap a benchmark item; docs' own columns, whatever their names.
+
+    Rows of one doc_id are one document: if one of them overlaps, all go. Other cases as in contaminated.
+    """
+    own = free_name(docs.columns, "bad_id")
+    bad = stash(contaminated(docs, benchmark).select(F.col("doc_id").alias(own)).distinct())
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(own)), "left_anti")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
