@@ -185,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     good = ids.join(positives, F.col("__id") == F.col("__good_id"), "left_semi").orderBy("__order").limit(sample).select("*", F.lit(True).alias("__good"))
     chosen = stash(unlabelled.union(good).withColumn("__aside", fold(F.col("__id"), "aside:") == 0))
     few = F.broadcast(chosen.select("__id").distinct())  # 2 * sample ids at most
-    narrow = featured(docs.join(few, F.col("doc_id") == F.col("__id"), "left_semi"), ["doc_id"])
+    narrow = featured(docs.select("doc_id", "text").join(few, F.col("doc_id") == F.col("__id"), "left_semi"), ["doc_id"])
     rows = narrow.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
     got = rows.select("features", "__good", "__aside", "__order").orderBy("__order", "features", "__good").limit(2 * sample).toPandas()
     if not len(got) or not got["__good"].any():
