@@ -23,6 +23,7 @@ WORD_FILE = 1 << 20  # words of one file of the first level, on average
 BLOCK_TOKENS = 2_000_000  # tokens that a counting task gathers before it sends counts; their numbers fit in 21 bits
 SCORED_BYTES = 6_000_000  # texts that are scored at once
 SUCCESSOR_BITS = 40  # of a successor's hash: n successors of a context hide a foreign word with chance n / 2**40
+NUMBERS = 1 << 21  # of words in a block that one 64-bit key of three holds
 END, BEGIN = b"\n", b"\r"  # no word holds white space
 
 
@@ -373,7 +374,7 @@ def counted(ids: np.ndarray, number: Numbering) -> tuple[np.ndarray, ...]:
     u, v, w = ids[:-1], ids[1:], np.where(ids[1:] == end, last, third)
     real = v != begin
     u, v, w = u[real], v[real], w[real]
-    if last < 1 << 21:
+    if last < NUMBERS:
         keys, n = np.unique((u.astype(np.uint64) << np.uint64(42)) | (v.astype(np.uint64) << np.uint64(21)) | w.astype(np.uint64), return_counts=True)
         low = np.uint64((1 << 21) - 1)
         u, v, w = (x.astype(np.int64) for x in (keys >> np.uint64(42), keys >> np.uint64(21) & low, keys & low))
