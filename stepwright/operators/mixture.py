@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.keyed import draw, ranked
+from ..sources.storage import scratch, written
 
 
 # ---------------------------------------------------------------- weights and quotas
@@ -125,6 +126,11 @@ def uniform_rows(rows: DataFrame, key: Column, ties: list[str], n: int, seed: in
     return rows.withColumn("__u", draw(key, seed)).orderBy("__u", *ties).limit(n).drop("__u")
 
 
+def validation_rows(rows: DataFrame, key: Column, ties: list[str], n: int, seed: int = 0) -> DataFrame:
+    """The first n rows in keyed order, written once: every evaluation reads the same rows, and none draws them again."""
+    return written(uniform_rows(rows, key, ties, n, seed), scratch(rows.sparkSession))
+
+
 def global_shuffle(rows: DataFrame, key: Column, ties: list[str], seed: int = 0) -> DataFrame:
     """Add `position`, a keyed order of the whole table."""
     return ranked(rows, draw(key, seed), ties, "position")

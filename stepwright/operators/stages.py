@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -33,8 +34,6 @@ def unpacked_floats(df: DataFrame, column: str, out: str) -> DataFrame:
     """A ZLIB blob of little-endian 32-bit floats as an array."""
     @F.pandas_udf("array<float>")
     def unpack(blobs):
-        import zlib
-
         return blobs.map(lambda b: None if b is None else np.frombuffer(zlib.decompress(b), "<f4").tolist())
 
     return df.withColumn(out, unpack(F.col(column)))
@@ -80,6 +79,55 @@ def as_uint8_hwc(image: np.ndarray) -> np.ndarray:
     return image.repeat(3, axis=2) if image.shape[2] == 1 else image[:, :, :3]
 
 
+def png_pixels(data: bytes) -> np.ndarray:
+    """Pixels (height, width, channels) of a PNG file of eight bits and no interlace: gray, gray and alpha, RGB or RGBA."""
+    at, body, head = 8, [], b""
+    while at < len(data):
+        size, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+        if kind == b"IHDR":
+            head = data[at + 8 : at + 8 + size]
+        elif kind == b"IDAT":
+            body.append(data[at + 8 : at + 8 + size])
+        at += 12 + size
+    width, height = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big")
+    channels = {0: 1, 2: 3, 4: 2, 6: 4}.get(head[9])
+    if head[8] != 8 or channels is None or head[12]:
+        raise ValueError("only PNG files of eight bits, without palette and interlace, are decoded")
+    rows = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(height, 1 + width * channels)
+    out = np.zeros((height + 1, width + 1, channels), np.int32)  # a row above and a pixel on the left of zeros
+    for y in range(height):
+        line, above, now = rows[y, 1:].reshape(width, channels).astype(np.int32), out[y], out[y + 1]
+        if rows[y, 0] in (0, 2):
+            now[1:] = line + (above[1:] if rows[y, 0] == 2 else 0) & 255
+        elif rows[y, 0] == 1:
+            now[1:] = np.cumsum(line, axis=0) & 255
+        else:
+            for x in range(1, width + 1):
+                a, b, c = now[x - 1], above[x], above[x - 1]
+                if rows[y, 0] == 3:
+                    guess = (a + b) // 2
+                else:  # of left, above and above left, the one nearest to left + above - above left
+                    near = np.abs(np.stack([b - c, a - c, a + b - 2 * c]))
+                    guess = np.choose(near.argmin(0), [a, b, c])
+                now[x] = line[x - 1] + guess & 255
+    return out[1:, 1:].astype(np.uint8)
+
+
+def decoded(data: bytes) -> np.ndarray:
+    """Pixels of an encoded image: PNG here, other kinds by Pillow where it is installed."""
+    if data[:8] == b"\x89PNG\r\n\x1a\n":
+        image = png_pixels(data)
+        return image[:, :, :1] if image.shape[2] == 2 else image
+    try:
+        from PIL import Image
+    except ImportError:
+        raise ValueError("images other than PNG need Pillow") from None
+    from io import BytesIO
+
+    image = np.asarray(Image.open(BytesIO(data)))
+    return image[:, :, None] if image.ndim == 2 else image
+
+
 def adjusted(image: np.ndarray, seed: int, brightness: float = 0.2, contrast: tuple[float, float] = (0.8, 1.2)) -> np.ndarray:
     """Brightness and contrast changed by amounts that hang on the seed alone."""
     r = np.random.default_rng(seed)
@@ -89,7 +137,9 @@ def adjusted(image: np.ndarray, seed: int, brightness: float = 0.2, contrast: tu
 
 
 def prepared_images(rows: DataFrame, keys: Sequence[str], height: int, width: int, augment_seed: str | None = None, rotate: bool = False) -> DataFrame:
-    """keys and `pixels` of height x width x 3 from rows (height, width, data) of raw images; empty data gives a black image.
+    """keys and `pixels` of height x width x 3 from rows (height, width, data) of images; empty data gives a black image.
+
+    Data of a null height or width is an encoded image, else it is raw pixels.
 
     Decoding and resizing come after all filters, so keep this the last stage. Padding is not augmented.
     """
@@ -102,8 +152,8 @@ def prepared_images(rows: DataFrame, keys: Sequence[str], height: int, width: in
                 if not data:
                     made.append(bytes(height * width * 3))
                     continue
-                image = np.frombuffer(data, np.uint8).reshape(int(h), int(w), -1)
-                image = as_uint8_hwc(image)
+                raw = h == h and w == w and h is not None and w is not None  # nulls come as NaN
+                image = as_uint8_hwc(np.frombuffer(data, np.uint8).reshape(int(h), int(w), -1) if raw else decoded(bytes(data)))
                 if rotate:
                     image = image[::-1, ::-1]
                 image = resize_with_pad(image, height, width)

@@ -293,4 +293,12 @@ def composed(*groups: Sequence[Transform]) -> Transform:
 
 
 def map_columns(df: DataFrame, chosen: Callable[[str], bool], f: Callable[[Column], Column]) -> DataFrame:
-    return df.withColumns({c: f(F.col(c)) for c in df.columns if chosen(c)})
+    """f applied to every leaf whose path (names joined by "/", through any depth of structs) is chosen; all else stays."""
+
+    def walked(c: Column, kind: T.DataType, path: str) -> Column:
+        if isinstance(kind, T.StructType):
+            inner = F.struct(*[walked(c.getField(x.name), x.dataType, f"{path}/{x.name}").alias(x.name) for x in kind.fields])
+            return F.when(c.isNotNull(), inner)
+        return f(c) if chosen(path) else c
+
+    return df.select(*[walked(F.col(f"`{x.name}`"), x.dataType, x.name).alias(x.name) for x in df.schema.fields])

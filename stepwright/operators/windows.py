@@ -137,6 +137,18 @@ def task_dropout(steps: DataFrame, key: Column, keep_image: float, seed: int = 0
     )
 
 
+#: Strategies that a dataset's settings name.
+GOAL_STRATEGIES = {"uniform": uniform_goals}
+TASK_STRATEGIES = {"delete_task_conditioning": task_dropout}
+
+
+def by_name(strategies: dict, name: str):
+    """The strategy of a name; an unknown one is an error that tells those there are."""
+    if name not in strategies:
+        raise ValueError(f"no strategy {name}; there are {', '.join(sorted(strategies))}")
+    return strategies[name]
+
+
 def pad_mask_map(df: DataFrame, keys: Sequence[str], out: str = "pad_mask_dict") -> DataFrame:
     """key -> whether it holds anything: strings and bytes by length, all else true."""
     kinds = dict(df.dtypes)

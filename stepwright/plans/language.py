@@ -52,6 +52,25 @@ def first_instr(spark, sf_dir):
     return v.select("doc_id", "pos", X.first_filled(F.col("s"), F.when(F.col("pos") % 2 == 0, " ").otherwise("two"), F.lit("three")).alias("text"))
 
 
+@query("apply_tree", f"WITH {EVENT_STEPS} SELECT episode_id, t, round(a0 * 2, 6) AS primary_x, a1 AS wrist_x, round(a1 * 2, 6) AS top_x, text FROM steps")
+def apply_tree(spark, sf_dir):
+    """Leaves whose path ends in an x below a chosen branch are doubled."""
+    steps = event_steps(spark, sf_dir)
+    nested = steps.select(*ID, F.struct(F.struct(F.col("action")[0].alias("x"), F.col("language_instruction").alias("text")).alias("primary"), F.struct(F.col("action")[1].alias("x")).alias("wrist")).alias("views"), F.struct(F.col("action")[1].alias("x")).alias("top"))
+    rows = S.map_columns(nested, lambda path: path in ("views/primary/x", "top/x"), lambda c: c * 2)
+    return rows.select(*ID, F.round("views.primary.x", 6).alias("primary_x"), F.col("views.wrist.x").alias("wrist_x"), F.round("top.x", 6).alias("top_x"), F.col("views.primary.text").alias("text"))
+
+
+@query("transform_groups", f"WITH {EVENT_STEPS} SELECT episode_id, t, round(least(1.0, greatest(-1.0, a0 / 100)) + 1, 6) AS x FROM steps")
+def transform_groups(spark, sf_dir):
+    """Inputs: repack, data, normalize, model, in this order; another order would give other rows."""
+    repack = [lambda d: d.select(*ID, F.col("action")[0].alias("x"))]
+    data = [lambda d: d.withColumn("x", F.col("x") / 100)]
+    normalize = [lambda d: d.withColumn("x", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("x"))))]
+    model = [lambda d: d.withColumn("x", F.round(F.col("x") + 1, 6))]
+    return S.composed(repack, data, normalize, model)(event_steps(spark, sf_dir))
+
+
 @query("build_prompt", f"WITH {EVENT_STEPS} SELECT episode_id, t, 'In: What action should the robot take to ' || lower(text) || '?' || chr(10) || 'Out: ' || CAST(CAST(floor(a1 * 99 + 0.5) AS INT) AS VARCHAR) || '</s>' AS prompt FROM steps")
 def build_prompt(spark, sf_dir):
     answer = F.floor(F.col("action")[1] * 99 + 0.5).cast("int").cast("string")

@@ -77,6 +77,19 @@ def split_95_5(spark, sf_dir):
     return M.split_episodes(event_steps(spark, sf_dir), F.col("episode_id")).select(*ID, "split")
 
 
+@query("split_named", f"WITH {EVENT_STEPS} SELECT episode_id, t, CASE WHEN event_type = 'purchase' THEN 'val' ELSE 'train' END AS split FROM steps")
+def split_named(spark, sf_dir):
+    """A table that names its splits needs no fallback."""
+    steps = event_steps(spark, sf_dir).withColumn("own", F.when(F.col("event_type") == "purchase", "val").otherwise("train"))
+    return M.split_episodes(steps, F.col("episode_id"), named="own", fallback=False).select(*ID, "split")
+
+
+@query("validation_take", f"SELECT event_id FROM events ORDER BY {draw_sql('event_id', 6)}, event_id LIMIT 256")
+def validation_take(spark, sf_dir):
+    """A shuffle buffer's worth of rows for validation."""
+    return M.validation_rows(table(spark, sf_dir, "events").select("event_id"), F.col("event_id"), ["event_id"], 256, 6)
+
+
 @query("split_fraction", f"SELECT event_id, CASE WHEN row_number() OVER (ORDER BY {draw_sql('event_id', 8)}, event_id) <= CAST(floor(0.1 * (SELECT count(*) FROM events)) AS BIGINT) THEN 'val' ELSE 'train' END AS split FROM events")
 def split_fraction(spark, sf_dir):
     return M.split_fraction(table(spark, sf_dir, "events").select("event_id"), F.col("event_id"), ["event_id"], 0.1, 8)

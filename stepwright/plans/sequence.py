@@ -177,8 +177,8 @@ SELECT episode_id, t, keep_image, CASE WHEN keep_image THEN '' ELSE text END AS
 """)
 def task_dropout(spark, sf_dir):
     steps = event_steps(spark, sf_dir).withColumn("language_instruction", F.when(F.col("language_instruction") == "error", "").otherwise(F.col("language_instruction")))
-    goals = W.uniform_goals(steps, F.col("event_id"), 3)
-    rows = W.task_dropout(goals, F.col("event_id"), 0.4, 9)
+    goals = W.by_name(W.GOAL_STRATEGIES, "uniform")(steps, F.col("event_id"), 3)
+    rows = W.by_name(W.TASK_STRATEGIES, "delete_task_conditioning")(goals, F.col("event_id"), 0.4, 9)
     return rows.select(*ID, "keep_image", F.col("language_instruction").alias("text"), "goal_t")
 
 

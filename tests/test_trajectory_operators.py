@@ -1,6 +1,7 @@
 """Small cases worked out by hand: short episodes, grippers, still steps, bounds, text keys, ties, ranges."""
 
 import math
+import zlib
 
 import numpy as np
 import pytest
@@ -276,3 +277,47 @@ def test_wrist_frame_without_rotation_changes_nothing(spark):
 def test_all_recipes_have_a_known_shape():
     assert len(standardize.RECIPES) == 62 and all(r in standardize.RECIPES for r in standardize.ALIASES.values())
     assert all(p.how in ("", "clip", "invert", "invert_clip", "binarize", "absolute", "euler", "zeros", "ones") for r in standardize.RECIPES.values() for p in (*r.action, *r.proprio))
+
+
+def png(image, kinds):
+    """A PNG file whose rows have the given filters."""
+    h, w, c = image.shape
+    chunk = lambda k, d: len(d).to_bytes(4, "big") + k + d + zlib.crc32(k + d).to_bytes(4, "big")
+    x = np.zeros((h + 1, w + 1, c), int)
+    x[1:, 1:] = image
+    rows = []
+    for y in range(1, h + 1):
+        now, up, left, corner = x[y, 1:], x[y - 1, 1:], x[y, :-1], x[y - 1, :-1]
+        p = left + up - corner
+        d = [abs(p - left), abs(p - up), abs(p - corner)]
+        paeth = np.where((d[0] <= d[1]) & (d[0] <= d[2]), left, np.where(d[1] <= d[2], up, corner))
+        kind = kinds[y % len(kinds)]
+        guess = {0: 0 * now, 1: left, 2: up, 3: (left + up) // 2, 4: paeth}[kind]
+        rows.append(bytes([kind]) + ((now - guess) % 256).astype(np.uint8).tobytes())
+    head = w.to_bytes(4, "big") + h.to_bytes(4, "big") + bytes([8, {1: 0, 2: 4, 3: 2, 4: 6}[c], 0, 0, 0])
+    body = zlib.compress(b"".join(rows))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", body[:50]) + chunk(b"IDAT", body[50:]) + chunk(b"IEND", b"")
+
+
+def test_encoded_images(spark):
+    r = np.random.default_rng(3)
+    for channels in (1, 2, 3, 4):
+        image = r.integers(0, 256, (9, 7, channels)).astype(np.uint8)
+        assert (stages.png_pixels(png(image, [0, 1, 2, 3, 4])) == image).all()
+    image = r.integers(0, 256, (8, 8, 3)).astype(np.uint8)
+    rows = spark.createDataFrame([(1, 8, 8, bytearray(image.tobytes())), (2, None, None, bytearray(png(image, [4, 3]))), (3, None, None, None)], "id int, height int, width int, data binary")
+    got = {x["id"]: bytes(x["pixels"]) for x in stages.prepared_images(rows, ["id"], 8, 8).collect()}
+    assert got[1] == got[2] == image.tobytes() and got[3] == bytes(192)
+    both = stages.side_by_side(spark.createDataFrame([(bytearray(image.tobytes()), bytearray(image[:, :2].tobytes()))], "a binary, b binary"), ["a", "b"], 8, "both").first()["both"]
+    assert bytes(both) == np.concatenate([image, image[:, :2]], axis=1).tobytes()
+
+
+def test_strategies_by_name():
+    assert W.by_name(W.GOAL_STRATEGIES, "uniform") is W.uniform_goals
+    with pytest.raises(ValueError, match="uniform"):
+        W.by_name(W.GOAL_STRATEGIES, "last")
+
+
+def test_unnamed_split_without_fallback(spark):
+    with pytest.raises(ValueError):
+        mixture.split_episodes(steps(spark, [[1]]), F.col("episode_id"), fallback=False)
