@@ -615,12 +615,12 @@ def test_probabilities_sum_to_one(spark):
             longer = model.scored([t + b" zz zz"])[3][0] - model.scored([t.rsplit(b" ", 1)[1] + b" zz zz"])[3][0]
             total += 10**longer if math.isfinite(longer) else 0.0
         assert math.isfinite(before) and math.isfinite(end) and total > 0
-    cells = ngram_lm.trie_bytes(*(np.array(x) for x in ([5, 5, 5, 9], np.array([1, 1, 2, 1], np.uint64) << np.uint64(24), np.array([0, 3, 4, 0], np.uint64) << np.uint64(24), [1, 3, 2, 7])))
+    cells = ngram_lm.trie_bytes(*(np.array(x) for x in ([5, 5, 5, 9], np.array([1, 1, 2, 1], np.uint64) << np.uint64(24), np.array([0, 3, 4, 0], np.uint64) << np.uint64(32), [1, 3, 2, 7])))
     trie = ngram_lm.Trie(np.frombuffer(cells[0], np.uint8))
     at, count = trie.bigrams(np.array([5, 5, 9, 7], np.uint64), np.array([1, 2, 1, 1], np.uint64) << np.uint64(24))
     assert (at >= 0).tolist() == [True, True, True, False] and cells[2].tolist() == [6, 7]
     assert count[0] <= 4 - 0.6 and count[0] > (4 - 0.6) * 0.91 and count[2] > 6.4 * 0.91
-    stored = trie.trigrams(at[:2], np.array([3, 4], np.uint64) << np.uint64(24))
+    stored = trie.trigrams(trie.spans(at[:2]), np.array([3, 4], np.uint64) << np.uint64(32))
     assert 0.91 * (3 - 0.6) / 4 < stored[0] <= (3 - 0.6) / 4 and abs(stored[0] + trie.rests[at[0]] / 65535 - 1) < 2e-5
 
 
