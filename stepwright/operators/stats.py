@@ -20,32 +20,31 @@ def dims(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> Dat
 def exact_percentiles(long: DataFrame, spans: DataFrame, keys: Sequence[str], shares: Sequence[float], bins: int = 4096, crowded: int = 1_000_000) -> DataFrame:
     """(keys, share, value): exact percentiles with linear interpolation, without gathering a group's values in one task.
 
-    long: keys, x; spans: keys, lo, hi, n (one row per group). Values are counted in equal bins of the span in which an asked
-    rank lies; the bin that holds it becomes the next span, until it has one value or at most `crowded` rows, which are then
-    counted by value and ordered. An outlier that crowds a group into one bin costs one more pass, no large task. What is joined to
+    long: keys, x; spans: keys, lo, hi, n (one row per group, a written table). While a span has more than `crowded` rows, its
+    values are counted in equal bins, and the bin that holds an asked rank becomes the next span; then the values of the spans
+    are counted and ordered. An outlier that crowds a group into one bin costs one more pass, no large task. What is joined to
     all rows is a row per group, share and neighbour rank: dims of a mixture's datasets, sent along only if Spark finds it small.
     """
     k = list(keys)
     spark = long.sparkSession
+    crowds = (F.col("lo") < F.col("hi")) & (F.col("c") > crowded)
     rank = F.col("share") * (F.col("n") - 1)
-    asked = spans.select(*k, "lo", "hi", "n", F.explode(F.array(*[F.lit(float(q)) for q in shares])).alias("share"))
+    asked = spans.select(*k, "lo", "hi", "n", F.col("n").alias("c"), F.explode(F.array(*[F.lit(float(q)) for q in shares])).alias("share"))
     places = F.explode(F.array_distinct(F.array(F.floor(rank), F.ceil(rank)))).alias("i")
-    wanted = asked.select(*k, "share", (rank - F.floor(rank)).alias("part"), places, F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"), F.lit(0).cast("long").alias("below"))
+    wanted = asked.select(*k, "share", (rank - F.floor(rank)).alias("part"), places, F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"), F.lit(0).cast("long").alias("below"), "c")
 
     def inside(rows: DataFrame) -> DataFrame:
         return long.select(*k, "x").join(rows.select(*k, "lo", "hi").distinct(), k).where(F.col("x").between(F.col("lo"), F.col("hi")))
 
-    while True:
+    while not wanted.where(crowds).isEmpty():
+        now = wanted.drop("c")
         width = (F.col("hi") - F.col("lo")) / bins
         place = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(bins - 1))).cast("int")
-        counts = inside(wanted).groupBy(*k, "lo", "hi", place.alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("least"), F.max("x").alias("most"))
+        counts = inside(now).groupBy(*k, "lo", "hi", place.alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("least"), F.max("x").alias("most"))
         before = F.sum("c").over(Window.partitionBy(*k, "lo", "hi").orderBy("bin")) - F.col("c")
-        found = counts.withColumn("before", before).join(wanted, [*k, "lo", "hi"])
+        found = counts.withColumn("before", before).join(now, [*k, "lo", "hi"])
         found = found.where((F.col("i") >= F.col("below") + F.col("before")) & (F.col("i") < F.col("below") + F.col("before") + F.col("c")))
-        spanned = written(found.select(*k, "share", "part", "i", F.col("least").alias("lo"), F.col("most").alias("hi"), (F.col("below") + F.col("before")).alias("below"), "c"), scratch(spark))
-        wanted = spanned.drop("c")
-        if spanned.where((F.col("lo") < F.col("hi")) & (F.col("c") > crowded)).isEmpty():
-            break
+        wanted = written(found.select(*k, "share", "part", "i", F.col("least").alias("lo"), F.col("most").alias("hi"), (F.col("below") + F.col("before")).alias("below"), "c"), scratch(spark))
     values = inside(wanted).groupBy(*k, "lo", "hi", "x").agg(F.count(F.lit(1)).alias("m"))
     ordered = values.withColumn("upto", F.sum("m").over(Window.partitionBy(*k, "lo", "hi").orderBy("x")))
     hit = ordered.join(wanted, [*k, "lo", "hi"]).where((F.col("i") >= F.col("below") + F.col("upto") - F.col("m")) & (F.col("i") < F.col("below") + F.col("upto")))
@@ -62,6 +61,7 @@ def dataset_statistics(steps: DataFrame, columns: Sequence[str] = ("action", "pr
     keys = ["dataset_name", "field", "dim"]
     long = dims(steps, columns, ["dataset_name"])
     per_dim = long.groupBy(*keys).agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), F.count("x").alias("n"))
+    per_dim = written(per_dim, scratch(steps.sparkSession))
     spans = per_dim.select(*keys, F.col("min").alias("lo"), F.col("max").alias("hi"), "n")
     q = exact_percentiles(long, spans, keys, (0.01, 0.99)).groupBy(*keys).agg(F.max(F.when(F.col("share") < 0.5, F.col("value"))).alias("q01"), F.max(F.when(F.col("share") > 0.5, F.col("value"))).alias("q99"))
     episodes = steps.groupBy("dataset_name", "episode_id").agg(F.count(F.lit(1)).alias("__n"))
