@@ -100,7 +100,10 @@ def rephrase_dedup(spark, sf_dir):
     return V.dedup_rephrases(rephrases(spark, sf_dir)).select("original", "rephrase", "pos")
 
 
-@query("rephrase_load")
+@query("rephrase_load", f"""
+WITH {REPHRASES} SELECT CAST(doc_id AS VARCHAR) AS id, original, CAST(row_number() OVER (PARTITION BY doc_id, original ORDER BY pos) - 1 AS INT) AS pos, rephrase
+FROM rephrases WHERE trim(original) <> '' AND trim(rephrase) <> ''
+""")
 def rephrase_load(spark, sf_dir):
     """Rephrase lists written as a JSON map and read back with blank ones dropped."""
     from ..sources.records import load_rephrases
