@@ -18,7 +18,7 @@ END = 2
 SHARD_TOKENS = 4_000_000  # ids of a file; a task holds one file's ids at a time
 MAGIC = b"WMX2"
 CHUNK_LOG2 = 17  # bits of a plane that are compressed together, and of which the ones before are stored
-SPAN = 1 << 20  # ids that are read at once
+SPAN = 1 << 23  # ids that are read at once: as a rule a whole file
 
 
 class Plane:
@@ -52,6 +52,20 @@ class Plane:
         self._fetch(at)
         return (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
 
+    def runs(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The bits of some runs of positions, in order; long runs are unpacked, short ones gathered."""
+        sizes = end - begin
+        if 64 * len(sizes) > sizes.sum():
+            at = np.repeat(begin - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
+            return self.bits(at).astype(bool)
+        out = []
+        for a, b in zip(begin.tolist(), end.tolist()):
+            self._fetch(np.r_[np.arange(a, b, 1 << CHUNK_LOG2), b - 1])
+            first = a >> 6
+            words = self.words[first : (b + 63) >> 6]
+            out.append(np.unpackbits(words.view(np.uint8), bitorder="little")[a - (first << 6) : b - (first << 6)].view(bool))
+        return np.concatenate(out)
+
     def rank1(self, at: np.ndarray) -> np.ndarray:
         """Ones before each position, from 0 to n."""
         self._fetch(at)
@@ -111,6 +125,33 @@ class WaveletMatrix:
             out = out << 1 | bit.astype(np.uint32)
         return out
 
+    def span(self, begin: int, end: int) -> np.ndarray:
+        """Values at positions begin to end - 1.
+
+        Going down, a run of positions becomes two in the next plane, its zeros and its ones; runs that touch are one, so
+        that a whole sequence stays one run. Going up, the bits that were met put the values back into their order.
+        """
+        if begin >= end:
+            return np.empty(0, np.uint32)
+        a, b, met = np.array([begin], np.int64), np.array([end], np.int64), []
+        for plane in self.planes:
+            met.append(plane.runs(a, b))
+            ra, rb = plane.rank1(a), plane.rank1(b)
+            a, b = np.r_[a - ra, plane.zeros + ra], np.r_[b - rb, plane.zeros + rb]
+            some = a < b
+            a, b = a[some], b[some]
+            apart = np.r_[True, a[1:] != b[:-1]]
+            a, b = a[apart], b[np.r_[apart[1:], True]]
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        out = np.zeros(end - begin, kind)
+        for level, bits in enumerate(met[::-1]):
+            back = np.empty_like(out)
+            zeros = len(bits) - np.count_nonzero(bits)
+            back[~bits] = out[:zeros]
+            back[bits] = out[zeros:] | kind(1 << level)
+            out = back
+        return out.astype(np.uint32)
+
     def _ranges(self, value: int, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the occurrences of a value at positions begin to end - 1 stand below the last plane."""
         a, b = np.asarray(begin, np.int64), np.asarray(end, np.int64)
@@ -264,7 +305,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end: in
 def read_token_files(manifest: DataFrame, folder: str, end: int = END) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, n_end of every document, all from the files of a manifest.
 
-    Documents' ids are accessed span by span, and their end ids counted, in the compressed files. A document without an id
+    Documents' ids are read span by span, and their end ids counted by ranks, in the compressed files. A document without an id
     keeps none; an empty manifest gives an empty table.
     """
 
@@ -283,7 +324,7 @@ def read_token_files(manifest: DataFrame, folder: str, end: int = END) -> DataFr
                     while len(crc) < len(ids):
                         first = len(crc)
                         last = max(first + 1, int(np.searchsorted(ends, starts[first] + SPAN, "right")))
-                        values = matrix.access(np.arange(starts[first], ends[last - 1])).astype("<u4")
+                        values = matrix.span(int(starts[first]), int(ends[last - 1])).astype("<u4")
                         crc += [zlib.crc32(values[a:b]) for a, b in zip((starts[first:last] - starts[first]).tolist(), (ends[first:last] - starts[first]).tolist())]
                     n_end = matrix.counts(end, starts, ends)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts + row["first_token"]), pa.array(lengths), pa.array(crc, pa.int64()), pa.array(n_end)], ["doc_id", "start", "n_tokens", "ids_crc32", "n_end"])

@@ -329,7 +329,7 @@ def test_wavelet_matrix():
         v = values.astype(np.uint32)
         ids, lengths, m = token_files.from_bytes(token_files.to_bytes([1, None], np.array([len(v), 0]), token_files.WaveletMatrix.of(v)))
         assert ids == [1, None] and lengths.tolist() == [len(v), 0]
-        assert m.access(np.arange(len(v))).tolist() == v.tolist()
+        assert m.access(np.arange(len(v))).tolist() == v.tolist() == m.span(0, len(v)).tolist()
         for x in v[:40].tolist():
             at = np.flatnonzero(v == x)
             assert m.count(x) == len(at) and [m.find(x, k) for k in range(min(3, len(at)))] == at[:3].tolist()
@@ -358,6 +358,8 @@ def test_token_files_are_compressed_and_read_by_ranges():
     at = np.flatnonzero(v == 5)
     assert [m.find(5, k) for k in (0, 1000, len(at) - 1)] == at[[0, 1000, len(at) - 1]].tolist()
     assert m.access(np.arange(len(v))).tolist() == v.tolist()
+    for a, b in ((0, len(v)), (5, 6), (777, 300_123), (999_990, len(v)), (63, 64), (7, 7)):
+        assert m.span(a, b).tolist() == v[a:b].tolist()
 
 
 def test_token_files_round_trip(spark, docs, empty, tmp_path):
