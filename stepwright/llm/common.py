@@ -64,12 +64,13 @@ def free_name(columns: list[str], name: str) -> str:
     return name
 
 
-def in_order(df: DataFrame, order: list[str], part: str = "__part") -> DataFrame:
+def in_order(df: DataFrame, order: list[str], part: str = "__part", parts: int | None = None) -> DataFrame:
     """df range-sorted into parts by `order`, written, with the number of its part; parts are in ascending order.
 
-    If `order` tells all rows apart, no part can be much larger than the others.
+    If `order` tells all rows apart, no part can be much larger than the others. Without `parts` Spark joins small ones.
     """
-    return stash(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    ranged = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
+    return stash(ranged.withColumn(part, F.spark_partition_id()))
 
 
 def running(df: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:

@@ -64,7 +64,7 @@ def finish_times(sized: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
     return rows.withColumn("__through", F.col("__inside") + F.col("__before")).drop("__source", "__part", "__p", "__inside", "__before", "__last")
 
 
-def cut_of(copies: DataFrame, budget: int, few: int = 1_000_000) -> DataFrame | None:
+def cut_of(copies: DataFrame, budget: int, few: int = 50_000) -> DataFrame | None:
     """The last place (finish, source, key, ..., copy) that fits the budget in the global order of finish times, as a one-row table.
 
     All copies are range-sorted by that order and each part is summed; the part in which the budget ends is
@@ -72,8 +72,9 @@ def cut_of(copies: DataFrame, budget: int, few: int = 1_000_000) -> DataFrame |
     """
     order = ["finish", "source_rank", "__key", "doc_id", "size", "__row", "copy"]
     inside, rows, used = copies, None, 0
+    parts = max(2, int(copies.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     while True:
-        parted = in_order(inside, order)
+        parted = in_order(inside, order, parts=parts)
         sums = sorted((r[0], r[1], r[2]) for r in parted.groupBy("__part").agg(F.sum("size"), F.count(F.lit(1))).collect())
         hit = None
         for part, size, n in sums:
