@@ -20,14 +20,20 @@ DISCOUNT = 0.6  # taken from the count of each stored bigram and trigram and giv
 LEAST_COUNTS = (1, 1)  # bigrams and trigrams seen less often are left to the shorter context, with their whole mass; 1 keeps all
 CELL_BYTES = 16 << 20  # training text of one trie, on average
 WORD_FILE = 1 << 20  # words of one file of the first level, on average
-BLOCK_TOKENS = 2_000_000  # tokens that a counting task gathers before it sends counts; their numbers fit in 21 bits
+BLOCK_TOKENS = 4_000_000  # tokens that a counting task gathers before it sends counts
 SCORED_BYTES = 6_000_000  # texts that are scored at once
-SUCCESSOR_BITS = 40  # of a successor's hash: n successors of a context hide a foreign word with chance n / 2**40
+SUCCESSOR_BITS, THIRD_BITS = 40, 32  # of the hash of a word's successor and of a pair's: n successors of a context hide a foreign word with chance n / 2**bits
 NUMBERS = 1 << 21  # of words in a block that one 64-bit key of three holds
 END, BEGIN = b"\n", b"\r"  # no word holds white space
 
 
 # ---------------------------------------------------------------- Elias-Fano code
+_BYTES = np.uint64(0x0101010101010101)
+_FIVES, _THREES, _NIBBLES, _TOPS = (np.uint64(x * 0x0101010101010101) for x in (0x55, 0x33, 0x0F, 0x80))
+#: Place of the k-th set bit of a byte, at 8 * byte + k.
+_IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[k] for b in range(256) for k in range(8)], np.uint64)
+
+
 class EliasFano:
     """A monotone sequence: low bits packed, high bits in unary with the number of ones and zeros before each word.
 
@@ -76,17 +82,16 @@ class EliasFano:
 
     @staticmethod
     def _bit(words: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """Place of the k-th (from 0) set bit of each word."""
-        at = np.zeros(len(words), np.int64)
-        words, k = words.copy(), k.copy()
-        for width in (32, 16, 8, 4, 2, 1):
-            part = words & np.uint64((1 << width) - 1)
-            c = np.bitwise_count(part).astype(np.int64)
-            right = k >= c
-            k = np.where(right, k - c, k)
-            at += right * width
-            words = np.where(right, words >> np.uint64(width), part)
-        return at
+        """Place of the k-th (from 0) set bit of each word: its byte by running counts of all eight bytes at once, then a table."""
+        k = k.astype(np.uint64)
+        with np.errstate(over="ignore"):
+            s = words - ((words >> np.uint64(1)) & _FIVES)
+            s = (s & _THREES) + ((s >> np.uint64(2)) & _THREES)
+            s = ((s + (s >> np.uint64(4))) & _NIBBLES) * _BYTES
+            byte = (((((k * _BYTES) | _TOPS) - s) & _TOPS) >> np.uint64(7)) * _BYTES >> np.uint64(56)
+            at = byte << np.uint64(3)
+            before = ((s << np.uint64(8)) >> at) & np.uint64(255)
+        return (at + _IN_BYTE[((words >> at) & np.uint64(255)) << np.uint64(3) | (k - before)]).astype(np.int64)
 
     def _select1(self, i: np.ndarray) -> np.ndarray:
         word = np.searchsorted(self.ones, i.astype(np.uint32), "right") - 1
@@ -101,6 +106,18 @@ class EliasFano:
         i = np.asarray(i, np.int64)
         return ((self._select1(i) - i).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(i)
 
+    def both(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values at positions i and i + 1, as signed numbers: the next one of the unary code is near, as a rule in the same word."""
+        bit = self._select1(i)
+        first = ((bit - i) << self.low_bits) | self._low(i).astype(np.int64)
+        word, later = bit >> 6, (bit & 63) + 1
+        rest = np.where(later < 64, self.high[word] >> (later & 63).astype(np.uint64), np.uint64(0))
+        second = bit + 1 + self._bit(rest, np.zeros(len(i), np.int64))
+        none = rest == 0
+        if none.any():
+            second[none] = self._select1(i[none] + 1)
+        return first, ((second - i - 1) << self.low_bits) | self._low(i + 1).astype(np.int64)
+
     def find(self, x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Position of x in [begin, end), where the sequence is strictly increasing; -1 where it is not there.
 
@@ -192,9 +209,9 @@ def rest_code(rest: np.ndarray) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- one trie
-def relative(hashes: np.ndarray) -> np.ndarray:
+def relative(hashes: np.ndarray, bits: int = SUCCESSOR_BITS) -> np.ndarray:
     """A successor's number within a context, from 1 on."""
-    return (hashes >> np.uint64(64 - SUCCESSOR_BITS)) + np.uint64(1)
+    return (hashes >> np.uint64(64 - bits)) + np.uint64(1)
 
 
 def increasing(rel: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -222,37 +239,52 @@ class Trie:
         (self.words, self.totals, self.pointers, self.seconds, self.pointers3, self.thirds), (self.codes, self.rests, self.codes3) = unpacked(data, self.KINDS)
 
     @staticmethod
-    def _within(pointers: EliasFano, level: EliasFano, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """Place in the level of each (context, successor hash); -1 if not there."""
-        out = np.full(len(context), -1, np.int64)
-        begin, end = pointers.get(context).astype(np.int64), pointers.get(context + 1).astype(np.int64)
+    def _spans(pointers: EliasFano, level: EliasFano, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, end, number before) of each context's part of a level."""
+        begin, end = pointers.both(context)
+        base = np.zeros(len(context), np.uint64)
+        some = np.flatnonzero((begin < end) & (begin > 0))
+        base[some] = level.get(begin[some] - 1)
+        return begin, end, base
+
+    @staticmethod
+    def _within(level: EliasFano, spans: tuple[np.ndarray, np.ndarray, np.ndarray], successor: np.ndarray) -> np.ndarray:
+        """Place in the level of each successor's number in a context's span; -1 if not there."""
+        begin, end, base = spans
+        out = np.full(len(successor), -1, np.int64)
         some = np.flatnonzero(begin < end)
         if len(some):
-            b, e = begin[some], end[some]
-            base = np.where(b > 0, level.get(np.maximum(b - 1, 0)), np.uint64(0)).astype(np.uint64)
             with np.errstate(over="ignore"):
-                out[some] = level.find(base + relative(successor[some]), b, e)
+                out[some] = level.find(base[some] + successor[some], begin[some], end[some])
         return out
 
     def bigrams(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place of (u, v) in the second level or -1, its discounted count) of hashes."""
+        """(place of (u, v) in the second level or -1, its discounted count) of hashes; u is ordered."""
         at, count = np.full(len(u), -1, np.int64), np.zeros(len(u))
         if self.words.n:
-            zero = np.zeros(len(u), np.int64)
-            word = self.words.find(u, zero, zero + self.words.n)
+            first = groups(u)  # a word's part is looked up once
+            zero = np.zeros(len(first), np.int64)
+            word = self.words.find(u[first], zero, zero + self.words.n)
             known = np.flatnonzero(word >= 0)
-            place = self._within(self.pointers, self.seconds, word[known], v[known])
-            at[known] = place
-            hit = known[place >= 0]
-            total = (self.totals.get(word[hit] + 1) - self.totals.get(word[hit])).astype(np.float64)
-            count[hit] = probability(self.codes[at[hit]]) * total
+            spans = self._spans(self.pointers, self.seconds, word[known])
+            before, upto = self.totals.both(word[known])
+            times = np.diff(np.r_[first, len(u)])[known]
+            own = np.repeat(first[known] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())
+            place = self._within(self.seconds, tuple(np.repeat(x, times) for x in spans), relative(v[own]))
+            at[own] = place
+            hit = place >= 0
+            count[own[hit]] = probability(self.codes[place[hit]]) * np.repeat(upto - before, times)[hit]
         return at, count
 
-    def trigrams(self, context: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Discounted probability of w after each context, a place in the second level; 0 if not stored."""
-        out = np.zeros(len(context))
+    def spans(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each context (u, v), a place in the second level, its part of the third."""
+        return self._spans(self.pointers3, self.thirds, context)
+
+    def trigrams(self, spans: tuple[np.ndarray, np.ndarray, np.ndarray], w: np.ndarray) -> np.ndarray:
+        """Discounted probability of w within each span of the third level; 0 if not stored."""
+        out = np.zeros(len(w))
         if self.thirds.n:
-            at = self._within(self.pointers3, self.thirds, context, w)
+            at = self._within(self.thirds, spans, relative(w, THIRD_BITS))
             out[at >= 0] = probability(self.codes3[at[at >= 0]])
         return out
 
@@ -272,12 +304,12 @@ def trie_bytes(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray, least
     """(file, words, their tokens, their stored mass in 2**-20 tokens) of counted trigrams, distinct and sorted; w = 0 stands for none."""
     first2 = groups(u, v)
     u2, v2, n2 = u[first2], v[first2], np.add.reduceat(n, first2) if len(n) else n
-    number2 = np.cumsum(np.isin(np.arange(len(u)), first2, assume_unique=True)) - 1 if len(u) else np.empty(0, np.int64)
+    number2 = np.repeat(np.arange(len(u2)), np.diff(np.r_[first2, len(u)]))
     first1 = groups(u2)
     words, totals = u2[first1], np.add.reduceat(n2, first1) if len(n2) else n2
-    number1 = np.repeat(np.arange(len(words)), np.diff(np.r_[first1, len(u2)])) if len(u2) else np.empty(0, np.int64)
+    number1 = np.repeat(np.arange(len(words)), np.diff(np.r_[first1, len(u2)]))
     kept2 = n2 >= least[0]
-    kept3 = (w != 0) & (n >= least[1]) & kept2[number2] if len(u) else np.empty(0, bool)
+    kept3 = (w != 0) & (n >= least[1]) & kept2[number2]
     codes3 = code_of((n[kept3] - DISCOUNT) / n2[number2[kept3]])
     rests = rest_code(1 - np.bincount(number2[kept3], weights=probability(codes3), minlength=len(u2)))[kept2]
     codes = code_of((n2[kept2] - DISCOUNT) / totals[number1[kept2]])
@@ -286,7 +318,7 @@ def trie_bytes(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray, least
     place = np.cumsum(kept2) - 1
     sizes3 = np.bincount(place[number2[kept3]], minlength=int(kept2.sum()))
     edges = lambda sizes: np.r_[0, np.cumsum(sizes)].astype(np.int64)
-    sequences = [words, edges(totals), edges(sizes2), increasing(relative(v2[kept2]), sizes2), edges(sizes3), increasing(relative(w[kept3]), sizes3)]
+    sequences = [words, edges(totals), edges(sizes2), increasing(relative(v2[kept2]), sizes2), edges(sizes3), increasing(relative(w[kept3], THIRD_BITS), sizes3)]
     return packed([codes, rests, codes3], sequences), words, totals, np.rint(mass * (1 << 20)).astype(np.int64)
 
 
@@ -330,46 +362,53 @@ def tails(hashes: np.ndarray) -> np.ndarray:
 
 
 def trigrams_packed(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes:
-    """Sorted trigrams: distinct first words, distinct seconds of each, thirds of each pair, and counts."""
+    """Sorted trigrams: distinct first words, the distinct words behind them, and by their numbers the seconds of each first word and the thirds of each pair; counts."""
     two, one = groups(u, v), groups(u)
-    lead = lambda x: x.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :_TAIL].tobytes()
+    behind, number = np.unique(np.concatenate([v[two], w]), return_inverse=True)
+    tail = behind.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :_TAIL].tobytes()
+    kind = np.uint16 if len(behind) <= 1 << 16 else np.uint32
     seconds = np.diff(np.r_[np.searchsorted(two, one), len(two)])
     thirds = np.diff(np.r_[two, len(u)])
-    rest = zlib.compress(np.concatenate([seconds, thirds, np.minimum(n, 0xFFFFFFFF)]).astype(np.uint32).tobytes(), 1)
-    return struct.pack("<qqq", len(one), len(two), len(u)) + u[one].tobytes() + lead(v[two]) + lead(w) + rest
+    sizes = np.concatenate([seconds, thirds, np.minimum(n, 0xFFFFFFFF)]).astype(np.uint32).tobytes()
+    rest = zlib.compress(sizes + number.astype(kind).tobytes(), 1)
+    return struct.pack("<qqqq", len(one), len(two), len(u), len(behind)) + u[one].tobytes() + tail + rest
 
 
 def trigrams_unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    ones, twos, n = struct.unpack_from("<qqq", data, 0)
-    at = 24
+    ones, twos, n, words = struct.unpack_from("<qqqq", data, 0)
+    at = 32
     u = np.frombuffer(data, np.uint64, ones, at)
     at += 8 * ones
-
-    def whole(count: int) -> np.ndarray:
-        nonlocal at
-        wide = np.zeros((count, 8), np.uint8)
-        wide[:, :_TAIL] = np.frombuffer(data, np.uint8, count * _TAIL, at).reshape(count, _TAIL)
-        at += count * _TAIL
-        return wide.view(">u8").ravel().astype(np.uint64)
-
-    v, w = whole(twos), whole(n)
-    rest = np.frombuffer(zlib.decompress(data[at:]), np.uint32)
-    thirds = rest[ones : ones + twos]
-    return np.repeat(np.repeat(u, rest[:ones]), thirds), np.repeat(v, thirds), w, rest[ones + twos :].astype(np.int64)
+    wide = np.zeros((words, 8), np.uint8)
+    wide[:, :_TAIL] = np.frombuffer(data, np.uint8, words * _TAIL, at).reshape(words, _TAIL)
+    behind = wide.view(">u8").ravel().astype(np.uint64)
+    rest = zlib.decompress(data[at + words * _TAIL :])
+    sizes = np.frombuffer(rest, np.uint32, ones + twos + n)
+    number = np.frombuffer(rest, np.uint16 if words <= 1 << 16 else np.uint32, twos + n, 4 * len(sizes))
+    thirds = sizes[ones : ones + twos]
+    return np.repeat(np.repeat(u, sizes[:ones]), thirds), np.repeat(behind[number[:twos]], thirds), behind[number[twos:]], sizes[ones + twos :].astype(np.int64)
 
 
 def merged(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
     """Equal trigrams summed, sorted."""
-    order = np.lexsort((w, v, u))
+    order = np.lexsort((v | w >> np.uint64(SUCCESSOR_BITS), u)) if v.dtype == np.uint64 else np.lexsort((w, v, u))
     u, v, w, n = u[order], v[order], w[order], n[order]
+    if v.dtype == np.uint64 and ((u[1:] == u[:-1]) & (v[1:] == v[:-1]) & (w[1:] < w[:-1])).any():  # thirds that agree in their leading bits
+        order = np.lexsort((w, v, u))
+        u, v, w, n = u[order], v[order], w[order], n[order]
     first = groups(u, v, w)
     return u[first], v[first], w[first], np.add.reduceat(n, first) if len(first) else n
 
 
 def counted(ids: np.ndarray, number: Numbering) -> tuple[np.ndarray, ...]:
     """Distinct trigrams (hashes u, v, w) of consecutive texts and their counts; after an END stands none, so that every bigram counts."""
-    begin, end = number[BEGIN], number[END]
-    last = len(number)  # stands for none
+    hashes = number.hashes()
+    order = np.argsort(hashes)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    begin, end = rank[number[BEGIN]], rank[number[END]]
+    hashes, ids = hashes[order], rank[ids]  # so that trigrams of numbers are ordered as those of hashes
+    last = len(hashes)  # stands for none
     third = np.r_[ids[2:], last]
     u, v, w = ids[:-1], ids[1:], np.where(ids[1:] == end, last, third)
     real = v != begin
@@ -380,13 +419,12 @@ def counted(ids: np.ndarray, number: Numbering) -> tuple[np.ndarray, ...]:
         u, v, w = (x.astype(np.int64) for x in (keys >> np.uint64(42), keys >> np.uint64(21) & low, keys & low))
     else:
         u, v, w, n = merged(u, v, w, np.ones(len(u), np.int64))
-    hashes = number.hashes()
     cut = np.r_[tails(hashes), np.uint64(0)]
     return hashes[u], cut[v], cut[w], n
 
 
 def trigram_blocks(texts: DataFrame, grid: Grid) -> DataFrame:
-    """cell, trigrams: counts of the training texts, summed per task and sent packed, about 8 bytes a token, to the trie of their first two words."""
+    """cell, trigrams: counts of the training texts, summed per task and sent packed, about 6 bytes a token, to the trie of their first two words."""
 
     def sent(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -397,7 +435,7 @@ def trigram_blocks(texts: DataFrame, grid: Grid) -> DataFrame:
             nonlocal number, held, n
             u, v, w, c = counted(np.concatenate(held), number)
             cell = grid.cell(u, v)
-            order = np.lexsort((w, v, u, cell))
+            order = np.argsort(cell.astype(np.uint16) if grid.size <= 1 << 16 else cell, kind="stable")
             u, v, w, c, cell = u[order], v[order], w[order], c[order], cell[order]
             edges = np.r_[groups(cell), len(cell)]
             rows = [(int(cell[a]), trigrams_packed(u[a:b], v[a:b], w[a:b], c[a:b])) for a, b in zip(edges, edges[1:])]
@@ -589,9 +627,11 @@ class Model:
         edges = np.r_[groups(cell[by_cell]), len(cell)]
         # a token's context is the pair before it; the first token has no such pair, its place in `third` is passed over
         third = np.zeros(len(flat) - 1)
-        of_context = cell[back[:-1]]
-        by_context = np.argsort(of_context, kind="stable")
-        sorted_context = of_context[by_context]
+        order_of = np.empty(len(pairs), np.int64)
+        order_of[by_cell] = np.arange(len(pairs))
+        asked = order_of[back[:-1]]
+        by_context = np.argsort(asked, kind="stable")  # by trie, and within it by place
+        asked = asked[by_context]
         for a, b in zip(edges[:-1], edges[1:]):
             number = int(cell[by_cell[a]])
             if not self._in(self.there, number):
@@ -599,11 +639,16 @@ class Model:
             trie = opened(self.folder, f"cell-{number:08d}", Trie)
             own = by_cell[a:b]
             place[own], stored[own] = trie.bigrams(hashes[u[own]], cut[v[own]])
-            hit = own[place[own] >= 0]
-            left[hit] = trie.rests[place[hit]] / 65535
-            tokens = by_context[slice(*np.searchsorted(sorted_context, (number, number + 1)))]
-            tokens = tokens[place[back[tokens]] >= 0]
-            third[tokens + 1] = trie.trigrams(place[back[tokens]], cut[flat[tokens + 2]])
+            hit = np.flatnonzero(place[own] >= 0)
+            at = place[own[hit]]
+            left[own[hit]] = trie.rests[at] / 65535
+            begin3, end3, base3 = np.zeros(b - a, np.int64), np.zeros(b - a, np.int64), np.zeros(b - a, np.uint64)
+            begin3[hit], end3[hit], base3[hit] = trie.spans(at)
+            low, high = np.searchsorted(asked, (a, b))
+            context = asked[low:high] - a
+            some = np.flatnonzero(begin3[context] < end3[context])
+            tokens, context = by_context[low:high][some], context[some]
+            third[tokens + 1] = trie.trigrams((begin3[context], end3[context], base3[context]), cut[flat[tokens + 2]])
         p2 = np.where(count[u] > 0, stored / np.maximum(count[u], 1) + rest[u] * base[v], base[v])[back]
         p = p2.copy()
         p[1:] = third[1:] + np.where(place[back[:-1]] >= 0, left[back[:-1]], 1.0) * p2[1:]
