@@ -20,7 +20,7 @@ DISCOUNT = 0.6  # taken from the count of each stored bigram and trigram and giv
 LEAST_COUNTS = (1, 1)  # bigrams and trigrams seen less often are left to the shorter context, with their whole mass; 1 keeps all
 CELL_BYTES = 16 << 20  # training text of one trie, on average
 WORD_FILE = 1 << 20  # words of one file of the first level, on average
-BLOCK_TOKENS = 4_000_000  # tokens that a counting task gathers before it sends counts
+BLOCK_TOKENS = 3_000_000  # tokens that a counting task gathers before it sends counts
 SCORED_BYTES = 6_000_000  # texts that are scored at once
 SUCCESSOR_BITS, THIRD_BITS = 40, 32  # of the hash of a word's successor and of a pair's: n successors of a context hide a foreign word with chance n / 2**bits
 NUMBERS = 1 << 21  # of words in a block that one 64-bit key of three holds
@@ -203,9 +203,12 @@ def probability(codes: np.ndarray) -> np.ndarray:
     return _STEPS[codes]
 
 
-def rest_code(rest: np.ndarray) -> np.ndarray:
-    """What a context leaves to the shorter one, in 65 535ths."""
-    return np.rint(np.clip(rest, 0, 1) * 65535).astype(np.uint16)
+WORD_REST, PAIR_REST = 65535, 255  # parts in which the share that a word, and a pair of words, leaves to the shorter context is told
+
+
+def rest_code(rest: np.ndarray, parts: int) -> np.ndarray:
+    """What a context leaves to the shorter one, in parts of which it has one at least: no word is impossible."""
+    return np.clip(np.rint(rest * parts), 1, parts).astype(np.uint16 if parts > 255 else np.uint8)
 
 
 # ---------------------------------------------------------------- one trie
@@ -233,7 +236,7 @@ class Trie:
     discounted share of (u, v); a context (u, v) has the share that it leaves to v.
     """
 
-    KINDS = [np.uint8, np.uint16, np.uint8]
+    KINDS = [np.uint8, np.uint8, np.uint8]
 
     def __init__(self, data: np.ndarray) -> None:
         (self.words, self.totals, self.pointers, self.seconds, self.pointers3, self.thirds), (self.codes, self.rests, self.codes3) = unpacked(data, self.KINDS)
@@ -311,7 +314,7 @@ def trie_bytes(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray, least
     kept2 = n2 >= least[0]
     kept3 = (w != 0) & (n >= least[1]) & kept2[number2]
     codes3 = code_of((n[kept3] - DISCOUNT) / n2[number2[kept3]])
-    rests = rest_code(1 - np.bincount(number2[kept3], weights=probability(codes3), minlength=len(u2)))[kept2]
+    rests = rest_code(1 - np.bincount(number2[kept3], weights=probability(codes3), minlength=len(u2)), PAIR_REST)[kept2]
     codes = code_of((n2[kept2] - DISCOUNT) / totals[number1[kept2]])
     mass = np.bincount(number1[kept2], weights=probability(codes), minlength=len(words)) * totals
     sizes2 = np.bincount(number1[kept2], minlength=len(words))
@@ -361,6 +364,17 @@ def tails(hashes: np.ndarray) -> np.ndarray:
     return np.where(cut == 0, np.uint64(1 << (64 - SUCCESSOR_BITS)), cut)
 
 
+def by_bytes(x: np.ndarray) -> bytes:
+    """All first bytes, then all second ones, ...: leading bytes of small or ordered numbers repeat."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def from_bytes(data: bytes, kind: type, count: int, at: int) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(data, np.uint8, count * width, at).reshape(width, count)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def trigrams_packed(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes:
     """Sorted trigrams: distinct first words, the distinct words behind them, and by their numbers the seconds of each first word and the thirds of each pair; counts."""
     two, one = groups(u, v), groups(u)
@@ -369,8 +383,8 @@ def trigrams_packed(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray)
     kind = np.uint16 if len(behind) <= 1 << 16 else np.uint32
     seconds = np.diff(np.r_[np.searchsorted(two, one), len(two)])
     thirds = np.diff(np.r_[two, len(u)])
-    sizes = np.concatenate([seconds, thirds, np.minimum(n, 0xFFFFFFFF)]).astype(np.uint32).tobytes()
-    rest = zlib.compress(sizes + number.astype(kind).tobytes(), 1)
+    sizes = np.concatenate([seconds, thirds, np.minimum(n, 0xFFFFFFFF)]).astype(np.uint32)
+    rest = zlib.compress(by_bytes(sizes) + by_bytes(number.astype(kind)), 1)
     return struct.pack("<qqqq", len(one), len(two), len(u), len(behind)) + u[one].tobytes() + tail + rest
 
 
@@ -383,8 +397,8 @@ def trigrams_unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     wide[:, :_TAIL] = np.frombuffer(data, np.uint8, words * _TAIL, at).reshape(words, _TAIL)
     behind = wide.view(">u8").ravel().astype(np.uint64)
     rest = zlib.decompress(data[at + words * _TAIL :])
-    sizes = np.frombuffer(rest, np.uint32, ones + twos + n)
-    number = np.frombuffer(rest, np.uint16 if words <= 1 << 16 else np.uint32, twos + n, 4 * len(sizes))
+    sizes = from_bytes(rest, np.uint32, ones + twos + n, 0)
+    number = from_bytes(rest, np.uint16 if words <= 1 << 16 else np.uint32, twos + n, 4 * len(sizes))
     thirds = sizes[ones : ones + twos]
     return np.repeat(np.repeat(u, sizes[:ones]), thirds), np.repeat(behind[number[:twos]], thirds), behind[number[twos:]], sizes[ones + twos :].astype(np.int64)
 
@@ -499,7 +513,7 @@ def write_words(words: DataFrame, bits: int, folder: str) -> list[int]:
             word = word.view(np.uint64)
             order = np.argsort(word)
             word, n, mass = word[order], n[order], mass[order]
-            put(folder, f"words-{now:08d}", packed([rest_code(1 - mass / (1 << 20) / n)], [word, np.r_[0, np.cumsum(n)]]))
+            put(folder, f"words-{now:08d}", packed([rest_code(1 - mass / (1 << 20) / n, WORD_REST)], [word, np.r_[0, np.cumsum(n)]]))
             names.append(now)
 
         for batch in batches:
@@ -595,7 +609,7 @@ class Model:
                 at = words.find(hashes[a:b], zero, zero + words.n)
                 hit, at = np.flatnonzero(at >= 0) + a, at[at >= 0]
                 count[hit] = (counts.get(at + 1) - counts.get(at)).astype(np.int64)
-                rest[hit] = rests[at] / 65535
+                rest[hit] = rests[at] / WORD_REST
         return count, rest
 
     def scored(self, texts: list[bytes]) -> list[np.ndarray]:
@@ -641,7 +655,7 @@ class Model:
             place[own], stored[own] = trie.bigrams(hashes[u[own]], cut[v[own]])
             hit = np.flatnonzero(place[own] >= 0)
             at = place[own[hit]]
-            left[own[hit]] = trie.rests[at] / 65535
+            left[own[hit]] = trie.rests[at] / PAIR_REST
             begin3, end3, base3 = np.zeros(b - a, np.int64), np.zeros(b - a, np.int64), np.zeros(b - a, np.uint64)
             begin3[hit], end3[hit], base3[hit] = trie.spans(at)
             low, high = np.searchsorted(asked, (a, b))

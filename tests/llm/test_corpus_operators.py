@@ -623,7 +623,7 @@ def test_probabilities_sum_to_one(spark):
     assert (at >= 0).tolist() == [True, True, True, False] and cells[2].tolist() == [6, 7]
     assert count[0] <= 4 - 0.6 and count[0] > (4 - 0.6) * 0.91 and count[2] > 6.4 * 0.91
     stored = trie.trigrams(trie.spans(at[:2]), np.array([3, 4], np.uint64) << np.uint64(32))
-    assert 0.91 * (3 - 0.6) / 4 < stored[0] <= (3 - 0.6) / 4 and abs(stored[0] + trie.rests[at[0]] / 65535 - 1) < 2e-5
+    assert 0.91 * (3 - 0.6) / 4 < stored[0] <= (3 - 0.6) / 4 and abs(stored[0] + trie.rests[at[0]] / 255 - 1) < 0.5 / 255 + 1e-9
 
 
 def test_steps_never_exceed_the_probability():
