@@ -26,7 +26,8 @@ LEAST_TOKENS = min(SEEDS)
 LONGEST = max(len(m) for masks in SEEDS.values() for m in masks)
 SALTED, MOST_SALTS = 10_000, 1024  # hits of a seed that meet in a task, about; parts of a seed at most
 RUN = 1 << 16  # tokens of neighbouring documents that are hashed at once
-LEAST_BITS, MOST_BITS = 20, 30  # the filter of benchmark hashes has 2**20 to 2**30 bits (128 KB to 128 MB), sixteen or more for a hash
+LEAST_BITS, MOST_BITS = 20, 30  # the filter of benchmark hashes has 2**20 to 2**30 bits (128 KB to 128 MB)
+BITS_A_HASH = 1024  # so that about one foreign hash in 260 000 passes its two slots
 MARGIN = 24  # tokens kept on either side of a hit
 WINDOW = 20  # tokens of an overlap
 SHARE = 0.8  # of them equal
@@ -97,10 +98,10 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 def filter_of(seeds: DataFrame) -> np.ndarray:
     """A bit for each of the two slots of each hash, in a filter sized by the count of hashes.
 
-    The driver gets a number for each 64 bits that are not all unset, 2**MOST_BITS / 64 at most; beyond 2**MOST_BITS / 16 hashes
+    The driver gets a number for each 64 bits that are not all unset, 2**MOST_BITS / 64 at most; beyond 2**MOST_BITS / BITS_A_HASH hashes
     the filter lets more pass, which the exact join then stops.
     """
-    bits = min(max(LEAST_BITS, (seeds.count() * 16).bit_length()), MOST_BITS)
+    bits = min(max(LEAST_BITS, (seeds.count() * BITS_A_HASH).bit_length()), MOST_BITS)
     low = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
     high = F.shiftrightunsigned(F.col("h"), 64 - bits)
     slot = seeds.select(F.explode(F.array(high, low)).alias("s"))
