@@ -86,6 +86,10 @@ class PieceEncoder:
         self.chunks[chunk] = ids
         return ids
 
+    def ids_of_chunk(self, chunk: str) -> bytes:
+        """Ids of one chunk of a text that is parted."""
+        return self.chunks.get(chunk) or self._new(chunk)
+
     def ids(self, text: str) -> bytes:
         """Ids of a whole text as native unsigned 32-bit integers; no special tokens added."""
         if self.chunk is None or _SPECIAL in text or _RARE.search(text):

@@ -17,6 +17,7 @@ QUERIES = {
     "op9_quality_rules": ("rules", "op9_quality_rules", "ORACLE"),
     "rule_ablations": ("rules", "rule_ablations", "ABLATIONS"),
     "op10_token_files": ("token_files", "op10_token_files", None),
+    "op11_align_tokenizers": ("alignment", "op11_align_tokenizers", None),
 }
 
 
