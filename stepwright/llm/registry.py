@@ -18,6 +18,7 @@ QUERIES = {
     "rule_ablations": ("rules", "rule_ablations", "ABLATIONS"),
     "op10_token_files": ("token_files", "op10_token_files", None),
     "op11_align_tokenizers": ("alignment", "op11_align_tokenizers", None),
+    "op12_lexical_search": ("lexical", "op12_lexical_search", "ORACLE"),
 }
 
 
