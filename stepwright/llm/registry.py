@@ -19,6 +19,7 @@ QUERIES = {
     "op10_token_files": ("token_files", "op10_token_files", None),
     "op11_align_tokenizers": ("alignment", "op11_align_tokenizers", None),
     "op12_lexical_search": ("lexical", "op12_lexical_search", "ORACLE"),
+    "op13_nearest_neighbours": ("neighbours", "op13_nearest_neighbours", "ORACLE"),
 }
 
 
