@@ -88,10 +88,10 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_size, self.b_size = [len(x) for x in self.a_bytes], [len(x) for x in self.b_bytes]
-        self.space = self.b.piece_to_id("▁")
+        self.line = self.b.encode("\n")
         plain = [p.replace("▁", " ") for i, p in enumerate(pieces) if not self.b.is_control(i) and not self.b.is_unknown(i)]
         # dummy space in front, nothing normalised, no piece into white space
-        as_it_is = self._b_bytes(self.b.encode("a  b\tc\n d")) == b" a  b\tc\n d"
+        as_it_is = len(self.line) == 2 and self._b_bytes(self.b.encode("a  b\tc\n d")) == b" a  b\tc\n d"
         self.parted = self.a.chunk is not None and not self.a.lower and as_it_is and not any(re.search(r"[^ \t\n][ \t\n]", p) for p in plain)
         self.stops = self.parted and not any(c.isalpha() and d in ".," for p in plain for c, d in zip(p, p[1:]))
         self.young: dict[str, tuple] = {}
@@ -120,9 +120,9 @@ class Aligner:
                 a = array("I", self.a.ids_of_chunk(chunk)).tolist()
                 if chunk[0] == " ":  # the library puts one in front
                     out = self._value(chunk, a, self.b.encode(chunk[1:]))
-                else:
-                    b = self.b.encode(chunk)
-                    out = self._value(chunk, a, b[1:]) if b and b[0] == self.space else None
+                else:  # behind a line feed, which is a byte of its own, nothing joins that space
+                    b = self.b.encode("\n" + chunk)
+                    out = self._value(chunk, a, b[2:]) if b[:2] == self.line else None
             if out is None:
                 return None
         if len(self.young) >= MOST_CHUNKS:  # the younger memory becomes the older one
