@@ -210,25 +210,27 @@ def batched_encode(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- streams over step files
-def streamed(spark, sf_dir, value, kind):
-    """Steps written in parts of 25 growing t and read as a stream of one file a time; an episode's steps of a part are in one file."""
+def streamed(spark, rows, schema, files=12, per_batch=4):
+    """Rows (with ts, 60 s a step) dealt at random over files, which are read as a stream in an order that nobody settles; then checkpoint and output folders.
+
+    Steps come as late as the whole table is long, so the streams' delay has to be that long.
+    """
     path = scratch(spark)
-    staged = f"{path}-steps"
-    steps = event_steps(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("t") * 60))
-    rows = steps.select("episode_id", "t", "ts", value.alias("value"), F.floor(F.col("t") / 25).alias("part"))
-    rows.write.parquet(staged)
-    rows = spark.read.parquet(staged)
-    for i in range((rows.agg(F.max("part")).first()[0] or 0) + 1):
-        rows.where(F.col("part") == i).drop("part").repartition("episode_id").write.mode("append").parquet(path)
-    return live.step_stream(spark, path, f"episode_id long, t int, ts timestamp, value {kind}"), f"{path}-checkpoint", f"{path}-out"
+    dealt = rows.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("t") * 60))
+    dealt.repartition(files, F.xxhash64("episode_id", "t")).write.parquet(path)
+    return live.step_stream(spark, path, schema, per_batch), f"{path}-checkpoint", f"{path}-out"
+
+
+LATE = "10000 days"
 
 
 @query("stream_history", f"""
 WITH {EVENT_STEPS} SELECT a.episode_id, a.t, round(coalesce(b.a0, -5.0), 6) AS oldest, round(a.a0, 6) AS newest FROM steps a LEFT JOIN steps b ON b.episode_id = a.episode_id AND b.t = a.t - 3
 """)
 def stream_history(spark, sf_dir):
-    stream, checkpoint, folder = streamed(spark, sf_dir, F.col("action"), "array<double>")
-    rows = live.drained_to_files(live.live_history(stream, 4), folder, checkpoint)
+    steps = event_steps(spark, sf_dir).select("episode_id", "t", F.col("action").alias("value"))
+    stream, checkpoint, folder = streamed(spark, steps, "episode_id long, t int, value array<double>, ts timestamp")
+    rows = live.drained_to_files(live.live_history(stream, 4, LATE), folder, checkpoint)
     return rows.select(*ID, F.round(F.col("out")[0][0], 6).alias("oldest"), F.round(F.col("out")[3][0], 6).alias("newest"))
 
 
@@ -238,18 +240,31 @@ SELECT episode_id, t, round(sum(w * x) / sum(w), 6) AS x FROM p GROUP BY ALL
 """)
 def stream_ensemble(spark, sf_dir):
     plan = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.array(F.col("action")[0] + i * 0.5, F.col("action")[1]))
-    stream, checkpoint, folder = streamed(spark, sf_dir, plan, "array<array<double>>")
-    rows = live.drained_to_files(live.live_ensemble(stream, 4, 0.3), folder, checkpoint)
+    steps = event_steps(spark, sf_dir).select("episode_id", "t", plan.alias("value"))
+    stream, checkpoint, folder = streamed(spark, steps, "episode_id long, t int, value array<array<double>>, ts timestamp")
+    rows = live.drained_to_files(live.live_ensemble(stream, 4, 0.3, LATE), folder, checkpoint)
     return rows.select(*ID, F.round(F.col("out")[0], 6).alias("x"))
 
 
+@query("stream_batches", f"""
+WITH {EVENT_STEPS} SELECT episode_id, t, round(a0 * a0 + a1 * a1, 6) AS score FROM steps
+""")
+def stream_batches(spark, sf_dir):
+    """A stand-in for a caller's model (squared length), 64 frames at a time over all trajectories of a lane; the last file moves the clock, which drains the lanes."""
+    steps = event_steps(spark, sf_dir).select("episode_id", "t", "n", F.col("action").alias("value"))
+    stream, checkpoint, folder = streamed(spark, steps, "episode_id long, t int, n int, value array<double>, ts timestamp")
+    path = checkpoint.removesuffix("-checkpoint")
+    after = steps.agg(F.max("t").alias("t")).select(F.lit(None).cast("long").alias("episode_id"), "t", F.lit(0).alias("n"), F.array().cast("array<double>").alias("value"))
+    after.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.coalesce("t", F.lit(0)) * 60 + 4_000_000_000)).write.mode("append").parquet(path)
+    rows = live.drained_to_files(live.model_batches(stream, lambda m: (m * m).sum(1), 64, 8, "1 day"), folder, checkpoint)
+    return rows.select(*ID, F.round("score", 6).alias("score"))
+
+
 @query("stream_success", "SELECT event_type AS task, count(*) AS episodes, CAST(sum((user_id % 3 = 0)::INT) AS BIGINT) AS successes FROM events GROUP BY 1")
 def stream_success(spark, sf_dir):
-    import uuid
-
     path = scratch(spark)
-    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("task"), F.lit(True).alias("done"), (F.col("user_id") % 3 == 0).alias("success"), (F.col("event_id") % 3).alias("part"))
-    for i in range(3):
-        rows.where(F.col("part") == i).drop("part").write.mode("append").parquet(path)
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("task"), F.lit(True).alias("done"), (F.col("user_id") % 3 == 0).alias("success"))
+    rows.repartition(3).write.parquet(path)
     stream = live.step_stream(spark, path, "task string, done boolean, success boolean")
-    return live.drained(live.success_counters(stream), f"counters_{uuid.uuid4().hex}", "complete", f"{path}-checkpoint")
+    live.count_episodes(stream, f"{path}-counts", f"{path}-checkpoint")
+    return live.counts_in(spark, f"{path}-counts")

@@ -1,15 +1,17 @@
-"""Live episodes: action history, ensembles and counters over a stream of steps."""
+"""Live episodes over a stream of steps that may come late and in any order: action history, ensembles, model batches, counters."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 PAD = -5.0
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def step_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1) -> DataFrame:
@@ -17,45 +19,114 @@ def step_stream(spark: SparkSession, path: str, schema: str, files_per_batch: in
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def _stateful(steps: DataFrame, size: int, output: str, of_plan, idle: str) -> DataFrame:
-    """Per episode a state of the last `size` actions or plans; idle episodes are let go once the watermark is past them."""
-    def of(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started meanwhile keep their state in RocksDB, which state of several variables needs; then the session is as before."""
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, _ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
+
+
+def _millis(ts) -> int:
+    return int(ts.value // 1_000_000)
+
+
+class OrderedSteps(StatefulProcessor):
+    """Per episode: steps go out in order of t, each with what `of_held` makes of the last `size` steps.
+
+    A step goes out as soon as all steps before it are there, so steps that come in order never wait. Behind a gap steps wait until it
+    is filled, or until the watermark is past their own time: then the missing ones are given up, and those that come later yet are
+    dropped, as are repeated ones (the first counts). When the watermark is `idle` past an episode's last step, its state goes.
+
+    place: (t of the next step, last step's time, when the state goes); recent: the last `size` steps that went out; waiting: steps behind a gap.
+    """
+
+    def __init__(self, size: int, kind: str, of_held: Callable[[list], list], idle_ms: int) -> None:
+        self.size, self.kind, self.of_held, self.idle_ms = size, kind, of_held, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.place = handle.getValueState("place", "next int, last long, ends long")
+        self.recent = handle.getListState("recent", f"t int, value {self.kind}")
+        self.waiting = handle.getListState("waiting", f"t int, ms long, value {self.kind}")
+
+    def _run(self, episode, place: tuple, waiting: dict, watermark: int) -> Iterator:
+        """Send out what is due and store what is left."""
         import pandas as pd
 
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = json.loads(state.get[0]) if state.exists else []
+        next_, last, ends = place
+        recent = [(t, v) for t, v in self.recent.get()] if self.recent.exists() else []
         out = []
-        for frame in frames:
-            for row in frame.sort_values("t").itertuples():
-                held = [*held, [int(row.t), [list(map(float, a)) if hasattr(a, "__len__") else float(a) for a in row.value]]][-size:]
-                out.append({"episode_id": key[0], "t": row.t, "out": of_plan(held)})
-        state.update((json.dumps(held),))
-        now = state.getCurrentWatermarkMs()
-        state.setTimeoutTimestamp(now + 3_600_000)
+        while waiting:
+            t = min(waiting)
+            if t > next_ and waiting[t][0] > watermark:
+                break
+            recent = [*recent, (t, waiting.pop(t)[1])][-self.size :]
+            out.append((episode, t, self.of_held(recent)))
+            next_ = t + 1
+        for state, rows in ((self.recent, recent), (self.waiting, [(t, ms, v) for t, (ms, v) in waiting.items()])):
+            state.put(rows) if rows else state.clear()
+        if waiting:
+            self.handle.registerTimer(max(min(ms for ms, _ in waiting.values()), watermark + 1))
+        if last + self.idle_ms != ends:
+            if ends:
+                self.handle.deleteTimer(ends)
+            ends = last + self.idle_ms
+            self.handle.registerTimer(ends)
+        self.place.update((next_, last, ends))
         yield pd.DataFrame(out, columns=["episode_id", "t", "out"])
 
-    marked = steps.withWatermark("ts", idle)
-    return marked.groupBy("episode_id").applyInPandasWithState(of, f"episode_id long, t int, out {output}", "held string", "append", GroupStateTimeout.EventTimeTimeout)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:
+        if key[0] is None or key[0] != key[0]:  # rows without an episode only move the clock
+            return
+        next_, last, ends = self.place.get() if self.place.exists() else (0, 0, 0)
+        waiting = {t: (ms, v) for t, ms, v in self.waiting.get()} if self.waiting.exists() else {}
+        for frame in rows:
+            for row in frame.sort_values("t").itertuples():
+                if row.t >= next_ and row.t not in waiting:
+                    waiting[int(row.t)] = _millis(row.ts), [list(map(float, a)) if hasattr(a, "__len__") else float(a) for a in row.value]
+                last = max(last, _millis(row.ts))
+        yield from self._run(int(key[0]), (next_, last, ends), waiting, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        if not self.place.exists():
+            return
+        place = self.place.get()
+        waiting = {t: (ms, v) for t, ms, v in self.waiting.get()} if self.waiting.exists() else {}
+        yield from self._run(int(key[0]), tuple(place), waiting, timerValues.getCurrentWatermarkInMs())
+        if expiredTimerInfo.getExpiryTimeInMs() >= place[2]:
+            for state in (self.place, self.recent, self.waiting):
+                state.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def _stateful(steps: DataFrame, processor: StatefulProcessor, key: str, output: str, delay: str) -> DataFrame:
+    marked = steps.withWatermark("ts", delay)
+    return marked.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=output, outputMode="append", timeMode="eventTime")
 
 
-def live_history(steps: DataFrame, size: int, idle: str = "1 hour") -> DataFrame:
+def live_history(steps: DataFrame, size: int, delay: str = "1 hour", idle_ms: int = 3_600_000) -> DataFrame:
     """(episode_id, t, out): the last `size` actions of the episode, padded in front.
 
-    steps: episode_id, t, ts, value array<double>. Steps of an episode arrive in order of t.
+    steps: episode_id, t from 0, ts, value array<double>, in any order; `delay`: how late a step may come (see OrderedSteps).
     """
     def padded(held: list) -> list:
-        actions = [a for _, a in held]
+        actions = [list(a) for _, a in held]
         return [[PAD] * len(actions[-1])] * (size - len(actions)) + actions
 
-    return _stateful(steps, size, "array<array<double>>", padded, idle)
+    kind = "array<double>"
+    return _stateful(steps, OrderedSteps(size, kind, padded, idle_ms), "episode_id", f"episode_id long, t int, out array<{kind}>", delay)
 
 
-def live_ensemble(steps: DataFrame, horizon: int, temperature: float, idle: str = "1 hour") -> DataFrame:
+def live_ensemble(steps: DataFrame, horizon: int, temperature: float, delay: str = "1 hour", idle_ms: int = 3_600_000) -> DataFrame:
     """(episode_id, t, out): weighted mean of what the last `horizon` plans foresaw for t, weight exp(-temperature * i), 0 the oldest.
 
-    steps: episode_id, t, ts, value array<array<double>> (the plan made at t).
+    steps: episode_id, t from 0, ts, value array<array<double>> (the plan made at t), in any order.
     """
     def mean(held: list) -> list:
         import numpy as np
@@ -63,25 +134,130 @@ def live_ensemble(steps: DataFrame, horizon: int, temperature: float, idle: str
         t = held[-1][0]
         seen = [plan[t - made] for made, plan in held if 0 <= t - made < len(plan)]
         w = np.exp(-temperature * np.arange(len(seen)))
-        return list((np.array(seen) * (w / w.sum())[:, None]).sum(0))
+        return list(map(float, (np.array(seen) * (w / w.sum())[:, None]).sum(0)))
 
-    return _stateful(steps, horizon, "array<double>", mean, idle)
+    return _stateful(steps, OrderedSteps(horizon, "array<array<double>>", mean, idle_ms), "episode_id", "episode_id long, t int, out array<double>", delay)
 
 
-def success_counters(steps: DataFrame) -> DataFrame:
-    """Episodes' last steps counted by task and outcome as they come; for the update or complete mode."""
-    return steps.where("done").groupBy("task").agg(F.count(F.lit(1)).alias("episodes"), F.sum(F.col("success").cast("long")).alias("successes"))
+class Batches(StatefulProcessor):
+    """Per lane: frames of any trajectories wait until there are `size`, go through the model together, and go out once their trajectory is whole.
 
+    What waits outlives micro-batches, so each batch has exactly `size` frames but those that drain a lane: when the watermark is
+    `idle` past the last frame, the rest goes through in one smaller batch, and trajectories go out as far as they came.
 
-def drained(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over all that is there now and return its sink's rows."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+    place: (batches so far, last frame's time, when the lane is drained); waiting: frames for the model; done: frames with a score of trajectories that are not whole.
+    """
+
+    def __init__(self, size: int, score: Callable, idle_ms: int) -> None:
+        self.size, self.score, self.idle_ms = size, score, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.place = handle.getValueState("place", "batches long, last long, ends long")
+        self.waiting = handle.getListState("waiting", "episode_id long, t int, n int, value array<double>")
+        self.done = handle.getListState("done", "episode_id long, t int, n int, score double, batch long, batch_rows int")
+
+    def _through(self, frames: list, number: int) -> list:
+        import numpy as np
+
+        scores = self.score(np.array([v for *_, v in frames], float))
+        return [(e, t, n, float(s), number, len(frames)) for (e, t, n, _), s in zip(frames, scores)]
+
+    def _out(self, lane: int, rows: list) -> Iterator:
+        import pandas as pd
+
+        yield pd.DataFrame([(lane, e, t, s, b, k) for e, t, _, s, b, k in rows], columns=["lane", "episode_id", "t", "score", "batch", "batch_rows"])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:
+        batches, last, ends = self.place.get() if self.place.exists() else (0, 0, 0)
+        waiting = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
+        done = [tuple(x) for x in self.done.get()] if self.done.exists() else []
+        for frame in rows:
+            for row in frame[frame["episode_id"].notna()].itertuples():  # rows without an episode only move the clock
+                last = max(last, _millis(row.ts))
+                waiting.append((int(row.episode_id), int(row.t), int(row.n), list(map(float, row.value))))
+            while len(waiting) >= self.size:
+                done += self._through(waiting[: self.size], batches)
+                waiting, batches = waiting[self.size :], batches + 1
+        if not last:
+            return
+        count: dict[int, int] = {}
+        for e, *_ in done:
+            count[e] = count.get(e, 0) + 1
+        whole = [x for x in done if count[x[0]] >= x[2]]
+        done = [x for x in done if count[x[0]] < x[2]]
+        for state, kept in ((self.waiting, waiting), (self.done, done)):
+            state.put(kept) if kept else state.clear()
+        if ends:
+            self.handle.deleteTimer(ends)
+        ends = last + self.idle_ms
+        self.handle.registerTimer(ends)
+        self.place.update((batches, last, ends))
+        yield from self._out(int(key[0]), whole)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        batches = self.place.get()[0] if self.place.exists() else 0
+        waiting = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
+        done = [tuple(x) for x in self.done.get()] if self.done.exists() else []
+        if waiting:
+            done += self._through(waiting, batches)
+        for state in (self.place, self.waiting, self.done):
+            state.clear()
+        yield from self._out(int(key[0]), done)
+
+    def close(self) -> None:
+        pass
+
+
+def model_batches(frames: DataFrame, score: Callable, size: int, lanes: int, delay: str = "1 hour", idle_ms: int = 3_600_000) -> DataFrame:
+    """(lane, episode_id, t, score, batch, batch_rows) of every frame, once its trajectory is whole.
+
+    frames: episode_id, t, n (frames of the trajectory), ts, value array<double>, in any order. A trajectory's frames share a lane with those of others;
+    `score` takes a matrix of frames, `size` of them but for a lane's last, and returns a number for each. `lanes` is the parallelism.
+    """
+    lane = F.pmod(F.xxhash64("episode_id"), F.lit(lanes)).cast("int")
+    out = "lane int, episode_id long, t int, score double, batch long, batch_rows int"
+    return _stateful(frames.withColumn("lane", lane), Batches(size, score, idle_ms), "lane", out, delay)
 
 
 def drained_to_files(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Run a stream in append mode over all that is there now into Parquet files; a restart with the checkpoint adds nothing twice."""
-    q = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with keyed_state(stream.sparkSession):
+        q = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+_COUNTS = "batch long, task string, episodes long, successes long"
+
+
+def counts_in(spark: SparkSession, path: str) -> DataFrame:
+    """task, episodes, successes so far of a table that `merge_counts` keeps."""
+    slots = spark.read.schema(_COUNTS + ", slot int").parquet(path)
+    last = slots.agg(F.max("batch").alias("__last"))
+    return slots.join(F.broadcast(last), F.col("batch") == F.col("__last")).where("task IS NOT NULL OR episodes > 0").select("task", "episodes", "successes")
+
+
+def merge_counts(ended: DataFrame, batch: int, path: str) -> None:
+    """Add a micro-batch of episode ends (task, success) to the counts of the batches before it.
+
+    Two folders take turns: batch b replaces the totals of b - 2 by those of b - 1 and its own. So a batch that is run again after a crash, before or
+    after its write, gives the same totals, and readers always have a whole table.
+    """
+    spark = ended.sparkSession
+    own = ended.groupBy("task").agg(F.count(F.lit(1)).alias("episodes"), F.sum(F.col("success").cast("long")).alias("successes"))
+    if batch:
+        before = spark.read.schema(_COUNTS).parquet(f"{path}/slot={(batch - 1) % 2}").where(F.col("batch") == batch - 1)
+        own = own.unionByName(before.where("task IS NOT NULL OR episodes > 0").select("task", "episodes", "successes"))
+    totals = own.groupBy("task").agg(F.sum("episodes").alias("episodes"), F.sum("successes").alias("successes"))
+    mark = spark.createDataFrame([(None, 0, 0)], "task string, episodes long, successes long")  # a batch without rows leaves its number too
+    totals.unionByName(mark).select(F.lit(batch).cast("long").alias("batch"), "*").write.mode("overwrite").parquet(f"{path}/slot={batch % 2}")
+
+
+def count_episodes(steps: DataFrame, path: str, checkpoint: str):
+    """Run a stream of steps (task, done, success) over all that is there now into the counts of finished episodes at `path`."""
+    def add(frame: DataFrame, batch: int) -> None:
+        merge_counts(frame, batch, path)
+
+    q = steps.where("done").select("task", "success").writeStream.foreachBatch(add).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
