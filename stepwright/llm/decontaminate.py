@@ -247,11 +247,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that overlap a benchmark item; docs' own columns, whatever their names.
 
-    Rows of one doc_id are one document: if one of them overlaps, all go. Other cases as in contaminated.
+    Rows are numbered in a written table first and judged by their number: of rows that share an id, or have none, only those go whose
+    own text overlaps. Other cases as in contaminated.
     """
-    own = free_name(docs.columns, "bad_id")
-    bad = stash(contaminated(docs, benchmark).select(F.col("doc_id").alias(own)).distinct())
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(own)), "left_anti")
+    row = free_name(docs.columns, "row_number")
+    numbered = stash(docs.withColumn(row, F.monotonically_increasing_id()))
+    bad = stash(contaminated(numbered.select(F.col(row).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(f"_{row}")).distinct())
+    return numbered.join(bad, F.col(row) == F.col(f"_{row}"), "left_anti").drop(row)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
