@@ -33,8 +33,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark.
 
-    Null and empty texts hold none, very long ones are searched whole; rows of one doc_id (rows without one as well) are one
-    document. Columns and their names stay as they are; no rows give none.
+    Null and empty texts hold none, very long ones are searched whole; rows are judged each by its own text, whatever their
+    doc_id. Columns and their names stay as they are; no rows give none.
     """
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
