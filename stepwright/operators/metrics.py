@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import scratch, written
+from .stats import percentiles
+
 
 def missing_zero(score: Column) -> Column:
     """A score of 0 means that there is none."""
@@ -25,13 +29,14 @@ def episode_scores(frames: DataFrame, score: str = "score") -> DataFrame:
 
 def overall_scores(frames: DataFrame, score: str = "score") -> DataFrame:
     """One row: mean, std, min, max and median of episode means, and mean and std of all frames."""
-    per = episode_scores(frames, score).agg(*spread("mean", "episode_"), F.percentile("mean", F.lit(0.5)).alias("episode_median"), F.count(F.lit(1)).alias("episodes"))
-    return per.join(F.broadcast(frames.agg(F.avg(score).alias("frame_mean"), F.stddev_pop(score).alias("frame_std"))))  # one row each
+    episodes = written(episode_scores(frames, score), scratch(frames.sparkSession))
+    per = episodes.agg(*spread("mean", "episode_"), F.count(F.lit(1)).alias("episodes"))
+    median = percentiles(episodes, ["mean"], [0.5]).agg(F.max("value").alias("episode_median"))
+    return per.join(F.broadcast(median)).join(F.broadcast(frames.agg(F.avg(score).alias("frame_mean"), F.stddev_pop(score).alias("frame_std"))))  # one row each
 
 
 def score_percentiles(episodes: DataFrame, score: str, shares: Sequence[float]) -> DataFrame:
-    got = episodes.agg(F.percentile(score, F.array(*[F.lit(float(s)) for s in shares])).alias("p"))
-    return got.select(F.posexplode("p").alias("i", "value")).select(F.get(F.array(*[F.lit(float(s)) for s in shares]), F.col("i")).alias("share"), "value")
+    return percentiles(episodes, [score], shares).select("share", "value")
 
 
 def top_and_bottom(episodes: DataFrame, score: str, n: int, tie: str) -> DataFrame:
@@ -176,12 +181,18 @@ def request_metrics(log: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """
     good = log.where("success")
     tpot = F.when(F.col("output_len") > 1, (F.col("latency") - F.col("ttft")) / (F.col("output_len") - 1))
-    rows = good.withColumn("tpot", tpot)
-    times = [f(c).alias(f"{n}_{c}") for c in ("ttft", "tpot", "latency") for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("median", lambda x: F.percentile(x, F.lit(0.5))), ("p99", lambda x: F.percentile(x, F.lit(0.99))))]
+    rows, columns = good.withColumn("tpot", tpot), ("ttft", "tpot", "latency")
+    times = [f(c).alias(f"{n}_{c}") for c in columns for n, f in (("mean", F.avg), ("std", F.stddev_pop))]
     span = F.max(F.col("started") + F.col("latency")) - F.min("started")
-    return rows.groupBy(*by).agg(
+    whole = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("completed"), F.sum("prompt_len").alias("total_input"), F.sum("output_len").alias("total_output"), (F.count(F.lit(1)) / span).alias("request_throughput"), (F.sum("output_len") / span).alias("output_throughput"), *times
     )
+    places = [F.max(F.when((F.col("name") == c) & (F.col("share") == q), F.col("value"))).alias(f"{n}_{c}") for c in columns for n, q in (("median", 0.5), ("p99", 0.99))]
+    keys = [F.col(c).alias(f"__{c}") for c in by]
+    ranks = percentiles(rows, columns, (0.5, 0.99), by).groupBy(*by).agg(*places).select(*keys, *[f"{n}_{c}" for c in columns for n in ("median", "p99")])
+    if not by:
+        return whole.join(F.broadcast(ranks))  # one row each
+    return whole.join(ranks, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]), "left").drop(*[f"__{c}" for c in by])
 
 
 def metric_table(rows: DataFrame, name: str, value: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.keyed import draw, ranked
+from ..functions.keyed import draw, numbered, ranked
 from ..sources.storage import scratch, written
 
 
@@ -45,30 +47,76 @@ def dedup_members(members: DataFrame, known: DataFrame) -> DataFrame:
     return first.join(known.select("dataset_name"), "dataset_name", "left_semi")
 
 
+def numbered_members(rows: DataFrame, key: Column, ties: list[str], seed: int = 0) -> DataFrame:
+    """Add `number` (from 0) of each row in its dataset, in keyed order, and `size`, the dataset's rows."""
+    placed = numbered(rows, ["dataset_name", draw(key, seed), *ties], "__at")
+    starts = placed.groupBy("dataset_name").agg(F.min("__at").alias("__start"), F.count(F.lit(1)).alias("size"))
+    # a row for each dataset of a mixture: a short list, sent along by the optimizer if it finds it so
+    return placed.join(starts, "dataset_name").withColumn("number", F.col("__at") - F.col("__start")).drop("__at", "__start")
+
+
 def mixture_sample(rows: DataFrame, quotas: DataFrame, key: Column, ties: list[str], seed: int = 0) -> DataFrame:
     """`quota` rows of each dataset: whole copies of it, then the rows that come first by the key.
 
-    Ranks within a dataset come from blocks of the unit interval, so a giant dataset is ranked in many tasks.
+    Rows are numbered in range-sorted parts, so a giant dataset is numbered in many tasks.
     """
-    blocks = 256
-    cut = rows.withColumn("__u", draw(key, seed)).withColumn("__block", F.floor(F.col("__u") * blocks).cast("int"))
-    sizes = cut.groupBy("dataset_name", "__block").agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy("dataset_name").orderBy("__block")
-    starts = sizes.select(
-        F.col("dataset_name").alias("__d"),
-        F.col("__block").alias("__b"),
-        F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
-        F.sum("__n").over(Window.partitionBy("dataset_name")).alias("__size"),
-    )
-    inside = F.row_number().over(Window.partitionBy("dataset_name", "__block").orderBy("__u", *ties))
-    placed = cut.withColumn("__r", inside).join(starts, (F.col("dataset_name") == F.col("__d")) & (F.col("__block") == F.col("__b")))
-    q = placed.join(quotas.select("dataset_name", "quota"), "dataset_name")
-    whole = F.floor(F.col("quota") / F.col("__size"))
-    copies = (whole + (F.col("__before") + F.col("__r") <= F.col("quota") - whole * F.col("__size")).cast("int")).cast("int")
+    q = numbered_members(rows, key, ties, seed).join(quotas.select("dataset_name", "quota"), "dataset_name")
+    whole = F.floor(F.col("quota") / F.col("size"))
+    copies = (whole + (F.col("number") < F.col("quota") - whole * F.col("size")).cast("int")).cast("int")
     out = q.withColumn("copies", copies).where("copies > 0")
     return out.select(*rows.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
 
 
+def interleaved(rows: DataFrame, shares: Sequence[tuple[str, float]], total: int, key: Column, ties: list[str], seed: int = 0, block: int = 65_536) -> DataFrame:
+    """`total` rows of a mixture in order: `position` (from 0), `epoch` (from 0) and the row.
+
+    A draw keyed by the position picks its dataset by the shares (dataset, weight), so shares hold in every prefix as in any sample; how
+    many positions before it took the same dataset says which of the dataset's rows it is, in keyed order. A dataset that
+    is used up begins its next epoch. Datasets without rows get no positions. Positions are counted in blocks, so no window holds them all.
+    """
+    spark = rows.sparkSession
+    members = numbered_members(rows, key, ties, seed)
+    sizes = written(members.groupBy("dataset_name").agg(F.max("size").alias("__size")), scratch(spark))
+    there = {r["dataset_name"] for r in sizes.where(F.col("dataset_name").isin([d for d, _ in shares])).select("dataset_name").collect()}  # of the given list
+    given = [(d, w) for d, w in shares if d in there and w > 0]
+    if not given:
+        raise ValueError("no dataset of the mixture has rows")
+    whole, upto, pick = sum(w for _, w in given), 0.0, None
+    u = F.col("__u")
+    for d, w in given[:-1]:
+        upto += w
+        pick = F.when(u < upto / whole, F.lit(d)) if pick is None else pick.when(u < upto / whole, F.lit(d))
+    last = F.lit(given[-1][0])
+    drawn = spark.range(total).withColumn("__u", draw(F.col("id"), seed + 1)).select(F.col("id").alias("position"), F.floor(F.col("id") / block).alias("__block"), (last if pick is None else pick.otherwise(last)).alias("__d"))
+    counts = drawn.groupBy("__d", "__block").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("__d").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col("__d").alias("__d2"), F.col("__block").alias("__b2"), before.alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__d", "__block").orderBy("position")) - 1
+    placed = drawn.withColumn("__inside", inside).join(starts, (F.col("__d") == F.col("__d2")) & (F.col("__block") == F.col("__b2")))
+    nth = F.col("__before") + F.col("__inside")
+    sized = placed.join(sizes.withColumnRenamed("dataset_name", "__d3"), F.col("__d") == F.col("__d3"))
+    turns = sized.select("position", "__d", F.floor(nth / F.col("__size")).cast("long").alias("epoch"), (nth % F.col("__size")).alias("__number"))
+    return turns.join(members, (F.col("__d") == F.col("dataset_name")) & (F.col("__number") == F.col("number"))).select("position", "epoch", *rows.columns)
+
+
+def buffer_shuffled(rows: DataFrame, position: str, buffer: int, seed: int = 0) -> DataFrame:
+    """Rows whose dense `position` (from 0) is changed as by a shuffle buffer: no row moves by `buffer` places or more.
+
+    Positions are permuted by keyed draws inside blocks of half the buffer, then inside blocks shifted by half of that, so rows
+    cross the borders of the first. Two windows over blocks, no sort of the table.
+    """
+    size = max(1, buffer // 2)
+
+    def permuted(df: DataFrame, shift: int, salt: int) -> DataFrame:
+        at = F.col(position) + shift
+        cut = df.withColumn("__block", F.floor(at / size)).withColumn("__u", draw(F.col(position), salt))
+        w = Window.partitionBy("__block")
+        place = F.min(position).over(w) + F.row_number().over(w.orderBy("__u", position)) - 1
+        return cut.withColumn(position, place.cast("long")).drop("__block", "__u")
+
+    return permuted(permuted(rows, 0, seed), size // 2, seed + 1)
+
+
 # ---------------------------------------------------------------- splits and shards
 def split_episodes(steps: DataFrame, episode: Column, validation: float = 0.05, named: str | None = None, fallback: bool = True, seed: int = 0) -> DataFrame:
     """Add `split`: the named column's value where it is given, else a keyed share of whole episodes.
@@ -166,9 +214,13 @@ def length_batches(rows: DataFrame, modality: str, length: str, key: Column, tie
 
     Rows of a modality are shuffled by key and cut in batches (the last is filled from the first rows); in a batch the
     longest go first, each to the replica with the least length so far that has room. The dealing looks at one batch at a time.
+    `turn` (from 0) is the order in which batches are sent: that with the longest row first, so that memory runs out at once if at all, the others in keyed order.
     """
     import pandas as pd
 
+    if batch % replicas:
+        raise ValueError(f"{replicas} replicas do not share batches of {batch} evenly")
+
     parts = []
     for m in (True, False):
         own = rows.where(F.col(modality) == m)
@@ -194,7 +246,13 @@ def length_batches(rows: DataFrame, modality: str, length: str, key: Column, tie
         return one.assign(replica=chosen)
 
     schema = T.StructType([*every.schema.fields, T.StructField("replica", T.IntegerType())])
-    return every.groupBy(modality, "batch").applyInPandas(dealt, schema).drop("__rank")
+    each = every.groupBy(modality, "batch").agg(F.max(F.struct(F.col(length))).alias("__most"))
+    longest = each.agg(F.max(F.struct("__most", -F.col("batch"), F.col(modality))).alias("__top"))
+    first = (F.col("__most") == F.col("__top.__most")) & (-F.col("batch") == F.col("__top.col2")) & (F.col(modality) == F.col(f"__top.{modality}"))
+    mixed = draw(F.col("batch") * 2 + F.col(modality).cast("int"), seed + 1)
+    turns = numbered(each.join(F.broadcast(longest)), [F.when(first, 0).otherwise(1), mixed, "batch", modality], "turn").select(F.col("batch").alias("__b"), F.col(modality).alias("__m"), "turn")
+    out = every.groupBy(modality, "batch").applyInPandas(dealt, schema).drop("__rank")
+    return out.join(turns, (F.col("batch") == F.col("__b")) & (F.col(modality) == F.col("__m"))).drop("__b", "__m")
 
 
 def permuted_choices(rows: DataFrame, options: str, correct: int, key: Column, repeats: int, letters: str = "ABCD", seed: int = 0) -> DataFrame:

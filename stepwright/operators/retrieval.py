@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import dot, minus, norm
-from ..functions.keyed import draw, ranked
+from ..functions.keyed import draw, numbered
+from ..sources.storage import scratch, written
+from .stats import percentiles
 
 
 def triangle_area(a: Column, b: Column, c: Column) -> Column:
@@ -62,7 +64,9 @@ def ranks_of_truth(pool: DataFrame, query: str, candidate: str, score: str, trut
 def retrieval_summary(ranks: DataFrame, cuts: Sequence[int] = (1, 2, 3, 4, 5, 10, 20)) -> DataFrame:
     """One row: top shares at the cuts, mean and median rank."""
     shares = [F.avg((F.col("place") <= k).cast("double")).alias(f"top_{k}") for k in cuts]
-    return ranks.agg(F.count(F.lit(1)).alias("queries"), *shares, F.avg("place").alias("mean_rank"), F.percentile("place", F.lit(0.5)).alias("median_rank"))
+    held = written(ranks.select("place"), scratch(ranks.sparkSession))
+    median = percentiles(held, ["place"], [0.5]).agg(F.max("value").alias("median_rank"))
+    return held.agg(F.count(F.lit(1)).alias("queries"), *shares, F.avg("place").alias("mean_rank")).join(F.broadcast(median))  # one row each
 
 
 def top_k_both_ways(scores: DataFrame, batch: str, ks: Sequence[int]) -> DataFrame:
@@ -80,21 +84,26 @@ def top_k_both_ways(scores: DataFrame, batch: str, ks: Sequence[int]) -> DataFra
     return placed.groupBy(batch).agg(*out)
 
 
-def negative_pool(queries: DataFrame, candidates: DataFrame, key: str, content: str, n: int, seed: int = 0, spare: int = 8) -> DataFrame:
-    """n keyed negatives of each query, none with its content.
+def negative_pool(queries: DataFrame, candidates: DataFrame, key: str, content: str, n: int, seed: int = 0) -> DataFrame:
+    """n keyed negatives of each query (all if there are fewer), none with its content.
 
-    Candidates are numbered in shuffled order. A query draws 2 * n + spare numbers, looks them up by a join, and keeps the first
-    n that are new and of other content; work grows with the queries alone. Only a query nearly all of whose draws have its own
-    content gets fewer.
+    Candidates are numbered by content, in keyed order within one, so a content is a run of numbers. Of the numbers outside a
+    query's own run n equal parts give one each, by a keyed draw, behind a keyed turn of them all: each draw hits, and no two are
+    the same. Work grows with the queries alone, whatever share of the candidates a content has.
     """
-    numbered = ranked(candidates.select(F.col(key).alias("negative"), F.col(content).alias("__content")), draw(F.col("negative"), seed), ["negative"], "__number")
-    total = candidates.agg(F.count(F.lit(1)).alias("__total"))
-    tries = 2 * n + spare
-    drawn = queries.select(key, content, F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("__try")).join(F.broadcast(total))  # one row
-    placed = drawn.withColumn("__at", F.floor(draw(F.col(key) * tries + F.col("__try"), seed + 1) * F.col("__total")) + 1)
-    pairs = placed.join(numbered, (F.col("__at") == F.col("__number")) & ~F.col(content).eqNullSafe(F.col("__content")))
-    first = pairs.groupBy(key, "negative").agg(F.min("__try").alias("__try"))
-    return first.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy("__try"))).where(F.col("__r") <= n).select(key, "negative")
+    order = [F.col("__content"), draw(F.col("negative"), seed), F.col("negative")]
+    placed = written(numbered(candidates.select(F.col(key).alias("negative"), F.col(content).alias("__content")), order, "__number"), scratch(candidates.sparkSession))
+    runs = placed.groupBy("__content").agg(F.min("__number").alias("__start"), F.count(F.lit(1)).alias("__length"))
+    total = placed.agg(F.count(F.lit(1)).alias("__total"))
+    own = queries.select(key, content).join(runs, F.col(content).eqNullSafe(F.col("__content")), "left").join(F.broadcast(total))  # one row
+    others = own.withColumn("__others", F.col("__total") - F.coalesce("__length", F.lit(0))).withColumn("__asked", F.least(F.lit(n), F.col("__others")))
+    tries = others.where("__asked > 0").withColumn("__try", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__asked") - 1)))
+    edge = lambda i: F.expr(f"(({i}) * __others) div __asked")
+    pick = edge("__try") + F.floor(draw(F.col(key) * n + F.col("__try"), seed + 1) * (edge("__try + 1") - edge("__try")))
+    turned = (pick + F.floor(draw(F.col(key), seed + 2) * F.col("__others"))) % F.col("__others")
+    at = F.when(turned < F.coalesce("__start", F.col("__total")), turned).otherwise(turned + F.coalesce("__length", F.lit(0)))
+    drawn = tries.select(key, at.alias("__at"))
+    return drawn.join(placed.select("negative", "__number"), F.col("__at") == F.col("__number")).select(key, "negative")
 
 
 def cosine(a: Column, b: Column) -> Column:

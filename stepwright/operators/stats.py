@@ -52,6 +52,17 @@ def exact_percentiles(long: DataFrame, spans: DataFrame, keys: Sequence[str], sh
     return pairs.select(*k, "share", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("value"))
 
 
+def percentiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """(by, name, share, value): exact percentiles of columns, per group or of all rows, nulls left out; no task gathers a group's values.
+
+    Keys are compared as they are, so groups whose key is null are left out.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in columns])).alias("v")
+    long = written(df.select(*by, each).select(*by, "v.*").where("x IS NOT NULL"), scratch(df.sparkSession))
+    spans = long.groupBy(*by, "name").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n"))
+    return exact_percentiles(long, written(spans, scratch(df.sparkSession)), [*by, "name"], shares)
+
+
 def dataset_statistics(steps: DataFrame, columns: Sequence[str] = ("action", "proprio")) -> DataFrame:
     """mean, population std, min, max, exact linear q01 and q99 per dataset, field and dim, with step and episode counts.
 

@@ -341,10 +341,11 @@ def cosine_by_set(spark, sf_dir):
 
 
 @query("negative_pool", f"""
-WITH {EMBEDDING_STEPS}, c AS (SELECT vec_id, traj_id, row_number() OVER (ORDER BY {draw_sql('vec_id', 0)}, vec_id) AS number FROM emb),
-d AS (SELECT vec_id, traj_id, try, floor({draw_sql('vec_id * 18 + try', 1)} * (SELECT count(*) FROM emb)) + 1 AS number FROM c, range(18) r(try)),
-p AS (SELECT d.vec_id, c.vec_id AS negative, min(try) AS try FROM d JOIN c ON c.number = d.number AND c.traj_id <> d.traj_id GROUP BY ALL)
-SELECT vec_id, negative FROM p QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY try) <= 5
+WITH {EMBEDDING_STEPS}, c AS (SELECT vec_id, traj_id, row_number() OVER (ORDER BY traj_id, {draw_sql('vec_id', 0)}, vec_id) - 1 AS number, count(*) OVER () AS total FROM emb),
+q AS (SELECT vec_id, min(number) OVER (PARTITION BY traj_id) AS start, count(*) OVER (PARTITION BY traj_id) AS own, total - count(*) OVER (PARTITION BY traj_id) AS others FROM c),
+d AS (SELECT *, try * others // least(5, others) AS low, (try + 1) * others // least(5, others) AS high FROM q, range(5) r(try) WHERE try < others),
+t AS (SELECT vec_id, start, own, CAST(low + floor({draw_sql('vec_id * 5 + try', 1)} * (high - low)) + floor({draw_sql('vec_id', 2)} * others) AS BIGINT) % others AS turned FROM d)
+SELECT t.vec_id, c.vec_id AS negative FROM t JOIN c ON c.number = turned + CASE WHEN turned < start THEN 0 ELSE own END
 """)
 def negative_pool(spark, sf_dir):
     e = embedding_steps(spark, sf_dir).select("vec_id", "traj_id")

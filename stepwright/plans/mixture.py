@@ -64,6 +64,34 @@ def mixture_sample(spark, sf_dir):
     return M.mixture_sample(steps, quotas, F.col("event_id"), ["event_id"], 4).select("dataset_name", "event_id", "copy")
 
 
+@query("interleaved", f"""
+WITH {TYPED_STEPS},
+m AS (SELECT dataset_name, event_id, row_number() OVER (PARTITION BY dataset_name ORDER BY {draw_sql('event_id', 14)}, event_id) - 1 AS number, count(*) OVER (PARTITION BY dataset_name) AS size FROM steps),
+d AS (SELECT i AS position, CASE WHEN u < 0.5 THEN 'view' WHEN u < 0.875 THEN 'click' ELSE 'purchase' END AS dataset_name FROM (SELECT i, {draw_sql('i', 15)} AS u FROM range(6000) r(i))),
+n AS (SELECT *, row_number() OVER (PARTITION BY dataset_name ORDER BY position) - 1 AS nth FROM d),
+z AS (SELECT DISTINCT dataset_name, size FROM m)
+SELECT position, nth // z.size AS epoch, n.dataset_name, event_id FROM n JOIN z USING (dataset_name) JOIN m ON m.dataset_name = n.dataset_name AND m.number = nth % z.size
+""")
+def interleaved(spark, sf_dir):
+    """6000 positions over three event types, weights 4, 3 and 1; small members go through several epochs."""
+    steps = event_steps(spark, sf_dir, by_type=True).select("dataset_name", "event_id")
+    return M.interleaved(steps, [("view", 4.0), ("click", 3.0), ("purchase", 1.0)], 6000, F.col("event_id"), ["event_id"], 14, block=1000)
+
+
+@query("shuffle_buffer", f"""
+WITH p AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS position FROM events),
+a AS (SELECT event_id, min(position) OVER w + row_number() OVER (PARTITION BY position // 500 ORDER BY {draw_sql('position', 16)}, position) - 1 AS position FROM p WINDOW w AS (PARTITION BY position // 500)),
+b AS (SELECT event_id, min(position) OVER w + row_number() OVER (PARTITION BY (position + 250) // 500 ORDER BY {draw_sql('position', 17)}, position) - 1 AS position FROM a WINDOW w AS (PARTITION BY (position + 250) // 500))
+SELECT event_id, position FROM b
+""")
+def shuffle_buffer(spark, sf_dir):
+    """Events in order of time through a buffer of 1000."""
+    from ..functions.keyed import numbered
+
+    placed = numbered(table(spark, sf_dir, "events").select("event_id", "ts"), ["ts", "event_id"], "position").select("event_id", "position")
+    return M.buffer_shuffled(placed, "position", 1000, 16)
+
+
 @query("mixture_dedup", "SELECT dataset_name, min(position) AS position FROM (SELECT o_orderpriority AS dataset_name, min(o_orderkey) AS position FROM orders GROUP BY 1 UNION ALL SELECT event_type, 5 FROM events GROUP BY 1 UNION ALL SELECT event_type, 2 FROM events WHERE event_type <> 'view' GROUP BY 1) WHERE dataset_name IN (SELECT event_type FROM events) GROUP BY 1")
 def mixture_dedup(spark, sf_dir):
     names = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("dataset_name")).agg(F.min("o_orderkey").alias("position"))
