@@ -247,13 +247,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that overlap a benchmark item; docs' own columns, whatever their names.
 
-    Rows are numbered in a written table first and judged by their number: of rows that share an id, or have none, only those go whose
-    own text overlaps. Other cases as in contaminated.
+    Rows are told by a 64-bit hash of their text, on which alone it depends whether they overlap: of rows that share an id, or have
+    none, only those go whose own text overlaps, and copies are searched once. Other cases as in contaminated.
     """
-    row = free_name(docs.columns, "row_number")
-    numbered = stash(docs.withColumn(row, F.monotonically_increasing_id()))
-    bad = stash(contaminated(numbered.select(F.col(row).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(f"_{row}")).distinct())
-    return numbered.join(bad, F.col(row) == F.col(f"_{row}"), "left_anti").drop(row)
+    own = free_name(docs.columns, "bad_text")
+    text = F.xxhash64(F.col("text").cast("string"))
+    bad = stash(contaminated(docs.select(text.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(own)).distinct())
+    return docs.join(bad, text == F.col(own), "left_anti")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
