@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import rotations
+from ..functions.keyed import numbered
 from ..operators import standardize as S
 from ..operators import stages as G
 
-from ..sources import records
+from ..sources import formats, records
 from ..sources.steps import EVENT_STEPS, LINE_STEPS, embedding_steps, event_steps, line_steps, rephrases, table
 from ..sources.storage import scratch, swap, written
 from ..streaming import live
@@ -114,10 +115,8 @@ def optional_cols(spark, sf_dir):
 def lerobot_scan(spark, sf_dir):
     """Episodes laid out as slices [from, to) of data files in chunks, then scanned for two chunks."""
     steps = line_steps(spark, sf_dir)
-    from pyspark.sql import Window
-
     placed = steps.select((F.col("episode_id") % 8).alias("chunk_index"), (F.floor(F.col("episode_id") / 8) % 2).alias("file_index"), "episode_id", "t", F.col("action")[0].alias("x"))
-    indexed = placed.withColumn("index", F.row_number().over(Window.partitionBy("chunk_index", "file_index").orderBy("episode_id", "t")) - 1)
+    indexed = numbered(placed, ["chunk_index", "file_index", "episode_id", "t"], "index")
     folder = scratch(spark)
     data = written(indexed.select("chunk_index", "file_index", "index", "x"), f"{folder}/data", ["chunk_index"])
     meta = indexed.groupBy("chunk_index", "file_index", F.col("episode_id").alias("episode_index")).agg(F.min("index").alias("dataset_from_index"), (F.max("index") + 1).alias("dataset_to_index"))
@@ -126,6 +125,34 @@ def lerobot_scan(spark, sf_dir):
     return rows.groupBy("episode_index").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("total"))
 
 
+@query("lerobot_source", f"WITH {EVENT_STEPS} SELECT layout, episode_id AS episode_index, count(*) AS n, round(sum(a0), 4) AS total FROM steps, (SELECT unnest(['files', 'jsonl']) AS layout) WHERE episode_id // 16 IN (0, 2) GROUP BY ALL")
+def lerobot_source(spark, sf_dir):
+    """Episodes written in both layouts and read as a data source, two chunks of them."""
+    formats.register(spark)
+    steps = event_steps(spark, sf_dir).select(F.col("episode_id").alias("episode_index"), "t", F.col("action")[0].alias("x"))
+    placed = steps.withColumns({"chunk_index": F.floor(F.col("episode_index") / 16).cast("int"), "file_index": (F.floor(F.col("episode_index") / 4) % 4).cast("int")})
+    frames = numbered(placed, ["episode_index", "t"], "index")
+    out = []
+    for layout in ("files", "jsonl"):
+        folder = scratch(spark)
+        formats.write_episodes(frames, folder, layout, 16)
+        rows = spark.read.format("lerobot").option("chunks", "0,2").load(folder)
+        out.append(rows.groupBy(F.lit(layout).alias("layout"), "episode_index").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 4).alias("total")))
+    return out[0].unionByName(out[1])
+
+
+@query("embedding_shards", "SELECT vec_id, CAST(label AS BIGINT) AS traj_id, CAST(label % 8 AS INT) AS shard, CAST(len(embedding) AS INT) AS dims FROM embeddings WHERE vec_id % 7 <> 0")
+def embedding_shards(spark, sf_dir):
+    """Trajectories dealt over eight shards: half are written, a second run adds what the manifest lacks; every seventh vector is cut short and skipped."""
+    formats.register(spark)
+    e = embedding_steps(spark, sf_dir).select("vec_id", "traj_id", F.when(F.col("vec_id") % 7 == 0, F.slice("ext1", 1, 10)).otherwise(F.col("ext1")).alias("ext1"), F.pmod("traj_id", F.lit(8)).cast("int").alias("shard"))
+    folder = scratch(spark)
+    formats.write_missing_shards(e.where("shard < 4"), folder, 8)
+    formats.write_missing_shards(e, folder, 8)
+    rows = spark.read.format("embedding_shards").option("vector", "ext1").option("dim", 64).load(folder)
+    return rows.select("vec_id", "traj_id", "shard", F.size("ext1").alias("dims"))
+
+
 @query("table_swap", "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice * 2), 2) AS total FROM orders GROUP BY 1")
 def table_swap(spark, sf_dir):
     """A table replaced by one made from itself."""
