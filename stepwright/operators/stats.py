@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -125,14 +127,104 @@ def statistics_key(dataset: str, settings: dict) -> str:
     return hashlib.sha256((dataset + json.dumps(settings, sort_keys=True)).encode()).hexdigest()
 
 
-def cached_statistics(steps: DataFrame, folder: str, dataset: str, settings: dict, columns: Sequence[str] = ("action", "proprio")) -> DataFrame:
-    """Statistics from the cache folder; computed and written there on first use. Only a missing entry leads to computing."""
-    spark = steps.sparkSession
-    path = f"{folder}/dataset_statistics_{statistics_key(dataset, settings)}"
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath):
-        save_statistics(dataset_statistics(steps, columns), path)
-    return load_statistics(spark, path)
+def _loaded(spark: SparkSession, path: str) -> DataFrame | None:
+    """Saved rows, or None where none have been committed."""
+    try:
+        return load_statistics(spark, path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    return None
+
+
+def cached_statistics(steps: DataFrame, folder: str, dataset: str, settings: dict, columns: Sequence[str] = ("action", "proprio"), fallback: str | None = None) -> DataFrame:
+    """Statistics from the cache folder; computed and written there on first use. Only a missing entry leads to computing.
+
+    Where the folder cannot be written they go to the fallback folder, if one is given, and are found there from then on.
+    """
+    spark, name = steps.sparkSession, f"dataset_statistics_{statistics_key(dataset, settings)}"
+    places = [f"{x}/{name}" for x in (folder, fallback) if x]
+    for path in places:
+        if (rows := _loaded(spark, path)) is not None:
+            return rows
+    made = written(dataset_statistics(steps, columns), scratch(spark))
+    for path in places:
+        try:
+            save_statistics(made, path)
+            return load_statistics(spark, path)
+        except Exception:
+            if path == places[-1]:
+                raise
+    raise AssertionError("unreachable")
+
+
+# ---------------------------------------------------------------- statistics that merge
+ERROR = 0.001  # of a quantile, relative to its value
+
+
+def _gamma(error: float) -> float:
+    return (1 + error) / (1 - error)
+
+
+def partial_statistics(df: DataFrame, column: str, shard: str, error: float = ERROR) -> tuple[DataFrame, DataFrame]:
+    """(moments, buckets) of each shard and dim of a vector column, which add up in any order.
+
+    moments: shard, dim, n, mean, m2 (squared deviations), min, max. buckets: shard, dim, sign, bucket, c: how many values are in
+    (gamma ** (bucket - 1), gamma ** bucket] by size, zeros in bucket 0 of sign 0. Buckets do not hang on the range of the values, so
+    nothing is binned anew when shards come; a dim has as many as its values' orders of magnitude need.
+    """
+    long = dims(df, [column], [shard])
+    moments = long.groupBy(shard, "dim").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), (F.var_pop("x") * F.count("x")).alias("m2"), F.min("x").alias("min"), F.max("x").alias("max"))
+    sign = F.signum("x").cast("int")
+    bucket = F.when(F.col("x") == 0, 0).otherwise(F.ceil(F.log(F.abs("x")) / math.log(_gamma(error)))).cast("int")
+    return moments, long.where("x IS NOT NULL").groupBy(shard, "dim", sign.alias("sign"), bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("c"))
+
+
+def update_statistics(df: DataFrame, column: str, shard: str, folder: str, error: float = ERROR) -> None:
+    """Add the shards that the folder does not have yet; the rows of others are not read again if `shard` is a partition column.
+
+    Each shard's folders are replaced as a whole, the moments last, so a run that breaks off is mended by the next.
+    """
+    spark, new = df.sparkSession, df
+    try:
+        stored = spark.read.parquet(f"{folder}/moments")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        have = stored.select(F.col(shard).cast("string").alias("__have")).distinct()
+        new = df.join(have, F.col(shard).cast("string") == F.col("__have"), "left_anti")
+    moments, buckets = partial_statistics(new, column, shard, error)
+    for rows, name in ((buckets, "buckets"), (moments, "moments")):
+        rows.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(shard).parquet(f"{folder}/{name}")
+
+
+def merged_statistics(moments: DataFrame, buckets: DataFrame, shares: Sequence[float], error: float = ERROR) -> DataFrame:
+    """dim, n, mean, std (population), min, max and an array `quantiles` of all shards together.
+
+    Moments are merged by the deviations of the shards' means. A quantile is the middle of the bucket that holds the value of rank
+    floor(share * (n - 1)), at most `error` of its size away from it.
+    """
+    whole = moments.groupBy("dim").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"), F.min("min").alias("min"), F.max("max").alias("max"))
+    apart = moments.join(whole.select(F.col("dim").alias("__dim"), F.col("mean").alias("__mean")), F.col("dim") == F.col("__dim"))
+    d = F.col("mean") - F.col("__mean")
+    m2 = apart.groupBy(F.col("dim").alias("__d")).agg(F.sum(F.col("m2") + F.col("n") * d * d).alias("m2"))
+    summed = buckets.groupBy("dim", "sign", "bucket").agg(F.sum("c").alias("c"))
+    order = Window.partitionBy("dim").orderBy("sign", F.col("sign") * F.col("bucket"))
+    through = summed.withColumn("through", F.sum("c").over(order))  # a row for each bucket of a dim
+    g = _gamma(error)
+    value = F.col("sign") * F.pow(F.lit(g), F.col("bucket").cast("double")) * (2 / (g + 1))
+    asked = through.join(whole.select(F.col("dim").alias("__dim"), F.col("n").alias("__n"), F.col("min").alias("__lo"), F.col("max").alias("__hi")), F.col("dim") == F.col("__dim"))
+    at = F.floor(F.col("q.share") * (F.col("__n") - 1))
+    each = asked.withColumn("q", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(x)).alias("share")) for i, x in enumerate(shares)])))
+    hit = each.where((F.col("through") > at) & (F.col("through") - F.col("c") <= at))
+    quantiles = hit.groupBy(F.col("dim").alias("__q")).agg(F.sort_array(F.collect_list(F.struct("q.i", F.least(F.greatest(value, "__lo"), "__hi").alias("value")))).alias("quantiles"))
+    out = whole.join(m2, F.col("dim") == F.col("__d")).join(quantiles, F.col("dim") == F.col("__q"))
+    return out.select("dim", "n", "mean", F.sqrt(F.greatest(F.lit(0.0), F.col("m2") / F.col("n"))).alias("std"), "min", "max", F.col("quantiles.value").alias("quantiles"))
+
+
+def stored_statistics(spark: SparkSession, folder: str, shares: Sequence[float], error: float = ERROR) -> DataFrame:
+    return merged_statistics(spark.read.parquet(f"{folder}/moments"), spark.read.parquet(f"{folder}/buckets"), shares, error)
 
 
 def statistics_json(stats: DataFrame) -> DataFrame:

@@ -58,6 +58,30 @@ def hist_quantiles(spark, sf_dir):
     return stats.histogram_quantiles(steps, "v", [0.01, 0.5, 0.99]).withColumn("value", F.round("value", 4))
 
 
+_BUCKETS = """
+b AS (SELECT CAST(sign(a1) AS INT) AS sign, CASE WHEN a1 = 0 THEN 0 ELSE CAST(ceil(ln(abs(a1)) / ln(1.001 / 0.999)) AS INT) END AS bucket, count(*) AS c FROM steps GROUP BY ALL),
+t AS (SELECT *, sum(c) OVER (ORDER BY sign, sign * bucket) AS through FROM b),
+q AS (SELECT share, max(sign * pow(1.001 / 0.999, bucket::DOUBLE) * (2 / (1.001 / 0.999 + 1))) AS value FROM t, (SELECT unnest([0.01, 0.5, 0.99]::DOUBLE[]) AS share)
+  WHERE through > floor(share * ((SELECT count(*) FROM steps) - 1)) AND through - c <= floor(share * ((SELECT count(*) FROM steps) - 1)) GROUP BY share)"""
+
+
+@query("merged_stats", f"""
+WITH {LINE_STEPS}, {_BUCKETS}
+SELECT CAST(0 AS INT) AS dim, count(*) AS n, round(avg(a1), 4) AS mean, round(stddev_pop(a1), 4) AS std, min(a1) AS min, max(a1) AS max,
+  (SELECT round(least(greatest(value, min(a1)), max(a1)), 4) FROM q WHERE share = 0.01) AS q01, (SELECT round(value, 4) FROM q WHERE share = 0.5) AS q50, (SELECT round(least(greatest(value, min(a1)), max(a1)), 4) FROM q WHERE share = 0.99) AS q99 FROM steps
+""")
+def merged_stats(spark, sf_dir):
+    """Statistics of one return flag's shards, then of all: the second run reads only shards that are new, and merges."""
+    from ..sources.storage import scratch
+
+    folder = scratch(spark)
+    steps = line_steps(spark, sf_dir).select(F.concat("l_returnflag", "l_linestatus").alias("shard"), F.array(F.col("action")[1]).alias("v"))
+    stats.update_statistics(steps.where("shard LIKE 'R%'"), "v", "shard", folder)
+    stats.update_statistics(steps, "v", "shard", folder)
+    out = stats.stored_statistics(spark, folder, [0.01, 0.5, 0.99])
+    return out.select("dim", "n", *[F.round(c, 4).alias(c) for c in ("mean", "std")], "min", "max", *[F.round(F.col("quantiles")[i], 4).alias(c) for i, c in enumerate(("q01", "q50", "q99"))])
+
+
 @query("norm_stats_job", f"WITH {LINE_STEPS} SELECT CAST(0 AS INT) AS dim, count(*) AS n, round(avg(a0), 6) AS mean, round(sqrt(greatest(0, avg(a0 * a0) - avg(a0) * avg(a0))), 6) AS std FROM steps")
 def norm_stats_job(spark, sf_dir):
     """Statistics of all steps; a job that takes one row in n filters its steps before."""
