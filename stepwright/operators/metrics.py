@@ -85,7 +85,7 @@ def binned_rate(rows: DataFrame, value: str, success: str, bins: int = 10) -> Da
 def pearson(rows: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Correlation with 1e-8 under the line; 1 where the centred values are equal throughout."""
     means = rows.groupBy(*by).agg(F.avg(x).alias("__mx"), F.avg(y).alias("__my"))
-    joined = rows.join(F.broadcast(means), list(by)) if by else rows.join(F.broadcast(means))
+    joined = rows.join(means, list(by)) if by else rows.join(F.broadcast(means))
     a, b = F.col(x) - F.col("__mx"), F.col(y) - F.col("__my")
     sums = joined.groupBy(*by).agg(F.sum(a * b).alias("xy"), F.sum(a * a).alias("xx"), F.sum(b * b).alias("yy"), F.max(F.abs(a - b)).alias("apart"))
     return sums.select(*by, F.when(F.col("apart") < 1e-12, 1.0).otherwise(F.col("xy") / (F.sqrt(F.col("xx")) * F.sqrt(F.col("yy")) + 1e-8)).alias("pearson"))

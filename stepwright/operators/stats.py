@@ -79,7 +79,7 @@ def dataset_statistics(steps: DataFrame, columns: Sequence[str] = ("action", "pr
     q = exact_percentiles(long, spans, keys, (0.01, 0.99)).groupBy(*keys).agg(F.max(F.when(F.col("share") < 0.5, F.col("value"))).alias("q01"), F.max(F.when(F.col("share") > 0.5, F.col("value"))).alias("q99"))
     episodes = steps.groupBy("dataset_name", "episode_id").agg(F.count(F.lit(1)).alias("__n"))
     sizes = episodes.groupBy("dataset_name").agg(F.sum("__n").alias("num_transitions"), F.count(F.lit(1)).alias("num_trajectories"))
-    return per_dim.drop("n").join(F.broadcast(q), keys).join(F.broadcast(sizes), "dataset_name")  # a row per dim and per dataset
+    return per_dim.drop("n").join(q, keys).join(sizes, "dataset_name")
 
 
 def statistics_arrays(stats: DataFrame, field: str, names: Sequence[str] = ("mean", "std", "min", "max", "q01", "q99")) -> DataFrame:
@@ -103,7 +103,7 @@ def histogram_quantiles(df: DataFrame, column: str, quantiles: Sequence[float],
     long = dims(df, [column])
     spans = long.groupBy("dim").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n"))
     width = (F.col("hi") - F.col("lo")) / bins
-    placed = long.join(F.broadcast(spans), "dim").withColumn("bin", F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(bins - 1))))
+    placed = long.join(spans, "dim").withColumn("bin", F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(bins - 1))))
     counts = placed.groupBy("dim", "bin").agg(F.count(F.lit(1)).alias("c"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("n").alias("n"))
     summed = counts.withColumn("through", F.sum("c").over(Window.partitionBy("dim").orderBy("bin")))
     asked = summed.select("*", F.explode(F.array(*[F.lit(float(q)) for q in quantiles])).alias("q")).where(F.col("through") >= F.col("q") * F.col("n"))
