@@ -203,12 +203,12 @@ def probability(codes: np.ndarray) -> np.ndarray:
     return _STEPS[codes]
 
 
-WORD_REST, PAIR_REST = 65535, 255  # parts in which the share that a word, and a pair of words, leaves to the shorter context is told
+WORD_REST = PAIR_REST = 65535  # parts in which the share that a word, and a pair of words, leaves to the shorter context is told
 
 
 def rest_code(rest: np.ndarray, parts: int) -> np.ndarray:
     """What a context leaves to the shorter one, in parts of which it has one at least: no word is impossible."""
-    return np.clip(np.rint(rest * parts), 1, parts).astype(np.uint16 if parts > 255 else np.uint8)
+    return np.clip(np.rint(rest * parts), 1, parts).astype(np.uint16)
 
 
 # ---------------------------------------------------------------- one trie
@@ -236,7 +236,7 @@ class Trie:
     discounted share of (u, v); a context (u, v) has the share that it leaves to v.
     """
 
-    KINDS = [np.uint8, np.uint8, np.uint8]
+    KINDS = [np.uint8, np.uint16, np.uint8]
 
     def __init__(self, data: np.ndarray) -> None:
         (self.words, self.totals, self.pointers, self.seconds, self.pointers3, self.thirds), (self.codes, self.rests, self.codes3) = unpacked(data, self.KINDS)
