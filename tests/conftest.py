@@ -13,7 +13,7 @@ def spark():
 
     base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     s = (
-        SparkSession.builder.master("local[8]")
+        SparkSession.builder.master("local[8,3]")  # a task whose worker is lost runs again, as on a cluster
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "6g")
