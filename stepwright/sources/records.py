@@ -34,12 +34,23 @@ def episode_frames(episodes: DataFrame, data: DataFrame, chunks: Sequence[int] |
 
     episodes: episode_index, chunk_index, file_index, dataset_from_index, dataset_to_index; data: chunk_index,
     file_index, index, ... A chunk filter on the partition column is left to partition pruning.
+
+    Slices meet rows by equality: a slice of more than 64**k and at most 64**(k + 1) indices lies in two bins of that width at
+    most, and a row is looked for in its bin of each width that some slice has. So a row is compared with at most 65 slices a
+    width where slices do not overlap, however many episodes a file holds.
     """
     if chunks is not None:
         episodes, data = episodes.where(F.col("chunk_index").isin(*chunks)), data.where(F.col("chunk_index").isin(*chunks))
-    e = episodes.select("episode_index", F.col("chunk_index").alias("__c"), F.col("file_index").alias("__f"), "dataset_from_index", "dataset_to_index")
-    on = (F.col("chunk_index") == F.col("__c")) & (F.col("file_index") == F.col("__f")) & (F.col("index") >= F.col("dataset_from_index")) & (F.col("index") < F.col("dataset_to_index"))
-    return data.join(e, on).drop("__c", "__f", "dataset_from_index", "dataset_to_index")
+    slices = episodes.where("dataset_from_index < dataset_to_index").select("episode_index", F.col("chunk_index").alias("__c"), F.col("file_index").alias("__f"), "dataset_from_index", "dataset_to_index")
+    level = F.floor((F.length(F.bin(F.col("dataset_to_index") - F.col("dataset_from_index") - 1)) - 1) / 6)  # digits in base 64, less one
+    slices = slices.withColumn("__w", F.least(level, F.lit(9)).cast("int"))
+    binned = lambda index: F.call_function("shiftright", F.col(index).cast("long") if isinstance(index, str) else index, (F.col("__w") + 1) * 6)
+    e = slices.withColumn("__b", F.explode(F.sequence(binned("dataset_from_index"), binned(F.col("dataset_to_index").cast("long") - 1)))).withColumnRenamed("__w", "__v")
+    widths = slices.agg(F.collect_set("__w").alias("__ws"))  # one row of ten numbers at most
+    rows = data.crossJoin(F.broadcast(widths)).withColumn("__w", F.explode("__ws")).drop("__ws").withColumn("__bin", binned("index"))
+    on = (F.col("chunk_index") == F.col("__c")) & (F.col("file_index") == F.col("__f")) & (F.col("__w") == F.col("__v")) & (F.col("__bin") == F.col("__b"))
+    inside = (F.col("index") >= F.col("dataset_from_index")) & (F.col("index") < F.col("dataset_to_index"))
+    return rows.join(e, on & inside).drop("__c", "__f", "__w", "__v", "__b", "__bin", "dataset_from_index", "dataset_to_index")
 
 
 def prompt_from_task(rows: DataFrame, tasks: DataFrame) -> DataFrame:
