@@ -98,12 +98,13 @@ def running_statistics(df: DataFrame, column: str) -> DataFrame:
 def histogram_quantiles(df: DataFrame, column: str, quantiles: Sequence[float], bins: int = 5000) -> DataFrame:
     """Left edges of the bins in which the quantiles fall, over `bins` equal bins from the least to the greatest value.
 
-    Two passes, both pre-aggregated: the range of each dim, then a count per bin (bins rows per dim at most).
+    Two passes, both pre-aggregated: the range of each dim, then a count per bin (bins rows per dim at most). Ranges are sent to
+    the values, a row for each dim, so that a dim's values never meet in one task.
     """
     long = dims(df, [column])
     spans = long.groupBy("dim").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n"))
     width = (F.col("hi") - F.col("lo")) / bins
-    placed = long.join(spans, "dim").withColumn("bin", F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(bins - 1))))
+    placed = long.join(F.broadcast(spans), "dim").withColumn("bin", F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(bins - 1))))
     counts = placed.groupBy("dim", "bin").agg(F.count(F.lit(1)).alias("c"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("n").alias("n"))
     summed = counts.withColumn("through", F.sum("c").over(Window.partitionBy("dim").orderBy("bin")))
     asked = summed.select("*", F.explode(F.array(*[F.lit(float(q)) for q in quantiles])).alias("q")).where(F.col("through") >= F.col("q") * F.col("n"))

@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from stepwright.operators import stats
 from stepwright.sources import records
 
 
@@ -35,3 +36,14 @@ def test_slices_of_one_file_are_not_compared_with_all_its_rows(spark):
     got = records.episode_frames(episodes, data)
     assert re.search(r"Join \[[^\]]*__bin", plan_of(got))
     assert got.where(F.col("episode_index") == F.floor(F.col("index") / 4)).count() == got.count() == 120_000
+
+
+def test_ranges_are_sent_to_a_dims_values(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(1000).select(F.array(F.col("id").cast("double")).alias("v"))
+        got = stats.histogram_quantiles(rows, "v", [0.5], 10)
+        assert "BroadcastHashJoin" in plan_of(got) and "SortMergeJoin" not in plan_of(got)
+        assert [tuple(r) for r in got.collect()] == [(0, 0.5, 399.6)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
