@@ -7,9 +7,11 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 PAD = -5.0
+LANES = 1024  # of ordered steps; a lane has to fit a Python worker
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -34,83 +36,71 @@ def _millis(ts) -> int:
     return int(ts.value // 1_000_000)
 
 
-class OrderedSteps(StatefulProcessor):
+class OrderedSteps:
     """Per episode: steps go out in order of t, each with what `of_held` makes of the last `size` steps.
 
     A step goes out as soon as all steps before it are there, so steps that come in order never wait. Behind a gap steps wait until it
     is filled, or until the watermark is past their own time: then the missing ones are given up, and those that come later yet are
     dropped, as are repeated ones (the first counts). When the watermark is `idle` past an episode's last step, its state goes.
 
-    place: (t of the next step, last step's time, when the state goes); recent: the last `size` steps that went out; waiting: steps behind a gap.
+    Episodes share lanes, whose rows and state come and go as a whole, so that no episode costs a call or a round trip of its own.
+    State of a lane: episode -> [t of the next step, last step's time, the last `size` steps that went out, steps behind a gap].
     """
 
-    def __init__(self, size: int, kind: str, of_held: Callable[[list], list], idle_ms: int) -> None:
-        self.size, self.kind, self.of_held, self.idle_ms = size, kind, of_held, idle_ms
+    def __init__(self, size: int, of_held: Callable[[list], list], idle_ms: int) -> None:
+        self.size, self.of_held, self.idle_ms = size, of_held, idle_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.place = handle.getValueState("place", "next int, last long, ends long")
-        self.recent = handle.getListState("recent", f"t int, value {self.kind}")
-        self.waiting = handle.getListState("waiting", f"t int, ms long, value {self.kind}")
+    def __call__(self, key, frames, state) -> Iterator:
+        import pickle
 
-    def _run(self, episode, place: tuple, waiting: dict, watermark: int) -> Iterator:
-        """Send out what is due and store what is left."""
         import pandas as pd
 
-        next_, last, ends = place
-        recent = [(t, v) for t, v in self.recent.get()] if self.recent.exists() else []
-        out = []
-        while waiting:
-            t = min(waiting)
-            if t > next_ and waiting[t][0] > watermark:
-                break
-            recent = [*recent, (t, waiting.pop(t)[1])][-self.size :]
-            out.append((episode, t, self.of_held(recent)))
-            next_ = t + 1
-        for state, rows in ((self.recent, recent), (self.waiting, [(t, ms, v) for t, (ms, v) in waiting.items()])):
-            state.put(rows) if rows else state.clear()
-        if waiting:
-            self.handle.registerTimer(max(min(ms for ms, _ in waiting.values()), watermark + 1))
-        if last + self.idle_ms != ends:
-            if ends:
-                self.handle.deleteTimer(ends)
+        lane: dict[int, list] = pickle.loads(state.get[0]) if state.exists else {}
+        for frame in frames:
+            for known, episode, t, ms, value in zip(*(frame[c].tolist() for c in ("__known", "__episode", "t", "__ms", "value"))):
+                if not known:  # rows without an episode only move the clock
+                    continue
+                place = lane.get(episode)
+                if place is None:
+                    place = lane[episode] = [0, 0, [], {}]
+                if t >= place[0] and t not in place[3]:
+                    place[3][t] = ms, [a.tolist() if hasattr(a, "tolist") else a for a in value.tolist()]
+                place[1] = max(place[1], ms)
+        watermark, sent, ended, due = state.getCurrentWatermarkMs(), ([], [], []), [], []
+        for episode, place in lane.items():
+            next_, last, recent, waiting = place
+            for t in sorted(waiting):
+                if t > next_ and waiting[t][0] > watermark:
+                    break
+                recent = [*recent, (t, waiting.pop(t)[1])][-self.size :]
+                for column, x in zip(sent, (episode, t, self.of_held(recent))):
+                    column.append(x)
+                next_ = t + 1
+            place[0], place[2] = next_, recent
             ends = last + self.idle_ms
-            self.handle.registerTimer(ends)
-        self.place.update((next_, last, ends))
-        yield pd.DataFrame(out, columns=["episode_id", "t", "out"])
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        if key[0] is None or key[0] != key[0]:  # rows without an episode only move the clock
-            return
-        next_, last, ends = self.place.get() if self.place.exists() else (0, 0, 0)
-        waiting = {t: (ms, v) for t, ms, v in self.waiting.get()} if self.waiting.exists() else {}
-        for frame in rows:
-            for row in frame.sort_values("t").itertuples():
-                if row.t >= next_ and row.t not in waiting:
-                    waiting[int(row.t)] = _millis(row.ts), [list(map(float, a)) if hasattr(a, "__len__") else float(a) for a in row.value]
-                last = max(last, _millis(row.ts))
-        yield from self._run(int(key[0]), (next_, last, ends), waiting, timerValues.getCurrentWatermarkInMs())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
-        if not self.place.exists():
-            return
-        place = self.place.get()
-        waiting = {t: (ms, v) for t, ms, v in self.waiting.get()} if self.waiting.exists() else {}
-        yield from self._run(int(key[0]), tuple(place), waiting, timerValues.getCurrentWatermarkInMs())
-        if expiredTimerInfo.getExpiryTimeInMs() >= place[2]:
-            for state in (self.place, self.recent, self.waiting):
-                state.clear()
-
-    def close(self) -> None:
-        pass
-
-
-def _stateful(steps: DataFrame, processor: StatefulProcessor, key: str, output: str, delay: str) -> DataFrame:
-    marked = steps.withWatermark("ts", delay)
-    return marked.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=output, outputMode="append", timeMode="eventTime")
-
-
-def live_history(steps: DataFrame, size: int, delay: str = "1 hour", idle_ms: int = 3_600_000) -> DataFrame:
+            if ends <= watermark:
+                ended.append(episode)
+            else:
+                due.append(min([ends, *(ms for ms, _ in waiting.values())]))
+        for episode in ended:
+            del lane[episode]
+        if lane:
+            state.update((pickle.dumps(lane, pickle.HIGHEST_PROTOCOL),))
+            state.setTimeoutTimestamp(max(min(due), watermark + 1))
+        elif state.exists:
+            state.remove()
+        if sent[0]:
+            yield pd.DataFrame(dict(zip(("episode_id", "t", "out"), sent)))
+
+
+def _ordered(steps: DataFrame, steps_out: OrderedSteps, output: str, delay: str, lanes: int) -> DataFrame:
+    lane = F.pmod(F.xxhash64("episode_id"), F.lit(lanes)).cast("int").alias("__lane")
+    known = F.col("episode_id").isNotNull().alias("__known"), F.coalesce("episode_id", F.lit(0)).cast("long").alias("__episode")
+    marked = steps.withWatermark("ts", delay).select(lane, *known, "t", "ts", F.unix_millis("ts").alias("__ms"), "value")
+    return marked.groupBy("__lane").applyInPandasWithState(steps_out, output, "held binary", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def live_history(steps: DataFrame, size: int, delay: str = "1 hour", idle_ms: int = 3_600_000, lanes: int = LANES) -> DataFrame:
     """(episode_id, t, out): the last `size` actions of the episode, padded in front.
 
     steps: episode_id, t from 0, ts, value array<double>, in any order; `delay`: how late a step may come (see OrderedSteps).
@@ -119,11 +109,10 @@ def live_history(steps: DataFrame, size: int, delay: str = "1 hour", idle_ms: in
         actions = [list(a) for _, a in held]
         return [[PAD] * len(actions[-1])] * (size - len(actions)) + actions
 
-    kind = "array<double>"
-    return _stateful(steps, OrderedSteps(size, kind, padded, idle_ms), "episode_id", f"episode_id long, t int, out array<{kind}>", delay)
+    return _ordered(steps, OrderedSteps(size, padded, idle_ms), "episode_id long, t int, out array<array<double>>", delay, lanes)
 
 
-def live_ensemble(steps: DataFrame, horizon: int, temperature: float, delay: str = "1 hour", idle_ms: int = 3_600_000) -> DataFrame:
+def live_ensemble(steps: DataFrame, horizon: int, temperature: float, delay: str = "1 hour", idle_ms: int = 3_600_000, lanes: int = LANES) -> DataFrame:
     """(episode_id, t, out): weighted mean of what the last `horizon` plans foresaw for t, weight exp(-temperature * i), 0 the oldest.
 
     steps: episode_id, t from 0, ts, value array<array<double>> (the plan made at t), in any order.
@@ -136,7 +125,7 @@ def live_ensemble(steps: DataFrame, horizon: int, temperature: float, delay: str
         w = np.exp(-temperature * np.arange(len(seen)))
         return list(map(float, (np.array(seen) * (w / w.sum())[:, None]).sum(0)))
 
-    return _stateful(steps, OrderedSteps(horizon, "array<array<double>>", mean, idle_ms), "episode_id", "episode_id long, t int, out array<double>", delay)
+    return _ordered(steps, OrderedSteps(horizon, mean, idle_ms), "episode_id long, t int, out array<double>", delay, lanes)
 
 
 class Batches(StatefulProcessor):

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from stepwright.operators import stats
 from stepwright.sources import records
+from stepwright.sources.storage import scratch
+from stepwright.streaming import live
 
 
 def plan_of(df):
@@ -47,3 +49,24 @@ def test_ranges_are_sent_to_a_dims_values(spark):
         assert [tuple(r) for r in got.collect()] == [(0, 0.5, 399.6)]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_episodes_of_a_lane_share_one_call(spark, tmp_path):
+    """200 episodes in four lanes and three micro-batches; the calls, which each leave a line, must not grow with the episodes."""
+    path, calls = scratch(spark), str(tmp_path / "calls")
+
+    class Told(live.OrderedSteps):
+        def __call__(self, key, frames, state):
+            with open(calls, "a") as f:
+                f.write("x\n")
+            yield from super().__call__(key, frames, state)
+
+    schema = "episode_id long, t int, ts timestamp, value array<double>"
+    rows = spark.range(200 * 6).select(F.expr("id div 6").alias("episode_id"), F.expr("cast(5 - id % 6 as int)").alias("t"), F.timestamp_seconds(F.expr("1000 + id % 6")).alias("ts"), F.array(F.col("id").cast("double")).alias("value"))
+    rows.repartition(3, "t", "episode_id").write.parquet(path)
+    steps = Told(1, lambda held: held[0][1], 3_600_000)
+    out = live._ordered(live.step_stream(spark, path, schema), steps, "episode_id long, t int, out array<double>", "1 hour", 4)
+    got = live.drained_to_files(out, f"{path}-out", f"{path}-checkpoint").collect()
+    assert sorted((r["episode_id"], r["t"], r["out"][0]) for r in got) == [(e, t, e * 6 + 5.0 - t) for e in range(200) for t in range(6)]
+    with open(calls) as f:
+        assert len(f.readlines()) <= 4 * 5
