@@ -48,8 +48,8 @@ def looked_up(docs: DataFrame, cache: str, tokenizer_path: str) -> tuple[DataFra
     """(rows, counts): doc_id, n_bytes, digest of each row; digest, n_tokens, cached of each distinct content.
 
     Digests are narrow and counted per task before they are shuffled. They meet the cache once; of the distinct contents
-    that it lacks, the row of the least doc_id is fetched and encoded, and the counts are appended. A lost executor repeats only
-    its tasks; the append is committed by Spark's writer. Two jobs that append at once may both store a digest, with the same count.
+    that it lacks, the row of the least doc_id is fetched and encoded, and the counts are appended; if it lacks none, no text is
+    read again or shuffled. A lost executor repeats only its tasks; the append is committed by Spark's writer. Two jobs that append at once may both store a digest, with the same count.
     """
     spark = docs.sparkSession
     version = tokenizer_version(tokenizer_path)
@@ -68,12 +68,14 @@ def looked_up(docs: DataFrame, cache: str, tokenizer_path: str) -> tuple[DataFra
     distinct = rows.groupBy("digest").agg(F.min("doc_id").alias("first"))
     stored = read_cache(spark, cache, version).withColumnRenamed("digest", "__digest")
     found = stash(distinct.join(stored, F.col("digest") == F.col("__digest"), "left").select("digest", "first", "n_tokens"))
+    hits = found.where("n_tokens IS NOT NULL").select("digest", "n_tokens", F.lit(True).alias("cached"))
     misses = found.where("n_tokens IS NULL").select(F.col("digest").alias("__digest"), F.col("first").alias("__first"))
+    if misses.isEmpty():
+        return rows, hits
     texts = whole.withColumn("digest", digest(F.col("text"))).join(misses, (F.col("digest") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("__first")), "left_semi")
     # repeated rows of the least id are encoded each, and counted once
     made = stash(texts.select("digest", "text").mapInArrow(counted, "digest binary, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")))
     made.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache)
-    hits = found.where("n_tokens IS NOT NULL").select("digest", "n_tokens", F.lit(True).alias("cached"))
     return rows, hits.unionByName(made.withColumn("cached", F.lit(False)))
 
 

@@ -308,6 +308,17 @@ def test_counts_and_cache(spark, docs, empty, tmp_path, monkeypatch):
     assert token_counts.token_counts(empty, f"file://{tmp_path}/none", path).count() == 0
 
 
+def test_a_full_cache_reads_no_text_again(spark, docs, tmp_path, monkeypatch):
+    _, path = library("byte_bpe_50k.json")
+    cache, calls = f"file://{tmp_path}/cache", []
+    whole = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda *a, **k: calls.append(1) or whole(*a, **k))
+    rows, counts = token_counts.looked_up(docs, cache, path)
+    assert len(calls) == 1 and counts.where("NOT cached").count() == rows.select("digest").distinct().count()
+    rows, counts = token_counts.looked_up(docs, cache, path)
+    assert len(calls) == 1 and counts.where("cached").count() == rows.select("digest").distinct().count()
+
+
 def test_hot_keys_join_like_others(spark):
     rows = spark.createDataFrame([(i if i % 3 else 0, i) for i in range(6000)], "k long, v long")
     right = spark.range(1500).select(F.col("id").alias("r"), (F.col("id") * 2).alias("w"))
