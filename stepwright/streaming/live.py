@@ -128,15 +128,23 @@ def live_ensemble(steps: DataFrame, horizon: int, temperature: float, delay: str
     return _ordered(steps, OrderedSteps(horizon, mean, idle_ms), "episode_id long, t int, out array<double>", delay, lanes)
 
 
+def _stateful(steps: DataFrame, processor: StatefulProcessor, key: str, output: str, delay: str) -> DataFrame:
+    marked = steps.withWatermark("ts", delay)
+    return marked.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=output, outputMode="append", timeMode="eventTime")
+
+
 class Batches(StatefulProcessor):
     """Per lane: frames of any trajectories wait until there are `size`, go through the model together, and go out once their trajectory is whole.
 
     What waits outlives micro-batches, so each batch has exactly `size` frames but those that drain a lane: when the watermark is
     `idle` past the last frame, the rest goes through in one smaller batch, and trajectories go out as far as they came.
 
-    place: (batches so far, last frame's time, when the lane is drained); waiting: frames for the model; done: frames with a score of trajectories that are not whole.
+    place: (batches so far, last frame's time, when the lane is drained); waiting: frames for the model; done: frames with a score of
+    trajectories that are not whole, packed many to a value, so that a frame that waits costs no row of state.
     """
 
+    PACKED = 100_000  # frames in a value of state
+
     def __init__(self, size: int, score: Callable, idle_ms: int) -> None:
         self.size, self.score, self.idle_ms = size, score, idle_ms
 
@@ -144,52 +152,69 @@ class Batches(StatefulProcessor):
         self.handle = handle
         self.place = handle.getValueState("place", "batches long, last long, ends long")
         self.waiting = handle.getListState("waiting", "episode_id long, t int, n int, value array<double>")
-        self.done = handle.getListState("done", "episode_id long, t int, n int, score double, batch long, batch_rows int")
+        self.done = handle.getListState("done", "frames binary")
+
+    KIND = [("episode_id", "i8"), ("t", "i4"), ("n", "i4"), ("score", "f8"), ("batch", "i8"), ("batch_rows", "i4")]
+
+    def _through(self, frames: list, number: int):
+        import numpy as np
+
+        out = np.zeros(len(frames), self.KIND)
+        out["episode_id"], out["t"], out["n"], _ = zip(*frames)
+        out["score"], out["batch"], out["batch_rows"] = self.score(np.array([v for *_, v in frames], float)), number, len(frames)
+        return out
 
-    def _through(self, frames: list, number: int) -> list:
+    def _stored(self) -> list:
         import numpy as np
 
-        scores = self.score(np.array([v for *_, v in frames], float))
-        return [(e, t, n, float(s), number, len(frames)) for (e, t, n, _), s in zip(frames, scores)]
+        return [np.frombuffer(x[0], self.KIND) for x in self.done.get()] if self.done.exists() else []
 
-    def _out(self, lane: int, rows: list) -> Iterator:
+    def _out(self, lane: int, parts: list) -> Iterator:
+        import numpy as np
         import pandas as pd
 
-        yield pd.DataFrame([(lane, e, t, s, b, k) for e, t, _, s, b, k in rows], columns=["lane", "episode_id", "t", "score", "batch", "batch_rows"])
+        rows = np.concatenate([np.zeros(0, self.KIND), *parts])
+        yield pd.DataFrame({"lane": np.full(len(rows), lane, np.int32), **{c: rows[c].copy() for c in ("episode_id", "t", "score", "batch", "batch_rows")}})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
+        import numpy as np
+
         batches, last, ends = self.place.get() if self.place.exists() else (0, 0, 0)
         waiting = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
-        done = [tuple(x) for x in self.done.get()] if self.done.exists() else []
+        done = self._stored()
         for frame in rows:
-            for row in frame[frame["episode_id"].notna()].itertuples():  # rows without an episode only move the clock
-                last = max(last, _millis(row.ts))
-                waiting.append((int(row.episode_id), int(row.t), int(row.n), list(map(float, row.value))))
-            while len(waiting) >= self.size:
-                done += self._through(waiting[: self.size], batches)
-                waiting, batches = waiting[self.size :], batches + 1
+            frame = frame[frame["episode_id"].notna()]  # rows without an episode only move the clock
+            if not len(frame):
+                continue
+            last = max(last, _millis(frame["ts"].max()))
+            waiting += zip(*(frame[c].astype("int64").tolist() for c in ("episode_id", "t", "n")), (v.tolist() for v in frame["value"]))
+            full = len(waiting) // self.size * self.size
+            for at in range(0, full, self.size):
+                done.append(self._through(waiting[at : at + self.size], batches))
+                batches += 1
+            waiting = waiting[full:]
         if not last:
             return
-        count: dict[int, int] = {}
-        for e, *_ in done:
-            count[e] = count.get(e, 0) + 1
-        whole = [x for x in done if count[x[0]] >= x[2]]
-        done = [x for x in done if count[x[0]] < x[2]]
-        for state, kept in ((self.waiting, waiting), (self.done, done)):
+        frames = np.concatenate([np.zeros(0, self.KIND), *done])
+        _, which, count = np.unique(frames["episode_id"], return_inverse=True, return_counts=True)
+        is_whole = count[which] >= frames["n"]
+        whole, left = frames[is_whole], frames[~is_whole]
+        packed = [(left[at : at + self.PACKED].tobytes(),) for at in range(0, len(left), self.PACKED)]
+        for state, kept in ((self.waiting, waiting), (self.done, packed)):
             state.put(kept) if kept else state.clear()
         if ends:
             self.handle.deleteTimer(ends)
         ends = last + self.idle_ms
         self.handle.registerTimer(ends)
         self.place.update((batches, last, ends))
-        yield from self._out(int(key[0]), whole)
+        yield from self._out(int(key[0]), [whole])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
         batches = self.place.get()[0] if self.place.exists() else 0
         waiting = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
-        done = [tuple(x) for x in self.done.get()] if self.done.exists() else []
+        done = self._stored()
         if waiting:
-            done += self._through(waiting, batches)
+            done.append(self._through(waiting, batches))
         for state in (self.place, self.waiting, self.done):
             state.clear()
         yield from self._out(int(key[0]), done)

@@ -70,3 +70,39 @@ def test_episodes_of_a_lane_share_one_call(spark, tmp_path):
     assert sorted((r["episode_id"], r["t"], r["out"][0]) for r in got) == [(e, t, e * 6 + 5.0 - t) for e in range(200) for t in range(6)]
     with open(calls) as f:
         assert len(f.readlines()) <= 4 * 5
+
+
+def test_frames_that_wait_for_their_trajectory_are_packed():
+    """500 scored frames of trajectories that are not whole are one value of state; they go out when the lane is drained."""
+    import pandas as pd
+
+    class State:
+        rows = None
+        exists = lambda self: self.rows is not None
+        get = lambda self: self.rows
+
+        def put(self, rows):
+            self.rows = rows
+
+        update = put
+
+        def clear(self):
+            self.rows = None
+
+    class Handle:
+        def __init__(self):
+            self.states = {}
+
+        def getListState(self, name, schema):
+            return self.states.setdefault(name, State())
+
+        getValueState = getListState
+        registerTimer = deleteTimer = lambda self, ms: None
+
+    handle, batches = Handle(), live.Batches(50, lambda m: m[:, 0], 1000)
+    batches.init(handle)
+    frame = pd.DataFrame({"episode_id": [i % 5 for i in range(510)], "t": [i // 5 for i in range(510)], "n": 200, "value": [pd.array([float(i)]).to_numpy() for i in range(510)], "ts": pd.Timestamp("2020-01-01")})
+    assert sum(len(x) for x in batches.handleInputRows((0,), iter([frame]), None)) == 0
+    assert len(handle.states["done"].rows) == 1 and len(handle.states["waiting"].rows) == 10
+    (out,) = batches.handleExpiredTimer((0,), None, None)
+    assert sorted(out["score"]) == [float(i) for i in range(510)] and sorted(out["batch_rows"].unique()) == [10, 50]
