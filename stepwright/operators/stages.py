@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ratios import matching_ratio
 from ..sources.steps import EPISODE, episode_window
 
 
@@ -175,20 +176,22 @@ def side_by_side(rows: DataFrame, views: Sequence[str], height: int, out: str) -
 
 # ---------------------------------------------------------------- text similarity and scorers
 def similarity_ratios(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """Matching-block ratio of distinct unordered pairs of texts, joined back; case and outer blanks do not count."""
+    """Matching-block ratio of distinct unordered pairs of texts, joined back; case and outer blanks do not count.
+
+    Texts are shuffled once, to tell pairs apart; ratios come back to their rows by the SHA-256 of the pair.
+    """
     left, right = F.lower(F.trim(a)), F.lower(F.trim(b))
     keyed = pairs.withColumns({"__a": F.least(left, right), "__b": F.greatest(left, right)})
-    distinct = keyed.select("__a", "__b").distinct()
+    told = F.unhex(F.sha2(F.concat(F.length("__a").cast("string"), F.lit(" "), F.col("__a"), F.col("__b")), 256)).alias("__pair")
 
     @F.pandas_udf("double")
     def ratio(x, y):
         import pandas as pd
-        from difflib import SequenceMatcher
 
-        return pd.Series([SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y)], dtype="float64")
+        return pd.Series([matching_ratio(p, q) for p, q in zip(x, y)], dtype="float64")
 
-    scored = distinct.select("__a", "__b", ratio("__a", "__b").alias("similarity"))
-    return keyed.join(scored, ["__a", "__b"]).drop("__a", "__b")
+    scored = keyed.select("__a", "__b").distinct().select(told, ratio("__a", "__b").alias("similarity"))
+    return keyed.select(*pairs.columns, told).join(scored, "__pair").drop("__pair")
 
 
 def scored(rows: DataFrame, scorer: Callable, inputs: Sequence[str], batch: int, out: str = "score") -> DataFrame:
